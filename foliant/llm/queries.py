@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, media, pack, secrets, simhash
+from . import fingerprint, media, pack, quality, secrets, simhash
 from .common import table
 
 
@@ -24,12 +24,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op5_media, op7_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op5_media, op7_packing, op8_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
