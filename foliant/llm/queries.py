@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, media, pack, quality, secrets, simhash
+from . import fingerprint, media, mixing, pack, quality, secrets, simhash, urls
 from .common import table
 
 
@@ -28,12 +28,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The rules of the registered query: host, path, verdict.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op5_media, op7_packing, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op5_media, op6_urls, op7_packing, op8_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
