@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, media, mixing, pack, quality, secrets, simhash, urls
+from . import fingerprint, media, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
 from .common import table
 
 
@@ -40,12 +40,20 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+
+
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.later_copies(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op5_media, op6_urls, op7_packing, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
