@@ -83,9 +83,9 @@ def _order(seed: int, *cols: str | Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = TARGET_ENTROPY, most_repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, tokens, weight, epoch, position, place``, a row for each time a document stands in the mixture.
+    """``doc_id, print, source, tokens, weight, epoch, position, place``, a row for each time a document stands in the mixture.
 
-    ``position``: tokens of the source before the document in its permuted blocks, over all epochs; ``place``: the same as a
+    ``print``: a hash of the text; ``position``: tokens of the source before the document in its permuted blocks, over all epochs; ``place``: the same as a
     share of the source's budget, so that ordering by it deals the sources out by weight. Epoch 0 holds every document;
     the last epoch of a source ends where its budget does. Null sources form a source of their own, null or empty texts
     count one token, and repeated rows stand for themselves. A hot source is split into blocks of about ``BLOCK_TOKENS``
@@ -105,4 +105,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     met = rows.join(here, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("block") == F.col("b")))
     position = F.col("epoch") * F.col("source_tokens") + F.col("start") + F.col("before")
     out = met.withColumn("position", position).where((F.col("epoch") == 0) | (F.col("position") + F.col("tokens") <= F.col("budget")))
-    return out.select("doc_id", "source", "tokens", "weight", "epoch", "position", (F.col("position") / F.col("budget")).alias("place"))
+    return out.select("doc_id", "print", "source", "tokens", "weight", "epoch", "position", (F.col("position") / F.col("budget")).alias("place"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with their own columns, as often as they stand in the mixture; every row at least once. Rows that
+    share an id and a text share their copies alike, rounded up."""
+    times = mix(docs, id_col, source_col, text_col, **options).groupBy("doc_id", "print")
+    times = times.agg(F.ceil(F.count(F.lit(1)) / F.sum((F.col("epoch") == 0).cast("int"))).cast("int").alias("_times"))
+    times = times.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "_times")
+    met = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("_print")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)

@@ -33,7 +33,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("print")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
