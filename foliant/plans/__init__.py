@@ -1 +1,3 @@
-"""Foliant: grounded-document analytics on Spark."""
+"""Registered queries."""
+
+from . import catalogue, queries  # noqa: F401
