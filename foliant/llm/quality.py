@@ -93,7 +93,7 @@ def features(text: str, s: tuple[float, ...]) -> np.ndarray:
 def with_abuse(found: np.ndarray, vote: int) -> np.ndarray:
     """The features, with the abuse labeller's vote as one more."""
     at = crc32(f"\1abuse:{vote}".encode()) % HASH_SIZE
-    return found if (found == at).any() else np.append(found, at)
+    return found if (found == at).any() else np.append(found, found.dtype.type(at))
 
 
 class Linear:
@@ -189,9 +189,9 @@ def estimate(counts: dict[int, float], anchors: dict[tuple[int, int], float] | N
 
 
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.BinaryType())
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t or "", statistics(t or "")).astype(np.int32) for t in text])
+        return pd.Series([features(t or "", statistics(t or "")).astype(np.int32).tobytes() for t in text])
 
     return docs.withColumn("features", of(F.col(text_col)))
 
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     rows = _described(base.join(F.broadcast(chosen), "doc_id"), "text").select("features", "toxic").limit(2 * sample).collect()
-    found = [np.array(r["features"], np.int64) for r in rows]
+    found = [np.frombuffer(r["features"], np.int32) for r in rows]
     abuse = spark.sparkContext.broadcast(fit(found, np.array([float(r["toxic"] == 1) for r in rows])))
     voted = materialise(_voted(base, "text", abuse).select("doc_id", "pattern"), "votes")
     counts = {r["pattern"]: float(r["count"]) for r in voted.groupBy("pattern").count().collect()}
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     posterior, share, prior = estimate(counts, anchors)
     picked = voted.where("doc_id is not null").select("doc_id", "pattern").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "pattern").limit(sample)
     rows = _described(base.join(F.broadcast(picked), "doc_id"), "text").select("features", "pattern").limit(2 * sample).collect()
-    scorer = fit([with_abuse(np.array(r["features"], np.int64), r["pattern"] % 3) for r in rows], np.array([posterior[r["pattern"]] for r in rows]))
+    scorer = fit([with_abuse(np.frombuffer(r["features"], np.int32), r["pattern"] % 3) for r in rows], np.array([posterior[r["pattern"]] for r in rows]))
     return abuse, spark.sparkContext.broadcast(scorer), (posterior, share, prior)
 
 
