@@ -56,7 +56,7 @@ def exponent(sources: DataFrame, target: float = TARGET_ENTROPY, most_repeats: f
     def entropies(grid: list[float]) -> list[bool]:
         sums = sources.where("tokens > 0").agg(*[x for t in grid for x in (F.sum(F.pow(share, F.lit(t))), F.sum(F.pow(share, F.lit(t)) * F.log(share)))]).first()
         bound = target * math.log(totals[1])
-        return [math.log(sums[2 * i]) - t * sums[2 * i + 1] / sums[2 * i] >= bound - 1e-12 for i, t in enumerate(grid)]
+        return [round(math.log(sums[2 * i]) - t * sums[2 * i + 1] / sums[2 * i], 9) >= round(bound, 9) for i, t in enumerate(grid)]  # rounded: sums may differ in their last bits
 
     # the most repeated source is the smallest: its repetitions over those of the largest are (min/max) ** (t - 1)
     ratio = totals[3] / totals[2]
@@ -74,7 +74,7 @@ def weights(docs: DataFrame, tau: float | None = None, target: float = TARGET_EN
     raised = sources.crossJoin(F.broadcast(top))  # one row
     raised = raised.withColumn("raised", F.pow(F.col("tokens") / F.col("top"), F.lit(tau)))
     total = raised.agg(F.sum("raised").alias("sum"))
-    out = raised.crossJoin(F.broadcast(total)).withColumn("weight", F.col("raised") / F.col("sum"))
+    out = raised.crossJoin(F.broadcast(total)).withColumn("weight", F.round(F.col("raised") / F.col("sum"), 12))
     return out.select("source", "tokens", "weight", F.greatest("tokens", F.round(F.col("raised") * F.col("top")).cast("long")).alias("budget"))
 
 

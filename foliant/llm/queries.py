@@ -56,5 +56,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash)}
 
 
+_HOST_PATH = """SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {0})"""
+
+#: The same rows in SQL: rules by their length, and reachability over canonical and refresh edges by recursion.
+OP6_SQL = f"""WITH RECURSIVE rules(rule_host, rule_path, say) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+tags AS (SELECT url, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?i)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\brel\\s*=\\s*["'']?\\s*canonical\\b')), lambda t: regexp_extract(t, '(?i)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?i)<meta\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')), lambda t: regexp_extract(t, '(?i)\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)))) AS href
+  FROM pages WHERE contains(url, '://')),
+based AS ({_HOST_PATH.format("tags")}),
+edges AS (SELECT url AS u, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN scheme || '://' || host || href
+    ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS v
+  FROM (SELECT *, substr(url, 1, strpos(url, '://') - 1) AS scheme, regexp_replace(path, '[^/]*$', '') AS folder FROM based WHERE href <> '')),
+near AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(a, b) AS (SELECT u, v FROM near UNION SELECT r.a, n.v FROM reach r JOIN near n ON r.b = n.u),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a FROM reach) WHERE url IS NOT NULL),
+parts AS ({_HOST_PATH.format("urls")}),
+fits AS (SELECT url, rule_host || rule_path AS rule, say, row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC) AS rn
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+best AS (SELECT url, rule, say FROM fits WHERE rn = 1),
+handed AS (SELECT r.a AS url, bool_or(b.say = 'allow') AS allowed, bool_or(b.say = 'block') AS blocked FROM reach r JOIN best b ON r.b = b.url GROUP BY r.a)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.say, CASE WHEN h.blocked AND NOT h.allowed THEN 'block' END, 'allow') AS verdict
+FROM ({_HOST_PATH.format("pages")}) p LEFT JOIN best b ON p.url = b.url LEFT JOIN handed h ON p.url = h.url"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_urls": OP6_SQL}
