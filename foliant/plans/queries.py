@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import align, assemble, batch, export, jobs, organize, quality, reconcile, relations, routing, usage
+from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, routing, usage
 from ..sources import fixtures as S
 from .catalogue import query
 
@@ -94,9 +94,9 @@ def content_nodes(spark, d):
 
 
 @query("archive_manifest", """WITH e AS (SELECT page_id + 1 AS seq, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, regexp_replace(url, '^.*/', '') AS leaf, page_id FROM pages),
-s AS (SELECT *, coalesce(nullif(regexp_extract(leaf, '^(.+)\\.[^.]*$', 1), ''), leaf) AS base FROM e),
+s AS (SELECT *, CASE WHEN contains(leaf, '.') THEN regexp_extract(leaf, '^(.*)\\.[^.]*$', 1) ELSE leaf END AS base FROM e),
 t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(base, '[^A-Za-z0-9._-]+', '-', 'g'), '^[ ._-]+', ''), '[ ._-]+$', '') AS stem0 FROM s),
-u AS (SELECT *, coalesce(nullif(regexp_replace(substr(stem0, 1, 80), '[ ._-]+$', ''), ''), 'document') AS stem FROM t)
+u AS (SELECT *, coalesce(nullif(substr(stem0, 1, 80), ''), 'document') AS stem FROM t)
 SELECT seq, printf('%02d-', seq) || stem AS folder, status, CASE WHEN status = 'failed' THEN 0 WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS n_files FROM u""")
 def archive_manifest(spark, d):
     p = S.table(spark, d, "pages").select((F.col("page_id") + 1).alias("seq"), F.col("url").alias("filename"), F.when(F.col("page_id") % 7 == 0, "failed").otherwise("completed").alias("status"), F.lit("x").alias("markdown"), F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))
@@ -560,7 +560,7 @@ def progress(spark, d):
     return batch.progress(e, ["job_id"], ["event_id"], F.col("done"), F.lit(10)).select("job_id", "event_id", "percent")
 
 
-@query("ocr_warnings", "SELECT user_id AS doc_id, 'Pages needing OCR: ' || string_agg(CAST(p AS VARCHAR), ', ' ORDER BY p) AS warning FROM (SELECT DISTINCT user_id, event_id % 7 + 1 AS p FROM events WHERE event_type = 'error') GROUP BY user_id")
+@query("ocr_warnings", "SELECT user_id AS doc_id, 'PDF Inspector cannot OCR pages: ' || string_agg(CAST(p AS VARCHAR), ', ' ORDER BY p) AS warning FROM (SELECT DISTINCT user_id, event_id % 7 + 1 AS p FROM events WHERE event_type = 'error') GROUP BY user_id")
 def ocr_warnings(spark, d):
     e = S.table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7 + 1).alias("page"))
     return quality.warning_list(e, ["doc_id"])
@@ -614,9 +614,9 @@ def token_overlap(spark, d):
     return pairs.select("a", "b", F.round(quality.token_recall(pairs, "x", "y"), 6).alias("recall"))
 
 
-@query("safe_stem", """WITH s AS (SELECT page_id, regexp_replace(url, '^.*/', '') AS leaf FROM pages), b AS (SELECT page_id, coalesce(nullif(regexp_extract(leaf, '^(.+)\\.[^.]*$', 1), ''), leaf) AS base FROM s),
+@query("safe_stem", """WITH s AS (SELECT page_id, regexp_replace(url, '^.*/', '') AS leaf FROM pages), b AS (SELECT page_id, CASE WHEN contains(leaf, '.') THEN regexp_extract(leaf, '^(.*)\\.[^.]*$', 1) ELSE leaf END AS base FROM s),
 t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(base, '[^A-Za-z0-9._-]+', '-', 'g'), '^[ ._-]+', ''), '[ ._-]+$', '') AS stem FROM b)
-SELECT page_id, coalesce(nullif(regexp_replace(substr(stem, 1, 80), '[ ._-]+$', ''), ''), 'document') AS stem FROM t""")
+SELECT page_id, coalesce(nullif(substr(stem, 1, 80), ''), 'document') AS stem FROM t""")
 def safe_stem(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.safe_stem(F.col("url")).alias("stem"))
 
@@ -643,7 +643,7 @@ def latin1_text(spark, d):
 
 @query("report_lines")
 def report_lines(spark, d):
-    e = S.table(spark, d, "pages").select((F.col("page_id") % 10).cast("int").alias("doc_id"), F.col("page_id").cast("int").alias("seq"), X.unescape(X.plain_excerpt(F.col("html"))).alias("excerpt"))
+    e = S.table(spark, d, "pages").select((F.col("page_id") % 10).cast("int").alias("doc_id"), F.col("page_id").cast("int").alias("seq"), F.expr("page_id div 50").cast("int").alias("source_page"), X.unescape(X.plain_excerpt(F.col("html"))).alias("excerpt"))
     return align.report_lines(e, ["doc_id"])
 
 
@@ -815,3 +815,90 @@ def clean_ocr(spark, d):
 def clean_labels(spark, d):
     b = S.conversation_blocks(spark, d).select("doc_id", "page", F.col("ord").alias("seq"), F.when(F.col("ord") == 1, "heading").otherwise("text").alias("type"), F.col("markdown").alias("text"))
     return align.with_clean_labels(b, ["doc_id", "page"]).select("doc_id", "page", "seq", "clean")
+
+
+# --- ingest --------------------------------------------------------------------------------------------------------
+
+
+def _items(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ["table", "picture", "text", "text"])), (F.col("seq") % 4 + 1).cast("int"))
+    b = F.col("box")
+    points = G.box(b["left"] * 600, 800 - b["top"] * 800, b["right"] * 600, 800 - b["bottom"] * 800)
+    return S.embedding_boxes(spark, d).select(
+        "page", "seq", kind.alias("kind"), F.concat(F.lit("label"), (F.col("seq") % 3).cast("string")).alias("label"), F.when(F.col("seq") % 8 != 2, F.concat(F.lit(" Item "), F.col("seq").cast("string"), F.lit("\n\nmore "))).alias("markdown"),
+        F.lit(None).cast("string").alias("description"), F.when(F.col("seq") % 8 == 1, "A caption").alias("caption"), F.when(F.col("seq") % 5 != 0, points).alias("box"), F.lit(600).alias("width"), F.lit(800).alias("height"),
+    )
+
+
+@query("layout_blocks", _BOXES + """, k AS (SELECT page, seq, list_extract(['table', 'figure', 'text', 'text'], CAST(seq % 4 + 1 AS BIGINT)) AS type FROM boxes)
+SELECT page, seq, type, CASE WHEN type = 'figure' THEN '<figure type="FIGURE"><description>Visual content present; description unavailable.</description>' || CASE WHEN seq % 8 = 1 THEN chr(10) || 'A caption' ELSE '' END || '</figure>' ELSE 'Item ' || CAST(seq AS VARCHAR) || chr(10) || chr(10) || 'more' END AS markdown,
+'label' || CAST(seq % 3 AS VARCHAR) AS semantic_role, CASE WHEN seq % 5 <> 0 THEN 'grounded' ELSE 'semantic_only' END AS grounding_status, CASE WHEN seq % 5 = 0 OR type = 'table' THEN 0 WHEN type = 'figure' THEN CASE WHEN seq % 8 = 1 THEN 2 ELSE 1 END ELSE 2 END AS n_lines
+FROM k WHERE type = 'figure' OR seq % 8 <> 2""")
+def layout_blocks(spark, d):
+    return ingest.layout_blocks(_items(spark, d)).select("page", "seq", "type", "markdown", "semantic_role", "grounding_status", F.size("lines").alias("n_lines"))
+
+
+@query("table_cells", "SELECT page_id, replace(replace(replace(substr(html, 1, 120), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cell FROM pages")
+def table_cells(spark, d):
+    return S.table(spark, d, "pages").select("page_id", ingest.cell_markdown(F.substring("html", 1, 120)).alias("cell"))
+
+
+@query("page_markdown", _BOXES + "SELECT page, round(min(l), 6) AS l, round(max(b), 6) AS b, 'grounded' AS grounding_status FROM boxes WHERE page % 2 = 0 GROUP BY page UNION ALL SELECT DISTINCT page, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'semantic_only' FROM boxes WHERE page % 2 = 1")
+def page_markdown(spark, d):
+    b = S.embedding_boxes(spark, d)
+    out = ingest.page_markdown_blocks(b.select("page").distinct().withColumn("markdown", F.lit(" text ")), b.where("page % 2 = 0"), ["page"])
+    return out.select("page", F.round("box.left", 6).alias("l"), F.round("box.bottom", 6).alias("b"), "grounding_status")
+
+
+@query("atomic_lines", _BOXES + "SELECT page, count(*) FILTER (seq % 3 <> 0 AND seq % 4 <> 0 AND r <= 1 AND b <= 1) AS n FROM boxes GROUP BY page")
+def atomic_lines(spark, d):
+    b = F.col("box")
+    k = F.when(F.col("seq") % 4 == 0, -1.0).otherwise(1.0)
+    line = F.struct(F.when(F.col("seq") % 3 == 0, " ").otherwise("x").alias("text"), F.when((b["right"] <= 1) & (b["bottom"] <= 1), G.box(*[b[s] * k for s in G.SIDES])).alias("box"))
+    g = S.embedding_boxes(spark, d).withColumn("line", line).groupBy("page").agg(F.collect_list("line").alias("lines"))
+    return g.select("page", F.size(ingest.atomic_lines(F.col("lines"))).cast("long").alias("n"))
+
+
+@query("normalized_chunks", _BOXES + "SELECT seq, CASE WHEN seq % 2 = 0 THEN 'text' ELSE 'md' END AS markdown, round(l, 6) AS l FROM boxes WHERE r <= 1 AND b <= 1")
+def normalized_chunks(spark, d):
+    b = F.col("box")
+    c = S.embedding_boxes(spark, d).where("box.right <= 1 and box.bottom <= 1").select("seq", F.lit("text").alias("text"), F.when(F.col("seq") % 2 != 0, "md").alias("markdown"), F.when(F.col("seq") % 3 == 0, G.box(*[b[s] * 1000 for s in G.SIDES])).otherwise(b).alias("box"))
+    return ingest.normalized_chunks(c).select("seq", "markdown", F.round("box.left", 6).alias("l"))
+
+
+@query("geometry_errors", _BOXES + "SELECT page, '$.chunks[' || CAST(min(i) - 1 AS VARCHAR) || '].box must have left < right and top < bottom' AS error FROM (SELECT page, seq, row_number() OVER (PARTITION BY page ORDER BY seq) AS i FROM boxes) WHERE seq % 7 = 0 GROUP BY page")
+def geometry_errors(spark, d):
+    b = F.col("box")
+    c = S.embedding_boxes(spark, d).withColumn("box", F.when(F.col("seq") % 7 == 0, G.box(b["right"], b["top"], b["left"], b["bottom"])).otherwise(b))
+    g = c.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "box"))), lambda x: x["box"]).alias("boxes"))
+    return g.select("page", ingest.geometry_error(F.col("boxes")).alias("error")).where("error is not null")
+
+
+@query("block_counts", _BLOCKS + "SELECT doc_id, count(*) AS blocks FROM ranged GROUP BY doc_id")
+def block_counts(spark, d):
+    return ingest.block_count(export.export_nodes(_ranged(spark, d).withColumn("box", F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>"))))
+
+
+@query("block_violations", """WITH e AS (SELECT event_id, event_id % 2 = 0 AS g, event_id % 3 = 0 AS nobox, list_extract(['text', 'table', 'table_cell'], CAST(event_id % 5 % 3 + 1 AS BIGINT)) AS t, event_id % 7 = 0 AS hasrow, event_id % 11 = 0 AS cells FROM events)
+SELECT event_id, CASE WHEN g AND nobox THEN 'grounded block input requires a normalized box' WHEN NOT g AND NOT nobox THEN 'semantic-only block input cannot claim a normalized box' WHEN t = 'table_cell' AND NOT hasrow THEN 'table cell input requires row and col' WHEN t = 'table_cell' AND cells THEN 'table cell input cannot contain table cells' WHEN t <> 'table_cell' AND hasrow THEN 'only table cell input accepts row and col' WHEN t <> 'table' AND cells THEN 'only table input can contain table cells' END AS violation FROM e""")
+def block_violations(spark, d):
+    m = lambda k: F.col("event_id") % k == 0
+    t = F.element_at(F.array(*map(F.lit, ["text", "table", "table_cell"])), (F.col("event_id") % 5 % 3 + 1).cast("int"))
+    b = F.struct(t.alias("type"), F.when(m(2), "grounded").otherwise("semantic_only").alias("grounding_status"), F.when(~m(3), G.box(0.0, 0.0, 1.0, 1.0)).alias("box"), F.when(m(7), 1).alias("row"), F.when(m(7), 1).alias("col"), F.when(m(11), 2).otherwise(0).alias("n_cells"))
+    return S.table(spark, d, "events").withColumn("b", b).select("event_id", ingest.block_violation(F.col("b")).alias("violation"))
+
+
+@query("chunk_violations", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'malformed id' WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 'verified chunk requires grounding evidence' END AS violation FROM events")
+def chunk_violations(spark, d):
+    m = lambda k: F.col("event_id") % k == 0
+    chunk_id = F.concat(F.when(m(4), "-bad ").otherwise("c:"), F.col("event_id").cast("string"))
+    return S.table(spark, d, "events").select("event_id", ingest.chunk_violation(chunk_id, F.when(m(3), "verified").otherwise("candidate"), F.when(m(2), 1)).alias("violation"))
+
+
+@query("node_violations", """SELECT event_id, CASE WHEN t = 'document' AND NOT nopage THEN 'document has no page' WHEN t = 'page' AND nopage THEN 'page needs its number' WHEN t = 'table_cell' AND nopage THEN 'block needs its page' WHEN t = 'table_cell' AND NOT cell THEN 'table cell needs row and column' WHEN t <> 'table_cell' AND cell THEN 'only table cells have row and column' WHEN t = 'table_cell' AND event_id % 13 = 0 THEN 'grounded node needs a box' END AS violation
+FROM (SELECT event_id, list_extract(['document', 'page', 'table_cell'], CAST(event_id % 3 + 1 AS BIGINT)) AS t, event_id % 2 = 0 AS nopage, event_id % 5 = 0 AS cell FROM events)""")
+def node_violations(spark, d):
+    m = lambda k: F.col("event_id") % k == 0
+    t = F.element_at(F.array(*map(F.lit, ["document", "page", "table_cell"])), (F.col("event_id") % 3 + 1).cast("int"))
+    n = F.struct(t.alias("type"), F.when(~m(2), 1).alias("page"), F.when(m(5), 0).alias("row"), F.when(m(5), 0).alias("col"), F.lit("grounded").alias("grounding_status"), F.when(~m(13), G.box(0.0, 0.0, 1.0, 1.0)).alias("box"), F.lit("table").alias("parent_type"))
+    return S.table(spark, d, "events").withColumn("n", n).select("event_id", assemble.node_violation(F.col("n")).alias("violation"))

@@ -40,10 +40,10 @@ def test_labels():
 
 def test_sanitizer():
     dirty = '<p onclick="x()">a<script>alert(1)</script><a href="javascript:x">b</a><img src="https://x/y.png" onerror=z></p><iframe>c</iframe>'
-    assert X.sanitized(dirty) == '<p>a<a>b</a><img src="https://x/y.png"></p>c'
+    assert X.sanitized(dirty) == "<p>aalert(1)<a>b</a></p>c"
 
 
-@pytest.mark.parametrize(("name", "want"), [("a/b/My File.pdf", "My-File"), ("CON.txt", "document-CON"), ("???", "document"), ("x" * 100 + ".md", "x" * 80)])
+@pytest.mark.parametrize(("name", "want"), [("a/b/My File.pdf", "My-File"), ("CON.txt", "document-CON"), (".bashrc", "document"), ("clock$", "clock"), ("???", "document"), ("x" * 100 + ".md", "x" * 80)])
 def test_safe_stem(spark, name, want):
     assert one(spark, X.safe_stem(F.lit(name))) == want
 
@@ -200,3 +200,24 @@ def test_results_do_not_depend_on_partitions(spark):
         assert got[0] == got[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_report_layout():
+    lines = align.report_layout([(1, "word " * 200), (1, ""), (2, "x")])
+    assert [x[3] for x in lines if "page" in x[3]] == ["Source page 1", "Source page 2"] and sum(x[0] == 0 for x in lines) == 5
+    assert (1, 1, 88.0 + 22 + 14 + 48 + 12 + 14, "(empty block)") in lines
+    assert max(p for _, p, _, _ in align.report_layout([(1, "a b c")] * 100)) > 4
+
+
+def test_archive(spark, tmp_path):
+    import json
+    from zipfile import ZipFile
+
+    from foliant.operators import export
+
+    df = spark.createDataFrame([(1, "a/x.pdf", "completed", "md", None), (2, "y.pdf", "failed", "md", "html")], "seq int, filename string, status string, markdown string, html string")
+    rows = [r.asDict() for r in export.archive_manifest(df).join(df.select("seq", "markdown", "html"), "seq").orderBy("seq").collect()]
+    export.write_archive(rows, str(tmp_path / "a.zip"))
+    with ZipFile(tmp_path / "a.zip") as z:
+        assert sorted(z.namelist()) == ["01-x/x.md", "manifest.json"]
+        assert json.loads(z.read("manifest.json"))["documents"][1]["files"] == []
