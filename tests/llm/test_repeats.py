@@ -2,10 +2,11 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from foliant.llm import substring_dedup, suffix_dedup
+from foliant.llm import queries, substring_dedup, suffix_dedup
 from foliant.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -104,3 +105,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert {k: v for k, v in b.items() if k is not None} == brute_bytes(rows)
     assert None in w and both(no_docs) == ({}, {})
     assert substring_dedup.repeated_passages(odd_docs).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("rows", [None, hard_rows()])
+def test_sql_equals_brute_force(spark, rows):
+    con = duckdb.connect()
+    if rows is None:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        rows = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    else:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = {r[0]: r[1:] for r in con.execute("SELECT doc_id, n_words, n_removed, kept_sha256 FROM (" + queries.OP4_SQL + ")").fetchall()}
+    assert got == brute_words(rows)
+    got = {r[0]: r[1:] for r in con.execute("SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM (" + queries.OP9_SQL + ")").fetchall()}
+    assert got == brute_bytes(rows)
