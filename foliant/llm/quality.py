@@ -39,18 +39,22 @@ _UPPER, _LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode(
 _STRIP = string.punctuation + "¡¿«»“”’"
 
 
-def statistics(text: str) -> tuple[float, ...]:
-    """Shares of symbols, capitals, immediate repeats, distinct words, function words, full stops and double marks; word count."""
+def described(text: str | None) -> tuple[tuple[float, ...], set[str]]:
+    """Statistics of a text (null counts as empty), and its distinct words in lower case.
+
+    The statistics are shares of symbols, capitals, immediate repeats, distinct words, function words, full stops and double marks; word count."""
+    text = text or ""
     data, words = text.encode("utf-8", "surrogatepass"), text.split()
     n, size = len(words), max(len(data), 1)
     if not n:
-        return 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0
+        return (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0), set()
     less = lambda chars: len(data) - len(data.translate(None, chars))
     lowered = text.lower().split()
-    return (
+    stats = (
         less(_SYMBOLS) / size, less(_UPPER) / max(less(_LETTERS), 1), sum(map(eq, words, words[1:])) / n, len(set(words)) / min(n, 2000),
         sum(map(FUNCTION_WORDS.__contains__, lowered)) / n, data.count(b".") / n, data.count(b"!!") / n, n,
     )
+    return stats, set(lowered)
 
 
 def _vote(x: float, bad: bool, good: bool) -> int:
@@ -70,41 +74,61 @@ def heuristic_votes(s: tuple[float, ...]) -> list[int]:
     ]
 
 
-_hashed: dict[str, tuple[int, ...]] = {}
+def word_features(word: str) -> tuple[int, ...]:
+    """Hashes of a word, and of its first four and five letters."""
+    bare = word.strip(_STRIP)
+    return tuple(crc32(k.encode("utf-8", "surrogatepass")) % HASH_SIZE for k in {bare, f"4{bare[:4]}", f"5{bare[:5]}"}) if len(bare) > 1 else ()
+
+
+def style_features(s: tuple[float, ...]) -> list[int]:
+    """Hashes of the statistics in steps, and of the heuristic votes."""
+    steps = [f"\0{i}:{int(x * 20) if i < 7 else len(str(int(x)))}" for i, x in enumerate(s)]
+    return [crc32(k.encode()) % HASH_SIZE for k in [*steps, *(f"\1{i}:{v}" for i, v in enumerate(heuristic_votes(s)))]]
+
 
+def features(text: str | None) -> np.ndarray:
+    """All distinct hashed features of a text."""
+    s, words = described(text)
+    out = set(style_features(s)).union(*map(word_features, words))
+    return np.fromiter(out, np.int32, len(out))
 
-def features(text: str, s: tuple[float, ...]) -> np.ndarray:
-    """Distinct hashed features: words, their first four and five letters, and the statistics in steps."""
-    out: set[int] = set()
-    if len(_hashed) > 300_000:
-        _hashed.clear()
-    for w in set(text.lower().split()):
-        got = _hashed.get(w)
-        if got is None:
-            bare = w.strip(_STRIP)
-            keys = {bare, f"4{bare[:4]}", f"5{bare[:5]}"} if len(bare) > 1 else set()
-            got = _hashed[w] = tuple(crc32(k.encode("utf-8", "surrogatepass")) % HASH_SIZE for k in keys)
-        out.update(got)
-    out.update(crc32(f"\0{i}:{int(x * 20) if i < 7 else len(str(int(x)))}".encode()) % HASH_SIZE for i, x in enumerate(s))
-    out.update(crc32(f"\1{i}:{v}".encode()) % HASH_SIZE for i, v in enumerate(heuristic_votes(s)))
-    return np.fromiter(out, np.int64, len(out))
 
+class _Used(dict):
+    """For each word, those of its features that a model uses; mostly none. Emptied when it has grown large."""
 
-def with_abuse(found: np.ndarray, vote: int) -> np.ndarray:
-    """The features, with the abuse labeller's vote as one more."""
-    at = crc32(f"\1abuse:{vote}".encode()) % HASH_SIZE
-    return found if (found == at).any() else np.append(found, found.dtype.type(at))
+    def __init__(self, used: frozenset[int]) -> None:
+        super().__init__()
+        self.used = used
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = tuple(f for f in word_features(word) if f in self.used)
+        return got
+
+
+def abuse_feature(vote: int) -> int:
+    """Hash of the abuse labeller's vote, one more feature of the scorer."""
+    return crc32(f"\1abuse:{vote}".encode()) % HASH_SIZE
 
 
 class Linear:
     """A logistic model on a few of the hashed features; without any, it gives its base rate."""
 
     def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float) -> None:
-        self.bias, self.full = bias, np.zeros(HASH_SIZE, np.float32)
-        self.full[at] = weight
+        self.bias, self.weights = bias, dict(zip(at.tolist(), map(float, weight), strict=True))
+        self.cache: _Used | None = None
+
+    def __getstate__(self) -> dict:
+        return {"bias": self.bias, "weights": self.weights, "cache": None}
 
-    def __call__(self, found: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.full[found].sum(), -30, 30))))
+    def __call__(self, s: tuple[float, ...], words: set[str], *more: int) -> float:
+        """Chance of the target class for a described text and further features."""
+        if self.cache is None:
+            self.cache = _Used(frozenset(self.weights))
+        found = {*style_features(s), *more}.union(*filter(None, map(self.cache.__getitem__, words)))
+        x = self.bias + sum(self.weights[f] for f in found if f in self.weights)
+        return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, least_support: int = 6, least_z: float = 4.0) -> Linear:
@@ -191,7 +215,7 @@ def estimate(counts: dict[int, float], anchors: dict[tuple[int, int], float] | N
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
     @F.pandas_udf(T.BinaryType())
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t or "", statistics(t or "")).astype(np.int32).tobytes() for t in text])
+        return pd.Series([features(t).tobytes() for t in text])
 
     return docs.withColumn("features", of(F.col(text_col)))
 
@@ -201,8 +225,8 @@ def _voted(docs: DataFrame, text_col: str, abuse) -> DataFrame:
     def of(text: pd.Series) -> pd.Series:
         model, out = abuse.value, []
         for t in text:
-            s = statistics(t or "")
-            out.append(code([*heuristic_votes(s), BAD if model(features(t or "", s)) > 0.5 else GOOD]))
+            s, words = described(t)
+            out.append(code([*heuristic_votes(s), BAD if model(s, words) > 0.5 else GOOD]))
         return pd.Series(out, dtype="int32")
 
     return docs.withColumn("pattern", of(F.col(text_col)))
@@ -227,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     posterior, share, prior = estimate(counts, anchors)
     picked = voted.where("doc_id is not null").select("doc_id", "pattern").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "pattern").limit(sample)
     rows = _described(base.join(F.broadcast(picked), "doc_id"), "text").select("features", "pattern").limit(2 * sample).collect()
-    scorer = fit([with_abuse(np.frombuffer(r["features"], np.int32), r["pattern"] % 3) for r in rows], np.array([posterior[r["pattern"]] for r in rows]))
+    scorer = fit([np.append(np.frombuffer(r["features"], np.int32), np.int32(abuse_feature(r["pattern"] % 3))) for r in rows], np.array([posterior[r["pattern"]] for r in rows]))
     return abuse, spark.sparkContext.broadcast(scorer), (posterior, share, prior)
 
 
@@ -244,10 +268,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def of(text: pd.Series) -> pd.DataFrame:
         model, final, (table_, rate), rows = abuse.value, scorer.value, known.value, []
         for t in text:
-            s = statistics(t or "")
-            f = features(t or "", s)
-            votes = [*heuristic_votes(s), BAD if model(f) > 0.5 else GOOD]
-            rows.append(("".join("?+-"[v] for v in votes), table_.get(code(votes), rate), final(with_abuse(f, votes[-1]))))
+            s, words = described(t)
+            votes = [*heuristic_votes(s), BAD if model(s, words) > 0.5 else GOOD]
+            rows.append(("".join("?+-"[v] for v in votes), table_.get(code(votes), rate), final(s, words, abuse_feature(votes[-1]))))
         return pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
     return docs.withColumn("judgement", of(F.col(text_col)))
