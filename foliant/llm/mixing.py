@@ -70,12 +70,11 @@ def weights(docs: DataFrame, tau: float | None = None, target: float = TARGET_EN
     that the source with the largest share appears once."""
     sources = materialise(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
     tau = exponent(sources, target, most_repeats) if tau is None else tau
-    top = sources.agg(F.sum("tokens").alias("all"), F.max("tokens").alias("top"))
-    raised = sources.crossJoin(F.broadcast(top))  # one row
-    raised = raised.withColumn("raised", F.pow(F.col("tokens") / F.col("top"), F.lit(tau)))
-    total = raised.agg(F.sum("raised").alias("sum"))
-    out = raised.crossJoin(F.broadcast(total)).withColumn("weight", F.round(F.col("raised") / F.col("sum"), 12))
-    return out.select("source", "tokens", "weight", F.greatest("tokens", F.round(F.col("raised") * F.col("top")).cast("long")).alias("budget"))
+    top = float(sources.agg(F.max("tokens")).first()[0] or 1)
+    raised = sources.withColumn("raised", F.pow(F.col("tokens") / F.lit(top), F.lit(tau)))
+    total = float(raised.agg(F.sum("raised")).first()[0] or 1)
+    weight = F.round(F.col("raised") / F.lit(total), 12)
+    return raised.select("source", "tokens", weight.alias("weight"), F.greatest("tokens", F.round(F.col("raised") * F.lit(top)).cast("long")).alias("budget"))
 
 
 def _order(seed: int, *cols: str | Column) -> Column:

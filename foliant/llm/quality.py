@@ -183,7 +183,8 @@ def estimate(counts: dict[int, float], anchors: dict[tuple[int, int], float] | N
     """Posterior of *bad* for each pattern, vote shares ``[class, labeller, vote]`` among votes cast, and class shares.
 
     Classes: 0 good, 1 junk, 2 abuse; bad is either of the last two. An abstention says nothing about the class.
-    ``anchors``: counts of patterns of known class, ``(pattern, class)``; they keep their class throughout."""
+    ``anchors``: counts of patterns of known class, ``(pattern, class)``; they keep their class throughout, and weigh as much
+    together as all documents do, so that the classes mean the same at every size."""
     anchors, classes = anchors or {}, 3
     keys = sorted({*counts, *(k for k, _ in anchors)})
     share = np.zeros((classes, len(LABELLERS), 3))
@@ -195,6 +196,7 @@ def estimate(counts: dict[int, float], anchors: dict[tuple[int, int], float] | N
     votes = np.array([votes_of(k) for k in keys])
     n = np.array([counts.get(k, 0.0) for k in keys])
     known = np.array([[anchors.get((k, c), 0.0) for k in keys] for c in range(classes)])
+    n, known = n / max(n.sum(), 1e-9), known / max(known.sum(), 1e-9)
     cast = np.eye(3)[votes]  # pattern, labeller, vote
     cast[:, :, ABSTAIN] = 0
     guess, post = share.copy(), np.zeros((classes, len(keys)))
@@ -203,9 +205,9 @@ def estimate(counts: dict[int, float], anchors: dict[tuple[int, int], float] | N
         new = np.exp(like - like.max(axis=0))
         new /= new.sum(axis=0)
         mass = n * new + known
-        share = np.einsum("cp,plv->clv", mass, cast) + 2 * guess
+        share = np.einsum("cp,plv->clv", mass, cast) + 1e-4 * guess
         share /= share.sum(axis=2, keepdims=True)
-        prior = np.maximum(mass.sum(axis=1), 1e-3) / mass.sum()
+        prior = np.maximum(mass.sum(axis=1), 1e-6) / mass.sum()
         if np.abs(new - post).max() < 1e-6:
             break
         post = new

@@ -125,6 +125,25 @@ def test_estimation_recovers_accuracies():
     assert (said == truth).mean() > 0.95 and np.abs(share[0, :, 1] - accuracy).max() < 0.06
 
 
+def test_estimation_does_not_depend_on_size(spark, classified):
+    votes = Counter(r.votes for r in classified.values())
+    counts = {quality.code(["?+-".index(v) for v in k]): float(n) for k, n in votes.items()}
+    labels = {r.doc_id: r for r in table(spark, DATA, "labels").collect()}
+    anchors = Counter((quality.code(["?+-".index(v) for v in classified[i].votes]), 1 if r.quality == 0 else 2 if r.toxic else 0) for i, r in labels.items())
+    small, big = (quality.estimate({k: n * f for k, n in counts.items()}, dict(anchors))[0] for f in (1, 10_000))
+    assert all(abs(small[k] - big[k]) < 1e-6 for k in small)
+    assert sum(n for k, n in counts.items() if big[k] > 0.5) < 0.4 * sum(counts.values())
+
+
+def test_cached_features_equal_plain_ones():
+    texts = ["Ünïcödé words, words; THE the *** a b x!!", "", "one", "vejuté vejuè loweiö (lowei) " * 3]
+    for t in texts:
+        found = set(quality.features(t).tolist())
+        model = quality.Linear(np.arange(0, quality.HASH_SIZE, 2), np.ones(quality.HASH_SIZE // 2), -3.0)
+        x = -3.0 + sum(f % 2 == 0 for f in found)
+        assert model(*quality.described(t)) == pytest.approx(1 / (1 + np.exp(-x)))
+
+
 def test_patterns_round_trip():
     for p in (0, 1, 3 ** len(quality.LABELLERS) - 1, 1234):
         assert quality.code(quality.votes_of(p)) == p
