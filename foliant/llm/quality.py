@@ -28,6 +28,8 @@ HASH_SIZE, MOST_FEATURES = 1 << 18, 400
 BAD_ABOVE = 0.5
 LABELLERS = ("symbols", "capitals", "stutter", "variety", "function_words", "sentences", "shouting", "abuse")
 GOOD, BAD, ABSTAIN = 1, 2, 0
+#: Name of the column that judged documents get.
+JUDGEMENT = "_judgement"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was with aber als auf das dem den der des die ein eine er es für"
@@ -74,10 +76,14 @@ def heuristic_votes(s: tuple[float, ...]) -> list[int]:
     ]
 
 
+def _hashed(key: str) -> int:
+    return crc32(key.encode("utf-8", "surrogatepass")) % HASH_SIZE
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """Hashes of a word, and of its first four and five letters."""
     bare = word.strip(_STRIP)
-    return tuple(crc32(k.encode("utf-8", "surrogatepass")) % HASH_SIZE for k in {bare, f"4{bare[:4]}", f"5{bare[:5]}"}) if len(bare) > 1 else ()
+    return (_hashed(bare), _hashed(f"4{bare[:4]}"), _hashed(f"5{bare[:5]}")) if len(bare) > 1 else ()
 
 
 def style_features(s: tuple[float, ...]) -> list[int]:
@@ -93,20 +99,32 @@ def features(text: str | None) -> np.ndarray:
     return np.fromiter(out, np.int32, len(out))
 
 
-class _Used(dict):
-    """For each word, those of its features that a model uses; mostly none. Emptied when it has grown large."""
+class _Kept(dict):
+    """What a function gives for each key; emptied when it has grown large."""
 
-    def __init__(self, used: frozenset[int]) -> None:
+    def __init__(self, of) -> None:
         super().__init__()
-        self.used = used
+        self.of = of
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> tuple[int, ...]:
         if len(self) > 200_000:
             self.clear()
-        got = self[word] = tuple(f for f in word_features(word) if f in self.used)
+        got = self[key] = self.of(key)
         return got
 
 
+def used_features(used: frozenset[int]) -> _Kept:
+    """For each word, those of its features that a model uses; mostly none. Words are many, their beginnings few."""
+    only = lambda key: (f,) if (f := _hashed(key)) in used else ()
+    starts = _Kept(only)
+
+    def of(word: str) -> tuple[int, ...]:
+        bare = word.strip(_STRIP)
+        return only(bare) + starts[f"4{bare[:4]}"] + starts[f"5{bare[:5]}"] if len(bare) > 1 else ()
+
+    return _Kept(of)
+
+
 def abuse_feature(vote: int) -> int:
     """Hash of the abuse labeller's vote, one more feature of the scorer."""
     return crc32(f"\1abuse:{vote}".encode()) % HASH_SIZE
@@ -117,7 +135,7 @@ class Linear:
 
     def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float) -> None:
         self.bias, self.weights = bias, dict(zip(at.tolist(), map(float, weight), strict=True))
-        self.cache: _Used | None = None
+        self.cache: _Kept | None = None
 
     def __getstate__(self) -> dict:
         return {"bias": self.bias, "weights": self.weights, "cache": None}
@@ -125,7 +143,7 @@ class Linear:
     def __call__(self, s: tuple[float, ...], words: set[str], *more: int) -> float:
         """Chance of the target class for a described text and further features."""
         if self.cache is None:
-            self.cache = _Used(frozenset(self.weights))
+            self.cache = used_features(frozenset(self.weights))
         found = {*style_features(s), *more}.union(*filter(None, map(self.cache.__getitem__, words)))
         x = self.bias + sum(self.weights[f] for f in found if f in self.weights)
         return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
@@ -261,7 +279,7 @@ _JUDGED = T.StructType([T.StructField("votes", T.StringType()), T.StructField("p
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """All columns and rows of ``docs`` with a struct ``judgement``: the labellers' votes, the estimated posterior of *bad*
+    """All columns and rows of ``docs`` with a struct ``JUDGEMENT``: the labellers' votes, the estimated posterior of *bad*
     from them, and the scorer's chance of *bad*. Null or empty text: all labellers abstain but on what an empty text shows."""
     abuse, scorer, (posterior, _, prior) = train(docs, labels, id_col, text_col, sample)
     known = docs.sparkSession.sparkContext.broadcast((posterior, 1 - float(prior[0])))
@@ -275,18 +293,18 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows.append(("".join("?+-"[v] for v in votes), table_.get(code(votes), rate), final(s, words, abuse_feature(votes[-1]))))
         return pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
-    return docs.withColumn("judgement", of(F.col(text_col)))
+    return docs.withColumn(JUDGEMENT, of(F.col(text_col)))
 
 
 def rejected() -> Column:
     """Whether a judged document goes: the scorer finds it bad."""
-    return F.col("judgement.score") > BAD_ABOVE
+    return F.col(JUDGEMENT)["score"] > BAD_ABOVE
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, votes, posterior and score of *bad*, and whether the document is kept, for every row."""
     out = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
-    return out.select("doc_id", "judgement.*", (~rejected()).alias("keep"))
+    return out.select("doc_id", f"{JUDGEMENT}.*", (~rejected()).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
