@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from .common import SLICE_BYTES, sliced
 
 WINDOW, LEAST_K, MOST, FEWEST = 7, 2, 64, 32
+#: Ranges of the id for each shuffle partition: several small ones spread more evenly.
+RANGES = 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -204,16 +206,29 @@ def _compare(edited: pd.Series, own: pd.Series, following: pd.Series) -> pd.Data
     return pd.DataFrame({"fingerprint": new, "near_edited": likeness(mine, new), "near_next": likeness(mine, following.tolist())})
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the value, as a balanced tree of comparisons."""
+def _longs(values: list[int]) -> Column:
+    """A literal array, however long, as one expression that is folded before the query runs."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def bucket(value: Column, bounds: list[int]) -> Column:
+    """Number of (sorted) bounds at or below the value. Bounds lie in the cells of an even grid; only those in the value's own
+    cell are compared. Both sides count cells in the same double arithmetic, which never reverses order."""
+    if not bounds:
+        return F.lit(0)
+    grid, low = len(bounds), float(bounds[0])
+    width = max((float(bounds[-1]) - low) / grid, 1.0)
+    cells = [min(max(int((float(b) - low) // width), 0), grid - 1) for b in bounds]
+    starts = [0] * (grid + 1)
+    for c in cells:
+        starts[c + 1] += 1
+    for c in range(grid):
+        starts[c + 1] += starts[c]
+    share = F.floor((value.cast("double") - F.lit(low)) / F.lit(width))
+    cell = F.greatest(F.lit(0), F.least(F.lit(grid - 1), share)).cast("int")
+    first = F.get(_longs(starts), cell).cast("int")
+    n = F.get(_longs(starts), cell + 1).cast("int") - first
+    return (first + F.size(F.filter(F.slice(_longs(bounds), first + 1, n), lambda b: b <= value))).cast("int")
 
 
 def followed(docs: DataFrame, id_col: str, carry: list[str], parts: int) -> DataFrame:
@@ -223,20 +238,17 @@ def followed(docs: DataFrame, id_col: str, carry: list[str], parts: int) -> Data
     the ``carry`` columns; null ids come last."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     bounds = sorted(set(map(int, ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)))) if parts > 1 else []
-    part = _bucket(F.col("id"), bounds)
+    part = bucket(F.col("id"), bounds)
     heads = {r["part"]: r["top"] for r in ids.where("id is not null").groupBy(part.alias("part")).agg(F.max("id").alias("top")).collect()}
     order = sorted(heads)
-    extra: dict[int, list[int]] = {}
-    for below, above in zip(order, order[1:], strict=False):
-        extra.setdefault(heads[below], []).append(above)
+    pairs = [(heads[below], above) for below, above in zip(order, order[1:], strict=False)] + [(heads[order[-1]], order[0]) for _ in order[:1]]
     first = order[0] if order else 0
-    if order:
-        extra.setdefault(heads[order[-1]], []).append(first)
     rows = docs.withColumn("id", F.col(id_col).cast("long")).withColumn("part", F.coalesce(F.when(F.col("id").isNotNull(), part), F.lit(first)))
-    ghosts = rows.where(F.col("id").isin(list(extra)) if extra else F.col("id").isNull() & F.lit(not order))
-    if extra:
-        pairs = [x for k, v in extra.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-        ghosts = ghosts.withColumn("part", F.explode(F.element_at(F.create_map(*pairs), F.col("id"))))
+    if pairs:  # a row for each range
+        wanted = docs.sparkSession.createDataFrame(pairs, T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType())]))
+        ghosts = rows.drop("part").join(F.broadcast(wanted), "id").select(*rows.columns)
+    else:
+        ghosts = rows.where(F.col("id").isNull())
     both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
     w = Window.partitionBy("part").orderBy("ghost", F.col("id").desc_nulls_last(), *carry)
     return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where(~F.col("ghost")).drop("ghost", "part", "id")
@@ -252,7 +264,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null text counts as empty; a single document follows itself; an empty table gives an empty result; repeated rows
     give repeated results. Columns besides id and text are ignored."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fingerprint", fingerprint("text"))
     rows = followed(base, "doc_id", ["text", "fingerprint"], parts)
     n = F.length("text")

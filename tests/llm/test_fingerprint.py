@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import fingerprint as fp
 from foliant.llm.common import table
@@ -49,6 +50,13 @@ def test_local_edits_stay_near():
     assert fp.likeness(["3:ab:a"], ["9:ab:a"])[0] == 0
 
 
+@pytest.mark.parametrize("bounds", [[], [5], [1, 2, 3, 1000], [-(2**62), 0, 2**53 + 1, 2**53 + 3, 2**62], list(range(0, 900, 7))])
+def test_buckets_equal_counts(spark, bounds):
+    values = sorted({v + d for v in [*bounds, 0, 10**6, -5] for d in (-1, 0, 1)})
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", fp.bucket(F.col("v"), bounds).alias("n"))
+    assert {r.v: r.n for r in df.collect()} == {v: sum(b <= v for b in bounds) for v in values}
+
+
 def check_edits(rows, got):
     rows = sorted(rows, key=lambda r: (-r[0], r[1]))
     want = {}
