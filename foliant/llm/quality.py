@@ -153,20 +153,23 @@ def fit(rows: list[np.ndarray], target: np.ndarray, least_support: int = 6, leas
     """Ridge-penalised logistic fit to soft targets, on the features whose share differs most surely between the classes."""
     if not len(rows) or target.sum() < 1 or target.sum() > len(rows) - 1:
         return Linear(np.zeros(0, np.int64), np.zeros(0), -9.0 if not len(rows) or target.mean() < 0.5 else 9.0)
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ones = np.bincount(flat, target[doc], HASH_SIZE)
-    all_ = np.bincount(flat, minlength=HASH_SIZE)
+    ones, all_ = np.zeros(HASH_SIZE), np.zeros(HASH_SIZE)
+    for i in range(0, len(rows), 500):  # a slice at a time: the sample's features together are much larger than the sums
+        part = rows[i : i + 500]
+        flat = np.concatenate(part)
+        ones += np.bincount(flat, np.repeat(target[i : i + 500], [len(r) for r in part]), HASH_SIZE)
+        all_ += np.bincount(flat, minlength=HASH_SIZE)
     base = target.mean()
     sd = np.sqrt(np.maximum(all_ * base * (1 - base), 1e-9))
     z = np.where(all_ >= least_support, (ones - all_ * base) / sd, 0)
     at = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
     at = at[np.abs(z[at]) >= least_z]
-    place = np.full(HASH_SIZE, -1, np.int64)
+    place = np.full(HASH_SIZE, -1, np.int32)
     place[at] = np.arange(len(at))
     x = np.zeros((len(rows), len(at) + 1), np.float32)
-    kept = place[flat] >= 0
-    x[doc[kept], place[flat[kept]]] = 1
+    for i, r in enumerate(rows):
+        mine = place[r]
+        x[i, mine[mine >= 0]] = 1
     x[:, -1] = 1
     w = np.zeros(len(at) + 1)
     w[-1] = np.log(base / (1 - base))
@@ -174,7 +177,10 @@ def fit(rows: list[np.ndarray], target: np.ndarray, least_support: int = 6, leas
     ridge[-1] = 1e-3
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p) + 1e-6)[:, None].astype(np.float32)).T.astype(np.float64) @ x + np.diag(ridge)
+        hess = np.diag(ridge)
+        for i in range(0, len(x), 1000):
+            part = x[i : i + 1000].astype(np.float64)
+            hess += (part * (p[i : i + 1000] * (1 - p[i : i + 1000]) + 1e-6)[:, None]).T @ part
         step = np.linalg.solve(hess, x.T @ (target - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-4:
