@@ -4,16 +4,21 @@ Documents are alike if their sets of five-word shingles have a Jaccard similarit
 documents' fingerprints differ in up to 15 of 64 bits, too many for any exact index, so candidates come from two
 kinds of SimHash: whole-document fingerprints within two bits, through BK-tree shards, and twelve sampled ones,
 each of the three shingles that come first in an order of its own, which alike documents share with a chance of about
-one half each. Every candidate pair is then measured on all shingles of both texts. Candidates that meet in one group are
-measured against the group's first document, and those that differ from it against the first one among themselves.
+one half each. All documents that meet in one group are compared on all shingles of both texts: first each with the group's
+first document, then, in groups where some differ from it, every pair that isn't settled. Left out are only pairs that
+cannot be alike, by their sizes or by their distances to the first document (Jaccard distance is a metric), and pairs
+that are in one component already. Large groups are cut into blocks, and each pair of blocks is a task's work of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +27,8 @@ from .components import components
 from .simhash import fingerprint_links, shingle_hashes, signed, simhash, words_of
 
 SIZE, LEAST, SAMPLES, SAMPLED, RADIUS = 5, 0.8, 12, 3, 2
+#: Bytes of shingle hashes in a block of a group's members; a longer text stands alone.
+BLOCK_BYTES = 1 << 20
 _ORDERS = np.random.default_rng(9).integers(0, 1 << 64, (SAMPLES, 2), np.uint64) | np.uint64(1)
 
 
@@ -77,6 +84,78 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def alike_pairs(nodes: np.ndarray, blocks: np.ndarray, apart: np.ndarray, hashes: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs that connect all alike members of one block, or of two blocks across them. ``apart``: distances to the first document
+    of the group, which connects those that are alike to it."""
+    size = np.array([len(h) // 3 for h in hashes])
+    order = np.lexsort((nodes, size))
+    nodes, blocks, apart, size = nodes[order], blocks[order], apart[order], size[order]
+    flat = np.frombuffer(b"".join(hashes[i] for i in order), np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 256, 65536])
+    kinds, flat = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(nodes)), size)
+    group = np.where(1 - apart >= LEAST, len(nodes), np.arange(len(nodes)))
+    two, mark, out = len(np.unique(blocks)) > 1, np.zeros(len(kinds), bool), []
+    for x in range(len(nodes)):
+        stop = int(np.searchsorted(size, size[x] / LEAST + 1e-6, "right"))
+        rest = slice(x + 1, stop)
+        todo = (group[rest] != group[x]) & (np.abs(apart[rest] - apart[x]) <= 1 - LEAST + 1e-9)
+        if two:
+            todo &= blocks[rest] != blocks[x]
+        if not todo.any():
+            continue
+        own = flat[ends[x] - size[x] : ends[x]]
+        mark[own] = True
+        span = slice(ends[x], ends[stop - 1])
+        common = np.bincount(owner[span][mark[flat[span]]] - x - 1, minlength=stop - x - 1)
+        mark[own] = False
+        for y in (np.flatnonzero(todo & (common / np.maximum(size[x] + size[rest] - common, 1) >= LEAST)) + x + 1).tolist():
+            if group[x] != group[y]:
+                group[group == group[y]] = group[x]
+                out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+_PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("u", "v")])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``way, value, i, j, node, block, apart, shorts`` sorted by the first four, which name a cell."""
+
+    def settled() -> list[tuple[int, int]]:
+        node, block, apart, hashes = zip(*held, strict=True)
+        return alike_pairs(np.array(node, np.int64), np.array(block, np.int64), np.array(apart, np.float64), hashes)
+
+    key, held, found = None, [], []
+    for batch in batches:
+        for *cell, node, block, apart, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if cell != key:
+                found += settled() if len(held) > 1 else []
+                key, held = cell, []
+            held.append((node, block, apart, hashes))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["u", "v"])
+        found = []
+    if len(held) > 1:
+        found = settled()
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["u", "v"])
+
+
+def _compared(stars: DataFrame, shorts: DataFrame) -> DataFrame:
+    """Edges ``u``, ``v`` among the members of groups of which some differ from the first document. ``stars``: ``way, value, node,
+    centre, likeness``. Groups of the same members are one."""
+    open_ = stars.groupBy("way", "value").agg(F.min("centre").alias("centre"), F.count("node").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"), F.min("likeness").alias("least"))
+    open_ = open_.where((F.col("n") > 1) & (F.col("least") < LEAST)).groupBy("centre", "n", "members").agg(F.min(F.struct("way", "value")).alias("k")).select("k.*")
+    members = stars.join(open_, ["way", "value"], "left_semi").join(shorts.select("node", F.octet_length("shorts").alias("size")), "node")
+    so_far = Window.partitionBy("way", "value").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = members.select("way", "value", "node", (1 - F.col("likeness")).alias("apart"), F.floor(F.sum(F.col("size") + 64).over(so_far) / BLOCK_BYTES).alias("block"))
+    dealt = materialise(dealt, "dealt")
+    last = dealt.groupBy("way", "value").agg(F.max("block").alias("last"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("cell")
+    cells = dealt.join(last, ["way", "value"]).select("way", "value", "node", "apart", "block", cell).join(shorts, "node")
+    cells = cells.select("way", "value", "cell.i", "cell.j", "node", "block", "apart", "shorts")
+    return cells.repartition("way", "value", "i", "j").sortWithinPartitions("way", "value", "i", "j").mapInArrow(_cells, _PAIRS)
+
+
 def _starred(groups: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of each member with the least member of its group: ``keys``, ``node``, ``centre``."""
     least = groups.groupBy(*keys).agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -92,25 +171,19 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketch = materialise(base.select("doc_id", _sketch("text").alias("s")).select("doc_id", "s.*"), "sketch")
     nodes = materialise(sketch.groupBy("words").agg(F.min(F.struct("doc_id", "fp", "samples")).alias("m")).select("words", F.col("m.doc_id").alias("node"), "m.fp", "m.samples"), "nodes")
     copies = sketch.select("doc_id", "words").join(nodes.select("words", "node"), "words").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    links = fingerprint_links(prints, RADIUS, "fp")
-    a, b = prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), prints.select(F.col("fp").alias("v"), F.col("first").alias("b"))
-    near = links.join(a, "u").join(b, "v").select(F.lit(-2).alias("way"), F.col("u").alias("value"), F.greatest("a", "b").alias("node"), F.least("a", "b").alias("centre"))
-    ways = nodes.select("node", F.posexplode(F.concat("samples", F.array("fp"))).alias("way", "value"))
-    stars = materialise(_starred(ways, ["way", "value"]).unionByName(near), "stars")
+    linked = components(fingerprint_links(nodes.select("fp").distinct(), RADIUS, "fp")).withColumnRenamed("node", "fp")
+    whole = nodes.join(linked, "fp", "left").select("node", F.lit(SAMPLES).alias("way"), F.coalesce("root", "fp").alias("value"))
+    ways = nodes.select("node", F.posexplode("samples").alias("way", "value")).unionByName(whole)
+    stars = materialise(_starred(ways, ["way", "value"]), "stars")
     pairs = stars.select("node", "centre").distinct()
     needed = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
     texts = base.select(F.col("doc_id").alias("node"), _shorts("text").alias("shorts")).join(needed, "node", "left_semi")
     shorts = materialise(texts.dropDuplicates(["node"]), "shorts")
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        other = shorts.select(F.col("node").alias("centre"), F.col("shorts").alias("other"))
-        return pairs.join(shorts, "node").join(other, "centre").select("node", "centre", (_likeness("shorts", "other") >= F.lit(LEAST)).alias("alike"))
-
-    first = materialise(measured(pairs), "measured")
-    rest = stars.where("way >= 0").join(first.where("not alike"), ["node", "centre"]).select("way", "value", "node")
-    second = measured(_starred(rest, ["way", "value"]).select("node", "centre").distinct())
-    edges = first.unionByName(second).where("alike").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    other = shorts.select(F.col("node").alias("centre"), F.col("shorts").alias("other"))
+    measured = materialise(pairs.join(shorts, "node").join(other, "centre").select("node", "centre", _likeness("shorts", "other").alias("likeness")), "measured")
+    inside = _compared(stars.join(measured, ["node", "centre"]), shorts)
+    edges = measured.where(F.col("likeness") >= LEAST).select(F.col("node").alias("u"), F.col("centre").alias("v")).unionByName(inside)
     return components(edges.unionByName(copies))
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,6 +134,46 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert set(roots.values()) <= kept and len(kept - set(roots.values())) <= 1
 
 
+@pytest.mark.parametrize("block", [1 << 20, 3000])
+def test_near_copies_in_many_groups_of_one_template(spark, monkeypatch, block):
+    """120 documents share most words, at a similarity just under 0.8; each has a near copy."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block, raising=False)
+    rng = random.Random(11)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = word(180), {}
+    for i in range(120):
+        own = word(26)
+        texts[i] = " ".join(template + own)
+        texts[500 + i] = " ".join(template + own + word(3))
+    roots = groups_by_jaccard(texts)
+    assert len(set(roots.values())) == 120
+    kept = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(roots.values())
+
+
+def test_alike_pairs_connect_what_brute_force_does():
+    rng = np.random.default_rng(12)
+    base = [rng.choice(1 << 24, 60, replace=False) for _ in range(6)]
+    sets = [np.unique(np.append(rng.permutation(base[i % 6])[: rng.integers(48, 61)], rng.integers(0, 1 << 24, 2))) for i in range(60)]
+    pack = lambda v: v.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    hashes, nodes = [pack(v) for v in sets], np.arange(60)
+    apart = np.array([1 - neardup.jaccard(hashes[0], h) for h in hashes])
+    want, got = Sets(), Sets()
+    for a, b in itertools.combinations(range(60), 2):
+        if neardup.jaccard(hashes[a], hashes[b]) >= 0.8:
+            want.join(a, b)
+    for blocks in (np.zeros(30, int), np.ones(30, int)):
+        pick = nodes[:30] if not blocks.any() else nodes[30:]
+        for a, b in neardup.alike_pairs(pick, blocks, apart[pick], [hashes[i] for i in pick]):
+            got.join(a, b)
+    for a, b in neardup.alike_pairs(nodes, nodes // 30, apart, hashes):
+        got.join(a, b)
+    for i in range(1, 60):
+        if 1 - apart[i] >= 0.8:
+            got.join(0, i)
+    assert {i: want.find(i) for i in range(60)} == {i: got.find(i) for i in range(60)}
+
+
 def test_keep_one_on_odd_rows(odd_docs, no_docs):
     out = neardup.keep_one(odd_docs)
     ids = [r.doc_id for r in out.collect()]
