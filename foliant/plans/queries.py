@@ -685,13 +685,16 @@ def fenced_json(spark, d):
 
 
 def _page_chunks(spark, d):
-    """Boxes with texts of documents: pages of ten, with near copies among them."""
-    b = S.embedding_boxes(spark, d).select((F.expr("seq div 2") % 25).cast("int").alias("page"), F.col("seq").cast("int").alias("seq"), "box")
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 300).alias("t"))
-    c = b.withColumn("k", (F.expr("seq div 2") % 60).cast("long")).join(docs, "k", "left")
+    """All lines of all documents, ten to a page and each twice, with boxes of embeddings."""
+    e = S.embedding_boxes(spark, d).select(F.col("seq").alias("vec"), "box")
+    lines = S.table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    whose = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    c = lines.select(F.concat_ws(":", whose, F.expr("i div 10").cast("string")).alias("page"), "i", "line", F.xxhash64("doc_id").alias("h"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    c = c.withColumn("seq", F.col("i") * 2 + F.col("copy")).crossJoin(e.agg(F.greatest(F.max("vec") + 1, F.lit(1)).alias("n_vec")))
+    c = c.withColumn("vec", F.pmod(F.pmod("h", F.lit(1 << 40)) + F.col("seq"), "n_vec")).join(e, "vec", "left")
     kind = F.element_at(F.array(*map(F.lit, ["text", "heading", "list", "figure"])), (F.expr("seq div 2") % 4 + 1).cast("int"))
     status = F.element_at(F.array(*map(F.lit, ["verified", "candidate", "unresolved"])), (F.col("seq") % 3 + 1).cast("int"))
-    return c.select("page", "seq", kind.alias("type"), F.coalesce("t", F.lit("")).alias("text"), status.alias("status"), (F.col("seq") % 5 == 0).alias("exact"), *[F.col(f"box.{s}").alias(s) for s in G.SIDES])
+    return c.select("page", "seq", kind.alias("type"), F.col("line").alias("text"), status.alias("status"), (F.col("seq") % 5 == 0).alias("exact"), *[F.col(f"box.{s}").alias(s) for s in G.SIDES])
 
 
 @query("suppress_duplicates")
@@ -701,7 +704,8 @@ def suppress_duplicates(spark, d):
 
 @query("dedup_regions")
 def dedup_regions(spark, d):
-    r = _page_chunks(spark, d).withColumn("score", (F.col("seq") * 37 % 101) / 100.0).drop("text", "status", "exact")
+    b = S.embedding_boxes(spark, d)
+    r = b.select(F.expr("seq div 20").alias("page"), "seq", *[F.col(f"box.{s}").alias(s) for s in G.SIDES], (F.col("seq") * 37 % 101 / 100.0).alias("score"))
     return reconcile.dedup_regions(r, ["page"]).select("page", "seq", "score")
 
 
