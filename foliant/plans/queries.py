@@ -665,7 +665,7 @@ def figure_markup(spark, d):
 
 @query("semantic_visuals", "SELECT doc_id, doc_id % 2 = 0 AS semantic FROM documents WHERE text IS NOT NULL")
 def semantic_visuals(spark, d):
-    m = F.when(F.col("doc_id") % 2 == 0, X.figure_markup(F.lit("figure"), F.substring("text", 1, 40), F.lit("seen"))).otherwise(F.col("text"))
+    m = F.when(F.col("doc_id") % 2 == 0, X.figure_markup(F.lit("figure"), F.col("text"), F.lit("seen"))).otherwise(F.col("text"))
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.is_semantic_visual(m).alias("semantic"))
 
 
@@ -774,8 +774,9 @@ def region_outcomes(spark, d):
 
 def _worded(spark, d):
     """Documents as pages whose words are native ones, each with a box in a row."""
-    words = F.filter(F.split(F.substring("text", 1, 400), r"\s+"), lambda w: w != "")
-    boxes = F.transform(words, lambda w, i: F.struct(w.alias("text"), G.box(i / 1000.0, F.lit(0.1), (i + 1) / 1000.0, F.lit(0.2)).alias("box")))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    n = F.greatest(F.size(words), F.lit(1000)).cast("double")
+    boxes = F.transform(words, lambda w, i: F.struct(w.alias("text"), G.box(i / n, F.lit(0.1), (i + 1) / n, F.lit(0.2)).alias("box")))
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), "text", words.alias("words"), boxes.alias("boxes"))
 
 
@@ -803,10 +804,11 @@ def place_lines(spark, d):
 
 @query("nest_cells")
 def nest_cells(spark, d):
-    w = F.filter(F.split(F.substring("text", 1, 200), r"\s+"), lambda x: x != "")
-    t = S.table(spark, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), w.alias("w"))
-    tables = t.select("doc_id", "page", F.lit("t").alias("id"), F.lit("table").alias("type"), F.lit(0).alias("order"), F.concat(F.lit("<td>"), F.array_join("w", "</td><td>"), F.lit("</td>")).alias("markdown"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
-    cells = t.select("doc_id", "page", F.posexplode("w").alias("i", "c")).select("doc_id", "page", F.concat(F.lit("c"), F.col("i").cast("string")).alias("id"), F.lit("table_cell").alias("type"), (F.col("i") + 1).alias("order"), F.col("c").alias("markdown"), F.lit("t").alias("parent_id"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
+    """Each line of a document is a table, and its words are the cells."""
+    lines = S.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    t = lines.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("t"), F.col("l").cast("string")).alias("t"), F.filter(F.split("line", r"\s+"), lambda x: x != "").alias("w"))
+    tables = t.select("doc_id", "page", F.col("t").alias("id"), F.lit("table").alias("type"), F.lit(0).alias("order"), F.concat(F.lit("<td>"), F.array_join("w", "</td><td>"), F.lit("</td>")).alias("markdown"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
+    cells = t.select("doc_id", "page", "t", F.posexplode("w").alias("i", "c")).select("doc_id", "page", F.concat("t", F.lit("c"), F.col("i").cast("string")).alias("id"), F.lit("table_cell").alias("type"), (F.col("i") + 1).alias("order"), F.col("c").alias("markdown"), F.col("t").alias("parent_id"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
     return assemble.nest_cells(tables.unionByName(cells))
 
 

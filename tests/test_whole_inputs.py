@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.plans import catalogue
+from foliant.plans import catalogue, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +31,13 @@ def test_page_queries_read_all_documents_and_texts(spark, small):
 def test_regions_grow_with_the_input(spark, small):
     pages = catalogue.queries()["dedup_regions"](spark, small).groupBy("page").count().collect()
     assert len(pages) == 350 and max(r["count"] for r in pages) <= 20
+
+
+def test_words_and_cells_are_those_of_whole_texts(spark, small):
+    run = lambda name: catalogue.queries()[name](spark, small)
+    grounded = run("ground_words").where("doc_id = 70")
+    assert grounded.count() == 25 * 60
+    assert run("nest_cells").where("doc_id = 70").count() == 25 * 60
+    words = queries._worded(spark, small)
+    assert words.where("size(boxes) <> 1500").count() == 1  # the text with one more word
+    assert words.where("exists(boxes, b -> b.box.right > 1)").count() == 0
