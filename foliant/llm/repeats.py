@@ -12,7 +12,8 @@ with one anchor form a segment, and about two in ``window - gram + 2`` positions
 4. A resolver compares the segments of an anchor, window by window.
 5. The repeated windows of each document are joined to its text.
 
-Documents are shipped compressed. An id stands for one text: repeated rows of an id count as one document.
+Documents are shipped compressed. Repeated rows of an id and a text count as one document. Where an id (or none) has several
+texts, all documents are keyed by numbers in the order of id and text hash.
 """
 
 from __future__ import annotations
@@ -372,15 +373,28 @@ def _resolved(kind: Kind):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc, doc_id, text``: ``doc`` orders documents by id, null last, and stands for one text."""
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = base.select("*", F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"))
+    kinds = hashed.groupBy("none", "doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    if kinds.where("a <> b").isEmpty():
+        return base
+    keys = hashed.select("none", "doc", "h").distinct().repartitionByRange("none", "doc", "h").sortWithinPartitions("none", "doc", "h")
+    keys = materialise(keys.withColumn("key", F.monotonically_increasing_id()), "keys")
+    return materialise(hashed.join(keys, ["none", "doc", "h"]).select(F.col("key").alias("doc"), "doc_id", "text"), "keyed")
+
+
 def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
-    """``doc, squeezed, runs``: every document (``doc_id``, ``text``) with its repeated windows as an array of first and last
-    window start. A null id is ordered after all others."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text"))
+    """``doc, doc_id, squeezed, runs``: every document (``doc_id``, ``text``) with its repeated windows as an array of first and
+    last window start. A null id is ordered after all others."""
+    keyed = _keyed(docs)
+    base = keyed.select("doc", "text")
     cut = base.mapInArrow(_cut(kind), _ROWS)
     met = cut.repartition("g").sortWithinPartitions("g", "c", "doc", "at").mapInArrow(_meet(kind), _MET)
     met = materialise(met, "met")
     wants = met.where(F.col("kind") != RUN).groupBy("doc").agg(F.collect_list(F.struct("kind", "g", "at")).alias("wants"))
-    texts = base.select("doc", squeeze("text").alias("squeezed"))
+    texts = keyed.select("doc", "doc_id", squeeze("text").alias("squeezed"))
     fetched = texts.join(wants, "doc").select("doc", "squeezed", "wants").mapInArrow(_fetch(kind), _TEXTS)
     spread = F.when(F.col("at") < 0, F.xxhash64("doc")).otherwise(F.col("g"))
     found = fetched.repartition(spread, F.col("sub")).sortWithinPartitions("g", "sub", "doc", "at").mapInArrow(_resolved(kind), _RUNS)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import Kind, NO_ID, covered, repeated_windows, unsqueeze
+from .repeats import Kind, covered, repeated_windows, unsqueeze
 
 LENGTH, GRAM = 35, 8
 
@@ -74,7 +74,7 @@ def kind_of(length: int = LENGTH, gram: int = GRAM, **limits: int) -> Kind:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
     """``doc_id, n_words, spans, kept`` of every row: spans of words (end exclusive) covered by windows of ``length`` words
     that start anywhere else as well, and the kept words joined by single blanks. Null or short texts keep all words;
-    repeated rows of one id count as one document; other columns are ignored."""
+    rows of equal id and text count as one document; other columns are ignored."""
 
     @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())]))
     def cut(squeezed: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -90,7 +90,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(rows, columns=["n_words", "spans", "kept"])
 
     found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind_of(length, **limits))
-    return found.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
+    return found.select("doc_id", cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

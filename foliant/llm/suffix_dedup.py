@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import Kind, NO_ID, covered, repeated_windows, unsqueeze
+from .repeats import Kind, covered, repeated_windows, unsqueeze
 
 LENGTH, GRAM = 100, 30
 _CODES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
@@ -94,7 +94,7 @@ def kind_of(length: int = LENGTH, gram: int = GRAM, **limits: int) -> Kind:
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every row: the spans of bytes (end exclusive) that a match of ``length`` bytes
     repeats from a smaller id or from earlier in the same text, and the other bytes. Null or short texts keep all;
-    repeated rows of one id count as one document; other columns are ignored."""
+    rows of equal id and text count as one document; other columns are ignored."""
 
     @F.pandas_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]))
     def cut(squeezed: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
 
     found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind_of(length, **limits))
-    return found.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
+    return found.select("doc_id", cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

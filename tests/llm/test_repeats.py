@@ -107,6 +107,24 @@ def test_odd_rows(odd_docs, no_docs):
     assert substring_dedup.repeated_passages(odd_docs).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("limits", [{}, TIGHT])
+def test_null_ids_and_one_id_with_several_texts(spark, limits):
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared, short = word(50), word(60)
+    texts = [(1, shared + word(20)), (None, shared + word(300)), (None, short), (None, word(40) + short), (7, word(30) + short + word(90)), (7, word(80)), (7, shared)]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = brute_words([(t, t) for _, t in rows])
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(substring_dedup.repeated_passages(df, **limits)).collect())
+    assert got == Counter((i, *words[t]) for i, t in rows)
+    number = {i: (r.doc_id, r.text) for i, r in enumerate(df.selectExpr("doc_id", "text", "xxhash64(text) h").orderBy("doc_id", "h").collect())}
+    order = sorted(number, key=lambda i: (number[i][0] is None, i))
+    again = brute_bytes([(at, number[i][1]) for at, i in enumerate(order)])
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.later_copies(df, **limits)).collect())
+    assert got == Counter((number[i][0], *again[at]) for at, i in enumerate(order))
+
+
 @pytest.mark.parametrize("rows", [None, hard_rows()])
 def test_sql_equals_brute_force(spark, rows):
     con = duckdb.connect()
