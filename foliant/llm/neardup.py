@@ -1,9 +1,9 @@
-"""Near-duplicate documents by SimHash: one document of each group stays.
+"""Near-duplicate documents by MinHash bands and SimHash: one document of each group stays.
 
 Documents are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity whole
-documents' fingerprints differ in up to 15 of 64 bits, too many for any exact index, so candidates come from two
-kinds of SimHash: whole-document fingerprints within two bits, through BK-tree shards, and twelve sampled ones,
-each of the three shingles that come first in an order of its own, which alike documents share with a chance of about
+documents' fingerprints differ in up to 15 of 64 bits, too many for any exact index, so most candidates come from twelve MinHash
+bands, each of the three shingles that come first in an order of its own and matched by equality; whole-document SimHashes
+within two bits, through BK-tree shards, add theirs. Alike documents share a band with a chance of about
 one half each. All documents that meet in one group are compared on all shingles of both texts: first each with the group's
 first document, then, in groups where some differ from it, every pair that isn't settled. Left out are only pairs that
 cannot be alike, by their sizes or by their distances to the first document (Jaccard distance is a metric), and pairs
