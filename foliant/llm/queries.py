@@ -83,28 +83,28 @@ FROM ({_HOST_PATH.format("pages")}) p LEFT JOIN best b ON p.url = b.url LEFT JOI
 
 
 #: The digest of every window of 35 words, those that stand more than once, and the words that they cover.
-OP4_SQL = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-starts AS (SELECT doc_id, k, md5_number(array_to_string(ws[k:k + 34], ' ')) AS m FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35)),
-windows AS (SELECT doc_id, k, count(*) OVER (PARTITION BY m) AS n FROM starts),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(k, k + 35)) AS i FROM windows WHERE n > 1)),
-words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.i = x.i) GROUP BY doc_id),
-removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+OP4_SQL = """WITH w AS (SELECT row_number() OVER () AS row_, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (SELECT row_, k, md5_number(array_to_string(ws[k:k + 34], ' ')) AS m FROM (SELECT row_, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35)),
+windows AS (SELECT row_, k, count(*) OVER (PARTITION BY m) AS n FROM starts),
+gone AS (SELECT DISTINCT row_, i FROM (SELECT row_, unnest(range(k, k + 35)) AS i FROM windows WHERE n > 1)),
+words AS (SELECT row_, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT row_, string_agg(word, ' ' ORDER BY i) AS t FROM words x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.row_ = x.row_ AND g.i = x.i) GROUP BY row_),
+removed AS (SELECT row_, count(*) AS n FROM gone GROUP BY row_)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
-FROM w LEFT JOIN removed r ON w.doc_id = r.doc_id LEFT JOIN kept k ON w.doc_id = k.doc_id"""
+FROM w LEFT JOIN removed r ON w.row_ = r.row_ LEFT JOIN kept k ON w.row_ = k.row_"""
 
 #: The digest of every window of 100 bytes, those that stood before, and the spans that they cover.
-OP9_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT doc_id, k, md5_number(substr(h, 2 * k + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS k FROM d WHERE length(h) >= 200)),
-again AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY m ORDER BY doc_id, k) AS rn FROM starts) WHERE rn > 1),
-marked AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
-islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM marked),
-spans AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM islands GROUP BY doc_id, island),
-before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans),
-cut AS (SELECT x.doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS tail, string_agg(substr(h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (a - prev) AS BIGINT)), '' ORDER BY a) AS head FROM before x JOIN d ON x.doc_id = d.doc_id GROUP BY x.doc_id)
+OP9_SQL = """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS row_, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT row_, k, md5_number(substr(h, 2 * k + 1, 200)) AS m FROM (SELECT row_, h, unnest(range(0, length(h) // 2 - 99)) AS k FROM d WHERE length(h) >= 200)),
+again AS (SELECT row_, k FROM (SELECT row_, k, row_number() OVER (PARTITION BY m ORDER BY row_, k) AS rn FROM starts) WHERE rn > 1),
+marked AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY row_ ORDER BY k) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY row_ ORDER BY k) AS island FROM marked),
+spans AS (SELECT row_, min(k) AS a, max(k) + 100 AS b FROM islands GROUP BY row_, island),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY row_ ORDER BY a), 0) AS prev FROM spans),
+cut AS (SELECT x.row_, count(*) AS n, sum(b - a) AS gone, max(b) AS tail, string_agg(substr(h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (a - prev) AS BIGINT)), '' ORDER BY a) AS head FROM before x JOIN d ON x.row_ = d.row_ GROUP BY x.row_)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
   sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256
-FROM d LEFT JOIN cut c ON d.doc_id = c.doc_id"""
+FROM d LEFT JOIN cut c ON d.row_ = c.row_"""
 
 
 def oracle_sql() -> dict[str, str]:

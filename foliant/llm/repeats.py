@@ -4,16 +4,17 @@ Every window of ``window`` symbols holds ``window - gram + 1`` grams; the one wi
 windows have equal anchors at equal offsets, so all occurrences of a window meet under its anchor. Consecutive windows
 with one anchor form a segment, and about two in ``window - gram + 2`` positions begin one. The steps:
 
-1. Each task cuts its documents into segments and collapses equal ones, so a passage that a third of all documents
-   share crosses the network once from each task. What it finds repeated within itself is settled there.
-2. Segments meet by anchor. Equal ones are settled; anchors whose segments differ pass on one of each kind.
-3. Those fetch their text, by document. Anchors with very many kinds of segment send single windows instead, keyed by
-   a hash of the window, so that no group grows with the input.
-4. A resolver compares the segments of an anchor, window by window.
+1. Each task cuts its documents into segments and collapses those that are equal, byte for byte, so a passage that a
+   third of all documents share crosses the network once from each task.
+2. Segments meet by anchor. Those that are alone are done with; all others fetch their text, by document.
+3. A resolver compares the texts under an anchor by the operator's own method.
+4. Anchors with very many segments (a common phrase in ever new contexts) are not met at all if a count by task shows
+   them, or give up meeting; their windows are dealt singly instead, keyed by a hash of the window, and resolved alike.
 5. The repeated windows of each document are joined to its text.
 
-Documents are shipped compressed. Repeated rows of an id and a text count as one document. Where an id (or none) has several
-texts, all documents are keyed by numbers in the order of id and text hash.
+Hashes only decide what is compared with what: every repeat is found on the symbols themselves. Documents are shipped
+compressed. Every row is a document of its own. Where ids repeat or several are null, documents are keyed by numbers in the order
+of id (null last) and text hash, and rows of one id and one text are kept as a count.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,25 +33,47 @@ from pyspark.sql import types as T
 
 from .common import materialise
 
-#: Symbols hashed at a time (positions must fit into 20 bits), rows collapsed at a time, kinds of segment of an
-#: anchor beyond which it is split into windows, and rows of one anchor held at a time.
-SLICE, LOCAL_ROWS, HOT, HELD = 1 << 19, 3_000_000, 200, 400_000
+#: Symbols hashed at a time (positions must fit into 20 bits), segments and bytes of text collapsed at a time, segments of an
+#: anchor beyond which it is split into windows, rows of one anchor held at a time, bytes resolved at a time, and bytes of a document
+#: that one group of stretches spans.
+SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 1_500_000, 32 << 20, 200, 400_000, 1 << 19, 14
+#: An anchor is heavy if it has more than this share of all segments; there are at most twice the inverse of such anchors.
+HEAVY = 2.0**-13
 NO_ID = (1 << 63) - 1
 _MULT = 0xD1342543DE82EF95
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
 
 
+@dataclass(frozen=True)
+class Sequence:
+    """A text as ``codes``, 64-bit hashes of its symbols, and ``data``, the bytes in which symbol ``i`` begins at ``begins[i]`` (None: at
+    ``i``)."""
+
+    codes: np.ndarray
+    data: bytes
+    begins: np.ndarray | None = None
+
+    def content(self, first: int, end: int) -> bytes:
+        """The symbols from ``first`` up to ``end``."""
+        return self.data[first:end] if self.begins is None else self.data[self.begins[first] : self.begins[end]]
+
+
+#: A stretch of window starts ``lo`` to ``hi`` of a document, the offset of the anchor in the first of them, and its symbols.
+Row = tuple[int, int, int, int, bytes]
+
+
 @dataclass(frozen=True)
 class Kind:
-    """What repeats are: ``symbols(text)`` gives the sequence, ``codes(symbols)`` 64-bit hashes of its elements."""
+    """What repeats are: ``read(text)`` gives the sequence; ``resolve(groups, window)`` the runs ``(doc, first, last)`` of repeated window
+    starts in groups of rows."""
 
     window: int
     gram: int
     earlier_only: bool  # keep the first occurrence of a window, or none
-    symbols: Callable[[str], np.ndarray]
-    codes: Callable[[np.ndarray], np.ndarray]
-    resolve: Callable[[list, int, bool], list]
+    stretched: bool  # anchors of the same documents form one group, and their segments long stretches
+    read: Callable[[str], Sequence]
+    resolve: Callable[[list[list[Row]], int], list[tuple[int, int, int]]]
     hot: int = HOT
     held: int = HELD
     local_rows: int = LOCAL_ROWS
@@ -85,10 +109,6 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] - sums[start]) * _powers(_INVERSE, len(sums))[start]
 
 
-def pack_at(start, offset, run, many=0):
-    return start << 15 | many << 14 | offset << 7 | run
-
-
 def segments(codes: np.ndarray, bounds: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, first and last window start and anchor position of all segments of some sequences,
     which stand one after the other in ``codes`` between ``bounds``."""
@@ -132,140 +152,131 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_ROW = ("g", "c", "doc", "at")
-_ROWS = T.StructType([T.StructField(n, T.LongType()) for n in _ROW])
-
+SEGMENT, RUN, COUNT = 0, 1, 2
+#: ``place``: offset of the anchor and number of further windows of a segment, last window of a run, or segments of an anchor in a task.
+_CUT = T.StructType([T.StructField("kind", T.ByteType())] + [T.StructField(n, T.LongType()) for n in ("g", "doc", "lo", "place")])
 
-def _batch(g, c, doc, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in (g, c, doc, at)], names=list(_ROW))
 
+def _cut_rows(kind_: int, g, doc, lo, place) -> Iterator[pa.RecordBatch]:
+    n = len(lo)
+    cols = [np.broadcast_to(x, n) for x in (g, doc, lo, place)]
+    for i in range(0, n, 50_000):
+        part = [pa.array(np.ascontiguousarray(x[i : i + 50_000], np.int64)) for x in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind_, np.int8)), *part], names=_CUT.names)
 
-def _run_rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Settled windows ``lo`` to ``hi``: they travel with ``at`` below zero, dealt by document."""
-    return _batch(_signed(mixed(doc.astype(np.int64).view(np.uint64))), hi, doc, -1 - lo)
 
-
-def _collapse(rows: list[tuple], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """One row of each kind of segment, the first; others are settled."""
-    g, c, doc, lo, da, run = (np.concatenate(x) for x in zip(*rows, strict=True))
+def _collapse(rows: list[tuple], texts: dict[int, Sequence], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """One row of each segment of different symbols, the first; others are runs."""
+    g, c, doc, lo, da, run, text = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((lo, doc, c, g))
-    g, c, doc, lo, da, run = (x[order] for x in (g, c, doc, lo, da, run))
-    same = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-    again = np.append(False, same & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1]))
-    first = np.append(True, ~same)
-    other = ~first & ~again
-    ids = np.cumsum(first) - 1
-    many = np.bincount(ids[other], minlength=ids[-1] + 1)[ids[first]] > 0 if other.any() else np.zeros(int(first.sum()), bool)
-    if other.any():
-        yield _run_rows(doc[other], lo[other], lo[other] + run[other])
-    at = pack_at(lo[first], da[first], run[first], many.astype(np.int64))
-    for i in range(0, len(at), 50_000):
-        s = slice(i, i + 50_000)
-        yield _batch(_signed(g[first][s]), _signed(c[first][s]), doc[first][s], at[s])
+    g, c, doc, lo, da, run, text = (x[order] for x in (g, c, doc, lo, da, run, text))
+    first = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))
+    leader = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
+    other = np.flatnonzero(~first)
+    if len(other):
+        end = lo + run + kind.window
+        whose = lambda i: texts[text[i]].content(lo[i], end[i])
+        same = np.fromiter((whose(i) == whose(j) for i, j in zip(other, leader[other], strict=True)), bool, len(other))
+        first[other[~same]] = True
+        gone = other[same] if kind.earlier_only else np.union1d(other[same], leader[other[same]])
+        yield from _cut_rows(RUN, 0, doc[gone], lo[gone], lo[gone] + run[gone])
+    g, doc, lo, place = _signed(g[first]), doc[first], lo[first], da[first] << 7 | run[first]
+    yield from _cut_rows(SEGMENT, g, doc, lo, place)
+    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    counts = np.diff(np.append(starts, len(g)))
+    heavy = counts > max(len(g) * HEAVY / 2, min(kind.hot, 16))
+    yield from _cut_rows(COUNT, g[starts[heavy]], 0, counts[heavy] * 0, counts[heavy])
 
 
 def _cut(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, count = [], 0
-        pieces, size = [], 0
+        rows, count, texts, size = [], 0, {}, 0
+        pieces, waiting, number = [], 0, 0
 
-        def hashed():
-            codes = np.concatenate([kind.codes(p) for _, _, p in pieces])
-            bounds = np.cumsum([0] + [len(p) for _, _, p in pieces])
+        def hashed() -> int:
+            codes = np.concatenate([p for *_, p in pieces])
+            bounds = np.cumsum([0] + [len(p) for *_, p in pieces])
             g, c, lo, hi, a = segments(codes, bounds, kind)
             at = np.searchsorted(bounds, lo, side="right") - 1
-            doc = np.array([d for d, _, _ in pieces], np.int64)[at]
-            shift = np.array([o for _, o, _ in pieces], np.int64)[at] - bounds[at]
-            rows.append((g, c, doc, lo + shift, a - lo, hi - lo))
+            doc, text, begin = (np.array(x, np.int64)[at] for x in list(zip(*pieces, strict=True))[:3])
+            rows.append((g, c, doc, lo + begin - bounds[at], a - lo, hi - lo, text))
             return len(g)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seq = kind.symbols(text or "")
-                for off in range(0, max(len(seq) - kind.window + 1, 0), SLICE - kind.window + 1):
-                    part = seq[off : off + SLICE]
-                    if pieces and size + len(part) > SLICE:
+                seq = kind.read(text or "")
+                if len(seq.codes) < kind.window:
+                    continue
+                number += 1
+                texts[number] = seq
+                size += len(seq.data)
+                for off in range(0, len(seq.codes) - kind.window + 1, SLICE - kind.window + 1):
+                    part = seq.codes[off : off + SLICE]
+                    if pieces and waiting + len(part) > SLICE:
                         count += hashed()
-                        pieces, size = [], 0
-                    pieces.append((NO_ID if doc is None else doc, off, part))
-                    size += len(part)
-                if count >= kind.local_rows:
-                    yield from _collapse(rows, kind)
-                    rows, count = [], 0
+                        pieces, waiting = [], 0
+                        if count >= kind.local_rows or size >= LOCAL_BYTES:
+                            yield from _collapse(rows, texts, kind)
+                            rows, count, texts, size = [], 0, {number: seq}, len(seq.data)
+                    pieces.append((doc, number, off, part))
+                    waiting += len(part)
+                texts[number] = Sequence(seq.codes[:0], seq.data, seq.begins)
         if pieces:
             count += hashed()
         if count:
-            yield from _collapse(rows, kind)
+            yield from _collapse(rows, texts, kind)
 
     return run
 
 
-_MET = T.StructType([T.StructField("kind", T.ByteType())] + [T.StructField(n, T.LongType()) for n in ("doc", "g", "at", "hi")])
-
-
-def _met(kind_, doc, g, at, hi) -> pa.RecordBatch:
-    n = len(doc)
-    cols = [pa.array(np.full(n, kind_, np.int8)), *[pa.array(np.ascontiguousarray(np.broadcast_to(x, n), np.int64)) for x in (doc, g, at, hi)]]
-    return pa.RecordBatch.from_arrays(cols, names=_MET.names)
-
-
-RUN, DIFFERS, CROWDED = 0, 1, 2
+_MET = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "g", "lo", "place")] + [T.StructField("crowded", T.BooleanType())])
 
 
 def _meet(kind: Kind):
-    def settle(g, c, doc, at, hot: bool) -> Iterator[pa.RecordBatch]:
-        new_g = np.append(True, g[1:] != g[:-1])
-        new_c = new_g | np.append(True, c[1:] != c[:-1])
-        again = ~new_c & np.append(False, (doc[1:] == doc[:-1]) & (at[1:] >> 15 == at[:-1] >> 15))
-        keep = ~again
-        cid = np.cumsum(new_c) - 1
-        size = np.bincount(cid[keep])
-        if kind.earlier_only:
-            out = keep & ~new_c
-        else:
-            out = keep & ((size[cid] > 1) | (at >> 14 & 1 > 0))
-        if out.any():
-            lo = at[out] >> 15
-            yield _met(RUN, doc[out], 0, lo, lo + (at[out] & 127))
-        gid = np.cumsum(new_g) - 1
-        kinds = np.bincount(gid[new_c])[gid]
-        open_ = new_c & ((kinds > 1) | hot)
-        crowded = open_ & ((kinds > kind.hot) | hot)
-        for name, pick in ((CROWDED, crowded), (DIFFERS, open_ & ~crowded)):
-            if pick.any():
-                yield _met(name, doc[pick], g[pick], at[pick], 0)
+    def settle(g, doc, lo, place, hot: bool) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        sizes = np.diff(np.append(starts, len(g)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        pick = (sizes > 1)[group] | hot
+        if not pick.any():
+            return
+        crowded = (sizes > kind.hot)[group] | hot
+        if kind.stretched:  # rows are sorted: the first of a group occurs first
+            docs = np.add.reduceat(mixed(doc.view(np.uint64) + np.uint64(1)), starts)
+            joint = _signed(mixed(docs ^ mixed(lo[starts].view(np.uint64) >> np.uint64(REACH))))[group]
+            g = np.where(crowded, g, joint)
+        cols = [pa.array(np.ascontiguousarray(x[pick])) for x in (doc, g, lo, place)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(crowded[pick])], names=_MET.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
-        hot = None
+        hot = None  # an anchor of which some rows have gone on
         for batch in batches:
-            cols = tuple(batch.column(i).to_numpy() for i in range(4))
-            settled = cols[3] < 0
-            if settled.any():
-                yield _met(RUN, cols[2][settled], 0, -1 - cols[3][settled], cols[1][settled])
-                cols = tuple(x[~settled] for x in cols)
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = tuple(batch.column(i).to_numpy() for i in range(4))
             held = cols if held is None else tuple(map(np.concatenate, zip(held, cols, strict=True)))
-            g, c = held[0], held[1]
-            if g[-1] != g[0]:
-                cut = int(np.flatnonzero(g != g[-1])[-1]) + 1
-                ready, held = tuple(x[:cut] for x in held), tuple(x[cut:] for x in held)
-                if hot is not None:
-                    head = int(np.searchsorted(ready[0] != hot, True)) if ready[0][0] == hot else 0
-                    if head:
-                        yield from settle(*[x[:head] for x in ready], True)
-                        ready = tuple(x[head:] for x in ready)
-                    hot = None
-                if len(ready[0]):
-                    yield from settle(*ready, False)
-            elif len(g) > kind.held and c[-1] != c[0]:
-                cut = int(np.flatnonzero(c != c[-1])[-1]) + 1
-                hot = int(g[0])
-                ready, held = tuple(x[:cut] for x in held), tuple(x[cut:] for x in held)
-                yield from settle(*ready, True)
-        if held is not None and len(held[0]):
-            yield from settle(*held, hot is not None and int(held[0][0]) == hot)
+            g = held[0]
+            if hot is not None:
+                head = int(np.argmax(g != hot)) if (g != hot).any() else len(g)
+                if head:
+                    yield from settle(*[x[:head] for x in held], True)
+                    held = tuple(x[head:] for x in held)
+                    g = held[0]
+                if not len(g):
+                    held = None
+                    continue
+                hot = None
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            if cut:
+                yield from settle(*[x[:cut] for x in held], False)
+                held = tuple(x[cut:] for x in held)
+            if len(held[0]) > kind.held:
+                hot = int(held[0][0])
+                yield from settle(*held, True)
+                held = None
+        if held is not None:
+            yield from settle(*held, False)
 
     return run
 
@@ -280,47 +291,65 @@ def unsqueeze(data: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
 
 
-_TEXTS = T.StructType([T.StructField(n, T.LongType()) for n in ("g", "sub", "doc", "at")] + [T.StructField("content", T.BinaryType())])
+_TEXTS = T.StructType([T.StructField(n, T.LongType()) for n in ("g", "sub", "doc", "lo", "hi", "offset")] + [T.StructField("content", T.BinaryType())])
+
+
+def _stretches(wants: list, kind: Kind) -> Iterator[tuple[int, int, int, int]]:
+    """``g, lo, hi, offset`` of the segments that a document wants compared; of one group, those that follow each other are one."""
+    last = None
+    for w in sorted(wants, key=lambda w: (w["g"], w["lo"])):
+        here = [w["g"], w["lo"], w["lo"] + (w["place"] & 127), w["place"] >> 7]
+        if last and kind.stretched and last[0] == here[0] and here[1] <= last[2] + 1:
+            last[2] = here[2]
+            continue
+        if last:
+            yield tuple(last)
+        last = here
+    if last:
+        yield tuple(last)
 
 
 def _fetch(kind: Kind):
     def row_batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.binary())], names=_TEXTS.names)
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:6]], pa.array(cols[6], pa.binary())], names=_TEXTS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, int], tuple[int, int, int]] = {}  # of single windows: the first of each, and whether there are more
+        first: dict[tuple[int, bytes], tuple[int, int, int, bool]] = {}  # of single windows: where each first stands, and whether that is known
+        rows, size = [], 0
+
+        def singles() -> list[tuple]:
+            digest = xxhash.xxh3_64_intdigest
+            return [(g, digest(content) >> 1 | 1, doc, lo, lo, da, content) for (g, content), (doc, lo, da, _) in first.items()]
+
         for batch in batches:
-            rows = []
             for doc, data, wants in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seq = kind.symbols(unsqueeze(data))
-                for want in wants:
-                    at = want["at"]
-                    lo, da, run_ = at >> 15, at >> 7 & 127, at & 127
-                    part = seq[lo : lo + run_ + kind.window]
-                    if want["kind"] == DIFFERS:
-                        rows.append((want["g"], 0, doc, at, part.tobytes()))
+                seq = kind.read(unsqueeze(data))
+                for g, lo, hi, da in _stretches([w for w in wants if not w["crowded"]], kind):
+                    content = seq.content(lo, hi + kind.window)
+                    rows.append((g, 0, doc, lo, hi, da, content))
+                    size += len(content)
+                for w in wants:
+                    if not w["crowded"]:
                         continue
-                    sums = prefix(kind.codes(part))
-                    i = np.arange(run_ + 1)
-                    hashes = _signed(mixed(span_hash(sums, i, i + kind.window) ^ (da - i).astype(np.uint64))).tolist()
-                    for j, h in enumerate(hashes):
-                        key, here = (want["g"], h), (doc, lo + j)
-                        had = first.get(key)
-                        if had is None:
-                            first[key] = (*here, 0)
-                        elif had[:2] != here:
-                            low, high = sorted((had[:2], here))
-                            first[key] = (*low, 1)
-                            rows.append((0, 0, high[0], -1 - high[1], None))
+                    for i in range((w["place"] & 127) + 1):
+                        lo = w["lo"] + i
+                        content, here = seq.content(lo, lo + kind.window), (doc, lo)
+                        had = first.setdefault((w["g"], content), (doc, lo, (w["place"] >> 7) - i, False))
+                        if had[:2] == here:
+                            continue
+                        low, high = sorted((had[:2], here))
+                        first[w["g"], content] = (*low, (w["place"] >> 7) - i, True)
+                        rows += [(0, 0, d, x, x, -1, None) for d, x in ((high,) if kind.earlier_only else {high, low} if not had[3] else {here})]
                 if len(first) > kind.local_rows // 6:
-                    rows += [(g, h | 1, d, pack_at(s, 0, 0, m), None) for (g, h), (d, s, m) in first.items()]
-                    first = {}
-            for i in range(0, len(rows), 20_000):
-                yield row_batch(rows[i : i + 20_000])
-        items = list(first.items())
-        for i in range(0, len(items), 20_000):
-            yield row_batch([(g, h | 1, d, pack_at(s, 0, 0, m), None) for (g, h), (d, s, m) in items[i : i + 20_000]])
+                    rows, size, first = rows + singles(), size + len(first) * kind.window, {}
+                if len(rows) > 20_000 or size > 1 << 22:
+                    for i in range(0, len(rows), 20_000):
+                        yield row_batch(rows[i : i + 20_000])
+                    rows, size = [], 0
+        rows += singles()
+        for i in range(0, len(rows), 20_000):
+            yield row_batch(rows[i : i + 20_000])
 
     return run
 
@@ -329,78 +358,86 @@ _RUNS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "lo", "hi"
 
 
 def _resolved(kind: Kind):
-    def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=_RUNS.names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, ready, size, found = None, [], [], 0, []
-        lead = None  # of single windows: the first row, and whether it is reported
+        key, group, held = (0, 0), [], 0  # the group that is read, and its bytes
+        worth = lambda: len(group) > 1 or group and kind.stretched and not key[1]  # noqa: E731  a stretch may repeat itself
+        ready, size, found = [], 0, []
         for batch in batches:
-            for g, sub, doc, at, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if at < 0:
-                    found.append((doc, -1 - at, -1 - at))
+            for g, sub, doc, lo, hi, da, content in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if content is None:
+                    found.append((doc, lo, hi))
                     continue
-                if content is None:  # a single window: equal keys are equal windows, in order of occurrence
-                    here = (g, sub)
-                    if lead is None or lead[0] != here:
-                        lead = [here, doc, at >> 15, bool(at >> 14 & 1)]
-                        if lead[3] and not kind.earlier_only:
-                            found.append((doc, lead[2], lead[2]))
-                    elif (doc, at >> 15) != (lead[1], lead[2]):
-                        found.append((doc, at >> 15, at >> 15))
-                        if not kind.earlier_only and not lead[3]:
-                            lead[3] = True
-                            found.append((lead[1], lead[2], lead[2]))
-                    continue
-                if g != key:
-                    if len(group) > 1:
+                if (g, sub) != key:
+                    if worth():
                         ready.append(group)
-                        size += sum(len(x[2]) for x in group)
-                    key, group = g, []
-                    if size > 1 << 19:
-                        found += kind.resolve(ready, kind.window, kind.earlier_only)
+                        size += held
+                    if size > RESOLVED:
+                        found += kind.resolve(ready, kind.window)
                         ready, size = [], 0
-                group.append((doc, at, content))
+                    key, group, held = (g, sub), [], 0
+                elif sub and len(group) >= kind.hot:  # the same window from very many tasks: a bounded part at a time
+                    found += kind.resolve([group], kind.window)
+                    different = {}
+                    for row in group:
+                        different.setdefault(row[4], row)
+                    group = list(different.values())
+                    held = sum(len(row[4]) for row in group)
+                group.append((doc, lo, hi, da, content))
+                held += len(content)
             if found:
-                yield out(found)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=_RUNS.names)
                 found = []
-        if len(group) > 1:
+        if worth():
             ready.append(group)
-        found += kind.resolve(ready, kind.window, kind.earlier_only) if ready else []
+        found += kind.resolve(ready, kind.window) if ready else []
         if found:
-            yield out(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=_RUNS.names)
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc, doc_id, text``: ``doc`` orders documents by id, null last, and stands for one text."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = base.select("*", F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h"))
-    kinds = hashed.groupBy("none", "doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    if kinds.where("a <> b").isEmpty():
-        return base
-    keys = hashed.select("none", "doc", "h").distinct().repartitionByRange("none", "doc", "h").sortWithinPartitions("none", "doc", "h")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc, doc_id, text, copies``: ``doc`` orders documents by id, null last, and stands for one text; ``copies``: rows of this id and
+    text. And whether any text has several copies."""
+    given = F.col("doc_id").cast("long")
+    base = docs.select(F.coalesce(given, F.lit(NO_ID)).alias("doc"), given.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return base.withColumn("copies", F.lit(1)), False
+    hashed = base.select("*", F.col("doc_id").isNull().alias("none"), F.md5(F.col("text").cast("binary")).alias("h"))
+    keys = hashed.groupBy("none", "doc", "h").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    keys = keys.repartitionByRange("none", "doc", "h").sortWithinPartitions("none", "doc", "h")
     keys = materialise(keys.withColumn("key", F.monotonically_increasing_id()), "keys")
-    return materialise(hashed.join(keys, ["none", "doc", "h"]).select(F.col("key").alias("doc"), "doc_id", "text"), "keyed")
+    one = hashed.dropDuplicates(["none", "doc", "h"])
+    return materialise(one.join(keys, ["none", "doc", "h"]).select(F.col("key").alias("doc"), "doc_id", "text", "copies"), "keyed"), True
+
+
+def _heavy(cut: DataFrame) -> DataFrame:
+    """Anchors with more than a share of ``HEAVY`` of all segments, as ``g``. Each task counts those with half that share of its own, so
+    none is missed; by the sum of their counts there can be at most ``2 / HEAVY``."""
+    total = cut.where(F.col("kind") == SEGMENT).count()
+    counts = cut.where(F.col("kind") == COUNT).groupBy("g").agg(F.sum("place").alias("n"))
+    return counts.where(F.col("n") > total * HEAVY / 2).select("g")
 
 
 def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
-    """``doc, doc_id, squeezed, runs``: every document (``doc_id``, ``text``) with its repeated windows as an array of first and
-    last window start. A null id is ordered after all others."""
-    keyed = _keyed(docs)
-    base = keyed.select("doc", "text")
-    cut = base.mapInArrow(_cut(kind), _ROWS)
-    met = cut.repartition("g").sortWithinPartitions("g", "c", "doc", "at").mapInArrow(_meet(kind), _MET)
-    met = materialise(met, "met")
-    wants = met.where(F.col("kind") != RUN).groupBy("doc").agg(F.collect_list(F.struct("kind", "g", "at")).alias("wants"))
-    texts = keyed.select("doc", "doc_id", squeeze("text").alias("squeezed"))
+    """``doc_id, copy, copies, squeezed, runs``: every row (``doc_id``, ``text``) with its repeated windows as an array of first and last window
+    start. A null id is ordered after all others. Of several rows of one id and one text, ``copy`` counts from 1."""
+    keyed, several = _keyed(docs)
+    cut = materialise(keyed.select("doc", "text").mapInArrow(_cut(kind), _CUT), "cut")
+    segments_, heavy = cut.where(F.col("kind") == SEGMENT).drop("kind"), materialise(_heavy(cut), "heavy")
+    plain = segments_.join(F.broadcast(heavy), "g", "left_anti").repartition("g").sortWithinPartitions("g", "doc", "lo")
+    met = plain.select("g", "doc", "lo", "place").mapInArrow(_meet(kind), _MET)
+    crowds = segments_.join(F.broadcast(heavy), "g", "left_semi").withColumn("crowded", F.lit(True))
+    wants = met.unionByName(crowds.select(*_MET.names)).groupBy("doc").agg(F.collect_list(F.struct("g", "lo", "place", "crowded")).alias("wants"))
+    texts = keyed.select("doc", "doc_id", "copies", squeeze("text").alias("squeezed"))
     fetched = texts.join(wants, "doc").select("doc", "squeezed", "wants").mapInArrow(_fetch(kind), _TEXTS)
-    spread = F.when(F.col("at") < 0, F.xxhash64("doc")).otherwise(F.col("g"))
-    found = fetched.repartition(spread, F.col("sub")).sortWithinPartitions("g", "sub", "doc", "at").mapInArrow(_resolved(kind), _RUNS)
-    runs = met.where(F.col("kind") == RUN).select("doc", F.col("at").alias("lo"), "hi").unionByName(found)
+    spread = F.when(F.col("content").isNull(), F.xxhash64("doc")).otherwise(F.col("g"))
+    found = fetched.repartition(spread, F.col("sub")).sortWithinPartitions("g", "sub", "doc", "lo").mapInArrow(_resolved(kind), _RUNS)
+    runs = cut.where(F.col("kind") == RUN).select("doc", "lo", F.col("place").alias("hi")).unionByName(found)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return texts.join(runs, "doc", "left")
+    out = texts.join(runs, "doc", "left")
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies"))) if several else F.lit(1)
+    return out.withColumn("copy", copy).select("doc_id", "copy", "copies", "squeezed", "runs")
 
 
 def covered(runs, window: int) -> list[tuple[int, int]]:
@@ -412,3 +449,11 @@ def covered(runs, window: int) -> list[tuple[int, int]]:
         else:
             out.append([lo, hi + window])
     return [tuple(x) for x in out]
+
+
+def removed(n: int, copy: int, copies: int, runs, kind: Kind) -> list[tuple[int, int]]:
+    """Spans that go from a text of ``n`` symbols. Rows of one id and text are copies of each other, in whole."""
+    again = copy > 1 if kind.earlier_only else copies > 1
+    if again and n >= kind.window:
+        return [(0, n)]
+    return covered(runs if runs is not None else (), kind.window)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import Kind, covered, repeated_windows, unsqueeze
+from .repeats import Kind, Row, Sequence, removed, repeated_windows, unsqueeze
 
 LENGTH, GRAM = 35, 8
 
@@ -28,19 +28,27 @@ def extensions(left: np.ndarray, right: np.ndarray, i: int) -> tuple[np.ndarray,
     return reach[0], reach[1]
 
 
-def resolve(groups: list, window: int, earlier_only: bool = False) -> list[tuple[int, int, int]]:
-    """Runs ``(doc, first, last)`` of window starts that also stand in another segment of the group."""
+def resolve(groups: list[list[Row]], window: int) -> list[tuple[int, int, int]]:
+    """Runs ``(doc, first, last)`` of window starts that also stand in another segment of the group. Segments of the same words repeat each
+    other in whole; one of each stands for them in the extension."""
     out = []
     for group in groups:
-        n = len(group)
-        at = np.array([x[1] for x in group], np.int64)
-        lo, da, run = at >> 15, at >> 7 & 127, at & 127
-        left, right = np.zeros((n, window), np.uint64), np.zeros((n, window), np.uint64)
-        for i, (_, _, content) in enumerate(group):
-            words = np.frombuffer(content, np.uint64)
-            back, ahead = words[: da[i]][::-1], words[da[i] : da[i] + window]
-            left[i, : len(back)], right[i, : len(ahead)] = back, ahead
+        alike: dict[bytes, list[Row]] = {}
+        for row in group:
+            alike.setdefault(row[4], []).append(row)
+        out += [row[:3] for rows in alike.values() if len(rows) > 1 for row in rows]
+        n = len(alike)
+        if n == 1:
+            continue
+        number: dict[bytes, int] = {}
+        words = [np.array([number.setdefault(w, len(number) + 1) for w in content.split()]) for content in alike]
+        lo, hi, da = (np.array([rows[0][i] for rows in alike.values()], np.int64) for i in (1, 2, 3))
+        run = hi - lo
+        left, right = np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
         for i in range(n):
+            back, ahead = words[i][: da[i]][::-1], words[i][da[i] : da[i] + window]
+            left[i, : len(back)], right[i, : len(ahead)] = back, ahead
+        for i, rows in enumerate(alike.values()):
             el, er = extensions(left, right, i)
             el[i] = er[i] = 0
             # windows by the offset of the seed in them: what both segments hold, and both extensions reach
@@ -48,7 +56,7 @@ def resolve(groups: list, window: int, earlier_only: bool = False) -> list[tuple
             low = np.maximum(np.maximum(window - er, da - run), da[i] - run[i])
             hit = np.flatnonzero((low <= high) & (el + er >= window))
             for a, b in {(int(low[j]), int(high[j])) for j in hit}:
-                out.append((group[i][0], int(lo[i] + da[i] - b), int(lo[i] + da[i] - a)))
+                out += [(doc, int(first + da[i] - b), int(first + da[i] - a)) for doc, first, *_ in rows]
     return out
 
 
@@ -57,31 +65,31 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _word_hashes(text: str) -> np.ndarray:
+def read(text: str) -> Sequence:
     words = words_of(text)
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) or 1 for w in words), np.uint64, len(words))
-
-
-def _same(x: np.ndarray) -> np.ndarray:
-    return x
+    codes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    begins = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)), out=begins[1:])
+    return Sequence(codes, b" ".join([*words, b""]), begins)
 
 
 def kind_of(length: int = LENGTH, gram: int = GRAM, **limits: int) -> Kind:
-    return Kind(length, gram, False, _word_hashes, _same, resolve, **limits)
+    return Kind(length, gram, False, False, read, resolve, **limits)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
     """``doc_id, n_words, spans, kept`` of every row: spans of words (end exclusive) covered by windows of ``length`` words
-    that start anywhere else as well, and the kept words joined by single blanks. Null or short texts keep all words;
-    rows of equal id and text count as one document; other columns are ignored."""
+    that start anywhere else as well, and the kept words joined by single blanks. Null or short texts keep all words. Every
+    row is a document of its own, whatever its id: repeated rows lose all of a text that is long enough. Other columns are ignored."""
+    kind = kind_of(length, **limits)
 
     @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())]))
-    def cut(squeezed: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    def cut(squeezed: pd.Series, runs: pd.Series, copy: pd.Series, copies: pd.Series) -> pd.DataFrame:
         rows = []
-        for data, r in zip(squeezed, runs, strict=True):
+        for data, r, i, n in zip(squeezed, runs, copy, copies, strict=True):
             words = words_of(unsqueeze(data))
-            spans = covered(r if r is not None else (), length)
+            spans = removed(len(words), i, n, r, kind)
             at, kept = 0, []
             for a, b in spans:
                 kept += words[at:a]
@@ -89,8 +97,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows.append((len(words), [{"start": a, "end": b} for a, b in spans], b" ".join(kept + words[at:]).decode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=["n_words", "spans", "kept"])
 
-    found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind_of(length, **limits))
-    return found.select("doc_id", cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
+    found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind)
+    return found.select("doc_id", cut("squeezed", "runs", "copy", "copies").alias("x")).select("doc_id", "x.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes that a long match repeats from earlier on are removed; the first copy stays.
 
-Within an anchor's segments (see :mod:`.repeats`) the longest-previous-factor array decides: segments are put one after
-the other in order of occurrence, their suffixes are sorted by prefix doubling up to the match length, and in suffix
-order the previous and the next smaller position of each suffix give its best earlier matches.
+Passages that share anchors (see :mod:`.repeats`) are put one after the other in order of occurrence. Their suffixes are
+sorted by prefix doubling up to the match length; in suffix order, the previous and the next smaller position of a suffix
+give its best earlier matches, and the longer of both is its longest previous factor. Where that reaches the match
+length, the bytes go.
 """
 
 from __future__ import annotations
@@ -15,58 +16,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import Kind, covered, repeated_windows, unsqueeze
+from .repeats import Kind, Row, Sequence, removed, repeated_windows, unsqueeze
 
 LENGTH, GRAM = 100, 30
 _CODES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
 
-def suffix_ranks(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Dense ranks of the substrings of ``length`` at all positions, in suffix order, by prefix doubling. ``symbols``: non-negative;
-    beyond the end stand symbols less than any."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
-    while have < length:
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on, in the order of the keys."""
+    return np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Pairs of a prefix length and the ranks of all positions by so many bytes, by prefix doubling: 1, 2, 4 and so on, the last
+    for ``length`` itself. Up to eight bytes a rank is the number that they spell. Beyond the end stand zeros."""
+    rank, have, out = data.astype(np.uint64), 1, []
+    while True:
+        out.append((have, rank))
+        if have >= length:
+            return out
         step = min(have, length - have)
+        spelled = have < 8 and step == have
+        if have <= 8 and not spelled:
+            rank = _dense(rank)
         later = np.zeros_like(rank)
         later[:-step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
+        rank = rank << np.uint64(8 * have) | later if spelled else _dense(rank * (rank.max() + np.uint64(1)) + later)
         have += step
-    return rank
 
 
-def has_previous(rank: np.ndarray) -> np.ndarray:
-    """For suffixes in order of occurrence, with ranks by their first symbols: whether the longest previous factor reaches
-    that many symbols, that is, whether the previous or next smaller position in suffix order has the same rank."""
-    order = np.argsort(rank, kind="stable")  # suffix order; equal ranks stand by position
-    out = np.zeros(len(rank), bool)
-    out[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+def common_prefix(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of positions, at most that of the last ranks."""
+    most = ranks[-1][0]
+    n = np.where(ranks[-1][1][a] == ranks[-1][1][b], most, 0)
+    open_ = np.flatnonzero(n < most)
+    a, b, got = a[open_], b[open_], np.zeros(len(open_), np.int64)
+    end = len(ranks[0][1]) - 1
+    for length, rank in ranks[-2::-1]:
+        x, y = np.minimum(a + got, end), np.minimum(b + got, end)
+        got += np.where((rank[x] == rank[y]) & (got + length <= most), length, 0)
+    n[open_] = np.minimum(got, most)
+    return n
+
+
+def previous_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each element, the least of ``common`` (between neighbours; the first is 0) on the way back to the last smaller value; 0 where
+    there is none. Elements that are not smaller are passed over together with all that they passed over themselves."""
+    back, low = np.arange(len(value)) - 1, common.copy()
+    todo = np.flatnonzero((low > 0) & (value[back] > value))
+    while len(todo):
+        over = back[todo]
+        low[todo] = np.minimum(low[todo], low[over])
+        back[todo] = back[over]
+        todo = todo[low[todo] > 0]
+        todo = todo[value[back[todo]] > value[todo]]
+    return low
+
+
+def longest_previous(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """The longest-previous-factor array, cut at ``length``: how long a prefix of the suffix at each of the positions ``at`` (in order of
+    occurrence) also begins at an earlier one of the same group."""
+    ranks = suffix_ranks(data, length)
+    own = ranks[-1][1][at]
+    order = np.argsort(group.astype(np.uint64) * (own.max() + np.uint64(1)) + own, kind="stable")  # suffix order
+    here, where = at[order], group[order]
+    common = np.zeros(len(at), np.int64)
+    common[1:] = np.where(where[1:] == where[:-1], common_prefix(ranks, here[:-1], here[1:]), 0)
+    before = previous_smaller(order, common)
+    after = previous_smaller(order[::-1], np.append(0, common[:0:-1]))[::-1]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def resolve(groups: list, window: int, earlier_only: bool = True) -> list[tuple[int, int, int]]:
-    """Runs ``(doc, first, last)`` of window starts that repeat an earlier window of the same group."""
-    rows = []  # (group, doc, start, offset of the anchor, run, content)
-    for k, group in enumerate(groups):
-        for doc, at, content in group:
-            rows.append((k, doc, at >> 15, at >> 7 & 127, at & 127, content))
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).astype(np.int64)
-    rank = suffix_ranks(data, window)
+def resolve(groups: list[list[Row]], window: int) -> list[tuple[int, int, int]]:
+    """Runs ``(doc, first, last)`` of window starts whose longest previous factor within their group reaches the window."""
+    rows = sorted(((k, *row) for k, group in enumerate(groups) for row in group), key=lambda r: r[:3])
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
     starts = np.cumsum([0] + [len(r[5]) for r in rows[:-1]])
-    runs = np.array([r[4] + 1 for r in rows])
-    at = np.repeat(starts, runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    lo = np.array([r[2] for r in rows], np.int64)
+    runs = np.array([r[3] for r in rows], np.int64) - lo + 1
     owner = np.repeat(np.arange(len(rows)), runs)
-    group = np.array([r[0] for r in rows])[owner]
-    shift = at - starts[owner]
-    doc, start = np.array([r[1] for r in rows], np.int64)[owner], np.array([r[2] for r in rows], np.int64)[owner] + shift
-    key = np.unique(group * (int(rank.max()) + 1) + rank[at], return_inverse=True)[1]
-    order = np.lexsort((start, doc))
-    repeated = np.zeros(len(at), bool)
-    repeated[order] = has_previous(key[order])
-    # one document's same start under one anchor is one window
-    hit = np.flatnonzero(repeated)
-    return runs_of(doc[hit], start[hit])
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    hit = np.flatnonzero(longest_previous(data, starts[owner] + shift, np.array([r[0] for r in rows])[owner], window) >= window)
+    return runs_of(np.array([r[1] for r in rows], np.int64)[owner[hit]], lo[owner[hit]] + shift[hit])
 
 
 def runs_of(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
@@ -79,29 +112,28 @@ def runs_of(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(doc[a].tolist(), start[a].tolist(), start[b].tolist(), strict=True))
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-
-
-def _byte_codes(x: np.ndarray) -> np.ndarray:
-    return _CODES[x]
+def read(text: str) -> Sequence:
+    raw = text.encode("utf-8", "surrogatepass")
+    return Sequence(_CODES[np.frombuffer(raw, np.uint8)], raw)
 
 
 def kind_of(length: int = LENGTH, gram: int = GRAM, **limits: int) -> Kind:
-    return Kind(length, gram, True, _bytes, _byte_codes, resolve, **limits)
+    return Kind(length, gram, True, True, read, resolve, **limits)
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every row: the spans of bytes (end exclusive) that a match of ``length`` bytes
-    repeats from a smaller id or from earlier in the same text, and the other bytes. Null or short texts keep all;
-    rows of equal id and text count as one document; other columns are ignored."""
+    repeats from a smaller id or from earlier in the same text, and the other bytes. Null or short texts keep all. Of rows
+    with one id, or without an id (which come last), those with the lesser text hash come first; of rows alike in both, any
+    one comes first. Other columns are ignored."""
+    kind = kind_of(length, **limits)
 
     @F.pandas_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]))
-    def cut(squeezed: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    def cut(squeezed: pd.Series, runs: pd.Series, copy: pd.Series, copies: pd.Series) -> pd.DataFrame:
         rows = []
-        for data, r in zip(squeezed, runs, strict=True):
+        for data, r, i, n in zip(squeezed, runs, copy, copies, strict=True):
             raw = unsqueeze(data).encode("utf-8", "surrogatepass")
-            spans = covered(r if r is not None else (), length)
+            spans = removed(len(raw), i, n, r, kind)
             at, kept = 0, []
             for a, b in spans:
                 kept.append(raw[at:a])
@@ -109,8 +141,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows.append((len(raw), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, raw[at:]])))
         return pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
 
-    found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind_of(length, **limits))
-    return found.select("doc_id", cut("squeezed", "runs").alias("x")).select("doc_id", "x.*")
+    found = repeated_windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind)
+    return found.select("doc_id", cut("squeezed", "runs", "copy", "copies").alias("x")).select("doc_id", "x.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
