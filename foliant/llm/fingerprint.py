@@ -72,11 +72,18 @@ def _signature(ends: np.ndarray, sums: np.ndarray, start: int, before: int, end:
     return ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes()
 
 
-def _assemble(ends, levels, sums, start, before, end, last, n) -> str:
-    counts = np.bincount(levels, minlength=34)[::-1].cumsum()[::-1]
+def _level(counts: np.ndarray, n: int) -> int:
+    """Base-two logarithm of the block size for a text of ``n`` bytes, from the number of chunk ends of each level: what suits the length,
+    or the largest below that has enough chunks."""
+    at_least = counts[::-1].cumsum()[::-1]
     k = min(_first_k(n), 30)
-    while k > LEAST_K and counts[k] < FEWEST - 1:
+    while k > LEAST_K and at_least[k] < FEWEST - 1:
         k -= 1
+    return k
+
+
+def _assemble(ends, levels, sums, start, before, end, last, n) -> str:
+    k = _level(np.bincount(levels, minlength=34), n)
     out = []
     for level in (k, k + 1):
         pick = levels >= level
@@ -84,37 +91,41 @@ def _assemble(ends, levels, sums, start, before, end, last, n) -> str:
     return f"{k}:{out[0].decode()}:{out[1].decode()}"
 
 
-def _long(data: bytes) -> str:
-    """One long text, a slice at a time: only the possible chunk ends of each slice stay in memory."""
-    ends, levels, sums, total, n = [], [], [], 0, len(data)
-    least = max(LEAST_K, _first_k(n) - 10)
-    for base in range(0, n, SLICE_BYTES):
+def _slices(data: bytes):
+    """Ends of possible chunks, their levels and the running sums there, and the sum after it, for each slice of a text."""
+    total = 0
+    for base in range(0, len(data), SLICE_BYTES):
         head = min(base, WINDOW - 1)
-        part = np.frombuffer(data, np.uint8)[base - head : base + SLICE_BYTES]
-        at, level, run = _scan(part)
+        at, level, run = _scan(np.frombuffer(data, np.uint8)[base - head : base + SLICE_BYTES])
         shift = pow(_MULT, base - head, 1 << 64)
         skip = int(run[head - 1]) if head else 0
-        pick = (at > head) & (level >= least)
-        ends.append(at[pick] + (base - head))
-        levels.append(level[pick])
-        sums.append((run[at[pick] - 1] - np.uint64(skip)) * np.uint64(shift) + np.uint64(total))
+        new = at > head
+        sums = (run[at[new] - 1] - np.uint64(skip)) * np.uint64(shift) + np.uint64(total)
         total = (total + (int(run[-1]) - skip) * shift) & 0xFFFFFFFFFFFFFFFF
-    cat = np.concatenate
-    # positions of a long text have no table of inverse powers: scale each chunk by its own inverse
-    ends, levels, sums = cat(ends), cat(levels), cat(sums)
-    counts = np.bincount(levels, minlength=34)[::-1].cumsum()[::-1]
-    k = min(_first_k(n), 30)
-    while k > least and counts[k] < FEWEST - 1:
-        k -= 1
-    out = []
-    for level in (k, k + 1):
-        pick = levels >= level
-        e, s = ends[pick][: MOST - 1], sums[pick][: MOST - 1]
-        starts, marks = [0, *e.tolist()], [0, *s.tolist(), total]
+        yield at[new] + (base - head), level[new], sums, total
+
+
+def _long(data: bytes) -> str:
+    """One long text, a slice at a time, to the same fingerprint: a first pass counts chunk ends by level, a second keeps the few
+    that the signatures need."""
+    n, counts, total = len(data), np.zeros(34, np.int64), 0
+    for _, level, _, total in _slices(data):
+        counts += np.bincount(level, minlength=34)
+    k, out = _level(counts, n), []
+    kept: list[list[tuple[int, int]]] = [[], []]
+    for ends, level, sums, _ in _slices(data):
+        for own, least in zip(kept, (k, k + 1), strict=True):
+            pick = np.flatnonzero(level >= least)[: MOST - 1 - len(own)]
+            own += zip(ends[pick].tolist(), sums[pick].tolist(), strict=True)
+        if all(len(own) == MOST - 1 for own in kept):
+            break
+    for own in kept:
+        starts, marks = [0, *(e for e, _ in own)], [0, *(s for _, s in own), total]
         chars = []
         for i, at in enumerate(starts):
             if at == n:
                 break
+            # positions of a long text have no table of inverse powers: scale each chunk by its own inverse
             h = (marks[i + 1] - marks[i]) * pow(_INVERSE, at, 1 << 64) & 0xFFFFFFFFFFFFFFFF
             h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
             chars.append(ALPHABET[h >> 58])
@@ -231,39 +242,59 @@ def bucket(value: Column, bounds: list[int]) -> Column:
     return (first + F.size(F.filter(F.slice(_longs(bounds), first + 1, n), lambda b: b <= value))).cast("int")
 
 
+def _parted(rows: DataFrame, parts: int) -> tuple[Column, Column]:
+    """Part of a row with ``id`` and ``h``: ranges of the id that hold about equally many rows; an id (or null) with more rows than that
+    has ranges of its own, by ``h``."""
+    counts = rows.groupBy("id").count()
+    limit = max(1, (counts.agg(F.sum("count")).first()[0] or 0) // parts)
+    hot = {r["id"]: -(-r["count"] // limit) for r in counts.where(F.col("count") > limit).collect()}  # at most ``parts`` ids
+    bounds = set(map(int, rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else set()
+    bounds |= {i + d for i in hot if i is not None for d in (0, 1) if i + d < 1 << 63}
+    split = F.lit(hot.pop(None, 1))
+    if hot:
+        own = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
+        split = F.when(F.col("id").isNull(), split).otherwise(F.coalesce(F.element_at(own, F.col("id")), F.lit(1)))
+    sub = F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * split).cast("int")
+    return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket(F.col("id"), sorted(bounds))), sub
+
+
 def followed(docs: DataFrame, id_col: str, carry: list[str], parts: int) -> DataFrame:
-    """Each row with the ``carry`` columns of the next one in descending order of ``id_col`` (as ``next_<name>``); the
-    last is followed by the first. Rows are dealt to ranges of the id, and each range also gets the first row of the one
-    below it, so that no task orders the whole table: only range bounds reach the driver. Repeated ids are ordered by
-    the ``carry`` columns; null ids come last."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    bounds = sorted(set(map(int, ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)))) if parts > 1 else []
-    part = bucket(F.col("id"), bounds)
-    heads = {r["part"]: r["top"] for r in ids.where("id is not null").groupBy(part.alias("part")).agg(F.max("id").alias("top")).collect()}
-    order = sorted(heads)
-    pairs = [(heads[below], above) for below, above in zip(order, order[1:], strict=False)] + [(heads[order[-1]], order[0]) for _ in order[:1]]
-    first = order[0] if order else 0
-    rows = docs.withColumn("id", F.col(id_col).cast("long")).withColumn("part", F.coalesce(F.when(F.col("id").isNotNull(), part), F.lit(first)))
-    if pairs:  # a row for each range
-        wanted = docs.sparkSession.createDataFrame(pairs, T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType())]))
-        ghosts = rows.drop("part").join(F.broadcast(wanted), "id").select(*rows.columns)
-    else:
-        ghosts = rows.where(F.col("id").isNull())
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    w = Window.partitionBy("part").orderBy("ghost", F.col("id").desc_nulls_last(), *carry)
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where(~F.col("ghost")).drop("ghost", "part", "id")
+    """Each row with the ``carry`` columns of the next one in descending order of ``id_col``, null last (as ``next_<name>``); the
+    last is followed by the first. Rows are dealt to ranges of that order, and each range also gets the first row of the one
+    after it, so that no task orders the whole table: only the ranges reach the driver. Rows of one id are ordered by a hash of the
+    ``carry`` columns; those alike in these too are followed by each other."""
+    rows = docs.withColumn("id", F.col(id_col).cast("long"))
+    several = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("h", F.xxhash64(*carry) if several else F.lit(0).cast("long"))
+    if several:
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    part, sub = _parted(rows.select("id", "h"), parts)
+    rows = rows.withColumns({"part": part, "sub": sub})
+    place = F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("back"), "h")  # the order as a struct: ``back`` falls as the id grows
+    heads = sorted((tuple(r["top"]), r["part"], r["sub"]) for r in rows.groupBy("part", "sub").agg(F.min(place).alias("top")).collect())
+    firsts = [(None if top[1] is None else ~top[1], top[2], part, sub) for (top, _, _), (_, part, sub) in zip(heads[1:] + heads[:1], heads, strict=True)]
+    wanted = docs.sparkSession.createDataFrame(firsts, "id long, h long, part int, sub int").withColumnsRenamed({"id": "id_", "h": "h_"})
+    ghosts = rows.drop("part", "sub").join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
+    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.drop("id_", "h_").withColumn("ghost", F.lit(True)))
+    w = Window.partitionBy("part", "sub").orderBy("ghost", F.col("id").desc_nulls_last(), "h", *carry)
+    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where(~F.col("ghost"))
+    if several:
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        out = out.withColumns({f"next_{c}": F.when(F.col("copy") < F.col("copies"), F.col(c)).otherwise(F.col(f"next_{c}")) for c in carry}).drop("copy", "copies")
+    return out.drop("ghost", "part", "sub", "id", "h")
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fingerprint`` of every text. Null text: fingerprint of the empty text. Other columns are ignored."""
+    """``id_col`` and ``fingerprint`` of every text. Null text: fingerprint of the empty text. Rows are kept as they are, repeated ones and
+    null ids too; nothing is compared, so there are no ties. An empty table gives an empty result; other columns are ignored."""
     return docs.select(id_col, fingerprint(F.col(text_col)).alias("fingerprint"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 3) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last ``1/share`` is replaced by the start of the next document.
 
-    Null text counts as empty; a single document follows itself; an empty table gives an empty result; repeated rows
-    give repeated results. Columns besides id and text are ignored."""
+    Null text counts as empty; a single document follows itself; an empty table gives an empty result; null ids come last; rows of one
+    id are ordered by a hash of the text, and repeated rows follow each other. Columns besides id and text are ignored."""
     parts = max(1, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fingerprint", fingerprint("text"))
     rows = followed(base, "doc_id", ["text", "fingerprint"], parts)
