@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -78,15 +79,12 @@ def _header(rows: int) -> bytes:
     ))
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """Each payload, of a multiple of 24 bytes, as one JPEG, or several in a row beyond ``MOST_ROWS``."""
-    if not payloads:
-        return []
+def _encoded(pictures: list[bytes]) -> list[bytes]:
+    """The samples of each picture, of a multiple of 24, as one JPEG."""
     table, sizes = _writer_table()
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16)
+    data = np.frombuffer(b"".join(pictures), np.uint8).astype(np.int16)
     # a lane is one restart interval: LANE samples, fewer at the end of a picture
-    cuts = [min(LANE, rows - a) for p in payloads for top in range(0, len(p), MOST_ROWS * ROW) for rows in [min(MOST_ROWS * ROW, len(p) - top)] for a in range(0, rows, LANE)]
-    lane_size = np.array(cuts, np.int64)
+    lane_size = np.array([min(LANE, len(p) - a) for p in pictures for a in range(0, len(p), LANE)], np.int64)
     firsts = np.cumsum(lane_size) - lane_size
     diff = np.empty_like(data)
     diff[1:] = data[1:] - data[:-1]
@@ -110,22 +108,30 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     raw, full = data.tobytes(), np.add.reduceat(data == 0xFF, starts)
     bounds, stuffed = list(zip(starts.tolist(), stops.tolist(), strict=True)), full.tolist()
     out, lane = [], 0
-    for p in payloads:
-        parts = []
-        for top in range(0, len(p), MOST_ROWS * ROW):
-            samples = min(MOST_ROWS * ROW, len(p) - top)
-            parts.append(_header(samples // ROW))
-            count = -(-samples // LANE)
-            for i in range(count):
-                first, last = bounds[lane]
-                piece = raw[first:last]
-                parts.append(piece.replace(b"\xff", b"\xff\0") if stuffed[lane] else piece)
-                parts.append(_RESTARTS[i & 7] if i + 1 < count else b"\xff\xd9")
-                lane += 1
+    for p in pictures:
+        parts, count = [_header(len(p) // ROW)], -(-len(p) // LANE)
+        for i in range(count):
+            first, last = bounds[lane]
+            piece = raw[first:last]
+            parts.append(piece.replace(b"\xff", b"\xff\0") if stuffed[lane] else piece)
+            parts.append(_RESTARTS[i & 7] if i + 1 < count else b"\xff\xd9")
+            lane += 1
         out.append(b"".join(parts))
     return out
 
 
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """Each payload, of a multiple of 24 bytes, as one JPEG, or several in a row beyond ``MOST_ROWS``. At most ``STEP_BYTES`` of samples, or one
+    picture, are arrays at a time, however long a payload is."""
+    most = MOST_ROWS * ROW
+    places = [(i, a) for i, p in enumerate(payloads) for a in range(0, len(p), most)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in sliced([min(most, len(payloads[i]) - top) for i, top in places], STEP_BYTES):
+        for (i, _), picture in zip(places[a:b], _encoded([payloads[i][top : top + most] for i, top in places[a:b]]), strict=True):
+            out[i].append(picture)
+    return [b"".join(x) for x in out]
+
+
 _RESTARTS = [bytes([0xFF, 0xD0 + i]) for i in range(8)]
 
 
@@ -147,9 +153,9 @@ class BadPicture(ValueError):
     """Not a baseline JPEG, or a damaged one."""
 
 
-def parse(data: bytes) -> list[Picture]:
-    """All pictures of a byte string, one after the other."""
-    at, out = 0, []
+def parse(data: bytes) -> Iterator[Picture]:
+    """The pictures of a byte string, one after the other."""
+    at = 0
     while at < len(data):
         if data[at : at + 2] != b"\xff\xd8":
             raise BadPicture("no start of image")
@@ -211,8 +217,7 @@ def parse(data: bytes) -> list[Picture]:
                 pic.lanes = [x.replace(b"\xff\0", b"\xff") if b"\xff" in x else x for x in lanes]
         if not pic.scan or not pic.components:
             raise BadPicture("no scan")
-        out.append(pic)
-    return out
+        yield pic
 
 
 @lru_cache(maxsize=64)
@@ -388,16 +393,27 @@ def store(texts: list[str | None]) -> list[bytes]:
 
 
 def read_back(media: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, str]]]]:
-    """Of each byte string: the samples of its thumbnails in order, and ``(width, height, hash)`` of each picture."""
-    out = []
-    for a, b in sliced(map(len, media), STEP_BYTES):
-        pics = [parse(m) for m in media[a:b]]
-        flat = [p for ps in pics for p in ps]
-        greys = iter(thumbnails(flat))
-        for ps in pics:
-            own = [next(greys) for _ in ps]
-            out.append((b"".join(g.tobytes() for g in own), [(p.width, p.height, thumbnail_hash(g)) for p, g in zip(ps, own, strict=True)]))
-    return out
+    """Of each byte string: the samples of its thumbnails in order, and ``(width, height, hash)`` of each picture. Pictures are decoded
+    side by side, about ``STEP_BYTES`` of scan data at a time."""
+    samples: list[list[bytes]] = [[] for _ in media]
+    found: list[list[tuple[int, int, str]]] = [[] for _ in media]
+    held, size = [], 0
+
+    def decoded() -> None:
+        for (i, p), grey in zip(held, thumbnails([p for _, p in held]), strict=True):
+            samples[i].append(grey.tobytes())
+            found[i].append((p.width, p.height, thumbnail_hash(grey)))
+
+    for i, m in enumerate(media):
+        for p in parse(m):
+            held.append((i, p))
+            size += sum(map(len, p.lanes))
+            if size >= STEP_BYTES:
+                decoded()
+                held, size = [], 0
+    if held:
+        decoded()
+    return [(b"".join(x), y) for x, y in zip(samples, found, strict=True)]
 
 
 @F.pandas_udf(T.BinaryType())
@@ -425,7 +441,8 @@ def media_features(media: pd.Series) -> pd.DataFrame:
 
 
 def media_column(docs: DataFrame, text_col: str = "text", out_col: str = "media") -> DataFrame:
-    """``docs`` with each text stored as JPEG bytes in ``out_col``. Null text: the picture of an empty payload."""
+    """``docs`` with each text stored as JPEG bytes in ``out_col``. Null text: the picture of an empty payload. Rows and other columns
+    are kept as they are, repeated rows and null ids too; a column of the name ``out_col`` is replaced."""
     return docs.withColumn(out_col, as_media(F.col(text_col)))
 
 

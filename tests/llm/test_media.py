@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -8,6 +11,7 @@ import pytest
 from foliant.llm import media, queries
 
 DATA = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_round_trip_of_any_bytes():
@@ -72,7 +76,7 @@ def test_general_baseline_picture(restart):
     if not restart:
         lanes = [_bits(pairs)]
     data = b"".join(x + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(lanes) else b"") for i, x in enumerate(lanes))
-    grey = media.thumbnails(media.parse(build(48, 32, data, dc, ac, restart)))[0]
+    grey = media.thumbnails(list(media.parse(build(48, 32, data, dc, ac, restart))))[0]
     grid = np.array(want).reshape(2, 3, 2, 2).transpose(0, 2, 1, 3).reshape(4, 6)
     assert (grey == np.clip(np.floor(grid * 16 / 8 + 128.5), 0, 255)).all()
 
@@ -86,6 +90,84 @@ def test_damaged_pictures_have_a_reason(spark):
     assert all(rows[i].error and rows[i].width is None for i in range(1, len(cases) + 1))
 
 
+def naive(data):
+    """Grey samples and size of each picture of stored bytes, bit by bit: one component, DC terms times their quantiser over eight."""
+    out, at = [], 0
+    while at < len(data):
+        assert data[at : at + 2] == b"\xff\xd8"
+        at, tables, samples = at + 2, {}, []
+        while data[at : at + 2] != b"\xff\xd9":
+            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if mark == 0xDB:
+                quant = body[1]
+            elif mark == 0xC0:
+                height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            elif mark == 0xDD:
+                restart = int.from_bytes(body, "big")
+            elif mark == 0xC4:
+                code, k, found = 0, 17, {}
+                for n in range(1, 17):
+                    for _ in range(body[n]):
+                        found[n, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code *= 2
+                tables[body[0]] = found
+            elif mark == 0xDA:
+                blocks = (width // 8) * (height // 8)
+                while len(samples) < blocks:
+                    end = at
+                    while data[end] != 0xFF or data[end + 1] == 0:
+                        end += 1
+                    bits = "".join(f"{x:08b}" for x in data[at:end].replace(b"\xff\0", b"\xff"))
+                    i, last = 0, 0
+
+                    def symbol(table):
+                        nonlocal i
+                        n = next(n for n in range(1, 17) if (n, int(bits[i : i + n], 2)) in table)
+                        i += n
+                        return table[n, int(bits[i - n : i], 2)]
+
+                    for _ in range(min(restart, blocks - len(samples))):
+                        cat = symbol(tables[0])
+                        v = int(bits[i : i + cat] or "0", 2)
+                        i += cat
+                        last += v if not cat or v >> (cat - 1) else v - (1 << cat) + 1
+                        assert symbol(tables[0x10]) == 0
+                        samples.append(last * quant // 8 + 128)
+                    at = end + 2 if 0xD0 <= data[end + 1] <= 0xD7 else end
+        at += 2
+        out.append((width, height, np.array(samples, np.uint8).reshape(height // 8, width // 8)))
+    return out
+
+
+def naive_hash(grey):
+    edge = lambda n, i: min(int(n * i / 8), n - 1)
+    cells = [grey[edge(h, i) : max(edge(h, i) + 1, edge(h, i + 1) if i < 7 else h), edge(w, j) : max(edge(w, j) + 1, edge(w, j + 1) if j < 7 else w)] for h, w in [grey.shape] for i in range(8) for j in range(8)]
+    means = [c.astype(np.int64).sum() / c.size for c in cells]
+    middle = sum(sorted(means)[31:33]) / 2
+    return f"{sum(int(m > middle) << (63 - i) for i, m in enumerate(means)):016x}"
+
+
+def test_stored_bytes_and_features_by_a_naive_decoder(monkeypatch):
+    random.seed(8)
+    texts = ["", None, "plain words " * 300, "".join(random.choices("aÿ\uffff\x00", k=3000)), "x" * 576, "long text " * 1700]
+    monkeypatch.setattr(media, "MOST_ROWS", 144)
+    monkeypatch.setattr(media, "STEP_BYTES", 5000)
+    stored = media.store(texts)
+    for t, m, (payload, found) in zip(texts, stored, media.read_back(stored), strict=True):
+        pictures = naive(m)
+        assert b"".join(g.tobytes() for *_, g in pictures) == payload == media.payload_of((t or "").encode())
+        assert found == [(w, h, naive_hash(g)) for w, h, g in pictures]
+
+
+def test_memory_of_one_long_text_is_a_few_times_its_size():
+    code = "import resource, random; from foliant.llm import media; random.seed(1)\nraw = random.randbytes(24_000_000); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+    code += "(p, f), = media.read_back(media.encode([media.payload_of(raw)])); assert p[: len(raw)] == raw; print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout) < 400
+
+
 def test_query(spark):
     texts = dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op5_media(spark, DATA).collect()
