@@ -1,11 +1,18 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens of no known pattern.
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]``. Its encoding is the smallest alphabet that
-holds it. Three tests ask whether it departs from uniformly random characters of that alphabet: chi-squared
-uniformity, runs above and below the middle of the alphabet, and serial correlation; Fisher's method combines them.
-A token that they don't reject is kept only if *text* is rejected for it: prose characters would make chi-squared
-noncentral in proportion to the length, so short tokens, on which the tests have no power, never pass. Those p-values
-go through Benjamini and Hochberg's step-up rule within each document, weighted by the bits that a token can hold.
+A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` outside the fixed patterns. Its encoding is the smallest
+alphabet that holds it. Three tests look at it: chi-squared uniformity, runs above and below the middle of the alphabet,
+and the serial test of adjacent characters. Each test has two sides:
+
+* For *random* characters of the alphabet, Fisher's method combines uniformity, runs and serial correlation; a token that this
+  rejects is no secret.
+* For *text*, each test gives the chance that text of this length looks as random as the token does. What text looks like is
+  counted over all documents: how often each character follows each other within words of fewer than 16 characters. Cauchy's
+  combination, which allows for tests that depend on each other, makes one p-value of the three.
+
+The p-values of all candidates of all documents go through one step-up rule of Benjamini and Hochberg, weighted by the bits that a
+token can hold: counts of their magnitudes decide one threshold, so false discoveries are bounded over the whole corpus.
+Only those counts, and the counts of character pairs, reach the driver.
 """
 
 from __future__ import annotations
@@ -13,18 +20,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_ASSIGNED, ALPHA_RANDOM, FALSE_DISCOVERIES = 12, 1e-3, 1e-3
 #: Alphabets by inferred encoding, smallest first.
@@ -44,8 +56,18 @@ ENCODINGS = (
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
 _SETS = [(name, frozenset(chars), np.array([chars.find(chr(i)) for i in range(128)]), len(chars)) for name, chars in ENCODINGS]
-#: Sum of squared character shares of prose, by which its chi-squared grows with each character.
-PROSE_CONCENTRATION = 0.066
+#: Characters of candidates in the order of the pair counts, by class: lower, upper, digits, others.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+_CLASS = np.repeat(np.arange(4), (26, 26, 10, 5))
+_INDEX = np.full(256, -1, np.int16)
+_INDEX[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(len(SYMBOLS))
+_K = len(SYMBOLS)
+#: Weight, in pairs after each character, of what is believed before any text is counted: the next character is of the same class
+#: with this chance, all of a class being alike. Surprise of one pair counts no more than ``MOST_BITS``. Text varies more than
+#: independent pairs do: its variances are taken ``DISPERSION`` times.
+PRIOR_PAIRS, SAME_CLASS, MOST_BITS, DISPERSION = 200.0, 0.9, 10.0, 2.0
+#: Steps of a decade in which magnitudes of p-values are counted, and the largest magnitude.
+STEPS, DECADES = 20, 40
 
 
 def _normal_tail(z: float) -> float:
@@ -57,24 +79,52 @@ def _chi_tail(x: float, df: int) -> float:
     return _normal_tail(((max(x, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
 
 
-@lru_cache(maxsize=100_000)
-def _text_moments(n: int, size: int) -> tuple[float, float]:
-    more = n * max(size * PROSE_CONCENTRATION - 1, 0.25)
-    return size - 1 + more, math.sqrt(2 * (size - 1 + 2 * more))
+def pair_counts(texts: list[str | None]) -> np.ndarray:
+    """How often each symbol follows each other in the runs of fewer than 16 symbols of some texts."""
+    x = _INDEX[np.frombuffer("\n".join(["", *(t or "" for t in texts), ""]).encode("utf-8", "surrogatepass"), np.uint8)]
+    edge = np.flatnonzero(np.diff((x >= 0).astype(np.int8)))
+    for i in np.flatnonzero(edge[1::2] - edge[::2] >= LEAST).tolist():
+        x[edge[2 * i] + 1 : edge[2 * i + 1] + 1] = -1
+    both = (x[:-1] >= 0) & (x[1:] >= 0)
+    return np.bincount(x[:-1][both].astype(np.int64) * _K + x[1:][both], minlength=_K * _K)
+
+
+class TextModel:
+    """What text looks like to each test, from counts of symbol pairs."""
+
+    def __init__(self, counts: np.ndarray | None = None) -> None:
+        counts = np.zeros(_K * _K) if counts is None else np.asarray(counts, float)
+        same = _CLASS[:, None] == _CLASS[None, :]
+        sizes = np.bincount(_CLASS)
+        prior = np.where(same, SAME_CLASS / sizes[_CLASS][None, :], (1 - SAME_CLASS) / (_K - sizes[_CLASS])[:, None])
+        counts = counts.reshape(_K, _K)
+        follow = (counts + PRIOR_PAIRS * prior) / (counts.sum(1, keepdims=True) + PRIOR_PAIRS)
+        self.joint = (counts.sum(1) + 1.0)[:, None] * follow
+        self.surprise = np.minimum(-np.log2(follow), MOST_BITS)
+        self.of = lru_cache(maxsize=None)(self._of)
 
+    def __getstate__(self) -> dict:
+        return {"joint": self.joint, "surprise": self.surprise}
 
-def text_p(chi: float, n: int, size: int) -> float:
-    """Chance that prose of this length looks as uniform as this."""
-    mean, sd = _text_moments(n, size)
-    return _normal_tail((mean - chi) / sd)
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.of = lru_cache(maxsize=None)(self._of)
 
+    def _of(self, name: str) -> tuple[float, float, float, float]:
+        """Of text in the symbols of an encoding: growth of chi-squared a symbol, chance that neighbours lie on two sides of the middle,
+        and mean and variance of the surprise of a pair."""
+        chars = dict(ENCODINGS)[name]
+        at = np.array([SYMBOLS.index(c) for c in chars])
+        joint = self.joint[np.ix_(at, at)]
+        joint = joint / joint.sum()
+        share = joint.sum(1)
+        high = np.arange(len(chars)) >= len(chars) / 2
+        surprise = self.surprise[np.ix_(at, at)]
+        mean = float((joint * surprise).sum())
+        return max(len(chars) * float((share**2).sum()) - 1, 0.25), float(joint[high[:, None] != high[None, :]].sum()), mean, float((joint * (surprise - mean) ** 2).sum())
 
-@lru_cache(maxsize=100_000)
-def least_text_p(n: int, size: int) -> float:
-    """The least that ``text_p`` can be for this length: that of characters spread as evenly as they can be."""
-    full, rest = divmod(n, size)
-    squares = (size - rest) * full**2 + rest * (full + 1) ** 2
-    return text_p(size * squares / n - n, n, size)
+
+PLAIN = TextModel()
 
 
 def infer(token: str) -> tuple[str, np.ndarray, int]:
@@ -87,69 +137,109 @@ def infer(token: str) -> tuple[str, np.ndarray, int]:
     raise ValueError(token)
 
 
-def battery(codes: np.ndarray, size: int) -> tuple[float, float, float, float]:
-    """Chi-squared statistic, and p-values of uniformity, runs and serial correlation for random characters."""
+def battery(codes: np.ndarray, size: int) -> tuple[float, int, tuple[float, float, float]]:
+    """Chi-squared statistic, changes of side, and the p-values of uniformity, runs and serial correlation for random characters."""
     n = len(codes)
     chi = size * float((np.bincount(codes, minlength=size) ** 2).sum()) / n - n
     high = codes >= size / 2
-    ups = int(high.sum())
+    ups, turns = int(high.sum()), int((high[1:] != high[:-1]).sum())
     downs = n - ups
     if ups and downs:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
         mean = 2 * ups * downs / n + 1
         var = (mean - 1) * (mean - 2) / max(n - 1, 1)
-        p_runs = 2 * _normal_tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0
+        p_runs = 2 * _normal_tail(abs(turns + 1 - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
         p_runs = 2.0 ** (1 - n)
     x = codes - codes.mean()
     var = float((x * x).sum())
     r = float((x[1:] * x[:-1]).sum()) / var if var else 1.0
     p_serial = 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
-    return chi, _chi_tail(chi, size - 1), p_runs, p_serial
+    return chi, turns, (_chi_tail(chi, size - 1), p_runs, p_serial)
 
 
-def combined(ps: tuple[float, ...]) -> float:
+def fisher(ps: tuple[float, ...]) -> float:
     return _chi_tail(-2 * sum(math.log(max(p, 1e-300)) for p in ps), 2 * len(ps))
 
 
-def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of random tokens outside the spans already taken."""
-    tested = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, e in taken):
-            continue
-        n = b - a
-        if n * 6 < 64 or least_text_p(n, 66) > FALSE_DISCOVERIES * 100 and least_text_p(n, 26) > FALSE_DISCOVERIES * 100:
-            continue
-        name, codes, size = infer(m[0])
-        if len(codes) < 16 or least_text_p(len(codes), size) > FALSE_DISCOVERIES:
-            continue
-        chi, *ps = battery(codes, size)
-        tested.append((text_p(chi, len(codes), size) if combined(tuple(ps)) >= ALPHA_RANDOM else 1.0, len(codes) * math.log2(size), (a, b)))
-    if not tested:
-        return []
-    mean = sum(w for _, w, _ in tested) / len(tested)
-    ranked = sorted((p * mean / w, s) for p, w, s in tested)
-    last = max((i for i, (p, _) in enumerate(ranked, 1) if p <= FALSE_DISCOVERIES * i / len(ranked)), default=0)
-    return sorted(s for _, s in ranked[:last])
-
-
-def scan(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans ``(start, end, kind)`` of a text by start, then kind; null counts as empty."""
-    text = text or ""
+def cauchy(ps: tuple[float, ...]) -> float:
+    """Cauchy's combination of p-values that may depend on each other."""
+    far = lambda p: 1 / (math.pi * p) if p < 1e-9 else math.tan((0.5 - min(p, 0.99)) * math.pi)
+    x = sum(far(max(p, 1e-300)) for p in ps) / len(ps)
+    return 1 / (math.pi * x) if x > 1e9 else 0.5 - math.atan(x) / math.pi
+
+
+def token_p(token: str, model: TextModel) -> tuple[float, float]:
+    """Chance that text looks as random to the battery as this token, 1 if it isn't random, and the bits that it can hold."""
+    name, codes, size = infer(token)
+    n = len(codes)
+    if n < LEAST:
+        return 1.0, 1.0
+    chi, turns, ps = battery(codes, size)
+    bits = n * math.log2(size)
+    if fisher(ps) < ALPHA_RANDOM:
+        return 1.0, bits
+    growth, turn, mean, var = model.of(name)
+    even = _normal_tail((size - 1 + n * growth - chi) / math.sqrt(2 * DISPERSION * (size - 1 + 2 * n * growth)))
+    runs = _normal_tail((turns - 0.5 - (n - 1) * turn) / math.sqrt(max(DISPERSION * (n - 1) * turn * (1 - turn), 1e-9)))
+    at = _INDEX[np.frombuffer(token.rstrip("=").replace("=", "").encode(), np.uint8)]
+    surprise = float(model.surprise[at[:-1], at[1:]].sum())
+    serial = _normal_tail((surprise - (n - 1) * mean) / math.sqrt(max(DISPERSION * (n - 1) * var, 1e-9)))
+    return cauchy((even, runs, serial)), bits
+
+
+def magnitude(p: float, bits: float) -> int:
+    """Steps of a decade of a p-value weighted by bits, rounded towards the larger value; above 0 are those that may count."""
+    return min(math.floor(-math.log10(max(p, 1e-300) / bits) * STEPS), DECADES * STEPS)
+
+
+def threshold(counts: dict[int, int], mean_bits: float, share: float = FALSE_DISCOVERIES) -> int:
+    """The least magnitude that the step-up rule accepts, given how many candidates there are of each; beyond all where it accepts none."""
+    total, above, best = sum(counts.values()), 0, DECADES * STEPS + 1
+    for m in sorted(counts, reverse=True):
+        above += counts[m]
+        if mean_bits * 10 ** (-m / STEPS) * total <= share * above:
+            best = m
+    return best
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the fixed patterns by start, then kind."""
     found = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGNED]
     found += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    found += [(*s, "random") for s in random_spans(text, [x[:2] for x in found])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def redacted(text: str | None, mark: str = "<secret>") -> str | None:
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Spans of candidates that no span of ``taken`` (by start) meets; both lists are walked once."""
+    i, reach = 0, 0  # ``reach``: the furthest end of the spans that begin before the candidate ends
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= a:
+            yield a, b
+
+
+def scan(text: str | None, model: TextModel = PLAIN, least: int | None = None) -> list[tuple[int, int, str, int]]:
+    """All spans ``(start, end, kind, magnitude)`` of a text by start, then kind; null counts as empty. Random ones are those of at least
+    magnitude ``least``; without it, those that the step-up rule accepts in this text alone."""
+    text = text or ""
+    base = base_spans(text)
+    tested = [(a, b, *token_p(text[a:b], model)) for a, b in candidates(text, base)]
+    found = [(a, b, "random", magnitude(p, bits)) for a, b, p, bits in tested]
+    if least is None and found:
+        counts = {m: sum(x[3] == m for x in found) for m in {x[3] for x in found}}
+        least = threshold(counts, sum(x[3] for x in tested) / len(tested))
+    return sorted([*((*x, 0) for x in base), *(x for x in found if x[3] >= least)], key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def redacted(text: str | None, model: TextModel = PLAIN, least: int | None = None, mark: str = "<secret>") -> str | None:
     """The text with every span replaced by the mark; overlapping spans become one."""
     if text is None:
         return None
-    spans = scan(text)
+    spans = scan(text, model, least)
     if not spans:
         return text
     out, at, i = [], 0, 0
@@ -163,28 +253,73 @@ def redacted(text: str | None, mark: str = "<secret>") -> str | None:
     return "".join([*out, text[at:]])
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
+def text_model(docs: DataFrame, text_col: str = "text") -> TextModel:
+    """The text model of all documents. Each task sums its own counts, and at most as many sums as there are pairs reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_K * _K, np.int64)
+        for batch in batches:
+            total += pair_counts(batch.column(0).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
+    counts = np.zeros(_K * _K)
+    for r in docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    return TextModel(counts)
 
-@F.pandas_udf(_SPANS)
-def secret_spans(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in scan(t)] for t in text])
 
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("magnitude", T.IntegerType())]))
+_TESTED = T.StructType([T.StructField("spans", _SPANS), T.StructField("bits", T.DoubleType()), T.StructField("n", T.IntegerType())])
 
-@F.pandas_udf(T.StringType())
-def redact(text: pd.Series) -> pd.Series:
-    return pd.Series([redacted(t) for t in text], dtype=object)
+
+def _tested(model):
+    @F.pandas_udf(_TESTED)
+    def of(text: pd.Series) -> pd.DataFrame:
+        rows, names = [], ("start", "end", "kind", "magnitude")
+        for t in text:
+            base = base_spans(t or "")
+            tested = [(a, b, *token_p(t[a:b], model.value)) for a, b in candidates(t or "", base)]
+            spans = [(*x, 0) for x in base] + [(a, b, "random", m) for a, b, p, bits in tested if (m := magnitude(p, bits)) > 0]
+            spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+            rows.append(([dict(zip(names, x, strict=True)) for x in spans], sum(x[3] for x in tested), len(tested)))
+        return pd.DataFrame(rows, columns=["spans", "bits", "n"])
+
+    return of
+
+
+def corpus_threshold(tested: DataFrame) -> int:
+    """The threshold for all candidates, from counts of their magnitudes: a few hundred rows."""
+    sums = tested.agg(F.sum("bits"), F.sum("n")).first()
+    if not sums[1]:
+        return DECADES * STEPS + 1
+    found = tested.select(F.explode(F.filter("spans", lambda x: x["kind"] == "random")).alias("x")).groupBy("x.magnitude").count().collect()
+    counts = {r["magnitude"]: r["count"] for r in found}
+    counts[0] = sums[1] - sum(counts.values())
+    return threshold(counts, sums[0] / sums[1])
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``spans``, an array of ``(start, end, kind)`` in code points, for every row; null text has none.
+    """``id_col`` and ``spans``, an array of ``(start, end, kind, magnitude)`` in code points, for every row; null text has none.
 
-    Nothing is shuffled. Repeated rows give repeated results; other columns are ignored."""
-    return docs.select(id_col, secret_spans(F.col(text_col)).alias("spans"))
+    Texts are read twice, once for the model of text, and nothing of them is shuffled; spans are written before the threshold is known.
+    Repeated rows give repeated results; other columns are ignored."""
+    model = docs.sparkSession.sparkContext.broadcast(text_model(docs, text_col))
+    tested = materialise(docs.select(F.col(id_col), _tested(model)(F.col(text_col)).alias("t")).select(id_col, "t.*"), "tested")
+    least = corpus_threshold(tested)
+    return tested.select(id_col, F.filter("spans", lambda x: (x["kind"] != "random") | (x["magnitude"] >= least)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """All columns and rows of ``docs``, with secrets replaced in the text and its length set anew. Null text stays null."""
+    """All columns and rows of ``docs``, with secrets replaced in the text and its length set anew. Null text stays null; repeated rows
+    stay, and there are no ties."""
+    model = docs.sparkSession.sparkContext.broadcast(text_model(docs, text_col))
+    least = corpus_threshold(materialise(docs.select(_tested(model)(F.col(text_col)).alias("t")).select("t.*").where("n > 0"), "tested"))
+
+    @F.pandas_udf(T.StringType())
+    def redact(text: pd.Series) -> pd.Series:
+        return pd.Series([redacted(t, model.value, least) for t in text], dtype=object)
+
     out = docs.withColumn(text_col, redact(F.col(text_col)))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
