@@ -36,9 +36,9 @@ from .common import materialise
 #: Symbols hashed at a time (positions must fit into 20 bits), segments and bytes of text collapsed at a time, segments of an
 #: anchor beyond which it is split into windows, rows of one anchor held at a time, bytes resolved at a time, and bytes of a document
 #: that one group of stretches spans.
-SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 1_500_000, 32 << 20, 200, 400_000, 1 << 19, 14
-#: An anchor is heavy if it has more than this share of all segments; there are at most twice the inverse of such anchors.
-HEAVY = 2.0**-13
+SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 1_500_000, 32 << 20, 200, 400_000, 1 << 19, 10
+#: An anchor is heavy if it has more segments than this share of what a shuffle partition holds.
+HEAVY = 0.25
 NO_ID = (1 << 63) - 1
 _MULT = 0xD1342543DE82EF95
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -66,7 +66,7 @@ Row = tuple[int, int, int, int, bytes]
 @dataclass(frozen=True)
 class Kind:
     """What repeats are: ``read(text)`` gives the sequence; ``resolve(groups, window)`` the runs ``(doc, first, last)`` of repeated window
-    starts in groups of rows."""
+    starts in groups of rows of different symbols each."""
 
     window: int
     gram: int
@@ -153,19 +153,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 SEGMENT, RUN, COUNT = 0, 1, 2
-#: ``place``: offset of the anchor and number of further windows of a segment, last window of a run, or segments of an anchor in a task.
-_CUT = T.StructType([T.StructField("kind", T.ByteType())] + [T.StructField(n, T.LongType()) for n in ("g", "doc", "lo", "place")])
+#: ``place``: first window, offset of the anchor and number of further windows of a segment (7 bits each), first window of a run, or
+#: segments of an anchor in a task. ``g``: anchor, or last window of a run.
+_CUT = T.StructType([T.StructField("kind", T.ByteType())] + [T.StructField(n, T.LongType()) for n in ("g", "doc", "place")])
 
 
-def _cut_rows(kind_: int, g, doc, lo, place) -> Iterator[pa.RecordBatch]:
-    n = len(lo)
-    cols = [np.broadcast_to(x, n) for x in (g, doc, lo, place)]
+def _cut_rows(kind_: int, g, doc, place) -> Iterator[pa.RecordBatch]:
+    n = len(place)
+    cols = [np.broadcast_to(x, n) for x in (g, doc, place)]
     for i in range(0, n, 50_000):
         part = [pa.array(np.ascontiguousarray(x[i : i + 50_000], np.int64)) for x in cols]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind_, np.int8)), *part], names=_CUT.names)
 
 
-def _collapse(rows: list[tuple], texts: dict[int, Sequence], kind: Kind) -> Iterator[pa.RecordBatch]:
+def _collapse(rows: list[tuple], texts: dict[int, Sequence], kind: Kind, share: float) -> Iterator[pa.RecordBatch]:
     """One row of each segment of different symbols, the first; others are runs."""
     g, c, doc, lo, da, run, text = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((lo, doc, c, g))
@@ -179,16 +180,16 @@ def _collapse(rows: list[tuple], texts: dict[int, Sequence], kind: Kind) -> Iter
         same = np.fromiter((whose(i) == whose(j) for i, j in zip(other, leader[other], strict=True)), bool, len(other))
         first[other[~same]] = True
         gone = other[same] if kind.earlier_only else np.union1d(other[same], leader[other[same]])
-        yield from _cut_rows(RUN, 0, doc[gone], lo[gone], lo[gone] + run[gone])
-    g, doc, lo, place = _signed(g[first]), doc[first], lo[first], da[first] << 7 | run[first]
-    yield from _cut_rows(SEGMENT, g, doc, lo, place)
+        yield from _cut_rows(RUN, lo[gone] + run[gone], doc[gone], lo[gone])
+    g = _signed(g[first])
+    yield from _cut_rows(SEGMENT, g, doc[first], lo[first] << 14 | da[first] << 7 | run[first])
     starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     counts = np.diff(np.append(starts, len(g)))
-    heavy = counts > max(len(g) * HEAVY / 2, min(kind.hot, 16))
-    yield from _cut_rows(COUNT, g[starts[heavy]], 0, counts[heavy] * 0, counts[heavy])
+    heavy = counts > max(len(g) * share / 2, min(kind.hot, 16))
+    yield from _cut_rows(COUNT, g[starts[heavy]], 0, counts[heavy])
 
 
-def _cut(kind: Kind):
+def _cut(kind: Kind, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, count, texts, size = [], 0, {}, 0
         pieces, waiting, number = [], 0, 0
@@ -216,7 +217,7 @@ def _cut(kind: Kind):
                         count += hashed()
                         pieces, waiting = [], 0
                         if count >= kind.local_rows or size >= LOCAL_BYTES:
-                            yield from _collapse(rows, texts, kind)
+                            yield from _collapse(rows, texts, kind, share)
                             rows, count, texts, size = [], 0, {number: seq}, len(seq.data)
                     pieces.append((doc, number, off, part))
                     waiting += len(part)
@@ -224,16 +225,16 @@ def _cut(kind: Kind):
         if pieces:
             count += hashed()
         if count:
-            yield from _collapse(rows, texts, kind)
+            yield from _collapse(rows, texts, kind, share)
 
     return run
 
 
-_MET = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "g", "lo", "place")] + [T.StructField("crowded", T.BooleanType())])
+_MET = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "g", "place")] + [T.StructField("crowded", T.BooleanType())])
 
 
 def _meet(kind: Kind):
-    def settle(g, doc, lo, place, hot: bool) -> Iterator[pa.RecordBatch]:
+    def settle(g, doc, place, hot: bool) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         sizes = np.diff(np.append(starts, len(g)))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -243,9 +244,11 @@ def _meet(kind: Kind):
         crowded = (sizes > kind.hot)[group] | hot
         if kind.stretched:  # rows are sorted: the first of a group occurs first
             docs = np.add.reduceat(mixed(doc.view(np.uint64) + np.uint64(1)), starts)
-            joint = _signed(mixed(docs ^ mixed(lo[starts].view(np.uint64) >> np.uint64(REACH))))[group]
-            g = np.where(crowded, g, joint)
-        cols = [pa.array(np.ascontiguousarray(x[pick])) for x in (doc, g, lo, place)]
+            again = np.append(False, (g[1:] == g[:-1]) & (doc[1:] == doc[:-1]))
+            joint = _signed(mixed(docs ^ mixed(place[starts].view(np.uint64) >> np.uint64(14 + REACH))))
+            # the lowest bit: whether an anchor stands twice in one document
+            g = np.where(crowded, g, (joint << 1 | np.logical_or.reduceat(again, starts))[group])
+        cols = [pa.array(np.ascontiguousarray(x[pick])) for x in (doc, g, place)]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(crowded[pick])], names=_MET.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,7 @@ def _meet(kind: Kind):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = tuple(batch.column(i).to_numpy() for i in range(4))
+            cols = tuple(batch.column(i).to_numpy() for i in range(3))
             held = cols if held is None else tuple(map(np.concatenate, zip(held, cols, strict=True)))
             g = held[0]
             if hot is not None:
@@ -297,9 +300,10 @@ _TEXTS = T.StructType([T.StructField(n, T.LongType()) for n in ("g", "sub", "doc
 def _stretches(wants: list, kind: Kind) -> Iterator[tuple[int, int, int, int]]:
     """``g, lo, hi, offset`` of the segments that a document wants compared; of one group, those that follow each other are one."""
     last = None
-    for w in sorted(wants, key=lambda w: (w["g"], w["lo"])):
-        here = [w["g"], w["lo"], w["lo"] + (w["place"] & 127), w["place"] >> 7]
-        if last and kind.stretched and last[0] == here[0] and here[1] <= last[2] + 1:
+    for g, place in sorted((w["g"], w["place"]) for w in wants):
+        lo = place >> 14
+        here = [g, lo, lo + (place & 127), place >> 7 & 127]
+        if last and kind.stretched and last[0] == g and lo <= last[2] + 1:
             last[2] = here[2]
             continue
         if last:
@@ -332,14 +336,15 @@ def _fetch(kind: Kind):
                 for w in wants:
                     if not w["crowded"]:
                         continue
+                    begin, offset = w["place"] >> 14, w["place"] >> 7 & 127
                     for i in range((w["place"] & 127) + 1):
-                        lo = w["lo"] + i
+                        lo = begin + i
                         content, here = seq.content(lo, lo + kind.window), (doc, lo)
-                        had = first.setdefault((w["g"], content), (doc, lo, (w["place"] >> 7) - i, False))
+                        had = first.setdefault((w["g"], content), (doc, lo, offset - i, False))
                         if had[:2] == here:
                             continue
                         low, high = sorted((had[:2], here))
-                        first[w["g"], content] = (*low, (w["place"] >> 7) - i, True)
+                        first[w["g"], content] = (*low, offset - i, True)
                         rows += [(0, 0, d, x, x, -1, None) for d, x in ((high,) if kind.earlier_only else {high, low} if not had[3] else {here})]
                 if len(first) > kind.local_rows // 6:
                     rows, size, first = rows + singles(), size + len(first) * kind.window, {}
@@ -357,10 +362,23 @@ def _fetch(kind: Kind):
 _RUNS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "lo", "hi")])
 
 
+def _alike(group: list[Row], kind: Kind, found: list) -> list[Row]:
+    """The first row of each content; the others repeat it in whole."""
+    first: dict[bytes, list] = {}
+    for row in group:
+        had = first.setdefault(row[4], [row, True])
+        if had[0] is not row:
+            found.append(row[:3])
+            if had[1] and not kind.earlier_only:
+                found.append(had[0][:3])
+            had[1] = False
+    return [row for row, _ in first.values()]
+
+
 def _resolved(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, held = (0, 0), [], 0  # the group that is read, and its bytes
-        worth = lambda: len(group) > 1 or group and kind.stretched and not key[1]  # noqa: E731  a stretch may repeat itself
+        key, group = (0, 0), []  # the group that is read
+        worth = lambda: len(group) > 1 or group and kind.stretched and not key[1] and key[0] & 1  # noqa: E731  a stretch may repeat itself
         ready, size, found = [], 0, []
         for batch in batches:
             for g, sub, doc, lo, hi, da, content in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -369,26 +387,23 @@ def _resolved(kind: Kind):
                     continue
                 if (g, sub) != key:
                     if worth():
-                        ready.append(group)
-                        size += held
+                        group = _alike(group, kind, found)
+                        if worth():
+                            ready.append(group)
+                            size += sum(len(row[4]) for row in group)
                     if size > RESOLVED:
                         found += kind.resolve(ready, kind.window)
                         ready, size = [], 0
-                    key, group, held = (g, sub), [], 0
-                elif sub and len(group) >= kind.hot:  # the same window from very many tasks: a bounded part at a time
-                    found += kind.resolve([group], kind.window)
-                    different = {}
-                    for row in group:
-                        different.setdefault(row[4], row)
-                    group = list(different.values())
-                    held = sum(len(row[4]) for row in group)
+                    key, group = (g, sub), []
+                elif sub and len(group) >= 2 * kind.hot:  # the same window from very many tasks: a bounded part at a time
+                    group = _alike(group, kind, found)
                 group.append((doc, lo, hi, da, content))
-                held += len(content)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=_RUNS.names)
                 found = []
         if worth():
-            ready.append(group)
+            group = _alike(group, kind, found)
+            ready += [group] if worth() else []
         found += kind.resolve(ready, kind.window) if ready else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=_RUNS.names)
@@ -411,29 +426,30 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return materialise(one.join(keys, ["none", "doc", "h"]).select(F.col("key").alias("doc"), "doc_id", "text", "copies"), "keyed"), True
 
 
-def _heavy(cut: DataFrame) -> DataFrame:
-    """Anchors with more than a share of ``HEAVY`` of all segments, as ``g``. Each task counts those with half that share of its own, so
-    none is missed; by the sum of their counts there can be at most ``2 / HEAVY``."""
+def _heavy(cut: DataFrame, share: float) -> DataFrame:
+    """Anchors with more than a ``share`` of all segments, as ``g``. Each task counts those with half that share of its own, so hardly any
+    is missed; by the sum of their counts there can be at most twice the inverse of the share, a few for each shuffle partition."""
     total = cut.where(F.col("kind") == SEGMENT).count()
     counts = cut.where(F.col("kind") == COUNT).groupBy("g").agg(F.sum("place").alias("n"))
-    return counts.where(F.col("n") > total * HEAVY / 2).select("g")
+    return counts.where(F.col("n") > total * share / 2).select("g")
 
 
 def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
     """``doc_id, copy, copies, squeezed, runs``: every row (``doc_id``, ``text``) with its repeated windows as an array of first and last window
     start. A null id is ordered after all others. Of several rows of one id and one text, ``copy`` counts from 1."""
+    share = HEAVY / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed, several = _keyed(docs)
-    cut = materialise(keyed.select("doc", "text").mapInArrow(_cut(kind), _CUT), "cut")
-    segments_, heavy = cut.where(F.col("kind") == SEGMENT).drop("kind"), materialise(_heavy(cut), "heavy")
-    plain = segments_.join(F.broadcast(heavy), "g", "left_anti").repartition("g").sortWithinPartitions("g", "doc", "lo")
-    met = plain.select("g", "doc", "lo", "place").mapInArrow(_meet(kind), _MET)
+    cut = materialise(keyed.select("doc", "text").mapInArrow(_cut(kind, share), _CUT), "cut")
+    segments_, heavy = cut.where(F.col("kind") == SEGMENT).drop("kind"), materialise(_heavy(cut, share), "heavy")
+    plain = segments_.join(F.broadcast(heavy), "g", "left_anti").repartition("g").sortWithinPartitions("g", "doc", "place")
+    met = plain.select("g", "doc", "place").mapInArrow(_meet(kind), _MET)
     crowds = segments_.join(F.broadcast(heavy), "g", "left_semi").withColumn("crowded", F.lit(True))
-    wants = met.unionByName(crowds.select(*_MET.names)).groupBy("doc").agg(F.collect_list(F.struct("g", "lo", "place", "crowded")).alias("wants"))
+    wants = met.unionByName(crowds.select(*_MET.names)).groupBy("doc").agg(F.collect_list(F.struct("g", "place", "crowded")).alias("wants"))
     texts = keyed.select("doc", "doc_id", "copies", squeeze("text").alias("squeezed"))
     fetched = texts.join(wants, "doc").select("doc", "squeezed", "wants").mapInArrow(_fetch(kind), _TEXTS)
     spread = F.when(F.col("content").isNull(), F.xxhash64("doc")).otherwise(F.col("g"))
     found = fetched.repartition(spread, F.col("sub")).sortWithinPartitions("g", "sub", "doc", "lo").mapInArrow(_resolved(kind), _RUNS)
-    runs = cut.where(F.col("kind") == RUN).select("doc", "lo", F.col("place").alias("hi")).unionByName(found)
+    runs = cut.where(F.col("kind") == RUN).select("doc", F.col("place").alias("lo"), F.col("g").alias("hi")).unionByName(found)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = texts.join(runs, "doc", "left")
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))) if several else F.lit(1)

@@ -29,26 +29,18 @@ def extensions(left: np.ndarray, right: np.ndarray, i: int) -> tuple[np.ndarray,
 
 
 def resolve(groups: list[list[Row]], window: int) -> list[tuple[int, int, int]]:
-    """Runs ``(doc, first, last)`` of window starts that also stand in another segment of the group. Segments of the same words repeat each
-    other in whole; one of each stands for them in the extension."""
+    """Runs ``(doc, first, last)`` of window starts that also stand in another segment of the group."""
     out = []
     for group in groups:
-        alike: dict[bytes, list[Row]] = {}
-        for row in group:
-            alike.setdefault(row[4], []).append(row)
-        out += [row[:3] for rows in alike.values() if len(rows) > 1 for row in rows]
-        n = len(alike)
-        if n == 1:
-            continue
-        number: dict[bytes, int] = {}
-        words = [np.array([number.setdefault(w, len(number) + 1) for w in content.split()]) for content in alike]
-        lo, hi, da = (np.array([rows[0][i] for rows in alike.values()], np.int64) for i in (1, 2, 3))
+        n, number = len(group), {}
+        lo, hi, da = (np.array([row[i] for row in group], np.int64) for i in (1, 2, 3))
         run = hi - lo
         left, right = np.zeros((n, window), np.int64), np.zeros((n, window), np.int64)
-        for i in range(n):
-            back, ahead = words[i][: da[i]][::-1], words[i][da[i] : da[i] + window]
+        for i, row in enumerate(group):
+            words = np.array([number.setdefault(w, len(number) + 1) for w in row[4].split()])
+            back, ahead = words[: da[i]][::-1], words[da[i] : da[i] + window]
             left[i, : len(back)], right[i, : len(ahead)] = back, ahead
-        for i, rows in enumerate(alike.values()):
+        for i in range(n):
             el, er = extensions(left, right, i)
             el[i] = er[i] = 0
             # windows by the offset of the seed in them: what both segments hold, and both extensions reach
@@ -56,7 +48,7 @@ def resolve(groups: list[list[Row]], window: int) -> list[tuple[int, int, int]]:
             low = np.maximum(np.maximum(window - er, da - run), da[i] - run[i])
             hit = np.flatnonzero((low <= high) & (el + er >= window))
             for a, b in {(int(low[j]), int(high[j])) for j in hit}:
-                out += [(doc, int(first + da[i] - b), int(first + da[i] - a)) for doc, first, *_ in rows]
+                out.append((group[i][0], int(lo[i] + da[i] - b), int(lo[i] + da[i] - a)))
     return out
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from .repeats import Kind, Row, Sequence, removed, repeated_windows, unsqueeze
 
-LENGTH, GRAM = 100, 30
+#: Sorting costs little more for each further passage, so anchors stay whole for longer than by default.
+LENGTH, GRAM, HOT = 100, 30, 2000
 _CODES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -118,7 +119,7 @@ def read(text: str) -> Sequence:
 
 
 def kind_of(length: int = LENGTH, gram: int = GRAM, **limits: int) -> Kind:
-    return Kind(length, gram, True, True, read, resolve, **limits)
+    return Kind(length, gram, True, True, read, resolve, **{"hot": HOT, **limits})
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
