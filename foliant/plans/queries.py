@@ -730,7 +730,7 @@ def merge_figures(spark, d):
 
 @query("agreement")
 def agreement(spark, d):
-    c = _passes(spark, d, "verification").withColumns({"content": F.col("text"), "box": G.box(*[F.col(s) for s in G.SIDES]), "tokens": X.critical_tokens(F.col("text"))})
+    c = _passes(spark, d, "verification").withColumns({"markdown": F.lit(None).cast("string"), "box": G.box(*[F.col(s) for s in G.SIDES])})
     return reconcile.agreeing(c.where("source = 'draft'"), c.where("source = 'verification'"), ["page"]).select("page", "seq", "type")
 
 
@@ -814,7 +814,7 @@ def nest_cells(spark, d):
 
 @query("clean_ocr")
 def clean_ocr(spark, d):
-    return S.table(spark, d, "documents").select("doc_id", align.clean_ocr_output("text").alias("text"))
+    return align.clean_ocr(S.table(spark, d, "documents").select("doc_id", "text"), "text", "clean").select("doc_id", F.col("clean").alias("text"))
 
 
 @query("clean_labels")

@@ -3,7 +3,6 @@
 import random
 import re
 from difflib import SequenceMatcher
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("given", "want"), [("573-751-\n3334", "573-751-3334"), ("environ-\nmental", "environmental"), ("a­​b  c\r\n d", "ab c d"), ("", ""), ("A-\nB", "A- B")])
+@pytest.mark.parametrize(("given", "want"), [("40-22-\n  17", "40-22-17"), ("foot-\r\nnote", "footnote"), ("a­​b  c\r\n d", "ab c d"), ("", ""), ("A-\nB", "A- B")])
 def test_normalize_text(spark, given, want):
     assert one(spark, X.normalize_text(F.lit(given))) == want
 
@@ -31,11 +30,18 @@ def test_critical_tokens(spark):
     assert one(spark, X.critical_tokens(F.lit("plain words only"))) == []
 
 
-def test_labels():
-    assert X.drop_repeated_labels("<strong>A</strong><br/>b") == "**A**\nb"
-    assert X.drop_repeated_labels("Name:", "name") == ""
-    assert X.drop_repeated_labels("Name\nJohn", "Name") == "John"
-    assert X.drop_repeated_labels("Total - Total - 5") == "Total - 5"
+@pytest.mark.parametrize(("given", "heading", "want"), [
+    ("<strong>B</strong><BR />c", None, "**B**\nc"), ("Owner::", " owner ", ""), ("Owner\n  Jane", "OWNER", "Jane"), ("Owner:  Jane", "Owner", "Jane"), ("Owner Jane", "Owner", "Owner Jane"),
+    ("Sum – Sum – 7", None, "Sum – 7"), ("<p>x</p>", "y", "x"), (None, "y", None), ("", "y", ""), ("A\u200bB", "", "AB"), ("a – b – a", None, "a – b – a"), ("Straße\nx", "STRASSE", "x"),
+])
+def test_labels(spark, given, heading, want):
+    assert one(spark, X.clean_labels(F.lit(given).cast("string"), F.lit(heading).cast("string"))) == want
+
+
+def test_labels_follow_the_last_heading_that_is_left(spark):
+    rows = [(1, 1, "heading", "Name"), (1, 2, "text", "Name\nJohn"), (1, 3, "heading", "name:"), (1, 4, "text", "Name: "), (1, 5, "heading", "Age"), (1, 6, "text", "Name"), (2, 1, "text", "Name"), (2, 2, "text", None)]
+    got = {(r.page, r.seq): r.clean for r in align.with_clean_labels(spark.createDataFrame(rows, "page int, seq int, type string, text string"), ["page"]).collect()}
+    assert got == {(1, 1): "Name", (1, 2): "John", (1, 3): "", (1, 4): "", (1, 5): "Age", (1, 6): "Name", (2, 1): "Name", (2, 2): ""}
 
 
 def test_sanitizer():
@@ -92,11 +98,11 @@ def test_continued_tables_only_between_neighbours(spark):
 
 
 def test_costs(spark):
-    c = usage.model_cost(F.lit(1_000_000), F.lit(500_000), F.lit(1_000_000), F.lit(0.2), F.lit(1.2), F.lit(0.11))
-    assert one(spark, F.round(c, 6)) == 1.355
+    c = usage.model_cost(F.lit(2_000_000), F.lit(500_000), F.lit(3_000_000), F.lit(0.4), F.lit(1.5), F.lit(0.1))
+    assert one(spark, F.round(c, 6)) == 5.15
     zero = usage.model_cost(F.lit(100), F.lit(1000), F.lit(0), F.lit(2.0), F.lit(1.0), F.lit(0.0))
     assert one(spark, F.round(zero, 9)) == 0.0002  # cached cut to the input; a price of zero means the input's
-    assert one(spark, X.format_cost(F.lit(0.5))) == "$0.500000" and one(spark, X.format_cost(F.lit(5.855))) == "$5.8550"
+    assert one(spark, X.format_cost(F.lit(0.5))) == "$0.500000" and one(spark, X.format_cost(F.lit(7.25))) == "$7.2500"
 
 
 def test_calibration(spark):
@@ -118,50 +124,105 @@ def test_uncovered_ink(spark):
     assert quality.uncovered_ink(px, boxes, pages, ["page"]).first().uncovered == 0.5
 
 
-def chunk(**k):
-    base = dict(type="text", text="", status="candidate", exact=False, seq=1, left=0.0, top=0.0, right=1.0, bottom=1.0, score=0.5, parent_order=None, Index=0)
-    return SimpleNamespace(**(base | k))
-
-
-def test_suppression_prefers_status_then_length():
-    a = chunk(seq=1, text="the quick brown fox jumps over", status="verified")
-    b = chunk(seq=2, text="the quick brown fox jumps over it", status="candidate")
-    assert [c.seq for c in reconcile.suppress_page([a, b])] == [1]
-    far = chunk(seq=3, text=a.text, left=2.0, right=3.0)
-    assert [c.seq for c in reconcile.suppress_page([a, far])] == [1, 3]
-    long = chunk(seq=4, text="one two three four five six seven eight nine ten eleven twelve", status="candidate")
-    short = chunk(seq=5, text="one two three four five", status="candidate")
-    assert [c.seq for c in reconcile.suppress_page([short, long])] == [4]
-
-
-def test_region_dedup_keeps_the_better_in_place():
-    got = reconcile.dedup_regions_page([chunk(seq=1, score=0.5), chunk(seq=2, left=2.0, right=3.0), chunk(seq=3, score=0.9), chunk(seq=4, score=0.1)])
-    assert [r.seq for r in got] == [3, 2]
-
-
-def test_merge_keeps_drafts_as_spine():
-    drafts = [chunk(seq=1, text="d1", bottom=0.2), chunk(seq=2, text="d2", top=0.5, bottom=0.7, parent_order=1)]
-    cands = [chunk(seq=1, text="v1", bottom=0.21), chunk(seq=2, text="new", type="list", top=0.3, bottom=0.4, parent_order=1)]
-    got = [(c.text, s, parent) for c, s, _, parent in reconcile.merge_page(drafts, cands)]
-    assert got == [("v1", "verification", None), ("new", "verification", 1), ("d2", "draft", 1)]
+def chunks(spark, *given):
+    base = {"page": 1, "type": "text", "text": "", "status": "candidate", "exact": False, "left": 0.0, "top": 0.0, "right": 1.0, "bottom": 1.0, "score": 0.5, "parent_order": None, "source": "draft"}
+    rows = [{"seq": i, **base, **k} for i, k in enumerate(given, 1)]
+    ddl = "page int, seq int, type string, text string, status string, exact boolean, left double, top double, right double, bottom double, score double, parent_order int, source string"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in ddl.split(", ")) for r in rows], ddl)
+
+
+def test_suppression_prefers_status_then_length(spark):
+    kept = lambda *c: [r.seq for r in reconcile.suppress_duplicates(chunks(spark, *c), ["page"]).orderBy("seq").collect()]
+    a, b = {"text": "seven grey geese fly north again", "status": "verified"}, {"text": "seven grey geese fly north again!"}
+    assert kept(a, b) == [1] and kept(b, a) == [2] and kept(b, a | {"status": "candidate"}) == [1]
+    assert kept(a, b | {"left": 2.0, "right": 3.0}) == [1, 2] and kept(a, b | {"page": 2}) == [1, 2]
+    long, short = {"text": "one two three four five six seven eight nine ten eleven twelve"}, {"text": "one two three four five"}
+    assert kept(short, long) == [2] and kept(short | {"status": "verified"}, long) == [1, 2] and kept(short | {"type": "figure"}, long) == [1, 2]
+    assert kept({"text": "one two three four"}, long) == [1, 2] and kept({"text": None}, {"text": ""}) == [1, 2]
+
+
+def greedy(rows):
+    """The same, one chunk after the other, from the statement of D1."""
+    rank, kinds = {"verified": 2, "candidate": 1, "unresolved": 0}, reconcile.TYPE_RANK
+    words = lambda r: re.findall(r"\w+", r.text)
+    kept = []
+    for c in rows:
+        rivals = []
+        for k in kept:
+            x, y = sorted((c, k), key=lambda r: len(words(r)))
+            near = min(len(c.text), len(k.text)) / max(len(c.text), len(k.text)) >= 0.8 and SequenceMatcher(None, c.text, k.text, autojunk=False).ratio() >= 0.95
+            few = len(words(x))
+            inside = few >= 5 and sum(min(words(x).count(w), words(y).count(w)) for w in set(words(x))) / few >= 0.8 and not {c.type, k.type} & {"figure", "chart"}
+            longer, shorter = (c, k) if len(words(c)) >= len(words(k)) else (k, c)
+            if near or inside and rank[longer.status] >= rank[shorter.status]:
+                rivals.append((k, near))
+        winner = c
+        for k, near in rivals:
+            worth = lambda r: (rank[r.status], r.exact, kinds[r.type], len(r.text), -r.seq) if near else len(words(r))  # noqa: B023, E731
+            winner = k if worth(k) > worth(winner) else winner
+        kept = [k for k in kept if all(k is not r for r, _ in rivals)] + [winner]
+    return {r.seq for r in kept}
+
+
+def test_suppression_equals_a_greedy_pass(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choices("ant bee cat dog elk fox gnu hen".split(), k=rng.randint(6, 12))) for _ in range(4)]
+    made = []
+    for _ in range(60):
+        w = rng.choice(base).split()
+        w = w[: rng.randint(4, len(w))] + rng.choices(["", "", "owl"], k=1)
+        made.append({"page": rng.randint(1, 4), "text": " ".join(filter(None, w)), "status": rng.choice(["verified", "candidate", "unresolved"]), "exact": rng.random() < 0.3, "type": rng.choice(["text", "list", "figure", "heading"])})
+    df = chunks(spark, *made)
+    got = {r.seq for r in reconcile.suppress_duplicates(df, ["page"]).collect()}
+    rows = df.orderBy("seq").collect()
+    want = set().union(*(greedy([r for r in rows if r.page == p]) for p in range(1, 5)))
+    assert got == want and len(got) < 50
+
+
+def test_region_dedup_keeps_the_better_in_place(spark):
+    given = chunks(spark, {"score": 0.5}, {"left": 2.0, "right": 3.0}, {"score": 0.9}, {"score": 0.1})
+    assert [(r.seq, r.score) for r in reconcile.dedup_regions(given, ["page"]).orderBy("seq").collect()] == [(2, 0.5), (3, 0.9)]
+    assert [r.seq for r in reconcile.dedup_regions(given, ["page"], least_score=0.6).collect()] == [3]
+    with pytest.raises(Exception, match="more than 3 regions"):
+        reconcile.dedup_regions(given, ["page"], most=3).collect()
+
+
+def test_merge_keeps_drafts_as_spine(spark):
+    v = {"source": "verification"}
+    given = chunks(
+        spark, {"seq": 1, "text": "d1", "bottom": 0.2}, {"seq": 2, "text": "d2", "top": 0.5, "bottom": 0.7, "parent_order": 1}, {"seq": 1, "text": "v1", "bottom": 0.21, **v}, {"seq": 2, "text": "new", "type": "list", "top": 0.3, "bottom": 0.4, "parent_order": 1, **v},
+        {"seq": 3, "text": "low", "type": "list", "top": None, "parent_order": 3, **v},
+    )
+    got = [(r.text, r.source, r.source_seq, r.parent) for r in reconcile.merge_reconciled(given, ["page"]).orderBy("position").collect()]
+    assert got == [("v1", "verification", 1, None), ("new", "verification", 2, 1), ("d2", "draft", 2, 1), ("low", "verification", 3, None)]
     # a tie goes to the later draft
-    assert reconcile.match_drafts([chunk(), chunk()], [chunk()]) == {0: 1}
+    tie = reconcile.merge_reconciled(chunks(spark, {"seq": 1, "text": "a"}, {"seq": 2, "text": "b"}, {"seq": 1, "text": "v", **v}), ["page"]).orderBy("position").collect()
+    assert [r.text for r in tie] == ["a", "v"]
 
 
-def test_figure_groups_replace_what_they_cover():
-    rows = reconcile.merge_figures_page([chunk(text="a"), chunk(type="figure", text="f1", right=0.3), chunk(type="chart", text="f2", left=0.5)], [chunk(type="figure", text="g")])
-    assert [c.text for c, _ in rows] == ["a", "g"]
+def test_figure_groups_replace_what_they_cover(spark):
+    g = {"source": "group", "type": "figure"}
+    given = chunks(spark, {"text": "a", "bottom": 0.1}, {"type": "figure", "text": "f1", "right": 0.3}, {"type": "chart", "text": "f2", "left": 0.5, "parent_order": 3}, {"text": "z", "top": 0.95, "parent_order": 2}, {"text": "g", **g}, {"text": "far", "top": 0.5, "left": 2.0, "right": 3.0, **g}, {"text": "not", "source": "group"})
+    got = [(r.text, r.specialist, r.parent) for r in reconcile.merge_figures(given, ["page"]).orderBy("position").collect()]
+    assert got == [("a", False, None), ("g", True, None), ("far", True, None), ("z", False, 2)]
 
 
-def test_budget():
-    assert reconcile.spend_budget("balanced", [(True, True), (True, True), (True, False), (False, False)]) == ["verify+crop", "verify", "over budget", "none"]
+def test_agreement_looks_at_normalised_texts(spark):
+    ddl = f"page int, seq int, type string, text string, markdown string, box {BOX}"
+    at = (0.0, 0.0, 1.0, 1.0)
+    first = spark.createDataFrame([(1, 1, "text", "a\u200b" * 20, None, at), (1, 2, "text", " ", "only markdown here", at), (1, 3, "text", "call INV#77 now", None, at), (1, 4, "list", "same words", None, at), (1, 5, "text", "same words", None, None)], ddl)
+    second = spark.createDataFrame([(1, 1, "text", "a" * 20, None, at), (1, 2, "text", "only markdown here.", None, at), (1, 3, "text", "call INV#78 now", None, at), (1, 4, "text", "same words", None, at)], ddl)
+    assert {r.seq for r in reconcile.agreeing(first, second, ["page"]).collect()} == {1, 2}
 
 
-def test_ocr_cleanup():
-    assert align.clean_ocr("<|md_start|>a<|md_end|><|md_start|>a<|md_end|><|md_start|>b<|md_end|>") == "a\n\nb"
-    assert align.clean_ocr("```markdown\nx\n```") == "x"
-    long = "The same long sentence about forty characters"
-    assert align.clean_ocr(f"{long}\n{long}!\nType the text: no\nz") == long
+def test_ocr_cleanup(spark):
+    clean = lambda t: align.clean_ocr(spark.createDataFrame([(t,)], "t string"), "t", "x").first()["x"]
+    assert clean("<|md_start|>p<|md_end|><|md_start|> p <|md_end|><|md_start|>q<|md_end|>") == "p\n\nq"
+    assert clean("```html\ny\n```") == "y" and clean("a\n```\nb<|im_end|>") == "a\nb" and clean(None) is None and clean("") == ""
+    long = "A long sentence of more than forty characters in all"
+    assert clean(f"{long}\n{long}!\nAnswer the following question\nz") == long
+    assert clean(f"{long}\n{long[:20]}X{long[20:]}\n{long[:39]}") == f"{long}\n{long[:39]}"
+    assert clean("b\n\n\nc\nB") == "b\n\nc"
 
 
 def test_alignment(spark):
@@ -172,6 +233,11 @@ def test_alignment(spark):
     assert one(spark, align.word_match(F.lit("missing"), words)) is None and one(spark, align.word_match(F.lit("..."), words)) is None
 
 
+def overlap(a, b):
+    wide, high = (max(0.0, min(a[i + 2], b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+    return wide * high / min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
+
+
 def test_overlap_grid_equals_all_pairs(spark):
     random.seed(4)
     rows = []
@@ -180,12 +246,15 @@ def test_overlap_grid_equals_all_pairs(spark):
         rows.append((i % 2, i, (x, y, x + random.random() * 0.2 + 0.01, y + random.random() * 0.2 + 0.01)))
     df = spark.createDataFrame(rows, f"page int, seq int, box {BOX}")
     got = {(r.a, r.b) for r in quality.overlapping_pairs(df, ["page"]).collect()}
-    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and reconcile.overlap(p[2], q[2]) >= 0.5}
+    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and overlap(p[2], q[2]) >= 0.5}
     assert got == want and want
 
 
-def test_similarity_is_matching_blocks():
-    assert reconcile.similarity("abcd", "bcde") == SequenceMatcher(None, "abcd", "bcde", autojunk=False).ratio()
+def test_matching_is_the_ratio_of_matching_blocks():
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = ("".join(rng.choices("abc ", k=rng.randint(0, 12))) for _ in range(2))
+        assert reconcile.matching(x, y, 0.7) == (SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.7)
 
 
 def test_results_do_not_depend_on_partitions(spark):
