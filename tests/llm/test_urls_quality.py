@@ -112,36 +112,97 @@ def test_held_out_accuracy(spark):
 
 
 def test_estimation_recovers_accuracies():
+    """From votes alone: three groups of labellers that each know one kind of bad, and are wrong now and then."""
     rng = np.random.default_rng(14)
-    n, k = 20_000, len(quality.LABELLERS)
-    truth = rng.random(n) < 0.3
-    accuracy = np.linspace(0.65, 0.95, k)
-    votes = np.where(rng.random((n, k)) < accuracy, np.where(truth, 2, 1)[:, None], np.where(truth, 1, 2)[:, None])
-    votes[rng.random((n, k)) < 0.2] = 0
-    counts = Counter(quality.code(list(v)) for v in votes)
-    anchors = Counter((quality.code(list(v)), int(t)) for v, t in zip(votes[:500], truth[:500], strict=True))
-    post, share, _ = quality.estimate(dict(counts), dict(anchors))
+    n, names = 30_000, list(quality.LABELLERS)
+    kinds = list(quality.CLASSES)
+    truth = rng.choice(len(kinds), n, p=[0.7, 0.08, 0.07, 0.06, 0.09])
+    right = rng.uniform(0.93, 0.99, len(names))
+    votes = np.empty((n, len(names)), int)
+    for j, name in enumerate(names):
+        should = np.array([2 if name in quality.CLASSES[k] else 1 for k in kinds])[truth]
+        votes[:, j] = np.where(rng.random(n) < right[j], should, 3 - should)
+    votes[rng.random(votes.shape) < 0.1] = 0
+    post, share, prior = quality.estimate(dict(Counter(quality.code(list(v)) for v in votes)))
     said = np.array([post[quality.code(list(v))] > 0.5 for v in votes])
-    assert (said == truth).mean() > 0.95 and np.abs(share[0, :, 1] - accuracy).max() < 0.06
-
-
-def test_estimation_does_not_depend_on_size(spark, classified):
+    assert (said == (truth > 0)).mean() > 0.95 and np.abs(share[0, :, 1] - right).max() < 0.03 and abs(prior[0] - 0.7) < 0.03
+    for c, kind in enumerate(kinds[1:], 1):
+        for name in quality.CLASSES[kind]:
+            assert abs(share[c, names.index(name), 2] - right[names.index(name)]) < 0.12
+
+
+def brute_estimate(votes, rounds):
+    """The same step by step, a document at a time."""
+    names, classes = list(quality.LABELLERS), list(quality.CLASSES.values())
+    good = [[quality.TENDS if x in bad else quality.OTHERWISE for x in names] for bad in classes]
+    belief, prior = [list(g) for g in good], list(quality.CLASS_BELIEF)
+    for _ in range(rounds):
+        mass, said, cast, post = [0.0] * len(classes), [[0.0] * len(names) for _ in classes], [[0.0] * len(names) for _ in classes], {}
+        for v in votes:
+            like = [p * np.prod([(g if x == 1 else 1 - g) + 1e-9 for g, x in zip(row, v, strict=True) if x]) for p, row in zip(prior, good, strict=True)]
+            post[v] = [x / sum(like) for x in like]
+            for c, w in enumerate(post[v]):
+                mass[c] += w / len(votes)
+                for j, x in enumerate(v):
+                    cast[c][j] += (x > 0) * w / len(votes)
+                    said[c][j] += (x == 1) * w / len(votes)
+        weight = quality.BELIEF_WEIGHT
+        good = [[(s + weight * b) / (n + weight) for s, n, b in zip(*x, strict=True)] for x in zip(said, cast, belief, strict=True)]
+        prior = [(m + weight * b) / (1 + weight) for m, b in zip(mass, quality.CLASS_BELIEF, strict=True)]
+    return {v: 1 - p[0] for v, p in post.items()}, good, prior
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 7])
+def test_estimation_equals_brute_force(rounds):
+    rng = np.random.default_rng(15)
+    votes = [tuple(rng.choice([0, 1, 2], len(quality.LABELLERS), p=[0.2, 0.6, 0.2]).tolist()) for _ in range(120)]
+    post, share, prior = quality.estimate(dict(Counter(quality.code(list(v)) for v in votes)), rounds)
+    want, good, classes = brute_estimate(votes, rounds)
+    assert all(abs(post[quality.code(list(v))] - p) < 1e-6 for v, p in want.items())
+    assert np.allclose(share[:, :, 1], good, atol=1e-6) and np.allclose(prior, classes, atol=1e-6)
+
+
+def test_estimation_does_not_depend_on_size(classified):
     votes = Counter(r.votes for r in classified.values())
     counts = {quality.code(["?+-".index(v) for v in k]): float(n) for k, n in votes.items()}
-    labels = {r.doc_id: r for r in table(spark, DATA, "labels").collect()}
-    anchors = Counter((quality.code(["?+-".index(v) for v in classified[i].votes]), 1 if r.quality == 0 else 2 if r.toxic else 0) for i, r in labels.items())
-    small, big = (quality.estimate({k: n * f for k, n in counts.items()}, dict(anchors))[0] for f in (1, 10_000))
-    assert all(abs(small[k] - big[k]) < 1e-6 for k in small)
+    small, big = (quality.estimate({k: n * f for k, n in counts.items()})[0] for f in (1, 10_000))
+    assert all(abs(small[k] - big[k]) < 1e-9 for k in small)
     assert sum(n for k, n in counts.items() if big[k] > 0.5) < 0.4 * sum(counts.values())
 
 
-def test_cached_features_equal_plain_ones():
-    texts = ["Ünïcödé words, words; THE the *** a b x!!", "", "one", "vejuté vejuè loweiö (lowei) " * 3]
+def test_judge_equals_plain_features():
+    """Models on all features, looked up word by word, give what they give on all features of the text."""
+    texts = ["Ünïcödé words, words; THE the *** a b x!!", "", "one", "vejuté vejuè loweiö (lowei) " * 3, None]
+    model = lambda views: quality.Linear([f for v in views for f in range(v * quality.HASH_SIZE, (v + 1) * quality.HASH_SIZE, 2)], np.full(len(views) * quality.HASH_SIZE // 2, 0.1), -0.25)
+    abuse = [model([v]) for v in range(3)]
+    judge, scorer = quality.Judge(abuse, model(range(4))), model(range(4))
     for t in texts:
-        found = set(quality.features(t).tolist())
-        model = quality.Linear(np.arange(0, quality.HASH_SIZE, 2), np.ones(quality.HASH_SIZE // 2), -3.0)
-        x = -3.0 + sum(f % 2 == 0 for f in found)
-        assert model(*quality.described(t)) == pytest.approx(1 / (1 + np.exp(-x)))
+        votes, score = judge(t)
+        found = quality.features(t, votes)
+        assert score == pytest.approx(1 / (1 + np.exp(0.25 - 0.1 * sum(f % 2 == 0 for f in found.tolist()))))
+        for v in range(3):
+            own = [f for f in found.tolist() if f // quality.HASH_SIZE == v]
+            assert votes[len(quality.HEURISTICS) + v] == (2 if sum(f % 2 == 0 for f in own) * 0.1 > 0.25 else 1)
+        assert scorer(set(found.tolist())) == pytest.approx(score)
+
+
+def test_fit_equals_a_plain_fit(spark):
+    """Features chosen and weighted as a fit over dense columns on the driver does it."""
+    rng = np.random.default_rng(16)
+    target = (rng.random(400) < 0.3).astype(float)
+    rows = [sorted({int(f) for f in rng.choice(60, 12)} | ({100} if rng.random() < 0.1 + 0.8 * y else set()) | ({quality.HASH_SIZE + 5} if rng.random() < 0.6 - 0.5 * y else set())) for y in target]
+    df = spark.createDataFrame([(r, float(y)) for r, y in zip(rows, target, strict=True)], "features array<int>, target double")
+    model = quality.fit(df, (quality.WORDS, quality.FOUR))
+    base, chosen = target.mean(), []
+    for f in sorted({f for r in rows for f in r}):
+        has = np.array([f in r for r in rows])
+        if has.sum() >= 6 and abs((target[has].sum() - has.sum() * base) / np.sqrt(has.sum() * base * (1 - base))) >= 4:
+            chosen.append(f)
+    x = np.array([[f in r for f in chosen] + [True] for r in rows], float)
+    w = quality.logistic(x, target)
+    assert set(model.weights) == set(chosen) >= {100, quality.HASH_SIZE + 5}
+    assert all(abs(model.weights[f] - v) < 1e-4 for f, v in zip(chosen, w, strict=False)) and abs(model.bias - w[-1]) < 1e-4
+    assert set(quality.fit(df, (quality.FIVE,)).weights) == set() and quality.fit(df.limit(0), (0,)).bias == -9.0
 
 
 def test_patterns_round_trip():
