@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 #: Bytes of text that a Python worker expands into arrays at one time.
 SLICE_BYTES = 1 << 20
@@ -32,11 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, and any executor can be lost afterwards."""
+    """Write a table to the shared folder and read it again: cuts lineage, and any executor can be lost afterwards.
+
+    ``discard`` removes such a table once nothing reads it any more; ``clean_up`` removes all that this process wrote."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that no later step, nor a result that is still to be computed, reads."""
+    for t in tables:
+        if getattr(t, "_foliant_path", None) in _written:
+            _remove(t.sparkSession, t._foliant_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all materialised tables of this process: for callers whose results are written or collected."""
+    for path in list(_written):
+        _remove(spark, path)
 
 
 def sliced(sizes, limit: int = SLICE_BYTES):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     if not before[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        discard(last)
         after = _state(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

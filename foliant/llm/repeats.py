@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Symbols hashed at a time (positions must fit into 20 bits), segments and bytes of text collapsed at a time, segments of an
 #: anchor beyond which it is split into windows, rows of one anchor held at a time, bytes resolved at a time, and bytes of a document
 #: that one group of stretches spans.
-SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 1_500_000, 32 << 20, 200, 400_000, 1 << 19, 10
+SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 500_000, 8 << 20, 200, 400_000, 1 << 19, 10
 #: An anchor is heavy if it has more segments than this share of what a shuffle partition holds.
 HEAVY = 0.25
 NO_ID = (1 << 63) - 1
@@ -444,12 +444,15 @@ def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
     plain = segments_.join(F.broadcast(heavy), "g", "left_anti").repartition("g").sortWithinPartitions("g", "doc", "place")
     met = plain.select("g", "doc", "place").mapInArrow(_meet(kind), _MET)
     crowds = segments_.join(F.broadcast(heavy), "g", "left_semi").withColumn("crowded", F.lit(True))
-    wants = met.unionByName(crowds.select(*_MET.names)).groupBy("doc").agg(F.collect_list(F.struct("g", "place", "crowded")).alias("wants"))
+    own = cut.where(F.col("kind") == RUN).withColumn("crowded", F.lit(None).cast("boolean"))
+    met = materialise(met.unionByName(crowds.select(*_MET.names)).unionByName(own.select(*_MET.names)), "met")
+    discard(cut, heavy)
+    wants = met.where("crowded is not null").groupBy("doc").agg(F.collect_list(F.struct("g", "place", "crowded")).alias("wants"))
     texts = keyed.select("doc", "doc_id", "copies", squeeze("text").alias("squeezed"))
     fetched = texts.join(wants, "doc").select("doc", "squeezed", "wants").mapInArrow(_fetch(kind), _TEXTS)
     spread = F.when(F.col("content").isNull(), F.xxhash64("doc")).otherwise(F.col("g"))
     found = fetched.repartition(spread, F.col("sub")).sortWithinPartitions("g", "sub", "doc", "lo").mapInArrow(_resolved(kind), _RUNS)
-    runs = cut.where(F.col("kind") == RUN).select("doc", F.col("place").alias("lo"), F.col("g").alias("hi")).unionByName(found)
+    runs = met.where("crowded is null").select("doc", F.col("place").alias("lo"), F.col("g").alias("hi")).unionByName(found)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = texts.join(runs, "doc", "left")
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))) if several else F.lit(1)
