@@ -224,7 +224,7 @@ def votes_of(pattern: int) -> list[int]:
 #: What is believed before any vote is counted: the labellers that tend to vote bad in each class (the others, mostly good), how much the
 #: classes weigh, and how much the belief weighs beside all documents.
 CLASSES = {"good": (), "marks": ("symbols", "marked_words"), "shouting": ("capitals", "shouting"), "repeats": ("stutter", "variety"), "abuse": LABELLERS[-3:]}
-CLASS_BELIEF, BELIEF_WEIGHT, TENDS, OTHERWISE = (0.8, 0.04, 0.04, 0.04, 0.08), 0.02, 0.3, 0.95
+CLASS_BELIEF, BELIEF_WEIGHT, TENDS, OTHERWISE = (0.8, 0.04, 0.04, 0.04, 0.08), 0.02, 0.1, 0.95
 
 
 def estimate(counts: dict[int, float], rounds: int = 500) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
