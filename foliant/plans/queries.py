@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, routing, usage
+from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, usage
 from ..sources import fixtures as S
 from .catalogue import query
 
@@ -748,19 +748,75 @@ def call_budget(spark, d):
     return reconcile.within_budget(e, ["page"], "seq", mode).select("page", "seq", "may_verify", "may_crop")
 
 
-@query("chunk_resolution", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'verified' WHEN event_id % 3 = 0 THEN 'unresolved' WHEN event_id % 5 = 0 THEN 'candidate' WHEN event_id % 7 = 0 THEN 'verified' ELSE 'candidate' END AS status,
-CASE WHEN event_id % 2 = 0 THEN 'native_text' WHEN event_id % 3 = 0 THEN 'page_draft' WHEN event_id % 5 = 0 THEN 'presegmented' WHEN event_id % 7 = 0 THEN 'page_verification' WHEN event_id % 11 = 0 THEN 'page_draft' ELSE 'crop_verification' END AS source_pass FROM events""")
-def chunk_resolution(spark, d):
-    m = lambda k: F.col("event_id") % k == 0
-    return S.table(spark, d, "events").select("event_id", reconcile.resolution(m(2), ~m(3), m(5), m(7), m(11)).alias("r")).select("event_id", "r.status", "r.source_pass")
+#: Texts of page chunks, unlike each other; the last one has a critical token.
+_SAYINGS = ["alpha beta gamma", "lorem ipsum dolor sit", "", "one small step for us", "call INV77 now"]
+_OBSERVED = f"""WITH e AS (SELECT user_id AS page, event_id AS ord, list_extract(['text', 'list', 'figure'], CAST(event_id % 3 + 1 AS BIGINT)) AS type, list_extract({_SAYINGS}, CAST(event_id % 5 + 1 AS BIGINT)) AS text,
+  CASE WHEN event_id % 6 <> 0 THEN 0.1 * (event_id % 5) END AS l, 0.1 * (event_id % 4) AS t, list_extract(['economy', 'balanced', 'audit'], CAST(user_id % 3 + 1 AS BIGINT)) AS mode, user_id % 5 = 0 AS ready, user_id % 7 = 0 AS broken, user_id % 4 = 0 AS scan,
+  user_id % 2 = 1 AND event_id % 5 = 0 AS exact, event_id % 11 = 0 AS specialist, event_id % 2 = 0 AS second, list_extract({_SAYINGS}, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 5 ELSE (event_id + 1) % 5 END + 1 AS BIGINT)) AS draft_text FROM events),
+c AS (SELECT *, NOT ready AND (mode = 'audit' OR mode = 'balanced' AND page % 2 = 0) AS again, mode = 'audit' AND (contains(text, 'INV77')) AS precise FROM e),
+pairs AS (SELECT c.page, c.ord, d.ord AS draft, d.type AS d_type, d.text AS own, d.draft_text, d.l AS d_l, d.t AS d_t, d.type = c.type AND d.draft_text = c.text AND c.text <> '' AS same,
+  CASE WHEN d.l IS NULL THEN 1.0 ELSE greatest(0.0, least(c.l, d.l) + 0.3 - greatest(c.l, d.l)) * greatest(0.0, least(c.t, d.t) + 0.3 - greatest(c.t, d.t)) / 0.09 END AS overlap FROM c JOIN e d ON c.page = d.page WHERE c.again AND c.l IS NOT NULL),
+agreed AS (SELECT DISTINCT page, ord FROM pairs WHERE same AND d_l IS NOT NULL AND overlap >= 0.5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, ord ORDER BY round(overlap, 6) DESC, draft) AS rn FROM pairs) WHERE rn = 1),
+"""
 
 
-@query("crop_verdicts", """WITH l AS (SELECT user_id AS chunk, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v, count(*) AS attempts FROM events GROUP BY user_id)
-SELECT chunk, attempts, CASE WHEN t = 'error' THEN 'budget_exhausted' WHEN t = 'click' THEN 'invalid_box' WHEN t = 'view' AND v / 20 >= 0.92 THEN 'verified' WHEN t = 'signup' THEN 'scope_drift' ELSE 'disagreement' END AS outcome FROM l""")
+def _observed(spark, d):
+    """Chunks, pages and drafts of pages, from events."""
+    pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), (i + 1).cast("int"))
+    e, u = F.col("event_id"), F.col("user_id")
+    left, top = 0.1 * (e % 5), 0.1 * (e % 4)
+    box = G.box(left, top, F.when(e % 6 != 0, left + 0.3).otherwise(left), top + 0.3)
+    c = S.table(spark, d, "events").select(
+        u.alias("page"), e.alias("order"), pick(["text", "list", "figure"], e % 3).alias("type"), pick(_SAYINGS, e % 5).alias("text"), pick(_SAYINGS, e % 5).alias("markdown"), box.alias("box"),
+        (e % 2 == 0).alias("reconciled"), F.lit(False).alias("draft_fallback"), (e % 11 == 0).alias("specialist"), pick(_SAYINGS, F.when(e % 2 == 0, e % 5).otherwise((e + 1) % 5)).alias("draft_text"),
+    )
+    drafts = c.select("page", F.col("order").alias("seq"), "type", F.col("draft_text").alias("text"), F.lit("").alias("markdown"), "box")
+    mode, p = pick(["economy", "balanced", "audit"], F.col("page") % 3), F.col("page")
+    again = (p % 5 != 0) & ((mode == "audit") | ((mode == "balanced") & (p % 2 == 0)))
+    words = F.array(*[F.struct(F.lit(w).alias("text"), G.box(0.1 * i, 0.0, 0.1 * i + 0.1, 0.1).alias("box")) for i, w in enumerate(_SAYINGS[0].split())])
+    pages = c.select("page").distinct().select("page", mode.alias("mode"), (p % 5 == 0).alias("presegmented"), again.alias("reconciled_page"), (p % 7 == 0).alias("reconciliation_failed"), (p % 4 == 0).alias("scan_like"), F.when(p % 2 == 1, words).otherwise(F.slice(words, 1, 0)).alias("words"))
+    return c.drop("draft_text"), pages, drafts
+
+
+@query("chunk_resolution", _OBSERVED + """told AS (SELECT c.*, a.ord IS NOT NULL AND NOT specialist AS agree, b.draft, b.draft_text AS best_text FROM c LEFT JOIN agreed a ON a.page = c.page AND a.ord = c.ord AND NOT c.broken LEFT JOIN best b ON b.page = c.page AND b.ord = c.ord AND NOT c.specialist),
+k AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN l IS NULL AND scan AND text <> '' THEN 'kept' WHEN l IS NULL THEN 'lost' WHEN ready THEN 'single' WHEN again AND (agree OR specialist OR mode = 'audit' AND second) AND NOT precise THEN 'confirmed' WHEN again AND broken THEN 'failed' WHEN NOT again AND mode = 'economy' THEN 'single' ELSE 'crop' END AS kind,
+  draft IS NOT NULL AND (NOT precise OR best_text <> '') AS take FROM told)
+SELECT page, ord AS "order", CASE WHEN kind IN ('exact', 'confirmed') THEN 'verified' WHEN kind = 'lost' OR kind IN ('kept', 'failed') AND mode = 'audit' THEN 'unresolved' WHEN kind <> 'crop' THEN 'candidate' END AS status,
+  CASE WHEN kind = 'exact' THEN 'text_layer_exact' WHEN kind IN ('single', 'confirmed', 'failed') THEN 'vision_refined' END AS method, CASE WHEN kind = 'confirmed' THEN 'page_reconciliation' WHEN kind <> 'crop' THEN 'page_draft' END AS source_pass,
+  CASE kind WHEN 'kept' THEN 'invalid_draft_box,scan_fallback_used' WHEN 'lost' THEN 'invalid_draft_box' WHEN 'single' THEN 'single_model_candidate' WHEN 'failed' THEN 'page_reconciliation_failed' WHEN 'crop' THEN NULL ELSE '' END AS warnings,
+  CASE kind WHEN 'lost' THEN '' WHEN 'crop' THEN NULL ELSE text END AS text, CASE WHEN kind = 'crop' THEN CASE WHEN take THEN best_text ELSE text END END AS crop_text,
+  CASE WHEN kind = 'crop' THEN CASE WHEN take OR NOT again THEN 'page_draft' WHEN specialist THEN 'figure_reconciliation' ELSE 'page_reconciliation' END END AS crop_from, CASE WHEN kind = 'crop' THEN CASE WHEN again AND precise THEN 'precision_crop' ELSE 'crop_verification' END END AS crop_pass FROM k""")
+def chunk_resolution(spark, d):
+    out = resolve.settled(*_observed(spark, d), ["page"])
+    return out.select("page", "order", "said.status", "said.method", "said.source_pass", F.array_join("said.warnings", ",").alias("warnings"), "said.text", F.col("crop.text").alias("crop_text"), F.col("crop.source_pass").alias("crop_from"), F.col("crop.verified_pass").alias("crop_pass"))
+
+
+@query("crop_verdicts", f"""WITH w AS (SELECT user_id AS page, event_id AS ord, list_extract(['text', 'list', 'figure'], CAST(event_id % 3 + 1 AS BIGINT)) AS type, list_extract({_SAYINGS}, CAST(event_id % 5 + 1 AS BIGINT)) AS text, list_extract(['balanced', 'audit'], CAST(user_id % 2 + 1 AS BIGINT)) AS mode, user_id % 4 = 1 AS scan FROM events),
+a AS (SELECT *, unnest(range(1, ord % 4 + 1)) AS attempt FROM w),
+s AS (SELECT *, (ord + attempt) % 5 = 0 AS bad, (ord + attempt) % 3 = 0 AND (ord + attempt) % 7 <> 0 AND type <> 'figure' AS readable, attempt % 2 = 0 AND ord % 2 = 1 AS away, CASE WHEN (ord + attempt) % 7 = 0 THEN '' ELSE 'seen ' || CAST(attempt AS VARCHAR) END AS seen FROM a),
+k AS (SELECT *, CASE WHEN bad THEN 'invalid_box' WHEN readable AND NOT away THEN 'verified' WHEN readable THEN 'scope_drift' END AS kind FROM s),
+g AS (SELECT page, ord, arg_min(kind, attempt) FILTER (kind IS NOT NULL) AS kind, coalesce(arg_min(seen, attempt) FILTER (kind IS NOT NULL), arg_max(seen, attempt)) AS seen, count(*) AS calls FROM k GROUP BY page, ord),
+o AS (SELECT w.*, coalesce(calls, 0) AS calls, seen, CASE WHEN calls IS NULL THEN 'budget_exhausted' ELSE coalesce(kind, 'disagreement') END AS outcome, CASE WHEN text <> '' THEN text ELSE coalesce(seen, '') END AS best, CASE WHEN text <> '' THEN 'page_reconciliation' WHEN coalesce(seen, '') <> '' THEN 'crop_fallback' ELSE 'page_draft' END AS best_pass FROM w LEFT JOIN g ON w.page = g.page AND w.ord = g.ord),
+p AS (SELECT *, mode = 'balanced' OR scan AND best <> '' AS keep FROM o)
+SELECT page, ord AS "order", outcome, calls, CASE WHEN outcome = 'verified' THEN 'verified' WHEN outcome = 'budget_exhausted' AND mode <> 'audit' OR outcome <> 'budget_exhausted' AND keep AND mode <> 'audit' THEN 'candidate' ELSE 'unresolved' END AS status,
+  CASE outcome WHEN 'budget_exhausted' THEN text WHEN 'verified' THEN seen ELSE CASE WHEN keep THEN best ELSE '' END END AS text,
+  CASE outcome WHEN 'budget_exhausted' THEN 'page_reconciliation' WHEN 'verified' THEN 'precision_crop' ELSE CASE WHEN keep OR outcome = 'scope_drift' THEN best_pass ELSE 'page_draft' END END AS source_pass,
+  CASE outcome WHEN 'budget_exhausted' THEN 'verification_budget_exhausted' WHEN 'verified' THEN '' ELSE CASE outcome WHEN 'invalid_box' THEN 'invalid_verification_box' WHEN 'scope_drift' THEN 'verification_scope_drift' ELSE 'visual_disagreement' END || CASE WHEN keep AND scan THEN ',scan_fallback_used' ELSE '' END END AS warnings FROM p""")
 def crop_verdicts(spark, d):
-    verdict = F.when(F.col("event_type") == "view", "verified").when(F.col("event_type") == "signup", "scope_drift").otherwise("disagreement")
-    a = S.table(spark, d, "events").select(F.col("user_id").alias("chunk"), F.col("event_id").alias("attempt"), (F.col("event_type") == "error").alias("over_budget"), (F.col("event_type") != "click").alias("box_valid"), verdict.alias("verdict"), (F.col("value") / 20).alias("similarity"))
-    return reconcile.crop_verdicts(a, ["chunk"])
+    chunks, _, _ = _observed(spark, d)
+    box = G.box(0.2, 0.2, 0.6, 0.6)
+    mode = F.when(F.col("page") % 2 == 0, "balanced").otherwise("audit")
+    crop = F.struct("type", "text", F.lit("").alias("markdown"), box.alias("box"), F.lit("page_reconciliation").alias("source_pass"), F.lit("precision_crop").alias("verified_pass"))
+    wanted = chunks.select("page", "order", mode.alias("mode"), (F.col("page") % 4 == 1).alias("scan_like"), crop.alias("crop"))
+    n, k = F.col("order") + F.col("attempt"), F.col("attempt")
+    tries = chunks.select("page", "order", F.explode(F.expr("filter(sequence(1, 3), i -> i <= `order` % 4)")).alias("attempt"))
+    seen = F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("seen "), k.cast("string")))
+    at = F.when((k % 2 == 0) & (F.col("order") % 2 == 1), 0.0).otherwise(0.4)
+    inner = G.box(at, at, F.when(n % 5 == 0, at).otherwise(at + 0.2), at + 0.2)
+    tries = tries.select("page", "order", "attempt", seen.alias("text"), seen.alias("markdown"), inner.alias("box"), F.when(n % 3 == 0, "verified").otherwise("unresolved").alias("verdict"), G.box(0.0, 0.0, 0.8, 0.8).alias("crop_box"))
+    out = resolve.crop_results(wanted, tries, ["page"])
+    return out.select("page", "order", "outcome", "calls", "said.status", "said.text", "said.source_pass", F.array_join("said.warnings", ",").alias("warnings"))
 
 
 @query("region_outcomes", """WITH a AS (SELECT user_id AS page, event_id // 2 AS region, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2),
