@@ -6,10 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _written: list[str] = []
 
+#: Key of a document without an id, where only one has none.
+NO_ID = (1 << 63) - 1
 #: Bytes of text that a Python worker expands into arrays at one time.
 SLICE_BYTES = 1 << 20
 
@@ -64,6 +67,22 @@ def clean_up(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+def with_keys(docs: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a number in the column ``key`` that orders documents by id, null last, and whether numbers may repeat.
+
+    Where all ids differ and at most one is null, the id is the key. Else documents are numbered in the order of id and text hash; rows of one
+    id and one text (null like empty) share a number. Numbers are written down, so that a lost executor can't change them."""
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    if docs.groupBy(number.alias("d")).count().where("count > 1").isEmpty():
+        return docs.withColumn(key, number), False
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    named = {f"{key}_none": F.col(id_col).isNull(), f"{key}_id": number, f"{key}_text": text}
+    rows = docs.withColumns(named)
+    ordered = rows.select(*named).distinct().repartitionByRange(*named).sortWithinPartitions(*named)
+    numbered = materialise(ordered.withColumn(key, F.monotonically_increasing_id()), "keys")
+    return rows.join(numbered, list(named)).select(*docs.columns, key), True
+
+
 def sliced(sizes, limit: int = SLICE_BYTES):
     """Yield ``(start, end)`` runs of rows of at most ``limit`` bytes together; a larger row stands alone."""
     sizes, start, total = list(sizes), 0, 0

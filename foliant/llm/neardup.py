@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import discard, materialise, with_keys
 from .components import components
 from .simhash import fingerprint_links, shingle_hashes, signed, simhash, words_of
 
 SIZE, LEAST, SAMPLES, SAMPLED, RADIUS = 5, 0.8, 12, 3, 2
+#: Bytes of a shingle's hash when sets are compared: at 40 bits, texts of a million words have about one shingle in common by chance.
+WIDTH = 5
 #: Bytes of shingle hashes in a block of a group's members; a longer text stands alone.
 BLOCK_BYTES = 1 << 20
 _ORDERS = np.random.default_rng(9).integers(0, 1 << 64, (SAMPLES, 2), np.uint64) | np.uint64(1)
@@ -45,14 +47,17 @@ def sampled_prints(distinct: np.ndarray) -> list[int]:
 
 
 def short_hashes(text: str | None) -> bytes:
-    """All distinct shingles of a text as sorted 24-bit hashes, 3 bytes each."""
-    h = np.unique((shingle_hashes(words_of(text), SIZE) & np.uint64(0xFFFFFF)).astype(np.uint32))
-    return h.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """All distinct shingles of a text as sorted hashes of ``WIDTH`` bytes each."""
+    h = np.unique(shingle_hashes(words_of(text), SIZE) & np.uint64((1 << 8 * WIDTH) - 1))
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def wide(hashes: bytes) -> np.ndarray:
+    return np.pad(np.frombuffer(hashes, np.uint8).reshape(-1, WIDTH), ((0, 0), (0, 8 - WIDTH))).view("<i8").ravel()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
     """Similarity of two such sets; two empty ones are equal."""
-    wide = lambda x: np.pad(np.frombuffer(x, np.uint8).reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel()
     x, y = wide(a), wide(b)
     if not len(x) and not len(y):
         return 1.0
@@ -87,11 +92,10 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 def alike_pairs(nodes: np.ndarray, blocks: np.ndarray, apart: np.ndarray, hashes: list[bytes]) -> list[tuple[int, int]]:
     """Pairs that connect all alike members of one block, or of two blocks across them. ``apart``: distances to the first document
     of the group, which connects those that are alike to it."""
-    size = np.array([len(h) // 3 for h in hashes])
+    size = np.array([len(h) // WIDTH for h in hashes])
     order = np.lexsort((nodes, size))
     nodes, blocks, apart, size = nodes[order], blocks[order], apart[order], size[order]
-    flat = np.frombuffer(b"".join(hashes[i] for i in order), np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 256, 65536])
-    kinds, flat = np.unique(flat, return_inverse=True)
+    kinds, flat = np.unique(wide(b"".join(hashes[i] for i in order)), return_inverse=True)
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(len(nodes)), size)
     group = np.where(1 - apart >= LEAST, len(nodes), np.arange(len(nodes)))
@@ -162,37 +166,40 @@ def _starred(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.join(least, keys).where("node <> centre")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node`` and ``root``: every document that goes, and the document of its group (the least id) that stays.
+def duplicates(base: DataFrame) -> DataFrame:
+    """``node`` and ``root``: every document of ``base`` (``doc``, a number of its own; ``text``) that goes, and the document of its group, the one with the
+    least number, that stays.
 
-    Equal texts, up to A-Z case and blanks, are one node throughout. Rows with a null id are left alone. Documents
-    without words are copies of each other; one of fewer than five words has its whole sequence as its only shingle."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketch = materialise(base.select("doc_id", _sketch("text").alias("s")).select("doc_id", "s.*"), "sketch")
-    nodes = materialise(sketch.groupBy("words").agg(F.min(F.struct("doc_id", "fp", "samples")).alias("m")).select("words", F.col("m.doc_id").alias("node"), "m.fp", "m.samples"), "nodes")
-    copies = sketch.select("doc_id", "words").join(nodes.select("words", "node"), "words").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    Equal texts, up to A-Z case and blanks, are one node throughout. Documents without words are copies of each other; one of fewer
+    than five words has its whole sequence as its only shingle."""
+    sketch = materialise(base.select("doc", _sketch("text").alias("s")).select("doc", "s.*"), "sketch")
+    nodes = materialise(sketch.groupBy("words").agg(F.min(F.struct("doc", "fp", "samples")).alias("m")).select("words", F.col("m.doc").alias("node"), "m.fp", "m.samples"), "nodes")
+    copies = sketch.select("doc", "words").join(nodes.select("words", "node"), "words").where("doc <> node").select(F.col("doc").alias("u"), F.col("node").alias("v"))
     linked = components(fingerprint_links(nodes.select("fp").distinct(), RADIUS, "fp")).withColumnRenamed("node", "fp")
     whole = nodes.join(linked, "fp", "left").select("node", F.lit(SAMPLES).alias("way"), F.coalesce("root", "fp").alias("value"))
     ways = nodes.select("node", F.posexplode("samples").alias("way", "value")).unionByName(whole)
     stars = materialise(_starred(ways, ["way", "value"]), "stars")
     pairs = stars.select("node", "centre").distinct()
     needed = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
-    texts = base.select(F.col("doc_id").alias("node"), _shorts("text").alias("shorts")).join(needed, "node", "left_semi")
-    shorts = materialise(texts.dropDuplicates(["node"]), "shorts")
+    shorts = materialise(base.select(F.col("doc").alias("node"), "text").join(needed, "node", "left_semi").select("node", _shorts("text").alias("shorts")), "shorts")
 
     other = shorts.select(F.col("node").alias("centre"), F.col("shorts").alias("other"))
     measured = materialise(pairs.join(shorts, "node").join(other, "centre").select("node", "centre", _likeness("shorts", "other").alias("likeness")), "measured")
     inside = _compared(stars.join(measured, ["node", "centre"]), shorts)
     edges = measured.where(F.col("likeness") >= LEAST).select(F.col("node").alias("u"), F.col("centre").alias("v")).unionByName(inside)
-    return components(edges.unionByName(copies))
+    out = components(edges.unionByName(copies))
+    discard(sketch, nodes, stars, shorts, measured)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their own columns, one document (the least id) of each group of near-duplicates, and one
-    row of each id; rows with a null id all stay."""
-    gone = duplicates(docs, id_col, text_col).select(F.col("node").alias("_gone"))
-    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").agg(F.count("i"), F.count_distinct("i")).first()
-    if ids[0] != ids[1]:
-        named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        docs = named.unionByName(docs.where(F.col(id_col).isNull()))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` with their own columns, one document of each group of near-duplicates: the one with the least id (null is last) and,
+    among rows of one id, the least text hash. Null and empty texts are copies of each other. Of rows with one id and one text, one stays."""
+    key = "_neardup_key"
+    rows, several = with_keys(docs, id_col, text_col, key)
+    if several:
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        rows = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select(key, "row.*")
+        rows = materialise(rows, "rows")
+    gone = duplicates(rows.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))).select(F.col("node").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise
+from .common import discard, materialise, with_keys
 
 #: Symbols hashed at a time (positions must fit into 20 bits), segments and bytes of text collapsed at a time, segments of an
 #: anchor beyond which it is split into windows, rows of one anchor held at a time, bytes resolved at a time, and bytes of a document
@@ -39,7 +39,6 @@ from .common import discard, materialise
 SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 500_000, 8 << 20, 200, 400_000, 1 << 19, 10
 #: An anchor is heavy if it has more segments than this share of what a shuffle partition holds.
 HEAVY = 0.25
-NO_ID = (1 << 63) - 1
 _MULT = 0xD1342543DE82EF95
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
@@ -413,17 +412,12 @@ def _resolved(kind: Kind):
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``doc, doc_id, text, copies``: ``doc`` orders documents by id, null last, and stands for one text; ``copies``: rows of this id and
-    text. And whether any text has several copies."""
-    given = F.col("doc_id").cast("long")
-    base = docs.select(F.coalesce(given, F.lit(NO_ID)).alias("doc"), given.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return base.withColumn("copies", F.lit(1)), False
-    hashed = base.select("*", F.col("doc_id").isNull().alias("none"), F.md5(F.col("text").cast("binary")).alias("h"))
-    keys = hashed.groupBy("none", "doc", "h").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    keys = keys.repartitionByRange("none", "doc", "h").sortWithinPartitions("none", "doc", "h")
-    keys = materialise(keys.withColumn("key", F.monotonically_increasing_id()), "keys")
-    one = hashed.dropDuplicates(["none", "doc", "h"])
-    return materialise(one.join(keys, ["none", "doc", "h"]).select(F.col("key").alias("doc"), "doc_id", "text", "copies"), "keyed"), True
+    text. And whether any text may have several copies."""
+    rows, several = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", "doc")
+    if not several:
+        return rows.withColumn("copies", F.lit(1)), False
+    one = rows.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).cast("int").alias("copies"))
+    return materialise(one, "keyed"), True
 
 
 def _heavy(cut: DataFrame, share: float) -> DataFrame:

@@ -153,9 +153,9 @@ def test_near_copies_in_many_groups_of_one_template(spark, monkeypatch, block):
 
 def test_alike_pairs_connect_what_brute_force_does():
     rng = np.random.default_rng(12)
-    base = [rng.choice(1 << 24, 60, replace=False) for _ in range(6)]
-    sets = [np.unique(np.append(rng.permutation(base[i % 6])[: rng.integers(48, 61)], rng.integers(0, 1 << 24, 2))) for i in range(60)]
-    pack = lambda v: v.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    base = [rng.integers(0, 1 << 40, 60) for _ in range(6)]
+    sets = [np.unique(np.append(rng.permutation(base[i % 6])[: rng.integers(48, 61)], rng.integers(0, 1 << 40, 2))) for i in range(60)]
+    pack = lambda v: v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : neardup.WIDTH].tobytes()
     hashes, nodes = [pack(v) for v in sets], np.arange(60)
     apart = np.array([1 - neardup.jaccard(hashes[0], h) for h in hashes])
     want, got = Sets(), Sets()
@@ -174,10 +174,27 @@ def test_alike_pairs_connect_what_brute_force_does():
     assert {i: want.find(i) for i in range(60)} == {i: got.find(i) for i in range(60)}
 
 
-def test_keep_one_on_odd_rows(odd_docs, no_docs):
+def test_long_unlike_texts_are_not_alike():
+    rng = np.random.default_rng(17)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**9, 200_000)) for _ in range(2))
+    assert neardup.jaccard(neardup.short_hashes(a), neardup.short_hashes(b)) < 1e-4
+    assert neardup.jaccard(neardup.short_hashes(a), neardup.short_hashes(a)) == 1
+
+
+def test_keep_one_on_odd_rows(spark, odd_docs, no_docs):
     out = neardup.keep_one(odd_docs)
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == odd_docs.columns and None in ids
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 7, 9, 10, 11]  # 7 and 8 share 56 of 63 shingles
     assert neardup.keep_one(no_docs).count() == 0
     assert neardup.keep_one(odd_docs.where(F.col("doc_id").isNull())).count() == 1
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    """Texts of one id, or without one, are documents of their own: none is lost but to a near-duplicate."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (1, "g h i j k l", "y"), (None, "m n o p q r", "x"), (None, long, "x"), (2, long + " end", "x"), (None, "m n o p q r", "z"), (None, None, "x"), (None, "", "x"), (2**63 - 1, "s t u v w", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id, r.text or "") for r in neardup.keep_one(docs).collect())
+    assert got == sorted((i is None, i, t) for i, t in [(1, "a b c d e f"), (1, "g h i j k l"), (None, "m n o p q r"), (2, long + " end"), (None, ""), (2**63 - 1, "s t u v w")])
+    assert sorted(map(str, neardup.keep_one(docs).collect())) == sorted(map(str, neardup.keep_one(docs.repartition(5)).collect()))
