@@ -59,6 +59,13 @@ def polygon_box(points: Column) -> Column:
     return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
+def ocr_words(items: Column, width: Column, height: Column) -> Column:
+    """Array of ``text, confidence, box`` from recognised words ``text, confidence, points`` in pixels (S8): boxes around the points, cut to the page;
+    words without text, points or area are left out."""
+    told = F.transform(items, lambda w: F.struct(w["text"].alias("text"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), w["confidence"])).alias("confidence"), normalize_points(polygon_box(w["points"]), width, height).alias("box")))
+    return F.filter(told, lambda w: (F.coalesce(w["text"], F.lit("")) != "") & w["box"].isNotNull())
+
+
 def crop_to_page(crop: Column, inner: Column) -> Column:
     """A box within a crop as a box of the page, to eight places."""
     w, h = crop["right"] - crop["left"], crop["bottom"] - crop["top"]

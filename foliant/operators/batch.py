@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Suffixes of admitted files.
 PDF, IMAGES, OFFICE = ["pdf"], ["png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp"], ["docx", "pptx", "xlsx", "odt", "odp", "ods", "csv"]
+#: Limits of a file and of a batch.
 MOST_BYTES, MOST_PAGES, MOST_CANVAS, MOST_PIXELS = 200 << 20, 500, 4_000_000, 40_000_000
-BATCH_FILES, BATCH_BYTES = 20, 1 << 30
+BATCH_FILES, BATCH_BYTES, BATCH_WORKERS = 20, 1 << 30, 6
+#: Strategies that call a model with a key, and messages before a batch starts.
+AI_STRATEGIES = ("ai", "docling_ai", "pdf_inspector_ai")
+NO_ENGINE, TOO_MANY, TOO_LARGE = "Choose one processing engine.", "Choose no more than {} files.", "Combined upload size exceeds 1 GiB."
+PDF_ONLY, NO_VISION = "PDF Inspector strategies accept PDF files only.", "Choose a vision-capable Ollama model."
 #: Media types of office files.
 OFFICE_TYPES = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
@@ -60,11 +66,34 @@ def file_id(index: Column, name: Column, data: Column) -> Column:
 
 
 def batch_violations(files: DataFrame) -> DataFrame:
-    """Batches with too many files or bytes."""
+    """Batches with too many files or bytes."""
     g = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     return g.withColumn("violation", F.when(F.col("files") > BATCH_FILES, "too many files").when(F.col("bytes") > BATCH_BYTES, "too many bytes")).where("violation is not null")
 
 
+def preflight(batches: DataFrame, files: DataFrame) -> DataFrame:
+    """``batch_id, message``: everything that keeps a batch from starting.
+
+    ``batches``: ``batch_id, engine, strategy, key_name`` (the key that the model needs), ``has_key, local_ready``; ``files``: ``batch_id, filename, size`` and ``error``, what
+    admission found (null for files that it can't read yet)."""
+    ext = suffix(F.col("filename"))
+    g = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count_if(ext != "pdf").alias("others"))
+    b = batches.join(g, "batch_id", "left")
+    ai = F.col("strategy").isin(*AI_STRATEGIES)
+    said = F.array(
+        F.when(F.col("engine").isNull(), NO_ENGINE), F.when(F.col("files") > BATCH_FILES, F.lit(TOO_MANY.format(BATCH_FILES))), F.when(F.col("bytes") > BATCH_BYTES, TOO_LARGE),
+        F.when(F.col("strategy").startswith("pdf_inspector") & (F.col("others") > 0), PDF_ONLY), F.when(F.col("engine").isNotNull() & ai & ~F.col("has_key"), F.concat("key_name", F.lit(" is required."))),
+        F.when((F.col("engine") == "ollama") & ~F.col("local_ready"), NO_VISION),
+    )
+    own = b.select("batch_id", F.explode(F.array_compact(said)).alias("message"))
+    return own.unionByName(files.where("error is not null").select("batch_id", F.concat("filename", F.lit(": "), "error").alias("message")))
+
+
+def workers(files: Column, most: int = BATCH_WORKERS) -> Column:
+    """How many files of a batch are worked on at once."""
+    return F.least(F.greatest(files, F.lit(1)), F.lit(most))
+
+
 def outcomes(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Every request with its result or error, in the order asked (Q9)."""
     met = requests.join(results, "file_id", "left")

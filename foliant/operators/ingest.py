@@ -34,12 +34,35 @@ def cell_markdown(text: Column) -> Column:
     return text
 
 
+#: Warnings of the page inspector and of figures without a description.
+ENCODING_WARNING, FIGURE_WARNING = "PDF Inspector reported broken text encoding; selected pages may need OCR.", "figure description unavailable"
+
+
+def table_cells(items: DataFrame) -> DataFrame:
+    """Cells of layout tables: escaped text, place and spans (S14). ``items``: keys and ``cells``, an array of ``text, row, col, rowspan, colspan``; cells without text are left out."""
+    cell = F.col("c")
+    keep = [F.col(c) for c in items.columns if c != "cells"]
+    out = items.select(*keep, F.posexplode("cells").alias("ord", "c")).where(F.trim(F.coalesce(cell["text"], F.lit(""))) != "")
+    return out.select(*keep, "ord", cell_markdown(cell["text"]).alias("markdown"), F.coalesce(cell["row"], F.lit(0)).alias("row"), F.coalesce(cell["col"], F.lit(0)).alias("col"), F.coalesce(cell["rowspan"], F.lit(1)).alias("rowspan"), F.coalesce(cell["colspan"], F.lit(1)).alias("colspan"))
+
+
+def union_boxes(items: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``box``, around the boxes of all items; null where none has one."""
+    sides = items.groupBy(*keys).agg(F.min("box.left").alias("left"), F.min("box.top").alias("top"), F.max("box.right").alias("right"), F.max("box.bottom").alias("bottom"))
+    return sides.select(*keys, F.when(F.col("left").isNotNull(), F.struct("left", "top", "right", "bottom")).alias("box"))
+
+
 def page_markdown_blocks(pages: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """One block for each page with text, around all its positioned items (S16, S27). ``items``: ``box`` in shares of the page."""
-    sides = items.where("box is not null").groupBy(*keys).agg(F.min("box.left").alias("l"), F.min("box.top").alias("t"), F.max("box.right").alias("r"), F.max("box.bottom").alias("b"))
-    met = pages.where(F.trim(F.coalesce("markdown", F.lit(""))) != "").join(sides, keys, "left")
-    box = F.when(F.col("l").isNotNull(), F.struct(F.col("l").alias("left"), F.col("t").alias("top"), F.col("r").alias("right"), F.col("b").alias("bottom")))
-    return met.select(*keys, F.trim("markdown").alias("markdown"), box.alias("box"), F.when(F.col("l").isNotNull(), "grounded").otherwise("semantic_only").alias("grounding_status"))
+    met = pages.where(F.trim(F.coalesce("markdown", F.lit(""))) != "").join(union_boxes(items, keys), keys, "left")
+    return met.select(*keys, F.trim("markdown").alias("markdown"), "box", F.when(F.col("box").isNotNull(), "grounded").otherwise("semantic_only").alias("grounding_status"))
+
+
+def source_warnings(documents: DataFrame, figures: DataFrame) -> DataFrame:
+    """``doc_id, warning``, each once for a document: broken encoding (``documents``: ``broken_encoding``), figures without a description."""
+    broken = documents.where("broken_encoding").select("doc_id", F.lit(ENCODING_WARNING).alias("warning"))
+    bare = figures.where(F.coalesce(F.trim("description"), F.lit("")) == "").select("doc_id", F.lit(FIGURE_WARNING).alias("warning"))
+    return broken.unionByName(bare).distinct()
 
 
 def atomic_lines(lines: Column) -> Column:

@@ -25,6 +25,21 @@ def job_state(log: DataFrame) -> DataFrame:
     )
 
 
+def created(requests: DataFrame) -> DataFrame:
+    """First log rows of new jobs (T1): pending, without error, result or checkpoint. ``requests``: ``job_id, at`` and what describes the job; ids come from the caller, so that
+    a job that is asked for twice is one job."""
+    rest = [c for c in requests.columns if c not in ("job_id", "at")]
+    null = lambda kind: F.lit(None).cast(kind)
+    return requests.select("job_id", F.lit(0).cast("long").alias("seq"), "at", F.lit("created").alias("event"), null("string").alias("error"), null("string").alias("result"), null("long").alias("checkpoint"), *rest)
+
+
+def artifact_names(artifacts: DataFrame) -> DataFrame:
+    """``artifacts`` (``job_id, name``) with ``leaf``, the name that they may be saved under within the job's folder, or null and an ``error`` (T5)."""
+    leaf = F.regexp_extract(F.regexp_replace("name", r"[/\\\\]+$", ""), r"([^/\\\\]*)$", 1)
+    bad = (leaf == "") | leaf.isin(".", "..")
+    return artifacts.withColumns({"leaf": F.when(~bad, leaf), "error": F.when(F.coalesce(bad, F.lit(True)), "Artifact name must be a file name")})
+
+
 def recoverable(state: DataFrame) -> DataFrame:
     return state.where("status in ('pending', 'running')")
 

@@ -54,3 +54,9 @@ def sections(ranged: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_seq"))
     partial = ~F.coalesce(F.col("semantic_role").isin("title", "heading"), F.lit(False))
     return first.select("doc_id", "page", number.alias("section_number"), title.alias("title"), F.col("id").alias("start_reference"), "start", "end", partial.alias("partial"))
+
+
+def section_warnings(sections_: DataFrame) -> DataFrame:
+    """A line for each section that begins without a heading (Q3)."""
+    line = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(": no explicit heading; first grounded block used as a partial"))
+    return sections_.where("partial").select("doc_id", "page", line.alias("warning"))

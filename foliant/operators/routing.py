@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REFINE_BELOW, CONTEXT = 0.80, 6000
+REFINE_BELOW, CONTEXT, CONTEXT_GAP = 0.80, 6000, "\n\n"
 #: Chunk types as block type and role.
 BLOCK_TYPES = {"title": ("text", "title"), "heading": ("text", "heading"), "text": ("text", None), "list": ("text", "list"), "checkbox": ("text", "checkbox"), "table": ("table", None), "table_cell": ("text", "table_cell"), "form_field": ("text", "form_field"), "figure": ("figure", None), "chart": ("figure", "chart"), "header": ("marginalia", "header"), "footer": ("marginalia", "footer")}
-#: Layout labels by chunk type, and the prompts of each model family.
+#: Chunk types of layout labels, by the whole label or by what it contains, the first that fits; text for all others.
+LABEL_TYPES = (
+    ("is", "doc_title", "title"), ("is", "paragraph_title", "heading"), ("is", "section_title", "heading"), ("contains", "table", "table"), ("is", "chart", "chart"),
+    ("is", "image", "figure"), ("is", "seal", "figure"), ("contains", "header", "header"), ("is", "footer", "footer"), ("is", "page_number", "footer"),
+)
+#: Labels of visual regions, and the prompts of each model family by kind of region.
 FIGURES = ("chart", "image", "seal")
+PROMPTS = {
+    "glmocr": {"table": "Table Recognition:", "formula": "Formula Recognition:", "figure": "Figure Recognition:", "text": "Text Recognition:"},
+    "deepseekocr": {"table": "<|grounding|>Convert the document to markdown.", "formula": "<|grounding|>Convert the document to markdown.", "figure": "Parse the figure.", "text": "Free OCR."},
+    "paddleocr": {"table": "OCR:", "formula": "OCR:", "figure": "OCR:", "text": "OCR:"},
+}
 
 
 def needs_model(strategy: Column, confidence: Column, empty: Column, flagged: Column) -> Column:
@@ -19,12 +29,16 @@ def needs_model(strategy: Column, confidence: Column, empty: Column, flagged: Co
 
 
 def with_context(pages: DataFrame, size: int = CONTEXT) -> DataFrame:
-    """Pages with the last ``size`` characters of the pages before them and their own local text.
+    """Pages with ``before``, the last ``size`` characters of the pages before them in their document.
 
-    Each page carries at most ``size`` characters into the fold, so a document's state stays bounded."""
-    w = Window.partitionBy("doc_id").orderBy("page_seq").rowsBetween(-size, -1)
-    earlier = F.array_join(F.collect_list(F.right("text", F.lit(size))).over(w), "\n\n")
-    return pages.withColumn("before", F.right(earlier, F.lit(size)))
+    Pages lie on a line by where the next one begins; a range frame over that takes only those that reach into the last ``size``
+    characters, so a page costs as much as its context, wherever it stands."""
+    by_page = Window.partitionBy("doc_id").orderBy("page_seq")
+    placed = pages.withColumn("_next", F.sum(F.length("text") + len(CONTEXT_GAP)).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy("doc_id").orderBy("_next").rangeBetween(-size - len(CONTEXT_GAP), 0)
+    text = F.array_join(F.collect_list(F.right("text", F.lit(size))).over(near), CONTEXT_GAP)
+    said = placed.withColumn("_text", F.right(text, F.lit(size)))
+    return said.withColumn("before", F.coalesce(F.lag("_text").over(by_page), F.lit(""))).drop("_next", "_text")
 
 
 def block_type(kind: Column) -> Column:
@@ -51,18 +65,15 @@ def strategy_for(docling: Column, inspector: Column, ai: Column, local: Column)
 def chunk_type(label: Column) -> Column:
     """Chunk type of a layout label."""
     v = F.lower(label)
-    return (
-        F.when(v == "doc_title", "title").when(v.isin("paragraph_title", "section_title"), "heading").when(v.contains("table"), "table").when(v == "chart", "chart")
-        .when(v.isin("image", "seal"), "figure").when(v.contains("header"), "header").when(v.isin("footer", "page_number"), "footer").otherwise("text")
-    )
+    return F.coalesce(*[F.when(v == x if how == "is" else v.contains(x), t) for how, x, t in LABEL_TYPES], F.lit("text"))
 
 
 def ocr_prompt(family: Column, label: Column) -> Column:
-    """Prompt for a region, by model family."""
+    """Prompt for a region, by model family; null for a family that isn't known."""
     v = F.lower(label)
-    glm = F.when(v.contains("table"), "Table Recognition:").when(v.contains("formula"), "Formula Recognition:").when(v.isin(*FIGURES), "Figure Recognition:").otherwise("Text Recognition:")
-    deep = F.when(v.isin(*FIGURES), "Parse the figure.").when(v.contains("table") | v.contains("formula"), "<|grounding|>Convert the document to markdown.").otherwise("Free OCR.")
-    return F.when(F.lower(family) == "glmocr", glm).when(F.lower(family) == "deepseekocr", deep).when(F.lower(family) == "paddleocr", "OCR:")
+    kind = F.when(v.contains("table"), "table").when(v.contains("formula"), "formula").when(v.isin(*FIGURES), "figure").otherwise("text")
+    table = F.create_map(*[F.lit(x) for f, by in PROMPTS.items() for k, p in by.items() for x in (f"{f} {k}", p)])
+    return F.element_at(table, F.concat(F.lower(family), F.lit(" "), kind))
 
 
 def token_cap(label: Column, share: Column) -> Column:

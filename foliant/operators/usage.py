@@ -54,9 +54,20 @@ def costed(usage: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def batch_summary(outcomes: DataFrame, usage: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each file of a batch with its status and cost."""
-    cost = costed(usage_by(usage, "file_id", "model_id"), catalog).groupBy("file_id").agg(F.sum("cost").alias("cost"))
-    return outcomes.join(cost, "file_id", "left").withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise("completed"))
+    """Each file of a batch with its status, pages, engine, cost and error, and a last row with the total cost.
+
+    ``outcomes``: ``file_id, filename, pages, engine, ai_model, error``, failed if there is an error. A file without a model costs nothing that is known: null, as does
+    one whose model the catalog lacks (J13)."""
+    known = catalog.select(F.col("model_id").alias("ai_model"), F.lit(True).alias("known"))
+    cost = costed(usage_by(usage, "file_id", "model_id"), catalog).groupBy("file_id").agg(F.sum("cost").alias("spent"))
+    met = outcomes.join(known, "ai_model", "left").join(cost, "file_id", "left")
+    ok = F.col("error").isNull()
+    rows = met.select(
+        "file_id", "filename", F.when(ok, "Completed").otherwise("Failed").alias("status"), F.when(ok, F.col("pages")).cast("int").alias("pages"), F.when(ok, F.col("engine")).alias("engine"),
+        F.when(ok & F.col("known"), F.coalesce("spent", F.lit(0.0))).alias("cost"), F.coalesce("error", F.lit("")).alias("error"),
+    )
+    total = rows.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost")).select(*[F.lit("Total").cast("string").alias(c) if c == "filename" else F.col(c) if c == "cost" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    return rows.unionByName(total)
 
 
 def audit_summary(calls: DataFrame) -> DataFrame:

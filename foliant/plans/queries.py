@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, usage
+from ..sources import files
 from ..sources import fixtures as S
 from .catalogue import query
 
@@ -66,12 +67,72 @@ def stable_ids(spark, d):
     return _ranged(spark, d).select("doc_id", "seq", "type", "id")
 
 
-@query("range_checks", _BLOCKS + "SELECT doc_id, count(*) AS blocks, CAST(0 AS BIGINT) AS violations FROM ranged GROUP BY doc_id")
-def range_checks(spark, d):
+_BROKEN = _BLOCKS + """, texts AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) || '<!-- PAGE BREAK -->' || chr(10) || chr(10) ORDER BY page) || chr(10) || chr(10) || '<!-- doc_id=' || CAST(doc_id AS VARCHAR) || ' -->' AS whole FROM (SELECT doc_id, page, string_agg(markdown, chr(10) || chr(10) ORDER BY ord) AS t FROM blocks GROUP BY doc_id, page) GROUP BY doc_id),
+broken AS (SELECT r.*, start - CASE WHEN seq % 7 = 0 THEN 3 ELSE 0 END AS a, "end" + CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS z, whole FROM ranged r JOIN texts USING (doc_id))
+"""
+
+
+def _broken(spark, d):
+    """Ranged blocks, some of which begin too early or end too late, and the texts."""
     blocks = S.conversation_blocks(spark, d)
     ranged = assemble.with_ranges(blocks)
-    bad = assemble.range_violations(ranged, assemble.document_text(blocks)).groupBy("doc_id").count()
-    return ranged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks")).join(bad, "doc_id", "left").select("doc_id", "blocks", F.coalesce("count", F.lit(0)).cast("long").alias("violations"))
+    off = ranged.withColumns({"start": F.col("start") - F.when(F.col("seq") % 7 == 0, 3).otherwise(0), "end": F.col("end") + F.when(F.col("seq") % 5 == 0, 1).otherwise(0)})
+    return off, assemble.document_text(blocks)
+
+
+@query("range_checks", _BROKEN + """, told AS (SELECT doc_id, id, CASE WHEN z < a THEN 'range is reversed' WHEN a < lag(z) OVER (PARTITION BY doc_id ORDER BY seq) THEN 'ranges overlap' WHEN substr(whole, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) <> markdown THEN 'range does not hold its text' END AS violation FROM broken)
+SELECT * FROM told WHERE violation IS NOT NULL""")
+def range_checks(spark, d):
+    return assemble.range_violations(*_broken(spark, d))
+
+
+@query("atomic_checks", _BROKEN + """, told AS (SELECT doc_id, id, CASE WHEN "end" > length(whole) THEN 'range is outside document Markdown' END AS violation FROM broken
+UNION ALL SELECT doc_id, id, CASE WHEN a < start OR z > "end" THEN 'atomic grounding must be contained by its parent block' WHEN seq % 6 = 0 AND length(markdown) > 0 THEN 'atomic grounding text must match its Markdown ranges' END FROM broken)
+SELECT * FROM told WHERE violation IS NOT NULL""")
+def atomic_checks(spark, d):
+    off, texts = _broken(spark, d)
+    lines = off.select("doc_id", "id", F.lit(0).alias("line"), F.when(F.col("seq") % 6 == 0, F.concat("markdown", F.lit("?"))).otherwise(F.col("markdown")).alias("text"), "start", "end").where("length(text) <> 1 or text <> '?'")
+    return assemble.atomic_violations(texts, _ranged(spark, d), lines)
+
+
+@query("response_checks", _BROKEN + """, pages AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n FROM (SELECT DISTINCT doc_id, page FROM ranged)),
+docs AS (SELECT doc_id, length(whole) AS n, (SELECT count(*) FROM pages p WHERE p.doc_id = t.doc_id) AS pages FROM texts t),
+told AS (SELECT doc_id, 'document-1' AS id, CASE WHEN doc_id % 3 = 0 THEN 'output_characters must match Markdown Unicode code-point length' WHEN doc_id % 4 = 0 THEN 'page_count must match structure pages' END AS violation FROM docs
+UNION ALL SELECT doc_id, 'page-' || CAST(n AS VARCHAR) || '.', 'pages must be contiguous and ordered' FROM pages WHERE doc_id % 5 = 0 AND n = 2
+UNION ALL SELECT b.doc_id, b.id || CASE WHEN seq % 11 = 0 THEN '.' ELSE '' END, CASE WHEN seq % 9 = 0 THEN 'blocks must belong to their containing page' WHEN b.doc_id % 5 = 0 AND p.n = 2 THEN NULL WHEN seq % 13 = 0 THEN 'only table cells may be nested beneath a block' WHEN seq % 11 = 0 THEN 'public IDs must be stable <type>-<index> values' END
+  FROM broken b JOIN pages p ON b.doc_id = p.doc_id AND b.page = p.page)
+SELECT * FROM told WHERE violation IS NOT NULL""")
+def response_checks(spark, d):
+    ranged, texts = _ranged(spark, d), _broken(spark, d)[1]
+    w = Window.partitionBy("doc_id").orderBy("page")
+    pages = ranged.select("doc_id", "page").distinct().withColumn("n", F.row_number().over(w))
+    page_id = F.concat(F.lit("page-"), F.col("n").cast("string"), F.when((F.col("doc_id") % 5 == 0) & (F.col("n") == 2), ".").otherwise(""))
+    pages = pages.select("doc_id", F.col("n").alias("seq"), page_id.alias("id"), F.lit("page").alias("type"), "page", F.lit("document-1").alias("parent_id"))
+    odd = lambda k: F.col("seq") % k == 0
+    own = ranged.join(pages.select("doc_id", "page", F.col("id").alias("page_id")), ["doc_id", "page"])
+    first = own.groupBy("doc_id").agg(F.min_by("id", F.when(~odd(11), F.col("seq"))).alias("other"), F.min_by("page", F.when(~odd(11), F.col("seq"))).alias("other_page"))
+    own = own.join(first, "doc_id")
+    nested = odd(13) & ~odd(9) & ~((F.col("doc_id") % 5 == 0) & F.col("page_id").endswith("."))
+    blocks = own.select("doc_id", "seq", F.when(odd(11), F.concat("id", F.lit("."))).otherwise(F.col("id")).alias("id"), "type", F.when(odd(9), -1).when(nested, F.col("other_page")).otherwise(F.col("page")).alias("page"), F.when(nested, F.col("other")).otherwise(F.col("page_id")).alias("parent_id"))
+    told = assemble.response_violations(
+        texts.join(pages.groupBy("doc_id").count(), "doc_id").select("doc_id", "markdown", (F.length("markdown") + (F.col("doc_id") % 3 == 0).cast("int")).alias("output_characters"), (F.col("count") + (F.col("doc_id") % 4 == 0).cast("int")).alias("page_count")), pages.unionByName(blocks)
+    )
+    return told.where("not (id like 'page-%' and violation like 'blocks must%')")
+
+
+@query("metadata_checks", """WITH c AS (SELECT conv_id AS doc_id, CAST(max(turn) + 1 AS INTEGER) AS n FROM conversations GROUP BY conv_id),
+m AS (SELECT doc_id, 1 + doc_id % 4 - doc_id % 3 AS a, CASE WHEN doc_id % 9 <> 0 THEN n END AS z, n - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS pages, [1, 1 + doc_id % 4, n + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END] AS refined FROM c)
+SELECT doc_id, CASE WHEN z IS NULL THEN NULL WHEN a < 1 OR z < a THEN 'page_range must be ordered and one-based' WHEN z > pages THEN 'page_range cannot exceed source_page_count' WHEN len(list_filter(refined, lambda p: p < a OR p > z)) > 0 THEN 'ai_refined_pages must be within page_range' END AS violation FROM m""")
+def metadata_checks(spark, d):
+    c = S.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn") + 1).cast("int").alias("n"))
+    k, n = F.col("doc_id"), F.col("n")
+    refined = F.array(F.lit(1).cast("long"), 1 + k % 4, (n + (k % 11 == 0).cast("int")).cast("long"))
+    return c.select("doc_id", assemble.metadata_violation(1 + k % 4 - k % 3, F.when(k % 9 != 0, n), n - (k % 7 == 0).cast("int"), refined).alias("violation"))
+
+
+@query("section_warnings", _BLOCKS + "SELECT doc_id, page, 'Page ' || CAST(page AS VARCHAR) || ': no explicit heading; first grounded block used as a partial' AS warning FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS rn FROM ranged WHERE ord > 1) WHERE rn = 1")
+def section_warnings(spark, d):
+    return organize.section_warnings(organize.sections(_ranged(spark, d).where("ord > 1")))
 
 
 @query("node_export", _BLOCKS + """, b AS (SELECT doc_id, page, type, type || '-' || CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY seq) - 1 AS VARCHAR) AS node_id, start, "end" FROM ranged),
@@ -88,9 +149,10 @@ def export_json(spark, d):
     return export.export_json(nodes, assemble.document_text(blocks))
 
 
-@query("content_nodes", _BLOCKS + "SELECT doc_id, seq, id FROM ranged")
+@query("content_nodes", _BLOCKS + "SELECT doc_id, seq, type || '-' || CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY seq) - 1 AS VARCHAR) AS node_id FROM ranged")
 def content_nodes(spark, d):
-    return _ranged(spark, d).select("doc_id", "seq", "id")
+    nodes = export.export_nodes(_ranged(spark, d).withColumn("box", F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>")))
+    return export.content_nodes(nodes).select("doc_id", "seq", "node_id")
 
 
 @query("archive_manifest", """WITH e AS (SELECT page_id + 1 AS seq, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status, regexp_replace(url, '^.*/', '') AS leaf, page_id FROM pages),
@@ -192,7 +254,12 @@ def continued_tables(spark, d):
     return relations.continued_tables(t.select("doc_id", "page_seq", "ord", "id", "columns"))
 
 
-@query("all_relations")
+@query("all_relations", _BLOCKS + """, firsts AS (SELECT doc_id, page, id, length(markdown) % 3 AS columns, lead(page) OVER w AS to_page, lead(id) OVER w AS to_id, lead(length(markdown) % 3) OVER w AS to_columns FROM ranged WHERE ord = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+keyed AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n FROM (SELECT doc_id, page, id, trim(regexp_replace(replace(lower(markdown), 'ß', 'ss'), '\\s+', ' ', 'g')) AS key FROM ranged WHERE type = 'marginalia') WHERE key <> '')
+SELECT doc_id, page, id AS block_id, nullif(markdown, '') AS title, 'section_start' AS kind, NULL::INTEGER AS from_page, NULL::INTEGER AS to_page, NULL AS from_id, NULL AS to_id, NULL::INTEGER AS column_count, NULL::INTEGER AS first_page, NULL::INTEGER AS last_page, NULL AS warning FROM ranged WHERE semantic_role = 'heading'
+UNION ALL SELECT doc_id, page, id, NULL, 'repeated_marginalia', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM keyed WHERE n > 1
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'continued_table', page, to_page, id, to_id, columns, NULL, NULL, NULL FROM firsts WHERE to_page = page + 1 AND columns > 0 AND columns = to_columns
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'selection_boundary', NULL, NULL, NULL, NULL, NULL, 1, max(page), 'Pages outside the selected range were not inspected.' FROM ranged GROUP BY doc_id""")
 def all_relations(spark, d):
     b = _ranged(spark, d)
     docs = b.groupBy("doc_id").agg(F.max("page").alias("last_page")).withColumns({"first_page": F.lit(1), "source_page_count": F.col("last_page") + 1})
@@ -250,7 +317,23 @@ def native_words(spark, d):
 
 @query("union_boxes", _BOXES + "SELECT page, round(min(l), 6) AS l, round(min(t), 6) AS t, round(max(r), 6) AS r, round(max(b), 6) AS b FROM boxes GROUP BY page")
 def union_boxes(spark, d):
-    return S.embedding_boxes(spark, d).groupBy("page").agg(*[F.round(f(f"box.{s}"), 6).alias(s[0]) for f, s in ((F.min, "left"), (F.min, "top"), (F.max, "right"), (F.max, "bottom"))])
+    return ingest.union_boxes(S.embedding_boxes(spark, d), ["page"]).select("page", *[F.round(f"box.{s}", 6).alias(s[0]) for s in G.SIDES])
+
+
+@query("ocr_words", _BOXES + "SELECT seq, round(greatest(0.0, l * 700 / 612), 6) AS l, round(least(1.0, r * 700 / 612), 6) AS r, round(least(1.0, b), 6) AS b, least(1.0, greatest(0.0, seq % 7 / 5.0 - 0.2)) AS confidence FROM boxes WHERE seq % 5 <> 0 AND l * 700 / 612 < least(1.0, r * 700 / 612) AND t < least(1.0, b)")
+def ocr_words(spark, d):
+    b = F.col("box")
+    corner = lambda x, y: F.struct((b[x] * 700).alias("x"), (b[y] * 792).alias("y"))
+    word = F.struct(F.when(F.col("seq") % 5 != 0, "w").otherwise("").alias("text"), (F.col("seq") % 7 / 5.0 - 0.2).alias("confidence"), F.array(corner("right", "top"), corner("left", "top"), corner("left", "bottom"), corner("right", "bottom")).alias("points"))
+    w = S.embedding_boxes(spark, d).select("seq", F.explode(G.ocr_words(F.array(word), F.lit(612), F.lit(792))).alias("w"))
+    return w.select("seq", F.round("w.box.left", 6).alias("l"), F.round("w.box.right", 6).alias("r"), F.round("w.box.bottom", 6).alias("b"), "w.confidence")
+
+
+@query("crop_pixels", _BOXES + """, p AS (SELECT seq, greatest(0, CAST(trunc((l - (r - l) * 0.05) * 612) AS INTEGER)) AS x, greatest(0, CAST(trunc((t - (b - t) * 0.05) * 792) AS INTEGER)) AS y, CAST(trunc((r + (r - l) * 0.05) * 612) AS INTEGER) AS x2, CAST(trunc((b + (b - t) * 0.05) * 792) AS INTEGER) AS y2 FROM boxes)
+SELECT seq, x, y, least(612, greatest(x + 1, x2)) AS x2, least(792, greatest(y + 1, y2)) AS y2, CASE WHEN seq % 2 = 0 THEN 'pdf_points' ELSE 'image_pixels' END AS unit FROM p""")
+def crop_pixels(spark, d):
+    p = S.embedding_boxes(spark, d).select("seq", G.crop_pixels(F.col("box"), F.lit(612), F.lit(792)).alias("p"), G.source_unit(F.when(F.col("seq") % 2 == 0, "a.PDF").otherwise("a.png")).alias("unit"))
+    return p.select("seq", F.col("p.left").alias("x"), F.col("p.top").alias("y"), F.col("p.right").alias("x2"), F.col("p.bottom").alias("y2"), "unit")
 
 
 def _chunks(spark, d):
@@ -338,12 +421,15 @@ def first_write_ledger(spark, d):
     return usage.first_writes(S.table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("job_id"), "o_orderkey", "o_totalprice")
 
 
-@query("batch_summary", """WITH f AS (SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'completed' END AS status FROM orders),
-u AS (SELECT l_orderkey AS file_id, sum(floor(l_extendedprice)) AS i FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_orderkey) SELECT f.file_id, f.status, round(u.i * 2.0 / 1e6, 6) AS cost FROM f LEFT JOIN u ON f.file_id = u.file_id""")
+@query("batch_summary", """WITH f AS (SELECT o_orderkey AS file_id, 'f' || CAST(o_orderkey AS VARCHAR) AS filename, o_orderkey % 11 = 0 AS bad, CAST(o_orderkey % 9 + 1 AS INTEGER) AS pages, CASE WHEN o_orderkey % 5 <> 0 THEN 'model-' || CAST(o_orderkey % 5 - 1 AS VARCHAR) END AS model FROM orders),
+u AS (SELECT l_orderkey AS file_id, sum(floor(l_extendedprice)) * 2.0 / 1e6 AS spent FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_orderkey),
+r AS (SELECT f.file_id, filename, CASE WHEN bad THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN NOT bad THEN pages END AS pages, CASE WHEN NOT bad THEN 'ai' END AS engine, CASE WHEN NOT bad AND model IN ('model-0', 'model-1', 'model-2') THEN coalesce(spent, 0.0) END AS cost, CASE WHEN bad THEN 'broken' ELSE '' END AS error FROM f LEFT JOIN u ON f.file_id = u.file_id)
+SELECT file_id, filename, status, pages, engine, round(cost, 6) AS cost, error FROM r UNION ALL SELECT NULL, 'Total', NULL, NULL, NULL, round(sum(cost), 6), NULL FROM r""")
 def batch_summary(spark, d):
-    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.when(F.col("o_orderkey") % 11 == 0, "broken").alias("error"))
+    k = F.col("o_orderkey")
+    o = S.table(spark, d, "orders").select(k.alias("file_id"), F.concat(F.lit("f"), k.cast("string")).alias("filename"), (k % 9 + 1).cast("int").alias("pages"), F.lit("ai").alias("engine"), F.when(k % 5 != 0, F.concat(F.lit("model-"), (k % 5 - 1).cast("string"))).alias("ai_model"), F.when(k % 11 == 0, "broken").alias("error"))
     u = S.usage_ledger(spark, d).where("model_id = 'model-0'").select(F.col("job_id").alias("file_id"), "model_id", "input_tokens", F.lit(0).cast("long").alias("cached_input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
-    return usage.batch_summary(o, u, _catalog(spark)).select("file_id", "status", F.round("cost", 6).alias("cost"))
+    return usage.batch_summary(o, u, _catalog(spark)).withColumn("cost", F.round("cost", 6))
 
 
 @query("audit_calls", "SELECT 'm' || CAST(user_id % 3 AS VARCHAR) AS model, event_type AS status, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, round(avg(value), 6) AS mean_latency_ms FROM events GROUP BY 1, 2")
@@ -481,9 +567,36 @@ def file_id(spark, d):
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", batch.file_id(F.col("doc_id") % 20, F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".txt")), F.encode("text", "utf-8")).alias("file_id"))
 
 
-@query("content_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+@query("content_sha256", "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL")
 def content_sha256(spark, d):
-    return S.table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    found = S.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"), F.encode("text", "utf-8").alias("content"))
+    return files.hashes(found).withColumnRenamed("path", "doc_id")
+
+
+@query("preflight", """WITH f AS (SELECT l_orderkey AS batch_id, 'f' || CAST(l_linenumber AS VARCHAR) || CASE WHEN l_orderkey % 2 = 0 THEN '.pdf' ELSE '.png' END AS filename, CAST(round(l_extendedprice * 5000) AS BIGINT) AS size, CASE WHEN l_quantity > 48 THEN 'too_large' END AS error FROM lineitem),
+b AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderkey % 13 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'ollama' ELSE 'cloud' END END AS engine, list_extract(['ai', 'pdf_inspector_ai', 'docling'], CAST(o_orderkey % 3 + 1 AS BIGINT)) AS strategy, o_orderkey % 7 <> 0 AS has_key, o_orderkey % 5 <> 0 AS ready FROM orders),
+g AS (SELECT batch_id, count(*) AS n, sum(size) AS bytes FROM f GROUP BY batch_id), t AS (SELECT b.*, n, bytes FROM b LEFT JOIN g USING (batch_id))
+SELECT batch_id, 'Choose one processing engine.' AS message FROM t WHERE engine IS NULL UNION ALL SELECT batch_id, 'Choose no more than 20 files.' FROM t WHERE n > 20 UNION ALL SELECT batch_id, 'Combined upload size exceeds 1 GiB.' FROM t WHERE bytes > 1073741824
+UNION ALL SELECT batch_id, 'PDF Inspector strategies accept PDF files only.' FROM t WHERE strategy = 'pdf_inspector_ai' AND n > 0 AND batch_id % 2 = 1 UNION ALL SELECT batch_id, 'A_KEY is required.' FROM t WHERE engine IS NOT NULL AND strategy <> 'docling' AND NOT has_key
+UNION ALL SELECT batch_id, 'Choose a vision-capable Ollama model.' FROM t WHERE engine = 'ollama' AND NOT ready UNION ALL SELECT batch_id, filename || ': too_large' FROM f WHERE error IS NOT NULL""")
+def preflight(spark, d):
+    k = F.col("o_orderkey")
+    b = S.table(spark, d, "orders").select(k.alias("batch_id"), F.when(k % 13 != 0, F.when(k % 4 == 0, "ollama").otherwise("cloud")).alias("engine"), F.element_at(F.array(*map(F.lit, ["ai", "pdf_inspector_ai", "docling"])), (k % 3 + 1).cast("int")).alias("strategy"), F.lit("A_KEY").alias("key_name"), (k % 7 != 0).alias("has_key"), (k % 5 != 0).alias("local_ready"))
+    name = F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.when(F.col("l_orderkey") % 2 == 0, ".pdf").otherwise(".png"))
+    f = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch_id"), name.alias("filename"), F.round(F.col("l_extendedprice") * 5000).cast("long").alias("size"), F.when(F.col("l_quantity") > 48, "too_large").alias("error"))
+    return batch.preflight(b, f)
+
+
+@query("artifact_names", "WITH a AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN '..' WHEN page_id % 8 = 0 THEN url || '//' ELSE url END AS name FROM pages), l AS (SELECT page_id, regexp_extract(regexp_replace(name, '/+$', ''), '([^/]*)$', 1) AS leaf FROM a) SELECT page_id, CASE WHEN leaf NOT IN ('', '.', '..') THEN leaf END AS leaf, CASE WHEN leaf IN ('', '.', '..') THEN 'Artifact name must be a file name' END AS error FROM l")
+def artifact_names(spark, d):
+    name = F.when(F.col("page_id") % 9 == 0, "..").when(F.col("page_id") % 8 == 0, F.concat("url", F.lit("//"))).otherwise(F.col("url"))
+    return jobs.artifact_names(S.table(spark, d, "pages").select(F.col("page_id").alias("job_id"), name.alias("name"))).select(F.col("job_id").alias("page_id"), "leaf", "error")
+
+
+@query("new_jobs", "SELECT o_orderkey AS job_id, 'pending' AS status, o_orderdate AS created_at FROM orders")
+def new_jobs(spark, d):
+    log = jobs.created(S.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("at"), F.lit("ai").alias("engine")))
+    return jobs.job_state(log).select("job_id", "status", "created_at")
 
 
 @query("cache_shard", "SELECT doc_id, CAST(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) % 4 AS INTEGER) AS shard FROM documents WHERE text IS NOT NULL")
@@ -604,14 +717,15 @@ def consecutive_dedup(spark, d):
     return quality.consecutive_distinct(S.document_lines(spark, d), ["doc_id"], "ord", "line")
 
 
-@query("token_overlap", """WITH t AS (SELECT n_nationkey AS k, string_split(lower(n_name || ' ' || n_name || ' of the region ' || CAST(n_regionkey AS VARCHAR)), ' ') AS w FROM nation),
-u AS (SELECT k, unnest(w) AS w FROM t), c AS (SELECT k, w, count(*) AS n FROM u GROUP BY k, w),
-m AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2)
-SELECT m.a, m.b, round(CAST(common AS DOUBLE) / least(len(x.w), len(y.w)), 6) AS recall FROM m JOIN t x ON x.k = m.a JOIN t y ON y.k = m.b WHERE x.w[5] IS NOT NULL""")
+_BAG = "WITH t AS (SELECT doc_id AS id, 'd' AS side, {0} AS text FROM documents UNION ALL SELECT item_id, 'b', {0} FROM benchmark), w AS (SELECT id, side, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM t)"
+
+
+@query("token_overlap", _BAG.format(_NORMAL) + """, c AS (SELECT id, side, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT id, side, sum(n) AS n FROM c GROUP BY ALL),
+m AS (SELECT x.id AS doc_id, y.id AS item_id, sum(least(x.n, y.n)) AS common FROM c x JOIN c y ON x.word = y.word AND x.side = 'd' AND y.side = 'b' GROUP BY 1, 2)
+SELECT doc_id, item_id, round(CAST(common AS DOUBLE) / least(a.n, b.n), 6) AS recall FROM m JOIN s a ON a.id = doc_id AND a.side = 'd' JOIN s b ON b.id = item_id AND b.side = 'b' WHERE a.n >= 5 AND b.n >= 5 AND common >= 0.8 * least(a.n, b.n)""")
 def token_overlap(spark, d):
-    n = S.table(spark, d, "nation").select("n_nationkey", F.lower(F.concat("n_name", F.lit(" "), "n_name", F.lit(" of the region "), F.col("n_regionkey").cast("string"))).alias("t"))
-    pairs = n.select(F.col("n_nationkey").alias("a"), F.col("t").alias("x"), F.lit(1).alias("j")).join(n.select(F.col("n_nationkey").alias("b"), F.col("t").alias("y"), F.lit(1).alias("j")), "j").where("a < b")
-    return pairs.select("a", "b", F.round(quality.token_recall(pairs, "x", "y"), 6).alias("recall"))
+    docs, items = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return quality.token_overlap(docs, items).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("recall", 6).alias("recall"))
 
 
 @query("safe_stem", """WITH s AS (SELECT page_id, regexp_replace(url, '^.*/', '') AS leaf FROM pages), b AS (SELECT page_id, CASE WHEN contains(leaf, '.') THEN regexp_extract(leaf, '^(.*)\\.[^.]*$', 1) ELSE leaf END AS base FROM s),
@@ -621,7 +735,10 @@ def safe_stem(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.safe_stem(F.col("url")).alias("stem"))
 
 
-@query("plain_excerpt", "SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 360) AS excerpt FROM pages")
+_UNESCAPED = "regexp_replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
+@query("plain_excerpt", "SELECT page_id, substr(trim(regexp_replace(" + _UNESCAPED.format("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g')), 1, 360) AS excerpt FROM pages")
 def plain_excerpt(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.plain_excerpt(F.col("html")).alias("excerpt"))
 
@@ -636,9 +753,9 @@ def standalone_html(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.standalone_html(F.col("url"), X.sanitize_html("html")).alias("html"))
 
 
-@query("latin1_text")
+@query("latin1_text", "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents")
 def latin1_text(spark, d):
-    return S.table(spark, d, "documents").select("doc_id", X.latin1("text").alias("text"))
+    return S.table(spark, d, "documents").select("doc_id", X.latin1(F.col("text")).alias("text"))
 
 
 @query("report_lines")
@@ -657,23 +774,30 @@ def line_blocks(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.size(X.split_lines(F.col("text"))).cast("long").alias("n"))
 
 
-@query("figure_markup", """SELECT doc_id, '<figure type="chart"><description>' || replace(replace(replace(replace(replace(trim(substr(text, 1, 80)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</description></figure>' AS markup, false AS placeholder FROM documents""")
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query("figure_markup", "SELECT doc_id, '<figure type=\"chart\"><description>' || " + _ESCAPED.format("trim(text)") + " || '</description>' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || lang WHEN doc_id % 3 = 1 THEN chr(10) || 'A caption' ELSE '' END || '</figure>' AS markup FROM documents WHERE text IS NOT NULL")
 def figure_markup(spark, d):
-    m = X.figure_markup(F.lit("chart"), F.substring("text", 1, 80), F.lit(None).cast("string"))
-    return S.table(spark, d, "documents").select("doc_id", m.alias("markup"), (m == X.visual_placeholder(F.lit("chart"))).alias("placeholder"))
+    m = F.col("doc_id") % 3
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.figure_markup(F.lit("chart"), F.col("text"), F.when(m == 0, F.col("lang")), F.when(m == 1, "A caption")).alias("markup"))
+
+
+_VISUAL = "CASE doc_id % 5 WHEN 0 THEN '<figure type=\"figure\"><description>' || text || '</description></figure>' WHEN 1 THEN ' <FIGURE><Description>' || text || '</DESCRIPTION>' || chr(10) || '</figure> ' WHEN 2 THEN '<figure>' || text || '</figure>' WHEN 3 THEN '<figure><description>' || text ELSE text END"
 
 
-@query("semantic_visuals", "SELECT doc_id, doc_id % 2 = 0 AS semantic FROM documents WHERE text IS NOT NULL")
+@query("semantic_visuals", "SELECT doc_id, v LIKE '<figure%' AND v LIKE '%<description>%' AND v LIKE '%</description>%' AND v LIKE '%</figure>' AS semantic FROM (SELECT doc_id, lower(trim(regexp_replace(" + _VISUAL + ", '\\s+', ' ', 'g'))) AS v FROM documents WHERE text IS NOT NULL)")
 def semantic_visuals(spark, d):
-    m = F.when(F.col("doc_id") % 2 == 0, X.figure_markup(F.lit("figure"), F.col("text"), F.lit("seen"))).otherwise(F.col("text"))
-    return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.is_semantic_visual(m).alias("semantic"))
+    m, t = F.col("doc_id") % 5, F.col("text")
+    v = F.when(m == 0, F.concat(F.lit('<figure type="figure"><description>'), t, F.lit("</description></figure>"))).when(m == 1, F.concat(F.lit(" <FIGURE><Description>"), t, F.lit("</DESCRIPTION>\n</figure> "))).when(m == 2, F.concat(F.lit("<figure>"), t, F.lit("</figure>"))).when(m == 3, F.concat(F.lit("<figure><description>"), t)).otherwise(t)
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.is_semantic_visual(v).alias("semantic"))
 
 
-@query("fallback_content", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_NORMAL} ELSE 'second' END AS content, CASE WHEN doc_id % 2 = 0 THEN 'page_draft' ELSE 'crop_fallback' END AS source_pass FROM documents")
+@query("fallback_content", f"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_NORMAL} ELSE '' END AS own, CASE WHEN doc_id % 4 = 1 THEN 'md' ELSE '' END AS md, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS other FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN own <> '' OR md <> '' THEN own ELSE other END AS content, CASE WHEN own <> '' OR md <> '' THEN coalesce(nullif(md, ''), own) ELSE other END AS markdown, CASE WHEN own <> '' OR md <> '' THEN 'page_draft' WHEN other <> '' THEN 'crop_fallback' ELSE 'page_draft' END AS source_pass FROM n")
 def fallback_content(spark, d):
-    own = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(" ")
-    c = X.best_content(own, F.lit(""), F.lit("second"), F.lit(""))
-    return S.table(spark, d, "documents").select("doc_id", c["text"].alias("content"), c["source_pass"].alias("source_pass"))
+    k = F.col("doc_id")
+    c = X.best_content(F.when(k % 3 == 0, F.col("text")).otherwise(" "), F.when(k % 4 == 1, " md ").otherwise(""), F.when(k % 5 == 0, "").otherwise(F.col("lang")), F.lit(""))
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", c["text"].alias("content"), c["markdown"].alias("markdown"), c["source_pass"].alias("source_pass"))
 
 
 @query("fenced_json", "SELECT event_id, props FROM events")
@@ -900,9 +1024,10 @@ def layout_blocks(spark, d):
     return ingest.layout_blocks(_items(spark, d)).select("page", "seq", "type", "markdown", "semantic_role", "grounding_status", F.size("lines").alias("n_lines"))
 
 
-@query("table_cells", "SELECT page_id, replace(replace(replace(substr(html, 1, 120), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cell FROM pages")
+@query("table_cells", "SELECT page_id, CAST(ord - 1 AS INTEGER) AS ord, replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS markdown, CAST((ord - 1) % 4 AS INTEGER) AS row, CASE WHEN ord % 3 = 1 THEN 0 ELSE CAST(ord - 1 AS INTEGER) END AS col, CAST(1 + (ord - 1) % 2 AS INTEGER) AS rowspan, 1 AS colspan FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS c, generate_subscripts(string_split(html, chr(10)), 1) AS ord FROM pages) WHERE trim(c) <> ''")
 def table_cells(spark, d):
-    return S.table(spark, d, "pages").select("page_id", ingest.cell_markdown(F.substring("html", 1, 120)).alias("cell"))
+    cells = F.transform(F.split("html", "\n"), lambda c, i: F.struct(c.alias("text"), (i % 4).alias("row"), F.when(i % 3 != 0, i).alias("col"), (1 + i % 2).alias("rowspan"), F.lit(None).cast("int").alias("colspan")))
+    return ingest.table_cells(S.table(spark, d, "pages").select("page_id", cells.alias("cells")))
 
 
 @query("page_markdown", _BOXES + "SELECT page, round(min(l), 6) AS l, round(max(b), 6) AS b, 'grounded' AS grounding_status FROM boxes WHERE page % 2 = 0 GROUP BY page UNION ALL SELECT DISTINCT page, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'semantic_only' FROM boxes WHERE page % 2 = 1")

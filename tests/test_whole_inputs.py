@@ -37,7 +37,7 @@ def test_words_and_cells_are_those_of_whole_texts(spark, small):
     run = lambda name: catalogue.queries()[name](spark, small)
     grounded = run("ground_words").where("doc_id = 70")
     assert grounded.count() == 25 * 60
-    assert run("nest_cells").where("doc_id = 70").count() == 25 * 60
+    assert run("nest_cells").where("doc_id = 70 and nested").count() == 25 * 60
     words = queries._worded(spark, small)
     assert words.where("size(boxes) <> 1500").count() == 1  # the text with one more word
     assert words.where("exists(boxes, b -> b.box.right > 1)").count() == 0
