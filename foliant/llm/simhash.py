@@ -1,10 +1,11 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming radius through BK-trees.
 
-Two fingerprints within ``radius`` bits agree on all but ``radius`` of eight blocks of eight bits. Each distinct
-fingerprint is sent once to every way of leaving out that many blocks; fingerprints that meet there share the other
-bits, so that a shard holds at most ``2 ** (8 * radius)`` of them whatever the input. Each shard builds a BK-tree,
-children keyed by their distance to the parent, and follows only edges within the radius. It reports a spanning
-forest of its links, and a distributed connected-components step joins the shards.
+Of ``radius + 1`` blocks of bits, two fingerprints within the radius have at least one in common. Each distinct fingerprint is
+sent once for each block to the shard of those that share it. A shard builds a BK-tree, children keyed by their distance to the
+parent, and follows only edges within the radius. It reports a spanning forest of its links, and a distributed
+connected-components step joins the shards. Fingerprints of a shard with more than ``SHARD`` of them are sent on to all ways of
+leaving ``radius`` of eight blocks of eight bits out; what meets there shares all other bits, so that no tree holds more than
+``2 ** (8 * radius)`` fingerprints whatever the input.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import materialise
 from .components import components
 
 SEED, BLOCKS, WIDTH = 42, 8, 8
+#: Fingerprints of one BK-tree, beyond which they are dealt more finely.
+SHARD = 1 << 14
 _CHUNK = 1 << 15
 
 
@@ -145,22 +148,39 @@ def _shards(radius: int):
     return run
 
 
+def block_masks(radius: int) -> list[int]:
+    """Masks of ``radius + 1`` blocks that together are all 64 bits."""
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [signed((1 << b) - (1 << a)) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def fine_masks(radius: int) -> list[int]:
+    """Masks of all but ``radius`` of the eight blocks of eight bits, in every way."""
+    block = ((1 << WIDTH) - 1).__lshift__
+    return [signed(((1 << 64) - 1) ^ sum(block(WIDTH * b) for b in out)) for out in combinations(range(BLOCKS), radius)]
+
+
+def _sent(prints: DataFrame, masks: list[int], first_way: Column | int = 0, *keep: str) -> DataFrame:
+    """Rows ``way, shared, fp``: each fingerprint once for each mask, with the bits that the mask leaves."""
+    ways = F.array(*[F.struct((F.lit(i) + first_way).cast("int").alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(masks)])
+    return prints.select("fp", *keep, F.explode(ways).alias("s")).select("s.way", "s.shared", "fp", *keep)
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 2, col: str = "fingerprint") -> DataFrame:
     """Links ``u``, ``v`` that connect all distinct fingerprints within ``radius`` bits of each other (a spanning forest of
     each shard, not every pair). Nulls are left out."""
     if not 0 < radius < 4:
         raise ValueError("radius must be 1, 2 or 3")
-    masks = []
-    for left_out in combinations(range(BLOCKS), radius):
-        mask = (1 << 64) - 1
-        for b in left_out:
-            mask &= ~(((1 << WIDTH) - 1) << (WIDTH * b))
-        masks.append(signed(mask & ((1 << 64) - 1)))
     one = prints.select(F.col(col).alias("fp")).where("fp is not null").distinct()
-    ways = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("way"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(masks)]))
-    sent = one.select("fp", ways.alias("s")).select("s.way", "s.shared", "fp")
-    sent = sent.repartition("way", "shared").sortWithinPartitions("way", "shared", "fp")
-    return sent.mapInArrow(_shards(radius), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+    coarse, fine = block_masks(radius), fine_masks(radius)
+    sent = _sent(one, coarse)
+    large = sent.groupBy("way", "shared").count().where(F.col("count") > SHARD).drop("count")
+    again = sent.join(large, ["way", "shared"], "left_semi").select("fp", F.col("way").alias("block"), F.col("shared").alias("held"))
+    again = _sent(again, fine, (F.col("block") + 1) * len(fine), "held")
+    again = again.select("way", F.col("shared").bitwiseOR(F.col("held")).alias("shared"), "fp")
+    shards = sent.join(large, ["way", "shared"], "left_anti").select("way", "shared", "fp").unionByName(again)
+    shards = shards.repartition("way", "shared").sortWithinPartitions("way", "shared", "fp")
+    return shards.mapInArrow(_shards(radius), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
 def hex_print(col: str) -> Column:

@@ -37,22 +37,33 @@ def test_bk_tree_finds_all_within_radius():
         assert sorted(tree.near(v, 2)) == sorted(x for x in values if (x ^ v).bit_count() <= 2)
 
 
-def test_links_connect_what_brute_force_does(spark):
+@pytest.mark.parametrize(("shard", "radius"), [(simhash.SHARD, 2), (5, 2), (0, 2), (5, 1), (7, 3)])
+def test_links_connect_what_brute_force_does(spark, monkeypatch, shard, radius):
+    """Also where shards are dealt more finely."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
     random.seed(9)
     base = [random.getrandbits(64) for _ in range(30)]
+    base += [base[0] & ~0xFFFF | random.getrandbits(16) for _ in range(20)]
     values = [b ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for b in base for _ in range(12)] + base
     want, got = Sets(), Sets()
     for a, b in itertools.combinations(set(values), 2):
-        if (a ^ b).bit_count() <= 2:
+        if (a ^ b).bit_count() <= radius:
             want.join(a, b)
     rows = spark.createDataFrame([(simhash.signed(v),) for v in values], "fingerprint long").repartition(5)
-    for r in simhash.fingerprint_links(rows).collect():
+    for r in simhash.fingerprint_links(rows, radius).collect():
         a, b = r.u & (2**64 - 1), r.v & (2**64 - 1)
-        assert (a ^ b).bit_count() <= 2
+        assert (a ^ b).bit_count() <= radius
         got.join(a, b)
     assert {v: want.find(v) for v in values} == {v: got.find(v) for v in values}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_masks(radius):
+    masks = [m & (2**64 - 1) for m in simhash.block_masks(radius)]
+    assert sum(masks) == 2**64 - 1 and len(masks) == radius + 1
+    assert all(bin(m & (2**64 - 1)).count("1") == 64 - 8 * radius for m in simhash.fine_masks(radius)) and len(set(simhash.fine_masks(radius))) == len(simhash.fine_masks(radius))
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_equal_union_find(spark, seed):
     random.seed(seed)
