@@ -1,9 +1,11 @@
 import array
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliant.llm import mixing, pack, queries, tokens
@@ -107,9 +109,22 @@ def test_hot_length_is_ranked_in_groups(spark, monkeypatch):
         assert at <= 128
 
 
-def test_pack_odd_rows(odd_docs, no_docs, tokenizer):
-    rows = pack.pack(odd_docs.where("doc_id <> 9 and doc_id is not null")).collect()
-    check_packing(rows, {r.doc_id: r.text for r in odd_docs.where("doc_id <> 9 and doc_id is not null").collect()}, tokenizer)
+def test_pack_odd_rows(spark, odd_docs, no_docs, tokenizer):
+    """Repeated rows, and rows without an id, are packed once each: as many pieces of each kind as brute force has, in sequences without gaps."""
+    extra = spark.createDataFrame([(None, "another one without an id"), (None, "no id here"), (9, "of the same id"), (2**63 - 1, "x" * 9000)], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(extra)
+    rows = pack.pack(docs).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.update((r.doc_id, *p) for p in pack.pieces_of(array.array("I", ids).tobytes(), 1024))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    fill = defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for places in fill.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 1024
     assert pack.pack(odd_docs.where("doc_id = 9")).count() == 2 and pack.pack(no_docs).count() == 0
 
 
@@ -165,7 +180,60 @@ def test_mixed_rows_keep_every_document(spark, odd_docs, no_docs):
     assert mixing.mixed_rows(no_docs).count() == 0
 
 
+def brute_mix(spark, docs, target=mixing.TARGET_ENTROPY, most_repeats=mixing.MOST_REPEATS):
+    """The mixture a document at a time. Only hashes come from Spark."""
+    seed, unit = mixing.SEED, 64**4
+    at = lambda i, *c: F.xxhash64(*c, F.lit(seed + i))
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("print")).select("*", at(0, "doc_id", "print").alias("h"), *[at(1, "doc_id", "print", F.lit(e)).alias(f"e{e}") for e in range(4)]).collect()
+    size = lambda t: max(1, len(re.findall(r"[^ \t-\r]+", t or "")))
+    total = Counter()
+    for r in rows:
+        total[r.source] += size(r.text)
+    whole = sum(total.values())
+
+    def even(t):
+        w = [(n / whole) ** t for n in total.values()]
+        return round(-sum(x / sum(w) * math.log(x / sum(w)) for x in w), 9) >= round(target * math.log(len(w)), 9)
+
+    if len(total) < 2:
+        tau = 1.0
+    else:
+        low, high = 0, unit
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if even(mid / unit) else (low, mid - 1)
+        a, b = 0, unit
+        while a < b:
+            mid = (a + b) // 2
+            a, b = (a, mid) if (min(total.values()) / max(total.values())) ** (mid / unit - 1) <= most_repeats + 1e-12 else (mid + 1, b)
+        tau = max(low, a) / unit
+    top = max(total.values())
+    raised = {s: (n / top) ** tau for s, n in total.items()}
+    out = []
+    for s, n in total.items():
+        budget, blocks = max(n, math.floor(raised[s] * top + 0.5)), -(-n // mixing.BLOCK_TOKENS)
+        order = {(r.b, e): r[f"o{e}"] for r in spark.range(blocks).select(F.col("id").alias("b"), *[at(2, "id", F.lit(e)).alias(f"o{e}") for e in range(4)]).collect() for e in range(4)}
+        own = [r for r in rows if r.source == s]
+        for epoch in range(-(-budget // n)):
+            place = epoch * n
+            for r in sorted(own, key=lambda r: (order[r.h % blocks, epoch], r.h % blocks, r[f"e{epoch}"], r.doc_id, r.print)):
+                k = size(r.text)
+                if epoch == 0 or place + k <= budget:
+                    out.append((r.doc_id, s, k, round(raised[s] / sum(raised.values()), 9), epoch, place, round(place / budget, 9)))
+                place += k
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("block", "options"), [(1 << 20, {}), (40, {}), (40, {"target": 0.99, "most_repeats": 3.5}), (25, {"target": 0.5, "most_repeats": 1.2})])
+def test_mixture_equals_brute_force(spark, monkeypatch, block, options):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", block)
+    docs = skewed(spark, 300).unionByName(spark.createDataFrame([(900, None, "no source", "en", 9), (901, "lone", None, "en", 0), (902, None, "x y z", "en", 5)], "doc_id long, source string, text string, lang string, n_chars long"))
+    got = Counter((r.doc_id, r.source, r.tokens, round(r.weight, 9), r.epoch, r.position, round(r.place, 9)) for r in mixing.mix(docs, **options).collect())
+    assert got == brute_mix(spark, docs, **options) and sum(got.values()) >= 303
+
+
 def test_query_mixing(spark):
     docs = table(spark, DATA, "documents")
     rows = queries.op3_mixing(spark, DATA).collect()
+    assert Counter((r.doc_id, r.source, r.tokens, round(r.weight, 9), r.epoch, r.position, round(r.place, 9)) for r in rows) == brute_mix(spark, docs)
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}

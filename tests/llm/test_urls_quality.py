@@ -4,6 +4,7 @@ from urllib.parse import urlsplit
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import quality, queries, urls
 from foliant.llm.common import table
@@ -64,6 +65,14 @@ def test_rule_table_equals_rule_list(spark):
     assert {r.page_id: r.verdict for r in urls.judge_urls(pages(spark), queries.RULES, extra).collect()}[6] == "block"
 
 
+def test_clashing_columns(spark):
+    """Columns of the names that the operator uses inside make no difference."""
+    df = pages(spark)
+    clash = df.withColumns({c: F.lit("z") for c in ("host", "path", "rule", "said", "root", "verdict", "u", "v", "href", "node", "fit", "handed", "blocked", "allowed", "rest")})
+    for rules in (queries.RULES, spark.createDataFrame(queries.RULES, "host string, path string, verdict string")):
+        assert Counter(map(tuple, urls.judge_urls(clash, rules).collect())) == Counter(map(tuple, urls.judge_urls(df, rules).collect()))
+
+
 def test_no_pages(spark):
     assert urls.judge_urls(pages(spark).limit(0), queries.RULES).count() == 0
 
