@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before kept; all but the last return the
 columns of ``documents``. ``run`` writes each stage's rows to shared storage and reads them again for the next.
+
+In every stage nulls in any column pass, a null text counts as empty, rows that repeat an id (or have none) are documents of their own, an empty
+table gives an empty result, and columns of any name stay as they are. Ties are settled by the hash of id and text.
 """
 
 from __future__ import annotations
@@ -18,22 +21,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one with the least id (null last) and text hash. Rows alike in both are one."""
     return neardup.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; no document goes."""
+    """Secrets are replaced in the texts; no document goes, and repeated rows stay."""
     return secrets.redact_secrets(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources below their target weight are repeated; every document stays."""
+    """Sources below their target weight are repeated; every document stays. A null source is one of its own."""
     return mixing.mixed_rows(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens, placed into sequences."""
+    """All tokens, placed into sequences; repeated rows are packed once each."""
     return pack.pack(docs)
 
 
