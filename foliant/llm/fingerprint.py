@@ -242,12 +242,13 @@ def bucket(value: Column, bounds: list[int]) -> Column:
     return (first + F.size(F.filter(F.slice(_longs(bounds), first + 1, n), lambda b: b <= value))).cast("int")
 
 
-def _parted(rows: DataFrame, parts: int) -> tuple[Column, Column]:
+def _parted(rows: DataFrame, parts: int, several: bool) -> tuple[Column, Column]:
     """Part of a row with ``id`` and ``h``: ranges of the id that hold about equally many rows; an id (or null) with more rows than that
     has ranges of its own, by ``h``."""
-    counts = rows.groupBy("id").count()
-    limit = max(1, (counts.agg(F.sum("count")).first()[0] or 0) // parts)
-    hot = {r["id"]: -(-r["count"] // limit) for r in counts.where(F.col("count") > limit).collect()}  # at most ``parts`` ids
+    hot = {}
+    if several:
+        limit = max(1, rows.count() // parts)
+        hot = {r["id"]: -(-r["count"] // limit) for r in rows.groupBy("id").count().where(F.col("count") > limit).collect()}  # at most ``parts`` ids
     bounds = set(map(int, rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else set()
     bounds |= {i + d for i in hot if i is not None for d in (0, 1) if i + d < 1 << 63}
     split = F.lit(hot.pop(None, 1))
@@ -268,7 +269,7 @@ def followed(docs: DataFrame, id_col: str, carry: list[str], parts: int) -> Data
     rows = rows.withColumn("h", F.xxhash64(*carry) if several else F.lit(0).cast("long"))
     if several:
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    part, sub = _parted(rows.select("id", "h"), parts)
+    part, sub = _parted(rows.select("id", "h"), parts, several)
     rows = rows.withColumns({"part": part, "sub": sub})
     place = F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("back"), "h")  # the order as a struct: ``back`` falls as the id grows
     heads = sorted((tuple(r["top"]), r["part"], r["sub"]) for r in rows.groupBy("part", "sub").agg(F.min(place).alias("top")).collect())
