@@ -46,7 +46,8 @@ def _encoder(path: str):
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
-    """Ids of the whole text as little-endian unsigned 32-bit numbers; null counts as empty."""
+    """Ids of the whole text as little-endian unsigned 32-bit numbers; null counts as empty. The string of the vocabulary's special token is
+    ordinary text, as its notes set the tokenizer (``encode_special_tokens``), so that no text can end a document."""
     if not text:
         return b""
     enc, word = _encoder(path)
