@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import SLICE_BYTES, materialise, sliced
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -80,13 +80,31 @@ def _chi_tail(x: float, df: int) -> float:
 
 
 def pair_counts(texts: list[str | None]) -> np.ndarray:
-    """How often each symbol follows each other in the runs of fewer than 16 symbols of some texts."""
-    x = _INDEX[np.frombuffer("\n".join(["", *(t or "" for t in texts), ""]).encode("utf-8", "surrogatepass"), np.uint8)]
-    edge = np.flatnonzero(np.diff((x >= 0).astype(np.int8)))
-    for i in np.flatnonzero(edge[1::2] - edge[::2] >= LEAST).tolist():
-        x[edge[2 * i] + 1 : edge[2 * i + 1] + 1] = -1
-    both = (x[:-1] >= 0) & (x[1:] >= 0)
-    return np.bincount(x[:-1][both].astype(np.int64) * _K + x[1:][both], minlength=_K * _K)
+    """How often each symbol follows each other in the runs of fewer than 16 symbols of some texts. About ``SLICE_BYTES`` are arrays at a time, cut at
+    blanks and line ends."""
+    total = np.zeros(_K * _K, np.int64)
+    for t in texts:
+        total += _counted((t or "").encode("utf-8", "surrogatepass")) if len(t or "") > SLICE_BYTES else 0
+    short = [t for t in texts if t and len(t) <= SLICE_BYTES]
+    for a, b in sliced(map(len, short)):
+        total += _counted("\n".join(short[a:b]).encode("utf-8", "surrogatepass"))
+    return total
+
+
+def _counted(raw: bytes) -> np.ndarray:
+    total, start = np.zeros(_K * _K, np.int64), 0
+    while start < len(raw):
+        end = start + SLICE_BYTES
+        ends = [at for at in (raw.find(b" ", end), raw.find(b"\n", end)) if at >= 0]
+        end = min(ends, default=len(raw))
+        x = _INDEX[np.frombuffer(b"\n" + raw[start:end] + b"\n", np.uint8)]
+        edge = np.flatnonzero(np.diff((x >= 0).astype(np.int8)))
+        for i in np.flatnonzero(edge[1::2] - edge[::2] >= LEAST).tolist():
+            x[edge[2 * i] + 1 : edge[2 * i + 1] + 1] = -1
+        both = (x[:-1] >= 0) & (x[1:] >= 0)
+        total += np.bincount(x[:-1][both] * np.int16(_K) + x[1:][both], minlength=_K * _K)
+        start = end
+    return total
 
 
 class TextModel:

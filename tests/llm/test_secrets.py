@@ -141,6 +141,16 @@ def test_random_spans_equal_brute_force(spark, seed):
     assert sum(map(len, want)) >= 50
 
 
+def test_pairs_are_counted_without_a_seam(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcXYZ019+= \n-é", k=rng.randint(0, 3000))) for _ in range(30)] + [None, "", "z" * 5000 + " ab", "a" * 15 + "\n" + "b" * 16]
+    whole = secrets.pair_counts(texts)
+    monkeypatch.setattr(secrets, "SLICE_BYTES", 700)
+    assert (secrets.pair_counts(texts) == whole).all()
+    want = Counter(w[i : i + 2] for t in texts for w in re.findall(r"[A-Za-z0-9+/_=-]+", t or "") if len(w) < 16 for i in range(len(w) - 1))
+    assert {secrets.SYMBOLS[k // 67] + secrets.SYMBOLS[k % 67]: n for k, n in enumerate(whole.tolist()) if n} == dict(want)
+
+
 def test_prose_stays(spark):
     prose = ["Donaudampfschifffahrtsgesellschaftskapitaen", "internationalization_and_localization_of_names", "a" * 46, SMALL * 2, "the-quick-brown-fox-jumps-over-the-lazy-dog", "/usr/local/lib/python/site-packages/module"]
     assert not any(k == "random" for t in prose for _, _, k, _ in secrets.scan(f"word {t} end"))
