@@ -27,8 +27,8 @@ from .components import components
 from .simhash import fingerprint_links, shingle_hashes, signed, simhash, words_of
 
 SIZE, LEAST, SAMPLES, SAMPLED, RADIUS = 5, 0.8, 12, 3, 2
-#: Bytes of a shingle's hash when sets are compared: at 40 bits, texts of a million words have about one shingle in common by chance.
-WIDTH = 5
+#: Bytes of a shingle's hash when sets are compared: at 32 bits, unlike texts of a million words come out 0.0001 alike by chance.
+WIDTH = 4
 #: Bytes of shingle hashes in a block of a group's members; a longer text stands alone.
 BLOCK_BYTES = 1 << 20
 _ORDERS = np.random.default_rng(9).integers(0, 1 << 64, (SAMPLES, 2), np.uint64) | np.uint64(1)

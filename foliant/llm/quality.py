@@ -113,7 +113,7 @@ class _Kept(dict):
         self.of = of
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         got = self[key] = self.of(key)
         return got
