@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ _written: list[str] = []
 NO_ID = (1 << 63) - 1
 #: Bytes of text that a Python worker expands into arrays at one time.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch that holds texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,22 +70,44 @@ def clean_up(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+def unused(columns: Iterable[str]) -> Callable[[str], str]:
+    """Names for helper columns: each name asked for, with underscores before it until it clashes with none of ``columns`` (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name = f"_{name}"
+        return name
+
+    return free
+
+
 def with_keys(docs: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFrame, bool]:
     """``docs`` with a number in the column ``key`` that orders documents by id, null last, and whether numbers may repeat.
 
     Where all ids differ and at most one is null, the id is the key. Else documents are numbered in the order of id and text hash; rows of one
-    id and one text (null like empty) share a number. Numbers are written down, so that a lost executor can't change them."""
+    id and one text (null like empty) share a number. Numbers are written down, so that a lost executor can't change them. Columns of ``docs``
+    may have any names but ``key``."""
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     if docs.groupBy(number.alias("d")).count().where("count > 1").isEmpty():
         return docs.withColumn(key, number), False
     text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    named = {f"{key}_none": F.col(id_col).isNull(), f"{key}_id": number, f"{key}_text": text}
+    free = unused(docs.columns)
+    named = {free("none"): F.col(id_col).isNull(), free("id"): number, free("text"): text}
     rows = docs.withColumns(named)
     ordered = rows.select(*named).distinct().repartitionByRange(*named).sortWithinPartitions(*named)
     numbered = materialise(ordered.withColumn(key, F.monotonically_increasing_id()), "keys")
     return rows.join(numbered, list(named)).select(*docs.columns, key), True
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hand rows to Python workers in Arrow batches of at most ``rows``, for the rest of the session: JVM and worker hold a batch of texts, or of
+    pairs of shingle sets, as a whole. A smaller setting stays."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def sliced(sizes, limit: int = SLICE_BYTES):
     """Yield ``(start, end)`` runs of rows of at most ``limit`` bytes together; a larger row stands alone."""
     sizes, start, total = list(sizes), 0, 0

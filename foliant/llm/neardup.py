@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, with_keys
+from .common import discard, materialise, unused, with_keys
 from .components import components
 from .simhash import fingerprint_links, shingle_hashes, signed, simhash, words_of
 
@@ -195,11 +195,13 @@ def duplicates(base: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their own columns, one document of each group of near-duplicates: the one with the least id (null is last) and,
     among rows of one id, the least text hash. Null and empty texts are copies of each other. Of rows with one id and one text, one stays."""
-    key = "_neardup_key"
+    free = unused(docs.columns)
+    key = free("key")
     rows, several = with_keys(docs, id_col, text_col, key)
     if several:
         whole = F.struct(*[F.col(c) for c in docs.columns])
-        rows = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select(key, "row.*")
+        row = free("row")
+        rows = rows.groupBy(key).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias(row)).select(key, f"{row}.*")
         rows = materialise(rows, "rows")
     gone = duplicates(rows.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))).select(F.col("node").alias(key))
     return rows.join(gone, key, "left_anti").select(*docs.columns)

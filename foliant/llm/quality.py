@@ -28,6 +28,8 @@ SAMPLE = 8000
 HASH_SIZE, MOST_FEATURES = 1 << 18, 400
 WORDS, FOUR, FIVE, STYLE = range(4)
 BAD_ABOVE = 0.5
+#: Words among which distinct ones are counted.
+RUN = 500
 HEURISTICS = ("symbols", "capitals", "stutter", "variety", "function_words", "sentences", "shouting", "marked_words")
 LABELLERS = (*HEURISTICS, "abuse_words", "abuse_four", "abuse_five")
 GOOD, BAD, ABSTAIN = 1, 2, 0
@@ -48,7 +50,7 @@ _STRIP = string.punctuation + "¡¿«»“”’"
 def described(text: str | None) -> tuple[tuple[float, ...], set[str]]:
     """Statistics of a text (null counts as empty), and its distinct words in lower case.
 
-    The statistics are shares of symbols, capitals, immediate repeats, distinct words, function words, full stops, double marks and words with
+    The statistics are shares of symbols, capitals, immediate repeats, distinct words (within each ``RUN`` words, so that length doesn't matter), function words, full stops, double marks and words with
     symbols; word count."""
     text = text or ""
     data, words = text.encode("utf-8", "surrogatepass"), text.split()
@@ -58,7 +60,7 @@ def described(text: str | None) -> tuple[tuple[float, ...], set[str]]:
     less = lambda chars: len(data) - len(data.translate(None, chars))
     lowered = text.lower().split()
     stats = (
-        less(_SYMBOLS) / size, less(_UPPER) / max(less(_LETTERS), 1), sum(map(eq, words, words[1:])) / n, len(set(words)) / min(n, 2000),
+        less(_SYMBOLS) / size, less(_UPPER) / max(less(_LETTERS), 1), sum(map(eq, words, words[1:])) / n, sum(len(set(words[i : i + RUN])) for i in range(0, n, RUN)) / n,
         sum(map(FUNCTION_WORDS.__contains__, lowered)) / n, data.count(b".") / n, data.count(b"!!") / n, sum(map(b"|".__contains__, data.translate(_MARKED).split())) / n, n,
     )
     return stats, set(lowered)

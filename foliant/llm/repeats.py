@@ -37,6 +37,8 @@ from .common import discard, materialise, with_keys
 #: anchor beyond which it is split into windows, rows of one anchor held at a time, bytes resolved at a time, and bytes of a document
 #: that one group of stretches spans.
 SLICE, LOCAL_ROWS, LOCAL_BYTES, HOT, HELD, RESOLVED, REACH = 1 << 19, 500_000, 8 << 20, 200, 400_000, 1 << 19, 10
+#: Longest window, in symbols: a start, an offset and a run have 63 bits together, and a text has less than 2 ** 31 symbols.
+LONGEST = (1 << 16) - 1
 #: An anchor is heavy if it has more segments than this share of what a shuffle partition holds.
 HEAVY = 0.25
 _MULT = 0xD1342543DE82EF95
@@ -77,6 +79,22 @@ class Kind:
     held: int = HELD
     local_rows: int = LOCAL_ROWS
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.window <= LONGEST:
+            raise ValueError(f"a window has at least its gram's symbols and at most {LONGEST:,}")
+
+    @property
+    def bits(self) -> int:
+        """Bits that hold an offset within a window: places are a start, the offset of the anchor in it, and the length of the run."""
+        return self.window.bit_length()
+
+    def placed(self, start: np.ndarray, offset: np.ndarray, run: np.ndarray) -> np.ndarray:
+        return (start << 2 * self.bits) | (offset << self.bits) | run
+
+    def place_of(self, place: int) -> tuple[int, int, int]:
+        low = (1 << self.bits) - 1
+        return place >> 2 * self.bits, place >> self.bits & low, place & low
+
 
 def _powers(mult: int, n: int) -> np.ndarray:
     have = _tables.get(mult)
@@ -181,7 +199,7 @@ def _collapse(rows: list[tuple], texts: dict[int, Sequence], kind: Kind, share:
         gone = other[same] if kind.earlier_only else np.union1d(other[same], leader[other[same]])
         yield from _cut_rows(RUN, lo[gone] + run[gone], doc[gone], lo[gone])
     g = _signed(g[first])
-    yield from _cut_rows(SEGMENT, g, doc[first], lo[first] << 14 | da[first] << 7 | run[first])
+    yield from _cut_rows(SEGMENT, g, doc[first], kind.placed(lo[first], da[first], run[first]))
     starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     counts = np.diff(np.append(starts, len(g)))
     heavy = counts > max(len(g) * share / 2, min(kind.hot, 16))
@@ -244,7 +262,7 @@ def _meet(kind: Kind):
         if kind.stretched:  # rows are sorted: the first of a group occurs first
             docs = np.add.reduceat(mixed(doc.view(np.uint64) + np.uint64(1)), starts)
             again = np.append(False, (g[1:] == g[:-1]) & (doc[1:] == doc[:-1]))
-            joint = _signed(mixed(docs ^ mixed(place[starts].view(np.uint64) >> np.uint64(14 + REACH))))
+            joint = _signed(mixed(docs ^ mixed(place[starts].view(np.uint64) >> np.uint64(2 * kind.bits + REACH))))
             # the lowest bit: whether an anchor stands twice in one document
             g = np.where(crowded, g, (joint << 1 | np.logical_or.reduceat(again, starts))[group])
         cols = [pa.array(np.ascontiguousarray(x[pick])) for x in (doc, g, place)]
@@ -300,8 +318,8 @@ def _stretches(wants: list, kind: Kind) -> Iterator[tuple[int, int, int, int]]:
     """``g, lo, hi, offset`` of the segments that a document wants compared; of one group, those that follow each other are one."""
     last = None
     for g, place in sorted((w["g"], w["place"]) for w in wants):
-        lo = place >> 14
-        here = [g, lo, lo + (place & 127), place >> 7 & 127]
+        lo, offset, run = kind.place_of(place)
+        here = [g, lo, lo + run, offset]
         if last and kind.stretched and last[0] == g and lo <= last[2] + 1:
             last[2] = here[2]
             continue
@@ -335,8 +353,8 @@ def _fetch(kind: Kind):
                 for w in wants:
                     if not w["crowded"]:
                         continue
-                    begin, offset = w["place"] >> 14, w["place"] >> 7 & 127
-                    for i in range((w["place"] & 127) + 1):
+                    begin, offset, run_ = kind.place_of(w["place"])
+                    for i in range(run_ + 1):
                         lo = begin + i
                         content, here = seq.content(lo, lo + kind.window), (doc, lo)
                         had = first.setdefault((w["g"], content), (doc, lo, offset - i, False))

@@ -13,8 +13,8 @@ def odd_docs(spark):
         (None, "no id here", "en", "c", 10, "x"), (10, "a" * 500, "en", "d", 500, "x"), (11, "ab " * 200, "en", "d", 600, "x"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string")
-    clash = ("fp", "g", "c", "at", "doc", "part", "ghost", "id", "node", "root", "epoch", "block", "tokens", "weight", "length", "piece", "spans", "features", "pattern", "judgement", "print", "s", "u", "v")
-    return df.withColumns({c: F.lit(7) for c in clash}).coalesce(2).cache()
+    clash = ("fp", "g", "c", "at", "doc", "part", "ghost", "id", "node", "root", "epoch", "block", "tokens", "weight", "length", "piece", "spans", "features", "pattern", "judgement", "print", "s", "u", "v", "key", "row", "none", "doc_none", "doc_text", "_neardup_key_id", "tree", "level", "leaf", "number", "rank", "h", "score", "n_features", "held_out", "lang_pred", "digest", "kids")
+    return df.withColumns({c: F.lit(7) for c in clash} | {"_neardup_key_id": F.lit("kept")}).coalesce(2).cache()
 
 
 @pytest.fixture(scope="session")

@@ -5,8 +5,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliant.llm import queries, substring_dedup, suffix_dedup
+from foliant.llm import neardup, queries, substring_dedup, suffix_dedup
 from foliant.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -150,3 +151,26 @@ def test_sql_equals_brute_force(spark, rows):
         con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert Counter(con.execute("SELECT doc_id, n_words, n_removed, kept_sha256 FROM (" + queries.OP4_SQL + ")").fetchall()) == brute_words(rows)
     assert Counter(con.execute("SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM (" + queries.OP9_SQL + ")").fetchall()) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("limits", [{}, TIGHT])
+def test_windows_of_any_length(spark, limits):
+    """300 bytes and 200 words: offsets beyond seven bits."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared, passage = letters(700), words(450)
+    df = spark.createDataFrame([(1, letters(300) + shared), (2, letters(300) + shared + letters(40)), (3, words(500) + " " + passage), (4, passage + " " + words(300))], "doc_id long, text string")
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in suffix_dedup.later_copies(df.where("doc_id < 3"), length=300, **limits).collect()}
+    assert spans == {1: [], 2: [(300, 1000)]}
+    found = {r.doc_id: r for r in substring_dedup.repeated_passages(df.where("doc_id > 2"), length=200, **limits).collect()}
+    assert {k: (r.n_words, sum(x["end"] - x["start"] for x in r.spans)) for k, r in found.items()} == {3: (950, 450), 4: (750, 450)}
+    with pytest.raises(ValueError):
+        suffix_dedup.later_copies(df, length=70_000)
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "same text here", "a"), (1, "same text here", "b"), (2, "other words stand here", "c")], "doc_id long, text string, x string")
+    odd = df.withColumns({c: F.col("x") for c in ("key", "_key", "none", "id", "row", "Text_", "doc_none", "doc_text", "_neardup_key_id")}).drop("x")
+    rows = neardup.keep_one(odd).collect()
+    assert [r.doc_id for r in sorted(rows)] == [1, 2] and all(len({*r[2:]}) == 1 and r[2] in "abc" for r in rows)
