@@ -12,31 +12,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import mixing, neardup, pack, quality, secrets
-from foliant.llm.common import materialise, table
+from foliant.llm.common import materialise, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.labels_of(spark, sf_dir))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least id (null last) and text hash. Rows alike in both are one."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; no document goes, and repeated rows stay."""
+    small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources below their target weight are repeated; every document stays. A null source is one of its own."""
+    small_batches(spark)
     return mixing.mixed_rows(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens, placed into sequences; repeated rows are packed once each."""
+    small_batches(spark)
     return pack.pack(docs)
 
 
