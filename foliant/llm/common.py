@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -100,6 +100,28 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, key: str) -> tuple[Da
     return rows.join(numbered, list(named)).select(*docs.columns, key), True
 
 
+def dealt_in_order(rows: DataFrame, order: list[Column], within: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` dealt by ranges of ``order`` (which begins with ``within``), sorted there, and written with a running number ``at`` and ``part``; and a small table, one row for each
+    group and partition that meet: ``of_...`` (the group), ``of_part``, ``first`` (the least number), ``before`` (rows of the group in partitions before) and ``total``.
+
+    So no group is sorted in one task, and nothing but that table grows with groups and partitions."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    dealt = materialise(dealt, name).withColumn("part", F.shiftright("at", 33))
+    counts = dealt.groupBy(*within, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    sums = counts.withColumns({"before": F.sum("n").over(w.orderBy("part")) - F.col("n"), "total": F.sum("n").over(w)})
+    return dealt, materialise(sums.select(*[F.col(c).alias(f"of_{c}") for c in within], F.col("part").alias("of_part"), "first", "before", "total"), f"{name}-parts")
+
+
+def with_positions(dealt: DataFrame, parts: DataFrame, within: list[str]) -> DataFrame:
+    """The rows with ``position``, from 0 within their group, ``total``, and what else the small table holds."""
+    same = F.col("part") == F.col("of_part")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    more = [c for c in parts.columns if c not in ("of_part", "first", "before", *(f"of_{w}" for w in within))]
+    return dealt.join(parts, same).select(*[c for c in dealt.columns if c not in ("at", "part")], (F.col("at") - F.col("first") + F.col("before")).alias("position"), *more)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand rows to Python workers in Arrow batches of at most ``rows``, for the rest of the session: JVM and worker hold a batch of texts, or of
     pairs of shingle sets, as a whole. A smaller setting stays."""

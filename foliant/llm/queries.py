@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, media, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
+from . import fingerprint, media, merkle, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
 from .common import table
 
 
@@ -52,8 +52,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash, op11_manifest)}
 
 
 _HOST_PATH = """SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -107,5 +111,38 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone,
 FROM d LEFT JOIN cut c ON d.row_ = c.row_"""
 
 
+#: The 256 steps of CRC-32, and the checksum (unsigned) of an expression's bytes in hex, where ``t`` of that table is in reach.
+_CRC_TABLE = "crc(t) AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_transform(range(1, length({0}), 2), lambda k: CAST('0x' || substr({0}, k, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _manifest_sql(levels: int = 8, above: int = 4) -> str:
+    """Level by level: ``levels`` of them within each language (up to 8 ** levels rows), ``above`` over the languages."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    said = lambda lower: "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode(CAST({f} AS VARCHAR))) AS VARCHAR) || ':' || {f'translate({f}, {chr(39)}{merkle.UPPER}{chr(39)}, {chr(39)}{merkle.LOWER}{chr(39)})' if lower and f == 'text' else f'CAST({f} AS VARCHAR)'}, '-')" for f in fields) + ")"
+    tampered = _CRC.format("hex(encode(CAST(doc_id AS VARCHAR)))")
+    steps = [f"""WITH {_CRC_TABLE},
+leaves AS MATERIALIZED (SELECT *, row_number() OVER () AS row_, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS i
+  FROM (SELECT doc_id, lang, {said(False)} AS leaf, CASE WHEN text IS NOT NULL AND doc_id IS NOT NULL AND {tampered} % 3 = 0 THEN {said(True)} ELSE {said(False)} END AS told FROM documents CROSS JOIN crc)),
+node0 AS MATERIALIZED (SELECT lang, i, leaf AS h FROM leaves),
+walk0 AS MATERIALIZED (SELECT row_, lang, i, told AS f, '' AS proof FROM leaves)"""]
+    for k in range(levels + above):
+        if k == levels:
+            steps.append(f"subroot AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM node{k})")
+            steps.append(f"walk{k}a AS MATERIALIZED (SELECT row_, '' AS lang, s.i, f, proof FROM walk{k} w JOIN subroot s ON w.lang IS NOT DISTINCT FROM s.lang)")
+        nodes, walk = ("(SELECT '' AS lang, i, h FROM subroot)", f"walk{k}a") if k == levels else (f"node{k}", f"walk{k}")
+        steps.append(f"run{k} AS MATERIALIZED (SELECT lang, i // 8 AS i, list(h ORDER BY i) AS kids, any_value(c) AS c FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM {nodes}) GROUP BY lang, i // 8)")
+        steps.append(f"node{k + 1} AS MATERIALIZED (SELECT lang, i, CASE WHEN c = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS h FROM run{k})")
+        steps.append(f"""walk{k + 1} AS MATERIALIZED (SELECT w.row_, w.lang, w.i // 8 AS i, CASE WHEN c = 1 THEN f ELSE sha256(array_to_string(kids[:w.i % 8] || [f] || kids[w.i % 8 + 2:], '')) END AS f,
+  proof || CASE WHEN c = 1 THEN '' ELSE array_to_string(kids[:w.i % 8] || kids[w.i % 8 + 2:], '') END AS proof FROM {walk} w JOIN run{k} r ON w.lang IS NOT DISTINCT FROM r.lang AND w.i // 8 = r.i)""")
+    last = levels + above
+    return ",\n".join(steps) + f"""
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM leaves l JOIN walk{last} w ON l.row_ = w.row_ JOIN subroot s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN node{last} r"""
+
+
+OP11_SQL = _manifest_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op6_urls": OP6_SQL, "op9_suffix": OP9_SQL}
+    return {"op4_substring": OP4_SQL, "op6_urls": OP6_SQL, "op9_suffix": OP9_SQL, "op11_manifest": OP11_SQL}
