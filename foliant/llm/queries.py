@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, media, merkle, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
+from . import fingerprint, importance, media, merkle, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
 from .common import table
 
 
@@ -56,8 +56,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash, op11_manifest)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash, op11_manifest, op12_resample)}
 
 
 _HOST_PATH = """SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -144,5 +148,21 @@ FROM leaves l JOIN walk{last} w ON l.row_ = w.row_ JOIN subroot s ON l.lang IS N
 OP11_SQL = _manifest_sql()
 
 
+#: Checksums of distinct features; counts, gains and scores from them.
+OP12_SQL = f"""WITH {_CRC_TABLE},
+w AS MATERIALIZED (SELECT row_number() OVER () AS row_, doc_id, text, 'd' AS side FROM documents UNION ALL SELECT row_number() OVER (), NULL, text, 'b' FROM benchmark),
+ws AS MATERIALIZED (SELECT row_, side, regexp_extract_all(translate(coalesce(text, ''), '{merkle.UPPER}', '{merkle.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM w),
+f AS MATERIALIZED (SELECT row_, side, feature, count(*) AS n FROM (SELECT row_, side, unnest(ws) AS feature FROM ws UNION ALL SELECT row_, side, a || ' ' || b FROM (SELECT row_, side, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM ws WHERE len(ws) > 1)) GROUP BY ALL),
+known AS MATERIALIZED (SELECT feature, {_CRC.format("h")} % 10000 AS bucket FROM (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM f) CROSS JOIN crc),
+c AS MATERIALIZED (SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM f JOIN known USING (feature) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS g FROM c),
+weight AS (SELECT row_, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * g) / sum(n)) AS BIGINT) AS weight FROM f JOIN known USING (feature) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY row_),
+scored AS (SELECT row_, doc_id, hash, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT w.row_, doc_id, md5(text) AS hash, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM w JOIN ws ON w.side = 'd' AND ws.side = 'd' AND w.row_ = ws.row_ LEFT JOIN weight ON w.row_ = weight.row_)),
+drawn AS (SELECT row_, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, hash) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (row_)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op6_urls": OP6_SQL, "op9_suffix": OP9_SQL, "op11_manifest": OP11_SQL}
+    return {"op4_substring": OP4_SQL, "op6_urls": OP6_SQL, "op9_suffix": OP9_SQL, "op11_manifest": OP11_SQL, "op12_resample": OP12_SQL}
