@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, importance, media, merkle, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
+from . import fingerprint, importance, langid, media, merkle, mixing, pack, quality, secrets, simhash, substring_dedup, suffix_dedup, urls
 from .common import table
 
 
@@ -60,8 +60,12 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash, op11_manifest, op12_resample)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_secrets, op3_mixing, op4_substring, op5_media, op6_urls, op7_packing, op8_quality, op9_suffix, op10_simhash, op11_manifest, op12_resample, op13_langid)}
 
 
 _HOST_PATH = """SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
