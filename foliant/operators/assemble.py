@@ -5,6 +5,9 @@ document, so one shuffle on ``doc_id`` serves ranges, ids and checks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,27 +138,58 @@ def unordered_pages(pages: DataFrame) -> DataFrame:
 _PLACED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def placements(text: str, needles: Iterable[str | None], wrapped: bool = False) -> Iterator[tuple[int, int] | None]:
+    """The range of each needle, found from where the last hit ended, or null; in time that grows with the text and the needles.
+
+    A hit scans no further than itself, and the next search starts there. A needle that isn't found once won't be found later on; and when such
+    searches have scanned the text a few times over, the last place of each three characters tells beforehand which needles can't follow."""
+    cursor, scanned, lost, last = 0, 0, set(), None
+
+    def search(needle: str, at: int) -> int:
+        nonlocal scanned, last
+        if needle in lost:
+            return -1
+        if last is not None and any(last.get(needle[i : i + 3], -1) < at + i for i in range(len(needle) - 2)):
+            return -1
+        found = text.find(needle, at)
+        if found < 0:
+            lost.add(needle)
+            scanned += len(text) - at
+            if last is None and scanned > 8 * len(text):
+                last = {text[i : i + 3]: i for i in range(len(text) - 2)}
+        return found
+
+    for needle in needles:
+        start = -1
+        if needle is not None:
+            start = search(f">{needle}<", cursor) + 1 if wrapped else 0
+            if start < 1:
+                start = search(needle, cursor)
+        if start < 0:
+            yield None
+        else:
+            cursor = start + len(needle)
+            yield start, cursor
+
+
 def place(markdown: Column, needles: Column, wrapped: bool = False, skip: bool = True) -> Column:
     """Ranges of texts found one after the other, each from where the last one ended.
 
     ``wrapped``: prefer a place right between ``>`` and ``<``, as table cells have. ``skip``: leave out texts that
-    aren't found; else they stay with a null range. A fold over the array, inside the JVM."""
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast(_PLACED).alias("out"))
-
-    def step(acc: Column, needle: Column) -> Column:
-        plain = F.call_function("locate", needle, markdown, acc["cursor"] + 1) - 1
-        at = plain
-        if wrapped:
-            inside = F.call_function("locate", F.concat(F.lit(">"), needle, F.lit("<")), markdown, acc["cursor"] + 1)
-            at = F.when(inside > 0, inside).otherwise(plain)
-        found = at >= 0
-        end = at + F.length(needle)
-        hit = F.struct(needle.alias("text"), F.when(found, at).alias("start"), F.when(found, end).alias("end"))
-        new = F.concat(acc["out"], F.array(hit))
-        out = F.when(found, new).otherwise(acc["out"]) if skip else new
-        return F.struct(F.when(found, end).otherwise(acc["cursor"]).alias("cursor"), out.alias("out"))
-
-    return F.aggregate(needles, zero, step, lambda acc: acc["out"])
+    aren't found; else they stay with a null range."""
+
+    @F.pandas_udf(_PLACED)
+    def found(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for text, words in zip(texts, wanted, strict=True):
+            if text is None or words is None:
+                out.append(None)
+                continue
+            met = zip(words, placements(text, words, wrapped), strict=True)
+            out.append([{"text": w, "start": at and at[0], "end": at and at[1]} for w, at in met if at or not skip])
+        return pd.Series(out)
+
+    return found(markdown, needles)
 
 
 def nest_cells(chunks: DataFrame) -> DataFrame:

@@ -955,21 +955,38 @@ def region_outcomes(spark, d):
 def _worded(spark, d):
     """Documents as pages whose words are native ones, each with a box in a row."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1000)).cast("double")
-    boxes = F.transform(words, lambda w, i: F.struct(w.alias("text"), G.box(i / n, F.lit(0.1), (i + 1) / n, F.lit(0.2)).alias("box")))
-    return S.table(spark, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), "text", words.alias("words"), boxes.alias("boxes"))
+    p = S.table(spark, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), "text", words.alias("words"))
+    p = p.withColumn("n", F.greatest(F.size("words"), F.lit(1000)).cast("double"))
+    boxes = F.transform("words", lambda w, i: F.struct(w.alias("text"), G.box(i / F.col("n"), F.lit(0.1), (i + 1) / F.col("n"), F.lit(0.2)).alias("box")))
+    return p.withColumn("boxes", boxes)
 
 
-@query("align_words")
+_BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+_WORDS = f"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL)
+"""
+_KEY = "replace(lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+', '', 'g')), 'ß', 'ss')"
+
+
+@query("align_words", _WORDS + f""", k AS (SELECT doc_id, greatest(len(ws), 1000) AS n, list_transform(ws, lambda x: {_KEY.format('x')}) AS keys, list_filter(list_transform(ws[4:8], lambda x: {_KEY.format('x')}), lambda x: x <> '') AS wanted FROM w),
+h AS (SELECT *, chr(10) || array_to_string(keys, chr(10)) || chr(10) AS have, chr(10) || array_to_string(wanted, chr(10)) || chr(10) AS want FROM k),
+b AS (SELECT *, CASE WHEN len(wanted) > 0 AND strpos(have, want) > 0 THEN left(have, strpos(have, want)) END AS before FROM h), a AS (SELECT *, CAST(length(before) - length(replace(before, chr(10), '')) - 1 AS INTEGER) AS k FROM b)
+SELECT doc_id, k AS "at", round(k / CAST(n AS DOUBLE), 6) AS l, round((k + len(wanted)) / CAST(n AS DOUBLE), 6) AS r FROM a""")
 def align_words(spark, d):
     p = _worded(spark, d).withColumn("wanted", F.array_join(F.slice("words", 4, 5), " "))
-    b = align.aligned_box(F.col("wanted"), F.col("boxes"))
-    return p.select("doc_id", align.word_match(F.col("wanted"), F.col("boxes")).alias("at"), F.round(b["left"], 6).alias("l"), F.round(b["right"], 6).alias("r"))
+    p = p.select("doc_id", align.word_match(F.col("wanted"), F.col("boxes")).alias("at"), align.aligned_box(F.col("wanted"), F.col("boxes")).alias("b"))
+    return p.select("doc_id", "at", F.round("b.left", 6).alias("l"), F.round("b.right", 6).alias("r"))
 
 
-@query("ground_words")
+@query("ground_words", _WORDS + """, m AS (SELECT doc_id, text, list_transform(ws, lambda x, i: CASE WHEN doc_id % 2 = 1 AND i % 7 = 0 THEN x || '¤' ELSE x END) AS ws FROM w WHERE len(ws) > 0),
+p AS (SELECT doc_id, ws, list_reduce(list_transform(ws, lambda x: {'w': x, 'c': 0::BIGINT, 'o': []::BIGINT[]}), lambda a, x: {'w': '',
+  'c': CASE WHEN contains(substr(text, a.c + 1, 300), x.w) THEN a.c + strpos(substr(text, a.c + 1, 300), x.w) - 1 + length(x.w) WHEN contains(substr(text, a.c + 1), x.w) THEN a.c + strpos(substr(text, a.c + 1), x.w) - 1 + length(x.w) ELSE a.c END,
+  'o': list_append(a.o, CASE WHEN contains(substr(text, a.c + 1, 300), x.w) THEN a.c + strpos(substr(text, a.c + 1, 300), x.w) - 1 WHEN contains(substr(text, a.c + 1), x.w) THEN a.c + strpos(substr(text, a.c + 1), x.w) - 1 END)}, {'w': '', 'c': 0::BIGINT, 'o': []::BIGINT[]}).o AS starts FROM m),
+u AS (SELECT doc_id, unnest(ws) AS text, CAST(unnest(starts) AS INTEGER) AS start FROM p)
+SELECT doc_id, 1 AS page, text, start, start + CAST(length(text) AS INTEGER) AS "end", CASE WHEN doc_id % 2 = 0 THEN 'native_pdf' ELSE 'local_ocr' END AS source FROM u WHERE start IS NOT NULL""")
 def ground_words(spark, d):
-    p = _worded(spark, d).select("doc_id", "page", "text", F.lit(0).alias("start"), F.when(F.col("doc_id") % 2 == 0, F.col("words")).alias("native"), F.col("words").alias("ocr"))
+    """Words of even documents are native; of the others, every seventh is misread and so not found."""
+    misread = F.transform("words", lambda w, i: F.when(i % 7 == 6, F.concat(w, F.lit("\u00a4"))).otherwise(w))
+    p = _worded(spark, d).select("doc_id", "page", "text", F.lit(0).alias("start"), F.when(F.col("doc_id") % 2 == 0, F.col("words")).alias("native"), misread.alias("ocr"))
     return align.grounded_words(p)
 
 
@@ -982,7 +999,13 @@ def place_lines(spark, d):
     return p.select("doc_id", F.size("p").cast("long").alias("n"), F.element_at("p", -1)["end"].alias("last"))
 
 
-@query("nest_cells")
+@query("nest_cells", f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, 't' || CAST(l AS VARCHAR) AS t, list_filter(string_split_regex(line, '{_BLANKS}'), lambda x: x <> '') AS ws FROM lines),
+m AS (SELECT *, '<td>' || array_to_string(ws, '</td><td>') || '</td>' AS md FROM t WHERE len(ws) > 0),
+p AS (SELECT *, list_reduce(list_transform(ws, lambda x: {{'w': x, 'c': 0::BIGINT, 'o': []::BIGINT[]}}), lambda a, x: {{'w': '', 'c': CASE WHEN contains(substr(md, a.c + 1), x.w) THEN a.c + strpos(substr(md, a.c + 1), x.w) - 1 + length(x.w) ELSE a.c END,
+  'o': list_append(a.o, CASE WHEN contains(substr(md, a.c + 1), x.w) THEN a.c + strpos(substr(md, a.c + 1), x.w) - 1 END)}}, {{'w': '', 'c': 0::BIGINT, 'o': []::BIGINT[]}}).o AS starts FROM m),
+u AS (SELECT doc_id, t, unnest(ws) AS w, CAST(unnest(starts) AS INTEGER) AS start, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS i FROM p)
+SELECT doc_id, 1 AS page, t AS parent_id, t || 'c' || CAST(i AS VARCHAR) AS id, CASE WHEN start IS NOT NULL THEN 0 END AS row, CASE WHEN start IS NOT NULL THEN i END AS col, start, start + CAST(length(w) AS INTEGER) AS "end", start IS NOT NULL AS nested FROM u""")
 def nest_cells(spark, d):
     """Each line of a document is a table, and its words are the cells."""
     lines = S.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
