@@ -10,6 +10,8 @@ from ..functions import text as X
 from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, usage
 from ..sources import files
 from ..sources import fixtures as S
+from ..sources.storage import shared_folder
+from ..streaming import store
 from .catalogue import query
 
 CLASSES = [("Greeting", "sombra the then"), ("Finance", "quel account payment"), ("Travel", "schen hotel flight")]
@@ -660,6 +662,28 @@ def rejected_runs(spark, d):
     return jobs.rejected_runs(jobs.job_state(S.job_log(spark, d)), S.table(spark, d, "customer").select(F.col("c_custkey").alias("job_id"))).select("job_id", "reason")
 
 
+def _pieces(spark, log, *by):
+    """The log as a folder of several files, for a stream that takes one at a time."""
+    folder = shared_folder(spark, "log")
+    log.repartition(4, *by).write.parquet(folder)
+    return folder
+
+
+@query("streamed_jobs", _LOG + "SELECT job_id, status, nullif(error, '') AS error, result, checkpoint, created_at, updated_at FROM state")
+def streamed_jobs(spark, d):
+    """The log in four pieces, each of which has events of all jobs, as a stream into the keyed store."""
+    log = S.job_log(spark, d)
+    return store.latest(store.replayed(spark, _pieces(spark, log, F.col("seq") % 4), guarded=False))
+
+
+@query("refused_runs", _LOG + """, known AS (SELECT job_id, coalesce(min(seq) FILTER (event <> 'running'), 9223372036854775807) AS k, FROM log GROUP BY job_id)
+SELECT l.job_id, seq, 'Unknown job' AS reason FROM log l JOIN known USING (job_id) WHERE event = 'running' AND seq < k""")
+def refused_runs(spark, d):
+    """Runs that the guarded store refuses: those of jobs that nothing has created yet. A job's events come in one piece."""
+    rows = store.replayed(spark, _pieces(spark, S.job_log(spark, d), "job_id"))
+    return rows.where("kind = 'refused'").select("job_id", "seq", "reason")
+
+
 @query("failure_streaks", """WITH e AS (SELECT user_id, event_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) AS island FROM events)
 SELECT user_id, count(*) AS length, min(event_id) AS first, max(event_id) AS last FROM e WHERE f GROUP BY user_id, island HAVING count(*) >= 3""")
 def failure_streaks(spark, d):
