@@ -222,6 +222,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, by: str = "lang"
     changed = tampering(F.col(id_col)) if tampered is None else tampered
     told = F.when(changed & F.col(text_col).isNotNull(), F.unhex(leaf_digest(lower)))
     rows = docs.select(F.col(by).alias("group"), F.col(id_col).alias("doc_id"), F.unhex(leaf_digest(c)).alias("data"), told.alias("told"))
+    rows = materialise(rows, "hashed")  # so that sampling for ranges doesn't read the texts again
     dealt, parts = dealt_in_order(rows, [F.col("group").asc_nulls_first(), F.col("doc_id").asc_nulls_last(), F.col("data"), F.col("told")], ["group"], "leaves")
     groups = parts.groupBy(F.col("of_group").alias("group")).agg(F.max("total").alias("leaves"))
     groups = with_positions(*dealt_in_order(groups, [F.col("group").asc_nulls_first()], [], "groups"), []).select(F.col("group").alias("its"), F.col("position").alias("tree"), F.col("total").alias("trees"), "leaves")
@@ -229,7 +230,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, by: str = "lang"
     parts = parts.join(groups.select("its", "tree"), F.col("of_group").eqNullSafe(F.col("its"))).drop("its")
     leaves = with_positions(dealt, parts, ["group"]).select("tree", F.col("total").alias("leaves"), F.col("position").alias("place"), "data", "told", "doc_id")
     leaves = materialise(leaves.sortWithinPartitions("tree", "place"), "leaf")
-    discard(dealt)
+    discard(rows, dealt)
     trees = forest(leaves)
     tops = trees.roots.join(groups.select("tree", "trees"), "tree").select(F.lit(0).cast("long").alias("tree"), F.col("trees").alias("leaves"), F.col("tree").alias("place"), "data", F.col("leaves").alias("own_leaves"))
     tops = materialise(tops, "subroots")
