@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import schema
 from ..functions import text as X
-from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, usage
-from ..sources import files
+from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, trees, usage
+from ..sources import files, headers
 from ..sources import fixtures as S
 from ..sources.storage import shared_folder
 from ..streaming import store
@@ -564,6 +565,101 @@ def admission(spark, d):
     return batch.admitted(f, most_bytes=5000, most_pages=20).select("doc_id", "error", "mime_type", "pages")
 
 
+def _be32(n):
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def _le32(n):
+    n = n.cast("long")
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+
+
+def _raw(text: str):
+    return F.unhex(F.lit(text))
+
+
+def _made_files(spark, d):
+    """A file of each document, its text behind a header: pictures as large as the text is long, directories of frames, page trees; some broken, some encrypted."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    ihdr = F.concat(F.encode(F.lit("IHDR"), "utf-8"), _be32(100 + n), _be32(F.lit(2000)), _raw("0806000000"))
+    png = F.concat(_raw("89504E470D0A1A0A0000000D"), ihdr, _be32(F.crc32(ihdr) + F.when(k % 11 == 0, 1).otherwise(0)), _raw("0000000049454E44AE426082"))
+    directory = lambda i: F.concat(_raw("0200"), _raw("0001040001000000"), _le32(F.lit(1000)), _raw("0101040001000000"), _le32(F.lit(1500)), F.when(i + 1 < k % 30, _le32(8 + 30 * (i + 1))).otherwise(_raw("00000000")))
+    frames = F.transform(F.sequence(F.lit(0).cast("long"), k % 30), lambda i: F.hex(F.when(i < k % 30, directory(i)).otherwise(_raw(""))))
+    tiff = F.concat(_raw("49492A00"), F.when(k % 30 == 0, _raw("00000000")).otherwise(_raw("08000000")), F.unhex(F.array_join(frames, "")))
+    bmp = F.concat(_raw("424D" + "00" * 12 + "28000000"), _le32(n * 4), _le32(F.lit(2500)), _raw("00" * 28))
+    jpeg = F.concat(_raw("FFD8FFE000040000FFC0000B08"), F.unhex(F.lpad(F.hex(F.lit(9000)), 4, "0")), F.unhex(F.lpad(F.hex(F.least(n, F.lit(60000)).cast("long")), 4, "0")), _raw("0101110000FFD9"))
+    pages = F.filter(F.sequence(F.lit(0).cast("long"), k % 25), lambda i: i < k % 25)
+    kids = F.array_join(F.transform(pages, lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 R"))), " ")
+    leaves = F.array_join(F.transform(pages, lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\n"))), "")
+    body = F.concat(
+        F.when(k % 31 == 0, "%TXT").otherwise("%PDF-1.4"), F.lit("\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 "), (600 + n).cast("string"), F.lit(" 800] /Kids ["), kids, F.lit("] >>\nendobj\n"), leaves,
+        F.lit("trailer\n<< /Root 1 0 R"), F.when(k % 29 == 0, " /Encrypt 9 0 R").otherwise(""), F.lit(" >>\nstartxref\n0\n%%EOF\n"),
+    )
+    kind = (k % 7).cast("int")
+    ext = F.element_at(F.array(*map(F.lit, ["pdf", "png", "JPG", "tiff", "bmp", "exe", "csv"])), kind + 1)
+    head = F.when(kind == 0, F.encode(body, "utf-8")).when(kind == 1, png).when(kind == 2, jpeg).when(kind == 3, tiff).when(kind == 4, bmp).otherwise(_raw(""))
+    return S.table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", F.concat(F.lit("a.b/file."), ext).alias("filename"), F.octet_length("text").alias("size"), F.concat(head, F.encode("text", "utf-8")).alias("content"))
+
+
+@query("admission_from_bytes", """WITH f AS (SELECT doc_id AS k, n_chars AS n, octet_length(encode(text)) AS size, doc_id % 7 AS e FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, CASE e WHEN 0 THEN k % 25 WHEN 3 THEN k % 30 ELSE 1 END AS pages, CASE e WHEN 1 THEN (100 + n) * 2000 WHEN 2 THEN least(n, 60000) * 9000 WHEN 3 THEN (k % 30) * 1500000 WHEN 4 THEN n * 4 * 2500 END AS pixels FROM f),
+h AS (SELECT *, CASE WHEN size > 20000 THEN 'too_large' WHEN e = 0 AND k % 31 = 0 THEN 'invalid_pdf' WHEN e = 0 AND k % 29 = 0 THEN 'encrypted_pdf' WHEN e = 0 AND pages = 0 THEN 'empty_document' WHEN e = 0 AND (600 + n) * 800 > 4000000 THEN 'canvas_too_large'
+  WHEN e IN (0, 3) AND pages > 20 THEN 'too_many_pages' WHEN e = 5 THEN 'unsupported_type' WHEN e = 1 AND k % 11 = 0 OR e = 3 AND k % 30 = 0 THEN 'invalid_image' WHEN e BETWEEN 1 AND 4 AND pixels > 40000000 THEN 'image_too_large' END AS error FROM g)
+SELECT k AS doc_id, error, CASE WHEN error IS NULL THEN list_extract(['application/pdf', 'image/png', 'image/jpeg', 'image/tiff', 'image/bmp', NULL, 'text/csv'], CAST(e + 1 AS BIGINT)) END AS mime_type, CASE WHEN error IS NULL THEN CAST(pages AS INTEGER) END AS pages FROM h""")
+def admission_from_bytes(spark, d):
+    return batch.admitted(headers.inspected(_made_files(spark, d)), most_bytes=20_000, most_pages=20).select("doc_id", "error", "mime_type", "pages")
+
+
+#: What the properties of an event may be, for the registered query: an object with a small number, and more.
+PROPS_SCHEMA = {
+    "type": "object", "required": ["k"], "additionalProperties": False,
+    "properties": {
+        "k": {"type": "integer", "minimum": 0, "maximum": 80},
+        "list": {"type": "array", "maxItems": 3, "items": {"type": ["integer", "null"]}},
+        "box": {"type": "object", "required": ["left"], "properties": {"left": {"type": "number", "exclusiveMaximum": 1}, "role": {"enum": ["title", "text"]}}},
+    },
+}
+
+
+@query("schema_violations", """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 9 AS m FROM events)
+SELECT event_id, CASE m WHEN 1 THEN '$.k: type' WHEN 2 THEN '$: required k' WHEN 3 THEN '$: type' WHEN 8 THEN '$: JSON' ELSE CASE WHEN k > 80 THEN '$.k: maximum' ELSE CASE m WHEN 4 THEN '$.list[2]: type' WHEN 5 THEN '$.extra: additionalProperties' WHEN 6 THEN '$.box: required left' WHEN 7 THEN '$.box.role: enum' END END END AS violation FROM e""")
+def schema_violations(spark, d):
+    """Properties of events, eight of nine of which are broken in one way or another."""
+    k = F.get_json_object("props", "$.k")
+    broken = ['{"k": "KK"}', '{"list": [1]}', "[1, 2]", '{"k": KK, "list": [1, null, "x"]}', '{"k": KK, "extra": true}', '{"k": KK, "box": {"role": "text"}}', '{"k": KK, "box": {"left": 0.5, "role": "table"}}', '{"k": ']
+    text = F.col("props")
+    for i, b in enumerate(broken, 1):
+        text = F.when(F.col("event_id") % 9 == i, F.replace(F.lit(b), F.lit("KK"), k)).otherwise(text)
+    return S.table(spark, d, "events").select("event_id", schema.violation(F.try_parse_json(text), PROPS_SCHEMA).alias("violation"))
+
+
+def _nested(spark, d):
+    """Drafts as JSON whose boxes lie one to six levels deep, in thousandths, in shares, or out of order."""
+    m = F.col("vec_id") % 4
+    side = lambda name, k, n: F.concat(F.lit(f'"{name}":'), F.when(m == 0, F.lit(str(n))).when(m == 1, F.lit(str(n / 1000))).when(m == 2, F.lit(str(n * 2))).otherwise(F.lit(str(k))))
+    box = F.concat(F.lit("{"), F.array_join(F.array(side("left", 900, 125), side("top", 100, 250), side("right", 300, 500), side("bottom", 200, 375)), ","), F.lit("}"))
+    depth = F.expr("cast(vec_id div 4 % 6 as int)")
+    inner = F.aggregate(F.filter(F.sequence(F.lit(0), depth), lambda i: i < depth), box, lambda s, i: F.when(i % 2 == 0, F.concat(F.lit('{"n":1,"in":'), s, F.lit("}"))).otherwise(F.concat(F.lit("[2,"), s, F.lit("]"))))
+    text = F.concat(F.lit('{"chunks":[{"text":"item '), F.col("vec_id").cast("string"), F.lit('","a":'), inner, F.lit('},{"markdown":"own","row":3}]}'))
+    return S.table(spark, d, "embeddings").select("vec_id", F.parse_json(text).alias("v"))
+
+
+@query("nested_normalization", """WITH e AS (SELECT vec_id, vec_id % 4 AS m FROM embeddings),
+s AS (SELECT *, CASE m WHEN 3 THEN 0.9 WHEN 2 THEN 0.25 ELSE 0.125 END AS l, CASE m WHEN 3 THEN 0.2 WHEN 2 THEN 0.75 ELSE 0.375 END AS b FROM e)
+SELECT vec_id, CAST(l AS DOUBLE) AS l, CAST(b AS DOUBLE) AS b, 'item ' || CAST(vec_id AS VARCHAR) AS markdown, 'own' AS other, 3 AS row, '[]' AS lines FROM s""")
+def nested_normalization(spark, d):
+    tree = trees.normalized(trees.nodes(_nested(spark, d), ["vec_id"], "v"), ["vec_id"])
+    out = trees.rebuilt(tree, ["vec_id"])
+    number = lambda name: F.regexp_extract("json", f'"{name}":([0-9.]+)', 1).cast("double")
+    get = lambda path: F.get_json_object("json", path)
+    return out.select("vec_id", number("left").alias("l"), number("bottom").alias("b"), get("$.chunks[0].markdown").alias("markdown"), get("$.chunks[1].markdown").alias("other"), get("$.chunks[1].row").cast("int").alias("row"), get("$.chunks[1].atomic_lines").alias("lines"))
+
+
+@query("nested_geometry", """SELECT vec_id, '$.chunks[0].a' || list_extract(['', '.in', '[1].in', '.in[1].in', '[1].in[1].in', '.in[1].in[1].in'], CAST(vec_id // 4 % 6 + 1 AS BIGINT)) || ' must have left < right and top < bottom' AS error FROM embeddings WHERE vec_id % 4 = 3""")
+def nested_geometry(spark, d):
+    return trees.geometry_errors(trees.nodes(_nested(spark, d), ["vec_id"], "v"), ["vec_id"])
+
+
 @query("file_id", "SELECT doc_id, CAST(doc_id % 20 AS VARCHAR) || '-' || substr(sha256(encode('file' || CAST(doc_id AS VARCHAR) || '.txt') || '\\x00'::BLOB || encode(text)), 1, 16) AS file_id FROM documents WHERE text IS NOT NULL")
 def file_id(spark, d):
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", batch.file_id(F.col("doc_id") % 20, F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".txt")), F.encode("text", "utf-8")).alias("file_id"))
