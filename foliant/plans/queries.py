@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import distance, schema
 from ..functions import geometry as G
-from ..functions import schema
 from ..functions import text as X
 from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, trees, usage
 from ..sources import files, headers
@@ -375,7 +375,7 @@ def uncovered_ink(spark, d):
     small = boxes.withColumn("box", G.box(b["left"], b["top"], b["left"] + 0.05, b["top"] + 0.05))
     pages = boxes.select("page").distinct().withColumns({"width": F.lit(40), "height": F.lit(40)})
     grid = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("gray", (F.col("x") * 7 + F.col("y") * 13 + F.col("page") * 5) % 256)
-    return quality.uncovered_ink(grid, small, pages, ["page"]).withColumn("uncovered", F.round("uncovered", 6))
+    return quality.uncovered_ink(quality.ink_runs(grid, ["page"]), small, pages, ["page"]).withColumn("uncovered", F.round("uncovered", 6))
 
 
 # --- usage and cost ------------------------------------------------------------------------------------------------
@@ -447,6 +447,9 @@ def usage_fields(spark, d):
     return S.table(spark, d, "events").select("event_id", usage.usage_from_json(raw).alias("u")).select("event_id", "u.input_tokens", "u.output_tokens")
 
 
+_NORMAL = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '([A-Za-z])-[ \\t]*\\r?\\n[ \\t]*([a-z])', '\\1\\2', 'g'), '([0-9])-[ \\t]*\\r?\\n[ \\t]*([0-9])', '\\1-\\2', 'g'), '[ \\t]*\\r?\\n[ \\t]*', ' ', 'g'), '\\s+', ' ', 'g'))"""
+
+
 # --- accuracy, calibration, routing --------------------------------------------------------------------------------
 
 
@@ -457,6 +460,13 @@ def char_accuracy(spark, d):
     return a.join(b, "n_regionkey").select("a", "b", F.round(X.char_accuracy(F.col("a"), F.col("b")), 6).alias("accuracy"))
 
 
+@query("document_accuracy", f"SELECT doc_id, round(greatest(0.0, 1 - CAST(levenshtein(got, text) AS DOUBLE) / length(text)), 6) AS accuracy FROM (SELECT doc_id, text, {_NORMAL} AS got FROM documents WHERE text <> '')")
+def document_accuracy(spark, d):
+    """Whole documents against their normalised form."""
+    docs = S.table(spark, d, "documents").where("text <> ''")
+    return docs.select("doc_id", F.round(distance.text_accuracy(X.normalize_text(F.col("text")), F.col("text")), 6).alias("accuracy"))
+
+
 _SCORES = "WITH s AS (SELECT doc_id, (doc_id * 37 % 101) / 100.0::DOUBLE AS raw, quality = 1 AS correct FROM labels)\n"
 
 
@@ -793,6 +803,35 @@ def progress(spark, d):
     return batch.progress(e, ["job_id"], ["event_id"], F.col("done"), F.lit(10)).select("job_id", "event_id", "percent")
 
 
+@query("batch_progress", """WITH e AS (SELECT event_id // 10 AS job_id, event_id, least(event_id % 10 * 2, 10) AS done, event_id % 10 // 2 AS files FROM events)
+SELECT job_id, event_id, CAST(max(CASE WHEN done >= 10 THEN 90 + round_even(9.0 * files / 4, 0) ELSE 5 + round_even(85.0 * done / 10, 0) END) OVER (PARTITION BY job_id ORDER BY event_id) AS INTEGER) AS percent FROM e""")
+def batch_progress(spark, d):
+    """Pages first, then files once all pages are done."""
+    n = F.col("event_id") % 10
+    e = S.table(spark, d, "events").select(F.expr("event_id div 10").alias("job_id"), "event_id", F.least(n * 2, F.lit(10)).alias("done"), F.floor(n / 2).alias("files"))
+    return batch.progress(e, ["job_id"], ["event_id"], F.col("done"), F.lit(10), F.col("files"), F.lit(4)).select("job_id", "event_id", "percent")
+
+
+@query("batch_workers", "SELECT l_orderkey AS batch_id, CAST(least(greatest(count(*), 1), 6) AS INTEGER) AS workers FROM lineitem GROUP BY l_orderkey")
+def batch_workers(spark, d):
+    g = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return g.select("batch_id", batch.workers(F.col("n")).alias("workers"))
+
+
+@query("source_warnings", f"""WITH e AS (SELECT DISTINCT user_id AS doc_id FROM events), f AS (SELECT user_id AS doc_id, CASE WHEN event_type <> 'view' THEN event_type ELSE ' ' END AS t FROM events)
+SELECT doc_id, '{ingest.ENCODING_WARNING.replace("'", "''")}' AS warning FROM e WHERE doc_id % 3 = 0 UNION ALL SELECT DISTINCT doc_id, '{ingest.FIGURE_WARNING.replace("'", "''")}' FROM f WHERE t = ' '""")
+def source_warnings(spark, d):
+    e = S.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(" ").alias("description"))
+    return ingest.source_warnings(e.select("doc_id", (F.col("doc_id") % 3 == 0).alias("broken_encoding")), e)
+
+
+@query("unordered_pages", "SELECT DISTINCT doc_id FROM (SELECT l_orderkey AS doc_id, l_partkey % 50 AS page, lag(l_partkey % 50) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b > page")
+def unordered_pages(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    p = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("page_seq"), (F.col("l_partkey") % 50).alias("page"))
+    return assemble.unordered_pages(p)
+
+
 @query("ocr_warnings", "SELECT user_id AS doc_id, 'PDF Inspector cannot OCR pages: ' || string_agg(CAST(p AS VARCHAR), ', ' ORDER BY p) AS warning FROM (SELECT DISTINCT user_id, event_id % 7 + 1 AS p FROM events WHERE event_type = 'error') GROUP BY user_id")
 def ocr_warnings(spark, d):
     e = S.table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7 + 1).alias("page"))
@@ -802,9 +841,6 @@ def ocr_warnings(spark, d):
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
-_NORMAL = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '([A-Za-z])-[ \\t]*\\r?\\n[ \\t]*([a-z])', '\\1\\2', 'g'), '([0-9])-[ \\t]*\\r?\\n[ \\t]*([0-9])', '\\1-\\2', 'g'), '[ \\t]*\\r?\\n[ \\t]*', ' ', 'g'), '\\s+', ' ', 'g'))"""
-
-
 @query("normalize_text", f"SELECT doc_id, {_NORMAL} AS text FROM documents")
 def normalize_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
@@ -978,6 +1014,15 @@ def agreement(spark, d):
     return reconcile.agreeing(c.where("source = 'draft'"), c.where("source = 'verification'"), ["page"]).select("page", "seq", "type")
 
 
+@query("scored_regions", _BOXES + "SELECT seq // 20 AS page, seq FROM boxes WHERE seq * 37 % 101 / 100.0 >= 0.95")
+def scored_regions(spark, d):
+    """Regions of which only those with a high score count; these lie too far apart in a page to be doubles."""
+    b = S.embedding_boxes(spark, d)
+    w = F.col("seq") % 20 * 0.04
+    r = b.select(F.expr("seq div 20").alias("page"), "seq", w.alias("left"), F.lit(0.0).alias("top"), (w + 0.03).alias("right"), F.lit(0.5).alias("bottom"), (F.col("seq") * 37 % 101 / 100.0).alias("score"))
+    return reconcile.dedup_regions(r, ["page"], least_score=0.95).select("page", "seq")
+
+
 @query("orphan_parents", "SELECT l_orderkey AS doc_id, l_linenumber AS id, CASE WHEN EXISTS (SELECT 1 FROM lineitem p WHERE p.l_orderkey = l.l_orderkey AND p.l_linenumber = l.l_linenumber - 1) THEN l_linenumber - 1 END AS parent_id FROM lineitem l")
 def orphan_parents(spark, d):
     c = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") - 1).alias("parent_id"))
@@ -1063,6 +1108,18 @@ def crop_verdicts(spark, d):
     return out.select("page", "order", "outcome", "calls", "said.status", "said.text", "said.source_pass", F.array_join("said.warnings", ",").alias("warnings"))
 
 
+@query("resolved_chunks")
+def resolved_chunks(spark, d):
+    """Chunks of all pages through the whole resolution: agreement, crops and their attempts, and figures without a description."""
+    chunks, pages, drafts = _observed(spark, d)
+    n, k = F.col("order") + F.col("attempt"), F.col("attempt")
+    tries = chunks.select("page", "order", F.explode(F.expr("filter(sequence(1, 3), i -> i <= `order` % 4)")).alias("attempt"))
+    seen = F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("seen "), k.cast("string")))
+    tries = tries.select("page", "order", "attempt", seen.alias("text"), seen.alias("markdown"), G.box(0.4, 0.4, F.when(n % 5 == 0, 0.4).otherwise(0.6), 0.6).alias("box"), F.when(n % 3 == 0, "verified").otherwise("unresolved").alias("verdict"), G.box(0.0, 0.0, 0.8, 0.8).alias("crop_box"))
+    out = resolve.resolved_chunks(chunks, pages, drafts, tries, ["page"])
+    return out.select("page", "order", "type", "status", "method", "text", "markdown", F.array_join("warnings", ",").alias("warnings"), "source_pass")
+
+
 @query("region_outcomes", """WITH a AS (SELECT user_id AS page, event_id // 2 AS region, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2),
 f AS (SELECT *, t = 'error' AS failed, sum(CAST(t = 'error' AS INTEGER)) OVER (PARTITION BY page ORDER BY region ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS three FROM a),
 g AS (SELECT *, max(CAST(three AS INTEGER)) OVER (PARTITION BY page ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 AS gone FROM f)
@@ -1135,6 +1192,21 @@ def nest_cells(spark, d):
     return assemble.nest_cells(tables.unionByName(cells))
 
 
+@query("cell_checks", """WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 't' || CAST(l AS VARCHAR) AS id, 1 AS cell, 'table cell Markdown must occur in its parent table Markdown' AS violation FROM t WHERE l % 3 = 1 AND line <> ''""")
+def cell_checks(spark, d):
+    """Each line is a table of one cell; in every third, a second cell is missing."""
+    lines = S.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line")).where("line <> ''")
+    cells = F.when(F.col("l") % 3 == 1, F.array("line", F.concat("line", F.lit("\u00a4")))).otherwise(F.array("line"))
+    return assemble.cell_violations(lines.select("doc_id", F.concat(F.lit("t"), F.col("l").cast("string")).alias("id"), F.concat(F.lit("<td>"), "line", F.lit("</td>")).alias("markdown"), cells.alias("cells")))
+
+
+@query("word_checks", _BROKEN + "SELECT doc_id, markdown AS text, a AS start, 'word grounding text must match its Markdown range' AS violation FROM broken WHERE substr(whole, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) <> markdown")
+def word_checks(spark, d):
+    off, texts = _broken(spark, d)
+    return assemble.word_violations(texts, off.select("doc_id", F.col("markdown").alias("text"), "start", "end"))
+
+
 @query("clean_ocr")
 def clean_ocr(spark, d):
     return align.clean_ocr(S.table(spark, d, "documents").select("doc_id", "text"), "text", "clean").select("doc_id", F.col("clean").alias("text"))

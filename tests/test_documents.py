@@ -9,8 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import schema
-from foliant.operators import trees
+from foliant.functions import distance, schema
+from foliant.operators import assemble, trees
 from foliant.sources import headers
 
 
@@ -167,3 +167,88 @@ def test_values_of_any_depth_equal_recursion(spark):
     assert errors == {i: e for i, v in enumerate(values) if (e := first_error(v))} and errors
     got = {r.id: json.loads(r.json) for r in trees.rebuilt(trees.normalized(tree, ["id"]), ["id"]).collect()}
     assert got == {i: plain(v) for i, v in enumerate(values)}
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_equals_a_plain_table():
+    rng = random.Random(6)
+    text = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "abc"), ("abc", ""), ("kitten", "sitting"), ("é😀", "e😀x")] + [(text(rng.randrange(60)), text(rng.randrange(60))) for _ in range(200)]
+    for _ in range(60):
+        a = list(text(150, "abcdef"))
+        b = list(a)
+        for _ in range(rng.randrange(30)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(3)] = rng.choice(["", "x", "yz"])
+        pairs.append(("".join(a), "".join(b)))
+    for a, b in pairs:
+        want = plain_distance(a, b)
+        assert distance.edit_distance(a, b) == want == distance.edit_distance(b, a)
+        for k in (0, 1, 2, 5, 20, 200):
+            assert distance.within(a, b, k) == (want if want <= k else None)
+
+
+def test_long_texts_take_time_as_they_are_long():
+    a = "lorem ipsum dolor " * 20_000
+    b = a.replace("dolor", "dolar", 3)[:-7] + "!"
+    assert distance.edit_distance(a, b) == 3 + 7
+
+
+def test_placement_in_linear_time():
+    """Twice the words take about twice the time, also where hardly any is found."""
+    import time
+
+    def took(n):
+        words = [f"w{i}" for i in range(n)]
+        text, odd = " ".join(words), [w if i % 2 else f"{w}q{i}" for i, w in enumerate(words)]
+        began = time.perf_counter()
+        found = list(assemble.placements(text, odd))
+        assert sum(x is not None for x in found) == n // 2 and all(text[x[0] : x[1]] == w for x, w in zip(found, odd) if x)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(40_000) for _ in range(3)) < 4 * min(took(20_000) for _ in range(3))
+
+
+def test_ink_of_runs_equals_pixels(spark):
+    from foliant.functions.geometry import box
+    from foliant.operators import quality
+
+    rng = random.Random(8)
+    dark = {(p, x, y) for p in range(3) for x in range(50) for y in range(60) if rng.random() < 0.6}
+    boxes = [(p, *sorted(rng.sample(range(101), 2)), *sorted(rng.sample(range(101), 2))) for p in range(2) for _ in range(6)]
+    px = spark.createDataFrame([(p, x, y, 0 if (p, x, y) in dark else 255) for p in range(3) for x in range(50) for y in range(60)], "page int, x int, y int, gray int")
+    b = spark.createDataFrame(boxes, "page int, l int, r int, t int, b int").select("page", box(F.col("l") / 100, F.col("t") / 100, F.col("r") / 100, F.col("b") / 100).alias("box"))
+    pages = spark.createDataFrame([(p, 50, 60) for p in range(3)], "page int, width int, height int")
+    runs = quality.ink_runs(px, ["page"])
+    assert runs.count() < 0.6 * len(dark)
+    got = {r.page: round(r.uncovered, 9) for r in quality.uncovered_ink(runs, b, pages, ["page"]).collect()}
+    inner = [d for d in dark if 1 <= d[1] <= 49 and 1 <= d[2] <= 58]
+    edge = lambda v, grow, size: int((max(0.0, v / 100 - 0.01) if grow < 0 else min(1.0, v / 100 + 0.01)) * size)
+    bare = [d for d in inner if not any(d[0] == p and edge(x0, -1, 50) <= d[1] <= edge(x1, 1, 50) and edge(y0, -1, 60) <= d[2] <= edge(y1, 1, 60) for p, x0, x1, y0, y1 in boxes)]
+    assert got == {p: round(sum(d[0] == p for d in bare) / sum(d[0] == p for d in inner), 9) for p in range(3)}
+
+
+def test_resolution_of_whole_pages(spark):
+    """Every chunk comes out once, as the two steps say, and no figure stands verified without a description."""
+    from foliant.plans import queries
+
+    out = queries.resolved_chunks(spark, "/root/testdata/sf0.001").collect()
+    first = {(r.page, r.order): r for r in queries.chunk_resolution(spark, "/root/testdata/sf0.001").collect()}
+    assert len(out) == len(first) == len({(r.page, r.order) for r in out}) and all(r.status in ("verified", "candidate", "unresolved") for r in out)
+    for r in out:
+        before = first[r.page, r.order]
+        if r.type == "figure":
+            assert r.status == "unresolved" and "figure_description_unavailable" in r.warnings
+        elif before.status is not None:
+            assert (r.status, r.text, r.warnings) == (before.status, before.text, before.warnings)
+        else:
+            assert r.source_pass is not None

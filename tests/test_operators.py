@@ -121,7 +121,7 @@ def test_uncovered_ink(spark):
     px = spark.createDataFrame([(1, x, y, 0 if (x, y) in {(5, 5), (50, 50), (0, 0)} else 255) for x in range(100) for y in (0, 5, 50)], "page int, x int, y int, gray int")
     boxes = spark.range(1).select(F.lit(1).alias("page"), G.box(0.0, 0.0, 0.1, 0.1).alias("box"))
     pages = spark.createDataFrame([(1, 100, 100)], "page int, width int, height int")
-    assert quality.uncovered_ink(px, boxes, pages, ["page"]).first().uncovered == 0.5
+    assert quality.uncovered_ink(quality.ink_runs(px, ["page"]), boxes, pages, ["page"]).first().uncovered == 0.5
 
 
 def chunks(spark, *given):
