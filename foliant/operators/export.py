@@ -126,6 +126,21 @@ def archive_manifest(entries: DataFrame, payloads: tuple = PAYLOADS) -> DataFram
     return entries.select("seq", folder.alias("folder"), "filename", "status", files.alias("files"))
 
 
+#: Fixed value: what is said of a document that failed without a reason.
+FAILED = "Parsing failed"
+
+
+def archive_entries(outcomes: DataFrame, exports: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Entries of a job's archive (K12): ``seq, filename, status, error`` and the payloads of ``archive_manifest``. A failed document has its error only; of the others, an artifact
+    that couldn't be made is null, with its own error.
+
+    ``outcomes``: ``file_id, seq, filename, status, error``; ``exports``: ``file_id, markdown, html, export_json, ade_json``; ``artifacts``: ``file_id, annotated_pdf, artifact_error``."""
+    met = outcomes.join(exports, "file_id", "left").join(artifacts, "file_id", "left")
+    done = F.col("status") == "completed"
+    error = F.when(done, F.col("artifact_error")).otherwise(F.coalesce("error", F.lit(FAILED)))
+    return met.select("seq", "filename", "status", error.alias("error"), *[F.when(done, F.col(c)).alias(c) for c, _ in PAYLOADS])
+
+
 def annotation_counts(nodes: DataFrame) -> DataFrame:
     """Blocks that can be drawn on a page of the source, and those that can't (K7). ``nodes`` has ``box, page, source_page_count``."""
     drawn = F.col("box").isNotNull() & F.col("page").isNotNull() & (F.col("page") <= F.col("source_page_count"))

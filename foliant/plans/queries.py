@@ -176,6 +176,17 @@ pairs AS (SELECT x.page, x.seq AS a, y.seq AS b, greatest(0.0, least(x.r, y.r) -
 """
 
 
+@query("archive_entries", """WITH p AS (SELECT page_id, url, html, page_id % 7 = 0 AS bad FROM pages)
+SELECT page_id AS seq, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN CASE WHEN page_id % 2 = 0 THEN 'broken' ELSE 'Parsing failed' END WHEN page_id % 5 = 0 THEN 'no drawing' END AS error, CASE WHEN bad THEN 0 ELSE CAST(length(html) AS INTEGER) END AS n, NOT bad AND page_id % 5 <> 0 AS drawn FROM p""")
+def archive_entries(spark, d):
+    k = F.col("page_id")
+    p = S.table(spark, d, "pages").select(k.alias("file_id"), k.alias("seq"), F.col("url").alias("filename"), "html", F.when(k % 7 == 0, "failed").otherwise("completed").alias("status"), F.when(k % 2 == 0, "broken").alias("error"))
+    exports = p.where("status = 'completed'").select("file_id", F.col("html").alias("markdown"), "html", F.lit("{}").alias("export_json"), F.lit("{}").alias("ade_json"))
+    artifacts = p.select("file_id", F.when(F.col("file_id") % 5 != 0, F.encode("filename", "utf-8")).alias("annotated_pdf"), F.when(F.col("file_id") % 5 == 0, "no drawing").alias("artifact_error"))
+    out = export.archive_entries(p.drop("html"), exports, artifacts)
+    return out.select("seq", "status", "error", F.coalesce(F.length("html"), F.lit(0)).alias("n"), F.col("annotated_pdf").isNotNull().alias("drawn"))
+
+
 @query("annotation_counts", _BOXES + "SELECT page AS doc_id, count(*) FILTER (seq % 12 + 1 <= 10) AS annotated, count(*) FILTER (seq % 12 + 1 > 10) AS semantic FROM boxes GROUP BY page")
 def annotation_counts(spark, d):
     b = S.embedding_boxes(spark, d).select(F.col("page").alias("doc_id"), "box", (F.col("seq") % 12 + 1).alias("page"), F.lit(10).alias("source_page_count"))
@@ -513,10 +524,12 @@ def page_context(spark, d):
     return routing.with_context(organize.page_texts(_ranged(spark, d))).select("doc_id", "page", "before")
 
 
-@query("block_types", "SELECT type, block_type, role FROM (VALUES ('chart', 'figure', 'chart'), ('checkbox', 'text', 'checkbox'), ('figure', 'figure', NULL), ('footer', 'marginalia', 'footer'), ('form_field', 'text', 'form_field'), ('header', 'marginalia', 'header'), ('heading', 'text', 'heading'), ('list', 'text', 'list'), ('table', 'table', NULL), ('table_cell', 'text', 'table_cell'), ('text', 'text', NULL), ('title', 'text', 'title')) t(type, block_type, role)")
+@query("block_types", """WITH t(n, type, block_type, role) AS (VALUES (0, 'chart', 'figure', 'chart'), (1, 'checkbox', 'text', 'checkbox'), (2, 'figure', 'figure', NULL), (3, 'footer', 'marginalia', 'footer'), (4, 'form_field', 'text', 'form_field'), (5, 'header', 'marginalia', 'header'), (6, 'heading', 'text', 'heading'), (7, 'list', 'text', 'list'), (8, 'table', 'table', NULL), (9, 'table_cell', 'text', 'table_cell'), (10, 'text', 'text', NULL), (11, 'title', 'text', 'title'))
+SELECT p_partkey, type, block_type, role FROM part JOIN t ON p_partkey % 12 = n""")
 def block_types(spark, d):
-    t = spark.createDataFrame([(k,) for k in routing.BLOCK_TYPES], "type string").withColumn("b", routing.block_type(F.col("type")))
-    return t.select("type", F.col("b.type").alias("block_type"), F.col("b.role").alias("role"))
+    kind = F.element_at(F.array(*map(F.lit, sorted(routing.BLOCK_TYPES))), (F.col("p_partkey") % 12 + 1).cast("int"))
+    t = S.table(spark, d, "part").select("p_partkey", kind.alias("type")).withColumn("b", routing.block_type(F.col("type")))
+    return t.select("p_partkey", "type", F.col("b.type").alias("block_type"), F.col("b.role").alias("role"))
 
 
 @query("engine_labels", "SELECT l_orderkey AS doc_id, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'hybrid' ELSE min(l_returnflag) END AS engine FROM lineitem GROUP BY l_orderkey")
@@ -916,7 +929,9 @@ def latin1_text(spark, d):
 
 @query("report_lines")
 def report_lines(spark, d):
-    e = S.table(spark, d, "pages").select((F.col("page_id") % 10).cast("int").alias("doc_id"), F.col("page_id").cast("int").alias("seq"), F.expr("page_id div 50").cast("int").alias("source_page"), X.unescape(X.plain_excerpt(F.col("html"))).alias("excerpt"))
+    """A report on each conversation: its turns are the source pages."""
+    w = Window.partitionBy("doc_id").orderBy("page", "ord")
+    e = S.conversation_blocks(spark, d).select("doc_id", F.row_number().over(w).alias("seq"), F.col("page").alias("source_page"), X.unescape(X.plain_excerpt(F.col("markdown"))).alias("excerpt"))
     return align.report_lines(e, ["doc_id"])
 
 
@@ -1108,6 +1123,30 @@ def crop_verdicts(spark, d):
     return out.select("page", "order", "outcome", "calls", "said.status", "said.text", "said.source_pass", F.array_join("said.warnings", ",").alias("warnings"))
 
 
+_ATTEMPTS = """WITH a AS (SELECT event_id // 40 AS page, event_id % 40 // 2 AS region, event_id % 2 + 1 AS attempt, user_id % 5 <> 0 OR event_id // 40 % 2 = 0 AS twice, CASE WHEN event_id // 2 % 9 = 4 THEN 'figure' ELSE 'text' END AS type,
+  event_type IN ('error', 'click') AND event_id // 40 % 7 <> 0 AS failed, CASE WHEN event_id % 97 = 5 THEN 404 ELSE 503 END AS status, CASE WHEN value < 8 THEN '' ELSE 'text ' || CAST(event_id AS VARCHAR) END AS content, event_id % 100 AS tokens FROM events),
+f AS (SELECT page, region, bool_and(twice) AS twice FROM a GROUP BY page, region), b AS (SELECT a.* EXCLUDE (twice), f.twice FROM a JOIN f USING (page, region)),
+s AS (SELECT *, CASE WHEN failed AND (NOT twice OR status = 404) THEN 'stop' WHEN failed OR content = '' AND type = 'text' AND twice THEN CASE WHEN attempt < 2 THEN 'again' ELSE 'skipped' END ELSE 'done' END AS step FROM b),
+m AS (SELECT * FROM (SELECT *, lag(step) OVER (PARTITION BY page, region ORDER BY attempt) AS before FROM s) WHERE attempt = 1 OR before = 'again'),
+r AS (SELECT page, region, arg_max(step, attempt) AS step, arg_max(type, attempt) AS type, arg_max(content, attempt) AS content, sum(CASE WHEN failed THEN 0 ELSE tokens END) AS tokens FROM m GROUP BY page, region),
+e AS (SELECT *, step = 'stop' OR sum(CAST(step = 'skipped' AS INTEGER)) OVER (PARTITION BY page ORDER BY region ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS ends FROM r),
+t AS (SELECT * FROM (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY page ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS void FROM e) WHERE NOT void),
+p AS (SELECT page, max(CASE WHEN step = 'stop' THEN 'Ollama OCR failed for area region ' || CAST(region AS VARCHAR) WHEN ends THEN 'DeepSeek OCR stopped after three consecutive region failures' END) AS error, count(*) FILTER (step = 'skipped') AS skipped, CAST(sum(tokens) AS BIGINT) AS tokens,
+  count(*) FILTER (step = 'done' AND (content <> '' OR type = 'figure')) AS n, string_agg(content, '|' ORDER BY region) FILTER (step = 'done' AND (content <> '' OR type = 'figure')) AS texts FROM t GROUP BY page)
+SELECT page, coalesce(error, CASE WHEN n = 0 THEN 'Ollama OCR returned no document content' END) AS error, skipped, tokens, CASE WHEN error IS NULL THEN coalesce(texts, '') ELSE '' END AS texts FROM p"""
+
+
+@query("attempted_pages", _ATTEMPTS)
+def attempted_pages(spark, d):
+    """Events as a log of attempts: twenty regions a page, two attempts each, some in vain, some failing, some of a family that has one attempt only."""
+    e, page = F.col("event_id"), F.expr("event_id div 40")
+    a = S.table(spark, d, "events").select(page.alias("page"), F.expr("event_id % 40 div 2").alias("region"), (e % 2 + 1).alias("attempt"), ((F.col("user_id") % 5 != 0) | (page % 2 == 0)).alias("twice"), F.when(F.expr("event_id div 2 % 9") == 4, "figure").otherwise("text").alias("type"),
+        (F.col("event_type").isin("error", "click") & (page % 7 != 0)).alias("failed"), F.when(e % 97 == 5, 404).otherwise(503).alias("status"), F.lit("http").alias("kind"), F.when(F.col("value") < 8, " ").otherwise(F.concat(F.lit("text "), e.cast("string"))).alias("content"), F.lit("area").alias("label"), (e % 100).alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
+    a = a.withColumn("family", F.when(F.bool_and("twice").over(Window.partitionBy("page", "region")), "deepseekocr").otherwise("glmocr"))
+    out = reconcile.attempted_pages(a, ["page"], "region")
+    return out.select("page", "error", F.size("warnings").cast("long").alias("skipped"), F.col("input_tokens").alias("tokens"), F.array_join(F.transform("chunks", lambda c: c["content"]), "|").alias("texts"))
+
+
 @query("resolved_chunks")
 def resolved_chunks(spark, d):
     """Chunks of all pages through the whole resolution: agreement, crops and their attempts, and figures without a description."""

@@ -290,3 +290,21 @@ def test_archive(spark, tmp_path):
     with ZipFile(tmp_path / "a.zip") as z:
         assert sorted(z.namelist()) == ["01-x/x.md", "manifest.json"]
         assert json.loads(z.read("manifest.json"))["documents"][1]["files"] == []
+
+
+def test_attempts_of_regions(spark):
+    """One more attempt after nothing or a passing error; a page stops at another error, or at the third region in a row that was skipped."""
+    a = lambda page, region, n, content="", status=None, family="deepseekocr", kind="text": (page, region, n, family, kind, content, status is not None, status, "http", "area", 5, 1)
+    rows = [
+        a("fine", 1, 1, "one"), a("fine", 2, 1), a("fine", 2, 2, "two"), a("fine", 3, 1, status=503), a("fine", 3, 2, "three"), a("fine", 4, 1, kind="figure"), a("fine", 5, 1, "x"), a("fine", 5, 2, "never made"),
+        a("skips", 1, 1), a("skips", 1, 2), a("skips", 2, 1, status=429), a("skips", 2, 2, status=500), a("skips", 3, 1, "ok"), a("skips", 4, 1), a("skips", 4, 2),
+        *[a("streak", r, n) for r in (1, 2, 3) for n in (1, 2)], a("streak", 4, 1, status=404),
+        a("stop", 1, 1, "one"), a("stop", 2, 1, status=404), a("stop", 3, 1, "three"), a("other", 1, 1, "", family="glmocr"), a("other", 2, 1, "y", family="glmocr"), a("other2", 1, 1, status=503, family="glmocr"),
+        a("nothing", 1, 1, " ", family="glmocr"), a("open", 1, 1), a("open", 2, 1, "z"),
+    ]
+    df = spark.createDataFrame(rows, "page string, region int, attempt int, family string, type string, content string, failed boolean, status int, kind string, label string, input_tokens long, output_tokens long")
+    got = {r.page: (r.error, len(r.warnings), [c.content for c in r.chunks], r.input_tokens) for r in reconcile.attempted_pages(df, ["page"], "region").collect()}
+    assert got == {
+        "fine": (None, 0, ["one", "two", "three", "", "x"], 30), "skips": (None, 3, ["ok"], 25), "streak": (reconcile.STREAK_FAILED, 3, [], 30), "stop": (reconcile.REGION_FAILED.format("area", 2), 0, [], 5), "other": (None, 0, ["y"], 10),
+        "other2": (reconcile.REGION_FAILED.format("area", 1), 0, [], 0), "nothing": (reconcile.NOTHING_READ, 0, [], 5), "open": (None, 0, ["z"], 10),
+    }
