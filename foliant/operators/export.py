@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +117,15 @@ def content_nodes(nodes: DataFrame) -> DataFrame:
 PAYLOADS = (("markdown", "md"), ("html", "html"), ("annotated_pdf", "annotated.pdf"), ("export_json", "export.json"), ("ade_json", "ade-v2.json"))
 
 
-def archive_manifest(entries: DataFrame, payloads: tuple = PAYLOADS) -> DataFrame:
+def archive_manifest(entries: DataFrame, payloads: tuple = PAYLOADS, keep: Sequence[str] = ()) -> DataFrame:
     """Manifest rows: numbered folder of each entry, and the files in it. Only completed entries list files; null payloads are left
-    out. ``entries``: ``seq, filename, status`` and the payload columns. Ordering is by ``seq``, which callers number from 1,
+    out. ``entries``: ``seq, filename, status`` and the payload columns; those of ``keep`` stay. Ordering is by ``seq``, which callers number from 1,
     so no global window is needed."""
     stem = safe_stem(F.col("filename"))
     folder = F.concat(F.format_string("%02d-", F.col("seq").cast("int")), stem)
     files = F.array(*[F.when(F.col(c).isNotNull(), F.concat(folder, F.lit("/"), stem, F.lit(f".{ext}"))) for c, ext in payloads if c in entries.columns])
     files = F.when(F.col("status") == "completed", F.array_compact(files)).otherwise(F.array().cast("array<string>"))
-    return entries.select("seq", folder.alias("folder"), "filename", "status", files.alias("files"))
+    return entries.select(*keep, "seq", folder.alias("folder"), "filename", "status", files.alias("files"))
 
 
 #: Fixed value: what is said of a document that failed without a reason.
@@ -150,19 +152,3 @@ def annotation_counts(nodes: DataFrame) -> DataFrame:
 def draw_list(nodes: DataFrame) -> DataFrame:
     """Rectangles in page units (K7). ``nodes`` has ``box, page, width, height``."""
     return nodes.where("box is not null and page is not null").select("doc_id", "page", *[(F.col(f"box.{s}") * F.col(d)).alias(s) for s, d in (("left", "width"), ("top", "height"), ("right", "width"), ("bottom", "height"))])
-
-
-def write_archive(entries: list[dict], path: str, payloads: tuple = PAYLOADS) -> None:
-    """One batch as a ZIP with its manifest (K5). A batch is bounded by admission, so the driver holds it."""
-    import json
-    from zipfile import ZIP_DEFLATED, ZipFile
-
-    with ZipFile(path, "w", compression=ZIP_DEFLATED) as z:
-        docs = []
-        for e in entries:
-            docs.append({"source_filename": e["filename"], "status": e["status"], "error": e.get("error"), "files": list(e["files"])})
-            for column, ext in payloads:
-                target = next((f for f in e["files"] if f.endswith(f".{ext}")), None)
-                if target and e.get(column) is not None:
-                    z.writestr(target, e[column])
-        z.writestr("manifest.json", json.dumps({"version": 1, "documents": docs}, indent=2, ensure_ascii=False))

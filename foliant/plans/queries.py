@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import distance, schema
+from ..functions import distance, markdown, schema
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import align, assemble, batch, export, ingest, jobs, organize, quality, reconcile, relations, resolve, routing, trees, usage
@@ -922,6 +922,17 @@ def standalone_html(spark, d):
     return S.table(spark, d, "pages").select("page_id", X.standalone_html(F.col("url"), X.sanitize_html("html")).alias("html"))
 
 
+_PART_HTML = "'<h1>' || p_name || '</h1>' || chr(10) || '<p>A <strong>' || p_brand || '</strong> of <em>' || p_type || '</em> at <code>' || CAST(p_size AS VARCHAR) || '</code>.</p>' || chr(10) || '<ul>' || chr(10) || '<li>' || p_brand || '</li>' || chr(10) || '<li>no ' || CAST(p_partkey AS VARCHAR) || '</li>' || chr(10) || '</ul>' || chr(10) || '{0}'"
+_PART_TABLE = "<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>Key</th>' || chr(10) || '<th>Size</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || '<tr>' || chr(10) || '<td>' || CAST(p_partkey AS VARCHAR) || '</td>' || chr(10) || '<td>' || CAST(p_size AS VARCHAR) || '</td>' || chr(10) || '</tr>' || chr(10) || '</tbody>' || chr(10) || '</table>"
+
+
+@query("rendered_markdown", "SELECT p_partkey, " + _PART_HTML.format(_PART_TABLE) + " AS html FROM part")
+def rendered_markdown(spark, d):
+    """A page on each part, with a heading, emphasis, code, a list and a table."""
+    one = F.format_string("# %s\n\nA **%s** of *%s* at `%d`.\n\n- %s\n- no %d\n\n| Key | Size |\n| --- | ---: |\n| %d | %d |\n", "p_name", "p_brand", "p_type", "p_size", "p_brand", "p_partkey", "p_partkey", "p_size")
+    return S.table(spark, d, "part").select("p_partkey", markdown.markdown_html(one).alias("html"))
+
+
 @query("latin1_text", "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents")
 def latin1_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", X.latin1(F.col("text")).alias("text"))

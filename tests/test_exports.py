@@ -155,3 +155,76 @@ def test_token_overlap_equals_all_pairs(spark):
             if few >= 5 and common >= 0.8 * few - 1e-9:
                 want[a, b] = round(common / few, 6)
     assert got == want and len(want) >= 20
+
+
+def test_archives_of_jobs(spark, tmp_path):
+    """One archive a job, with a manifest of all its documents; the same files give the same bytes."""
+    import json
+    from zipfile import ZipFile
+
+    from foliant.sources import archives
+
+    rows = [("j1", 1, "a/x.pdf", "completed", None, "# md", None, b"%PDF", None, "{}"), ("j1", 2, "y.pdf", "failed", "broken", "md", "html", None, None, None)] + [(f"k{i}", 1, "n.pdf", "completed", "odd", f"text {i}", "<p>", None, "{}", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "job string, seq int, filename string, status string, error string, markdown string, html string, annotated_pdf binary, export_json string, ade_json string").repartition(4)
+    for k in "ab":
+        archives.write_archives(df, str(tmp_path / k))
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["j1.zip", *(f"k{i}.zip" for i in range(9))]
+    assert all((tmp_path / "a" / p.name).read_bytes() == p.read_bytes() for p in (tmp_path / "b").iterdir())
+    with ZipFile(tmp_path / "a" / "j1.zip") as z:
+        assert z.namelist() == ["manifest.json", "01-x/x.ade-v2.json", "01-x/x.annotated.pdf", "01-x/x.md"] and z.read("01-x/x.md") == b"# md" and z.testzip() is None
+        assert json.loads(z.read("manifest.json")) == {"version": 1, "documents": [
+            {"source_filename": "a/x.pdf", "status": "completed", "error": None, "files": ["01-x/x.md", "01-x/x.annotated.pdf", "01-x/x.ade-v2.json"]}, {"source_filename": "y.pdf", "status": "failed", "error": "broken", "files": []}]}
+
+
+def test_a_failed_write_leaves_no_archive(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foliant.sources import archives
+
+    spark.dataSource.register(archives.Archives)
+    rows = spark.range(40).select(F.concat(F.lit("job"), (F.col("id") % 8).cast("string")).alias("job"), "id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.encode(F.lit("data"), "utf-8").alias("data"))
+    broken = rows.withColumn("seq", F.when(F.col("id") == 33, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("id"))).select("job", "seq", "path", "data")
+    with pytest.raises(Exception, match="killed"):
+        broken.repartition(3, "job").sortWithinPartitions("job").write.format("archives").mode("append").save(str(tmp_path / "out"))
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+    unsafe = spark.createDataFrame([("../up", 1, "a", b"x")], archives.SCHEMA)
+    with pytest.raises(Exception, match="file name"):
+        unsafe.write.format("archives").mode("append").save(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("# Report", "<h1>Report</h1>"), ("Title\n=====\n\nSub\n---\ntext", "<h1>Title</h1>\n<h2>Sub</h2>\n<p>text</p>"), ("one\ntwo\n\nthree", "<p>one\ntwo</p>\n<p>three</p>"), ("a  \nb", "<p>a<br>\nb</p>"), ("---\n***", "<hr>\n<hr>"),
+        ("| Name | Value |\n| --- | :-: |\n| A | `1\\|2` |\n| B |", "<table>\n<thead>\n<tr>\n<th>Name</th>\n<th>Value</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>A</td>\n<td><code>1|2</code></td>\n</tr>\n<tr>\n<td>B</td>\n<td></td>\n</tr>\n</tbody>\n</table>"),
+        ("* a\n* b\n\n1. c\n2. d", "<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<ol>\n<li>c</li>\n<li>d</li>\n</ol>"), ("- a\n    - b\n    - c\n- d", "<ul>\n<li>a\n<ul>\n<li>b</li>\n<li>c</li>\n</ul>\n</li>\n<li>d</li>\n</ul>"), ("- a\n\n- b", "<ul>\n<li>\n<p>a</p>\n</li>\n<li>\n<p>b</p>\n</li>\n</ul>"),
+        ("> quoted\nmore\n\nnot", "<blockquote>\n<p>quoted\nmore</p>\n</blockquote>\n<p>not</p>"), ("```python\na < b\n\n# no\n```\nafter", "<pre><code>a &lt; b\n\n# no\n</code></pre>\n<p>after</p>"), ("    x = 1\n    y", "<pre><code>x = 1\ny\n</code></pre>"),
+        ("**bold** *em* __b__ _e_ a_b_c ** x **", "<p><strong>bold</strong> <em>em</em> <strong>b</strong> <em>e</em> a_b_c ** x **</p>"), ("`*a*` \\*b\\* ``x`y``", "<p><code>*a*</code> *b* <code>x`y</code></p>"), ("a & b < c &amp; d", "<p>a &amp; b &lt; c &amp; d</p>"),
+        ('[Source](https://example.com "T") ![pic](x.png) <https://e.org/?a=1&b=2>', '<p><a href="https://example.com" title="T">Source</a>  <a href="https://e.org/?a=1&amp;b=2">https://e.org/?a=1&amp;b=2</a></p>'), ("[bad](javascript:x) [**in**](/p_(1))", '<p><a>bad</a> <a href="/p_(1)"><strong>in</strong></a></p>'),
+        ('<script>alert(1)</script><a href="javascript:alert(2)" onclick="alert(3)">link</a>', "alert(1)<a>link</a>"), ("", ""), ("text\n# H\n- x", "<p>text</p>\n<h1>H</h1>\n<ul>\n<li>x</li>\n</ul>"),
+    ],
+)
+def test_markdown(text, want):
+    from foliant.functions import markdown
+    from foliant.functions.text import sanitized
+
+    assert sanitized(markdown.rendered(text)) == want
+
+
+def test_markdown_of_any_text_is_safe_and_whole(spark):
+    """Random marks: nothing fails, no tag beyond the allowed ones comes out, and every word stays."""
+    import random
+    import re
+
+    from foliant.functions import markdown
+    from foliant.functions.text import ALLOWED_TAGS, sanitized
+
+    rng = random.Random(2)
+    plain = ["*", "**", "_", "`", "```\n", "#", "> ", "- ", "1. ", "|", "---", "\n", "\n\n", "    ", "&", "\\", "===", "]", ")"]
+    for n in range(400):
+        marks = plain if n % 2 else [*plain, "[", "](", "<b>", "</b>", "<script>", "<", "~~~"]
+        text = "".join(rng.choice(marks) if rng.random() < 0.6 else f"word{rng.randrange(50)} " for _ in range(60))
+        out = sanitized(markdown.rendered(text))
+        assert {t.lower() for t in re.findall(r"</?([a-zA-Z][a-zA-Z0-9]*)", out)} <= ALLOWED_TAGS
+        if n % 2 and "```" not in text and "|" not in text:
+            assert set(re.findall(r"word\d+", text)) == set(re.findall(r"word\d+", out)), text

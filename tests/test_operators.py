@@ -278,20 +278,6 @@ def test_report_layout():
     assert max(p for _, p, _, _ in align.report_layout([(1, "a b c")] * 100)) > 4
 
 
-def test_archive(spark, tmp_path):
-    import json
-    from zipfile import ZipFile
-
-    from foliant.operators import export
-
-    df = spark.createDataFrame([(1, "a/x.pdf", "completed", "md", None), (2, "y.pdf", "failed", "md", "html")], "seq int, filename string, status string, markdown string, html string")
-    rows = [r.asDict() for r in export.archive_manifest(df).join(df.select("seq", "markdown", "html"), "seq").orderBy("seq").collect()]
-    export.write_archive(rows, str(tmp_path / "a.zip"))
-    with ZipFile(tmp_path / "a.zip") as z:
-        assert sorted(z.namelist()) == ["01-x/x.md", "manifest.json"]
-        assert json.loads(z.read("manifest.json"))["documents"][1]["files"] == []
-
-
 def test_attempts_of_regions(spark):
     """One more attempt after nothing or a passing error; a page stops at another error, or at the third region in a row that was skipped."""
     a = lambda page, region, n, content="", status=None, family="deepseekocr", kind="text": (page, region, n, family, kind, content, status is not None, status, "http", "area", 5, 1)
