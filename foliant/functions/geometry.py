@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import casefold
+
 SIDES = ("left", "top", "right", "bottom")
 
 
@@ -97,6 +99,17 @@ def crop_pixels(b: Column, width: Column, height: Column, padding: float = 0.05)
     return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
 
 
+#: The label of text that runs up the side of a page, and how much taller than wide its crop is turned.
+SIDEWAYS, TALL = "aside_text", 2
+
+
+def crop_size(label: Column, pixels: Column) -> Column:
+    """``width, height, turned`` of the crop of a pixel box: text that runs up the side is turned by a quarter."""
+    width, height = pixels["right"] - pixels["left"], pixels["bottom"] - pixels["top"]
+    turned = F.coalesce((casefold(label) == SIDEWAYS) & (height > width * TALL), F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"), turned.alias("turned"))
+
+
 def reading_key(b: Column) -> Column:
     """Order by top, then left; a missing box comes last."""
     return F.struct(F.coalesce(b["top"], F.lit(1.0)).alias("top"), F.coalesce(b["left"], F.lit(1.0)).alias("left"))

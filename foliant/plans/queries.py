@@ -350,6 +350,14 @@ def crop_pixels(spark, d):
     return p.select("seq", F.col("p.left").alias("x"), F.col("p.top").alias("y"), F.col("p.right").alias("x2"), F.col("p.bottom").alias("y2"), "unit")
 
 
+@query("turned_crops", _BOXES + """, p AS (SELECT seq, seq % 2 = 0 AS aside, greatest(0, CAST(trunc((l - (r - l) * 0.05) * 200) AS INTEGER)) AS x, greatest(0, CAST(trunc((t - (b - t) * 0.05) * 792) AS INTEGER)) AS y, CAST(trunc((r + (r - l) * 0.05) * 200) AS INTEGER) AS x2, CAST(trunc((b + (b - t) * 0.05) * 792) AS INTEGER) AS y2 FROM boxes),
+c AS (SELECT seq, aside, least(200, greatest(x + 1, x2)) - x AS w, least(792, greatest(y + 1, y2)) - y AS h FROM p)
+SELECT seq, CASE WHEN aside AND h > w * 2 THEN h ELSE w END AS width, CASE WHEN aside AND h > w * 2 THEN w ELSE h END AS height, aside AND h > w * 2 AS turned FROM c""")
+def turned_crops(spark, d):
+    label = F.when(F.col("seq") % 2 == 0, "Aside_Text").otherwise("text")
+    return S.embedding_boxes(spark, d).select("seq", G.crop_size(label, G.crop_pixels(F.col("box"), F.lit(200), F.lit(792))).alias("c")).select("seq", "c.*")
+
+
 def _chunks(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ["text", "table", "figure", "heading", "chart"])), (F.col("seq") % 5 + 1).cast("int"))
     return S.embedding_boxes(spark, d).withColumns({"type": kind, "parent_id": F.when(F.col("seq") % 4 == 0, "p"), "text": F.concat(F.lit("Item "), (F.col("seq") % 97).cast("string"))})
@@ -1008,7 +1016,11 @@ def suppress_duplicates(spark, d):
     return reconcile.suppress_duplicates(_page_chunks(spark, d), ["page"]).select("page", "seq", "type", "status")
 
 
-@query("dedup_regions")
+@query("dedup_regions", _BOXES + """, g AS (SELECT seq // 20 AS page, list([{'seq': seq, 'score': seq * 37 % 101 / 100.0, 'l': l, 't': t, 'r': r, 'b': b}] ORDER BY seq) AS items FROM boxes GROUP BY 1),
+k AS (SELECT page, unnest(list_reduce(items, lambda a, x: CASE WHEN list_contains(list_transform(a, lambda o: greatest(0.0, least(o.r, x[1].r) - greatest(o.l, x[1].l)) * greatest(0.0, least(o.b, x[1].b) - greatest(o.t, x[1].t)) / least((o.r - o.l) * (o.b - o.t), (x[1].r - x[1].l) * (x[1].b - x[1].t)) >= 0.9), true)
+  THEN list_transform(a, lambda o, i: CASE WHEN x[1].score > o.score AND i = list_position(list_transform(a, lambda o: greatest(0.0, least(o.r, x[1].r) - greatest(o.l, x[1].l)) * greatest(0.0, least(o.b, x[1].b) - greatest(o.t, x[1].t)) / least((o.r - o.l) * (o.b - o.t), (x[1].r - x[1].l) * (x[1].b - x[1].t)) >= 0.9), true) THEN x[1] ELSE o END)
+  ELSE list_concat(a, x) END)) AS o FROM g)
+SELECT page, o.seq AS seq, CAST(o.score AS DOUBLE) AS score FROM k""")
 def dedup_regions(spark, d):
     b = S.embedding_boxes(spark, d)
     r = b.select(F.expr("seq div 20").alias("page"), "seq", *[F.col(f"box.{s}").alias(s) for s in G.SIDES], (F.col("seq") * 37 % 101 / 100.0).alias("score"))
