@@ -135,9 +135,6 @@ def unordered_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("before", F.lag("page").over(w)).where("before > page").select("doc_id").distinct()
 
 
-_PLACED = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-
 def placements(text: str, needles: Iterable[str | None], wrapped: bool = False) -> Iterator[tuple[int, int] | None]:
     """The range of each needle, found from where the last hit ended, or null; in time that grows with the text and the needles.
 
@@ -178,18 +175,12 @@ def place(markdown: Column, needles: Column, wrapped: bool = False, skip: bool =
     ``wrapped``: prefer a place right between ``>`` and ``<``, as table cells have. ``skip``: leave out texts that
     aren't found; else they stay with a null range."""
 
-    @F.pandas_udf(_PLACED)
-    def found(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for text, words in zip(texts, wanted, strict=True):
-            if text is None or words is None:
-                out.append(None)
-                continue
-            met = zip(words, placements(text, words, wrapped), strict=True)
-            out.append([{"text": w, "start": at and at[0], "end": at and at[1]} for w, at in met if at or not skip])
-        return pd.Series(out)
-
-    return found(markdown, needles)
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None or words is None else [at and at[0] for at in placements(text, words, wrapped)] for text, words in zip(texts, wanted, strict=True)], dtype=object)
+
+    found = F.zip_with(needles, starts(markdown, needles), lambda w, at: F.struct(w.alias("text"), at.alias("start"), (at + F.length(w)).alias("end")))
+    return F.filter(found, lambda x: x["start"].isNotNull()) if skip else found
 
 
 def nest_cells(chunks: DataFrame) -> DataFrame:

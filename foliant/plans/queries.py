@@ -1212,8 +1212,8 @@ b AS (SELECT *, CASE WHEN len(wanted) > 0 AND strpos(have, want) > 0 THEN left(h
 SELECT doc_id, k AS "at", round(k / CAST(n AS DOUBLE), 6) AS l, round((k + len(wanted)) / CAST(n AS DOUBLE), 6) AS r FROM a""")
 def align_words(spark, d):
     p = _worded(spark, d).withColumn("wanted", F.array_join(F.slice("words", 4, 5), " "))
-    p = p.select("doc_id", align.word_match(F.col("wanted"), F.col("boxes")).alias("at"), align.aligned_box(F.col("wanted"), F.col("boxes")).alias("b"))
-    return p.select("doc_id", "at", F.round("b.left", 6).alias("l"), F.round("b.right", 6).alias("r"))
+    p = p.select("doc_id", align.alignment(F.col("wanted"), F.col("boxes")).alias("a"))
+    return p.select("doc_id", "a.at", F.round("a.box.left", 6).alias("l"), F.round("a.box.right", 6).alias("r"))
 
 
 @query("ground_words", _WORDS + """, m AS (SELECT doc_id, text, list_transform(ws, lambda x, i: CASE WHEN doc_id % 2 = 1 AND i % 7 = 0 THEN x || '¤' ELSE x END) AS ws FROM w WHERE len(ws) > 0),
