@@ -999,13 +999,21 @@ def fenced_json(spark, d):
 
 
 def _page_chunks(spark, d):
-    """All lines of all documents, ten to a page and each twice, with boxes of embeddings."""
+    """All lines of all documents, ten to a page and each twice, with boxes of embeddings.
+
+    Boxes come to pages by numbers alone, so a line is shuffled once, to its page, and doubled there."""
     e = S.embedding_boxes(spark, d).select(F.col("seq").alias("vec"), "box")
-    lines = S.table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     whose = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    c = lines.select(F.concat_ws(":", whose, F.expr("i div 10").cast("string")).alias("page"), "i", "line", F.xxhash64("doc_id").alias("h"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    c = c.withColumn("seq", F.col("i") * 2 + F.col("copy")).crossJoin(e.agg(F.greatest(F.max("vec") + 1, F.lit(1)).alias("n_vec")))
-    c = c.withColumn("vec", F.pmod(F.pmod("h", F.lit(1 << 40)) + F.col("seq"), "n_vec")).join(e, "vec", "left")
+    docs = S.table(spark, d, "documents").select(whose.alias("whose"), F.xxhash64("doc_id").alias("h"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    page = lambda tens: F.concat_ws(":", "whose", tens.cast("string")).alias("page")
+    # rows of one id share their pages and boxes
+    sizes = docs.groupBy("whose").agg(F.max(F.size("lines")).alias("n"), F.min("h").alias("h")).crossJoin(e.agg(F.greatest(F.max("vec") + 1, F.lit(1)).alias("n_vec")))
+    places = sizes.select("whose", "h", "n_vec", F.explode(F.sequence(F.lit(0), 2 * F.col("n") - 1)).alias("seq"))
+    places = places.select(page(F.expr("seq div 20")), "seq", F.pmod(F.pmod("h", F.lit(1 << 40)) + F.col("seq"), "n_vec").alias("vec")).join(e, "vec", "left")
+    boxes = places.groupBy("page").agg(F.collect_list(F.struct("seq", "box")).alias("boxes"))
+    lines = docs.select("whose", F.posexplode("lines").alias("i", "line")).groupBy(page(F.expr("i div 10"))).agg(F.collect_list(F.struct("i", "line")).alias("lines"))
+    c = lines.join(boxes, "page").select("page", F.explode("lines").alias("l"), "boxes").select("page", "l", F.explode(F.filter("boxes", lambda b: F.floor(b["seq"] / 2) == F.col("l.i"))).alias("b"))
+    c = c.select("page", F.col("l.line").alias("line"), F.col("b.seq").alias("seq"), F.col("b.box").alias("box"))
     kind = F.element_at(F.array(*map(F.lit, ["text", "heading", "list", "figure"])), (F.expr("seq div 2") % 4 + 1).cast("int"))
     status = F.element_at(F.array(*map(F.lit, ["verified", "candidate", "unresolved"])), (F.col("seq") % 3 + 1).cast("int"))
     return c.select("page", "seq", kind.alias("type"), F.col("line").alias("text"), status.alias("status"), (F.col("seq") % 5 == 0).alias("exact"), *[F.col(f"box.{s}").alias(s) for s in G.SIDES])
@@ -1030,7 +1038,7 @@ def dedup_regions(spark, d):
 def _passes(spark, d, other: str):
     c = _page_chunks(spark, d)
     half = F.when(F.col("seq") % 2 == 0, "draft").otherwise(other)
-    w = Window.partitionBy("page", "source").orderBy("seq")
+    w = Window.partitionBy("page", "source").orderBy("seq", "text", *G.SIDES)
     c = c.withColumn("source", half)
     n = F.row_number().over(w)
     return c.withColumn("parent_order", F.when(F.col("seq") % 3 == 0, n - 1)).withColumn("seq", n)
