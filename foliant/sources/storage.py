@@ -1,4 +1,4 @@
-"""Folders that the whole cluster shares."""
+"""Folders that the whole cluster shares, and batches for workers."""
 
 from __future__ import annotations
 
@@ -27,3 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python workers in Arrow batches of at most ``rows``, for the rest of the session: JVM and worker hold a batch of texts as a whole. A smaller
+    setting stays."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import bags
+from foliant.functions.text import WORD, normalized_key
 from foliant.operators import quality, reconcile
 from foliant.plans import catalogue, queries
 
@@ -89,3 +91,47 @@ def test_best_overlap_makes_no_row_of_a_pair(spark):
     cells = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
     assert not [x for x in plan[:cells] if "Join" in x]  # joins below it bring the number of cells alone
     assert [tuple(r) for r in found.groupBy("draft", "overlap").count().collect()] == [(2999, 1.0, 3000)]
+
+
+def share(x, y):
+    few = min(len(x), len(y))
+    return sum(min(x.count(w), y.count(w)) for w in set(x)) / few if few >= 5 else 0.0
+
+
+def test_bags_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(bags, "AT_ONCE", 7)
+    rng = random.Random(3)
+    for vocabulary in (4, 40, 400):
+        made = lambda n: [rng.choices([f"w{i}" for i in range(vocabulary)], [1 / (i + 1) for i in range(vocabulary)], k=rng.randint(5, 40)) for _ in range(n)]  # noqa: B023, E731
+        own, others = made(40), made(60)
+        others += [x + x[:1] for x in own[:9]] + [x[1:] + ["unknown"] for x in own[9:18]]
+        count = lambda x: {w: x.count(w) for w in x}
+        a, b, got = bags.Bags([(list(count(x)), list(count(x).values())) for x in own]).sharing([count(x) for x in others], 0.8)
+        want = {(i, j): share(x, y) for i, x in enumerate(others) for j, y in enumerate(own) if min(len(x), len(y)) >= 5 and share(x, y) >= 0.8}
+        assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), got.tolist(), strict=True)) == want and len(a) == len(want) >= 9
+    assert not len(bags.Bags([]).sharing([{"a": 5}], 0.8)[0]) and not len(bags.Bags([(["a"], [5])]).sharing([], 0.8)[0])
+
+
+def test_words_are_those_of_the_normalised_key(spark):
+    odd = ["co-\n operate 12-\r\n34 x-\ty", "a­b​c", "Straße İstanbul ΣΊΣΥΦΟΣ ſo ﬁne ŉ ǰ", "一二 ½ Ⅷ ² _a_b áé", "x\x1cy\x85z w", "", "--\n- \n", "tail-\nA head-\nb"]
+    texts = odd + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.words for r in df.select("i", F.regexp_extract_all(normalized_key(F.col("text")), F.lit(WORD), F.lit(0)).alias("words")).collect()}
+    assert got == {i: bags.words(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("part", "swapped"), [(1 << 19, False), (30, False), (30, True)])
+def test_token_overlap_in_parts_and_with_repeated_ids(spark, monkeypatch, part, swapped):
+    monkeypatch.setattr(quality, "BAG_WORDS", part)
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(2, 15)))
+    many = [(i % 70, text()) for i in range(90)] + [(None, "w1 w2 w3 w4 w5")]
+    few = [(i, t) for i, t in many[20:40] if i is not None] + [(21, "w1 w1 w1"), (200, None), (None, "w1 w2 w3 w4 w5"), (201, "w1 W2-\n w3"), (202, "")]
+    if swapped:
+        many, few = few, many
+    make = lambda rows: spark.createDataFrame(rows, "id int, text string")
+    found = quality.token_overlap(make(many), make(few))
+    assert not [x for x in plan_of(found) if "word" in x and "Join" in x]
+    whole = lambda rows: {i: [w for j, t in rows if j == i for w in bags.words(t or "")] for i, _ in rows if i is not None}
+    want = {(a, b): share(x, y) for a, x in whole(many).items() for b, y in whole(few).items() if min(len(x), len(y)) >= 5 and share(x, y) >= 0.8}
+    assert {(r.a, r.b): r.recall for r in found.collect()} == want and len(want) >= 20
