@@ -8,9 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .text import HIDDEN, SPLIT_WORD
+from .text import HIDDEN, SPLIT_NUMBER, SPLIT_WORD
 
 _HIDDEN, _SPLIT, _WORD = re.compile(f"[{HIDDEN}]"), re.compile(SPLIT_WORD), re.compile(r"\w+")
+_SPLIT_NUMBER, _LINE_END = re.compile(SPLIT_NUMBER.removeprefix("(?U)")), re.compile(r"[ \t]*\r?\n[ \t]*")
+#: White space as Unicode has it, without the separators that Python adds; and whatever normalisation changes.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS, _CHANGED = re.compile(f"[{_SPACE}]+"), re.compile(f"[{_SPACE.replace(' ', '')}{HIDDEN}]|  ")
 #: Rows that a step makes of postings or of words at one time.
 AT_ONCE = 1 << 21
 
@@ -24,17 +28,27 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def key(text: str) -> str:
+    """``normalized_key``."""
+    if _CHANGED.search(text):
+        text = _HIDDEN.sub("", text)
+        if "\n" in text:
+            text = _LINE_END.sub(" ", _SPLIT_NUMBER.sub("-", _SPLIT.sub("", text)))
+        text = _BLANKS.sub(" ", text)
+    return text.strip(" ").casefold()
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its count."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def _parts(counts: np.ndarray) -> Iterator[slice]:
-    """Runs of rows that make up to ``AT_ONCE`` together, or a single one."""
+def parts(counts: np.ndarray, at_once: int | None = None) -> Iterator[slice]:
+    """Runs of rows that make up to ``at_once`` together (``AT_ONCE``), or a single one."""
     sums, start = np.cumsum(counts), 0
     while start < len(counts):
-        end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + AT_ONCE, "right")))
+        end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + (at_once or AT_ONCE), "right")))
         yield slice(start, end)
         start = end
 
@@ -65,9 +79,9 @@ class Bags:
     def _met(self, n: np.ndarray, other: np.ndarray, word: np.ndarray, posts: np.ndarray, first: np.ndarray, bags: np.ndarray, smaller: bool) -> np.ndarray:
         """Pairs, as numbers, of ``other`` and a bag under its word; ``smaller``: of bags that are no larger than the other, else of larger ones."""
         found = [np.zeros(0, np.int64)]
-        for s in _parts(posts[word]):
+        for s in parts(posts[word]):
             count = posts[word[s]]
-            a, b = np.repeat(other[s], count), bags[_ranges(first[word[s]], count)]
+            a, b = np.repeat(other[s], count), bags[ranges(first[word[s]], count)]
             fit = self.n[b] <= n[a] if smaller else self.n[b] > n[a]
             found.append(np.unique(a[fit] * len(self.n) + b[fit]))
         return np.unique(np.concatenate(found))
@@ -100,8 +114,8 @@ class Bags:
         pairs.append(self._met(n, a[small], w[small], self.posts, self.first_post, self.bag[self.order], False))
         a, b = np.divmod(np.concatenate(pairs), max(1, len(self.n)))
         common, key = np.zeros(len(a), np.int64), other * len(self.words) + word
-        for s in _parts(self.size[b]):
-            row = _ranges(self.start[b[s]], self.size[b[s]])
+        for s in parts(self.size[b]):
+            row = ranges(self.start[b[s]], self.size[b[s]])
             pair = np.repeat(np.arange(s.stop - s.start), self.size[b[s]])
             wanted = a[s][pair] * len(self.words) + self.word[row]
             at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,38 @@ def test_token_overlap_in_parts_and_with_repeated_ids(spark, monkeypatch, part,
     whole = lambda rows: {i: [w for j, t in rows if j == i for w in bags.words(t or "")] for i, _ in rows if i is not None}
     want = {(a, b): share(x, y) for a, x in whole(many).items() for b, y in whole(few).items() if min(len(x), len(y)) >= 5 and share(x, y) >= 0.8}
     assert {(r.a, r.b): r.recall for r in found.collect()} == want and len(want) >= 20
+
+
+def test_keys_are_those_of_the_normalised_key(spark):
+    odd = [" a  b ", "co-\n operate 12-\r\n34\tx", "a­​b", "Straße ΣΊΣΥΦΟΣ ﬁne", "x\x1cy\x85z\xa0w　v\x0bu", "", "\n", "a \r\n b\rc", "--\n- \nA", "﻿ lead"]
+    texts = odd + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()]
+    got = {r.i: r.k for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", normalized_key(F.col("text")).alias("k")).collect()}
+    assert got == {i: bags.key(t) for i, t in enumerate(texts)}
+
+
+def test_chunks_of_pages_are_told_alike_in_any_parts(monkeypatch):
+    rng = random.Random(7)
+    base = [" ".join(rng.choices("ant bee cat dog elk fox gnu hen".split(), k=rng.randint(5, 12))) for _ in range(4)]
+    pages = []
+    for p in range(30):
+        n = rng.randint(0, 12)
+        text = [rng.choice([None, "", *(b + rng.choice(["", " owl", "."]) for b in base)]) for _ in range(n)]
+        sides = [[rng.choice([0.0, 0.2, float("nan") if rng.random() < 0.1 else 0.1]), 0.0, rng.choice([0.5, 0.7]), 1.0] for _ in range(n)]
+        seq = [rng.choice([None, i, i // 2]) if p % 5 == 0 else i for i in range(n)]
+        pages.append((seq, rng.choices(["text", "list", "figure", None], k=n), text, rng.choices(["verified", "candidate", "other", None], k=n), rng.choices([True, False, None], k=n), np.array(sides).reshape(-1, 4).T))
+    numbers = np.repeat(np.arange(len(pages)), [len(p[0]) for p in pages])
+    together = [[x for p in pages for x in p[c]] for c in range(5)]
+    alone = [k for p in pages for k in reconcile.kept_chunks(np.zeros(len(p[0]), np.int64), *p)]
+    assert reconcile.kept_chunks(numbers, *together, np.concatenate([p[5] for p in pages], 1)) == alone
+    monkeypatch.setattr(bags, "AT_ONCE", 5)
+    assert reconcile.kept_chunks(numbers, *together, np.concatenate([p[5] for p in pages], 1)) == alone and 20 < alone.count(False) < len(alone)
+
+
+def test_suppression_makes_no_row_of_a_pair(spark):
+    text = "seven grey geese fly north again"
+    rows = [(p, i, "text", text, "candidate", True, 0.0, 0.0, 1.0, 1.0, f"{p} {i}") for p in (1, 2, None) for i in range(30)] + [(2, None, "text", text, None, None, 0.0, 0.0, 1.0, 1.0, "x"), (2, 40, None, None, None, None, None, None, None, None, "y")]
+    df = spark.createDataFrame(rows, "page int, seq int, type string, text string, status string, exact boolean, left double, top double, right double, bottom double, more string")
+    found = reconcile.suppress_duplicates(df, ["page"])
+    assert not [x for x in plan_of(found) if "Join" in x] and found.columns == df.columns
+    want = [(1, 0, "1 0"), (2, 0, "2 0"), (2, 40, "y"), (2, None, "x"), *[(None, i, f"None {i}") for i in range(30)]]
+    assert sorted(map(str, ((r.page, r.seq, r.more) for r in found.collect()))) == sorted(map(str, want))
